@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import secrets, simhash
 
 QUERIES = {
+    "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_secrets": secrets.oracle(),
+}
