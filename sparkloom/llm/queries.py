@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash
+from . import secrets, simhash, urls
 
 QUERIES = {
+    "op5_urls": urls.op5_urls,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
 }
