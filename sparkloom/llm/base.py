@@ -71,3 +71,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         before = now
     roots = cur.select("v").distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+
+
+def fold(doc_id: str, n: int):
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held: int, per_class: dict[int, int], max_chars: int):
+    """A bounded sample of labelled texts as pandas: text, lang, y; never a row whose fold of n is ``held``.
+
+    Of each class it takes the ``per_class`` rows lowest in hash order whose text has at most ``max_chars`` characters
+    (longer ones and rows without a text are left out of the fit alone). Null ids and labels that aren't 0 or 1 are ignored.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(f"doc_id is not null and y in (0, 1) and {label} is not null")
+    known = known.where(fold("doc_id", n) != held)
+    order = F.xxhash64(F.lit(17), "doc_id")
+    picks = None
+    for y, most in per_class.items():
+        part = known.where(F.col("y") == y).withColumn("h", order).orderBy("h", "doc_id").limit(most).select("doc_id", "y")
+        picks = part if picks is None else picks.unionByName(part)
+    picks = picks.distinct()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.length("text") <= max_chars).join(F.broadcast(picks), "doc_id")  # the picks are bounded by per_class
+    return rows.toPandas().sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates(ignore_index=True)
