@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash, toxicity, urls
+from . import editprint, quality, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op5_urls": urls.op5_urls,
     "op6_quality": quality.op6_quality,
+    "op8_editprint": editprint.op8_editprint,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
 }
