@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import editprint, quality, secrets, simhash, toxicity, urls
+from . import editprint, media, quality, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_media": media.op2_media,
     "op5_urls": urls.op5_urls,
     "op6_quality": quality.op6_quality,
     "op8_editprint": editprint.op8_editprint,
