@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import editprint, media, pieces, quality, secrets, simhash, toxicity, urls
+from . import editprint, lines, media, pieces, quality, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_media": media.op2_media,
+    "op3_lines": lines.op3_lines,
     "op4_pieces": pieces.op4_pieces,
     "op5_urls": urls.op5_urls,
     "op6_quality": quality.op6_quality,
