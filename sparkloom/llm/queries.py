@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import editprint, lines, media, pieces, quality, secrets, simhash, toxicity, urls
+from . import editprint, lines, media, mixing, pieces, quality, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pieces": pieces.op4_pieces,
     "op5_urls": urls.op5_urls,
     "op6_quality": quality.op6_quality,
+    "op7_mixing": mixing.op7_mixing,
     "op8_editprint": editprint.op8_editprint,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
