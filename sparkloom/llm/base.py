@@ -95,3 +95,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.length("text") <= max_chars).join(F.broadcast(picks), "doc_id")  # the picks are bounded by per_class
     return rows.toPandas().sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates(ignore_index=True)
+
+
+def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, else as it is, for a join by shuffle. df should be cheap to count."""
+    return F.broadcast(df) if df.count() <= most_rows else df
