@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import q_text
+
+QUERIES: dict = q_text.QUERIES
+ORACLES: dict = q_text.ORACLES
