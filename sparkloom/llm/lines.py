@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, shuffle_partitions, table
+from .base import arrow_rows, materialize, table
 
 REACH = 4  # words to either side that a word must be below, in hash order, for its line to be wrapped before it
 #: Words in whole lines that an aligned block must have. Any 50 words in a row hold about so many in whole wrapped lines.
 MIN_WORDS = 30
 #: Lines that a sample shows in over 1 / HOT of its rows, at most HOT of them, are dealt with by a grouped minimum and a broadcast.
 HOT = 2048
-PIECE = 1 << 21
+PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(1024)], np.uint64)
@@ -57,26 +57,51 @@ def _piece_lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[first], _mix(np.add.reduceat(h * _POWERS[at & 1023], first)), sizes
 
 
+def lines_of_many(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the wrapped lines of all texts in order: the text's number, start byte, hash and words.
+
+    Texts are taken together up to PIECE bytes, and longer ones piece by piece, cut at line ends, else spaces.
+    """
+    found, batch, size = [], [], 0
+
+    def flush():
+        nonlocal batch, size
+        if batch:
+            offsets = np.cumsum([0, *(len(d) + 1 for _, _, d in batch[:-1])])
+            starts, h, w = _piece_lines(b"\n".join(d for _, _, d in batch))
+            which = np.searchsorted(offsets, starts, side="right") - 1
+            number, begins = (np.array([x[k] for x in batch], np.int64) for k in (0, 1))
+            found.append((number[which], starts - offsets[which] + begins[which], h, w))
+        batch, size = [], 0
+
+    for i, t in enumerate(texts):
+        d, at = (t or "").encode("utf-8", "surrogatepass"), 0
+        while len(d) - at > PIECE:
+            cut = d.rfind(b"\n", at, at + PIECE) + 1 or d.rfind(b" ", at, at + PIECE) + 1 or at + PIECE
+            flush()
+            batch = [(i, at, d[at:cut])]
+            flush()
+            at = cut
+        if size + len(d) - at > PIECE:
+            flush()
+        batch.append((i, at, d[at:]))
+        size += len(d) - at
+    flush()
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else none
+
+
 def lines_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Start bytes, hashes and word counts of a text's wrapped lines, and its bytes. Very long texts are taken piece by piece."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    if len(data) <= PIECE:
-        return (*_piece_lines(data), data)
-    found, at = [], 0
-    while at < len(data):
-        cut = data.rfind(b"\n", at, at + PIECE) + 1 if at + PIECE < len(data) else len(data)
-        cut = cut or data.rfind(b" ", at, at + PIECE) + 1 or at + PIECE
-        s, h, w = _piece_lines(data[at:cut])
-        found.append((s + at, h, w))
-        at = cut
-    return (*(np.concatenate(c) for c in zip(*found)), data)
+    """Start bytes, hashes and word counts of a text's wrapped lines, and its bytes."""
+    _, starts, hashes, words = lines_of_many([text])
+    return starts, hashes, words, (text or "").encode("utf-8", "surrogatepass")
 
 
 def without(text: str | None, ranges: list[int]) -> str | None:
     """The text without the lines from ranges[0] up to ranges[1], from ranges[2] up to ranges[3], and so on."""
     starts, _, _, data = lines_of(text)
     edges = np.append(starts, len(data))
-    edges[0] = 0
+    edges[0] = 0  # what stands before the first line goes with it
     kept, at = [], 0
     for a, b in zip(ranges[::2], ranges[1::2]):
         kept.append(data[at : edges[a]])
@@ -153,13 +178,14 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("hashes array<long>, facts array<int>")
     def found(texts: pd.Series) -> pd.DataFrame:
-        hashes, facts = [], []
-        for t in texts:
-            _, h, w, _ = lines_of(t)
-            _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-            hashes.append(h.view(np.int64))
-            facts.append((w * 2 + (n[back] == 1)).astype(np.int32))
-        return pd.DataFrame({"hashes": hashes, "facts": facts})
+        number, _, h, w = lines_of_many(texts)
+        order = np.lexsort((h, number))
+        same = (h[order][1:] == h[order][:-1]) & (number[order][1:] == number[order][:-1])
+        once = np.ones(len(h), bool)
+        once[order[1:]] &= ~same
+        once[order[:-1]] &= ~same
+        cuts = np.searchsorted(number, np.arange(1, len(texts)))
+        return pd.DataFrame({"hashes": np.split(h.view(np.int64), cuts), "facts": np.split((w * 2 + once).astype(np.int32), cuts)})
 
     rows = _keyed(docs).withColumn("l", found("text"))
     return rows.select("key", "ord", "l.hashes", "l.facts").where(F.size("hashes") > 0)
@@ -222,7 +248,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     (n_removed, if added by the caller, too). An empty table gives an empty result.
     """
     names = docs.columns
-    gone = materialize(deletions(materialize(line_table(docs.select("doc_id", "text")), "lines"), min_words), "deletions")
+    with arrow_rows(docs.sparkSession, 1000):
+        found = materialize(line_table(docs.select("doc_id", "text")), "lines")
+        gone = materialize(deletions(found, min_words), "deletions")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
