@@ -23,6 +23,8 @@ MIN_WORDS = 30
 #: Lines that a sample shows in over 1 / HOT of its rows, at most HOT of them, are dealt with by a grouped minimum and a broadcast.
 HOT = 2048
 PIECE = 1 << 18
+#: The deletions are broadcast up to so many numbers (16 MB) and joined by shuffle beyond.
+BROADCAST_NUMBERS = 4_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(1024)], np.uint64)
@@ -251,15 +253,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     with arrow_rows(docs.sparkSession, 1000):
         found = materialize(line_table(docs.select("doc_id", "text")), "lines")
         gone = materialize(deletions(found, min_words), "deletions")
+    gone = gone.withColumnRenamed("key", "_key").dropDuplicates(["_key"])
+    numbers = gone.agg(F.sum(F.size("ranges") + 4)).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
+        gone = F.broadcast(gone)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None or not len(r) else without(t, r) for t, r in zip(texts, ranges)], dtype=object)
+        return pd.Series([without(t, r) for t, r in zip(texts, ranges)], dtype=object)
 
     ident = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), ident.alias("_key"))
-    found = wide.join(gone.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_text", cut(F.col("_row.text").cast("string"), F.col("ranges")))
-    return found.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names])
+    # only documents that lose lines go through Python
+    whole = wide.join(gone, "_key", "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    some = wide.join(gone, "_key").withColumn("_text", cut(F.col("_row.text").cast("string"), F.col("ranges")))
+    return whole.unionByName(some.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names]))
 
 
 def op3_lines(spark, sf_dir: str) -> DataFrame:
