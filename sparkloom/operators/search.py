@@ -105,7 +105,7 @@ def penalty(language: Column, path: Column, n_lines: Column) -> Column:
 
 def recency(modified: Column, now_ms: int) -> Column:
     """RECENCY for a file changed now, falling to 0 over 30 days; 0 if it is absent."""
-    age = F.lit(now_ms) - F.unix_millis(modified)
+    age = F.lit(now_ms) - F.unix_millis(modified.cast("timestamp"))
     return F.coalesce(RECENCY * F.greatest(F.lit(0.0), 1 - age / F.lit(float(MONTH_MS))), F.lit(0.0))
 
 
