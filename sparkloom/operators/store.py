@@ -65,13 +65,16 @@ class Store:
     def replace(self, name: str, df: DataFrame) -> int:
         """Write df as the next version and swap to it."""
         v = self.version(name) + 1
-        fields = self.schema(name).fields
-        have = set(df.columns)
-        df = df.select(*[(F.col(f.name) if f.name in have else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in fields])
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
+        self._complete(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
         self._point(name, v)
         return v
 
+    def _complete(self, name: str, df: DataFrame, *extra: str) -> DataFrame:
+        """The table's columns and the extra ones, missing ones by their defaults."""
+        have = set(df.columns)
+        cols = [(F.col(f.name) if f.name in have else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in self.schema(name).fields]
+        return df.select(*cols, *extra)
+
     def _point(self, name: str, v: int) -> None:
         fs, p = self._fs(f"{self.root}/{name}/{POINTER}")
         _, fresh = self._fs(f"{self.root}/{name}/.{uuid.uuid4().hex}")
@@ -85,13 +88,14 @@ class Store:
     def upsert(self, name: str, rows: DataFrame, order: str | None = None) -> int:
         """Rows replace those of the same key; of several new ones the last by ``order`` wins."""
         keys = list(TABLES[name][1])
+        rows = self._complete(name, rows, *([order] if order else []))
         if order:
             last = Window.partitionBy(*keys).orderBy(F.desc(order))
             rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", order)
         else:
             rows = rows.dropDuplicates(keys)
         kept = self.read(name).join(rows.select(*keys), keys, "left_anti")
-        return self.replace(name, kept.unionByName(rows, allowMissingColumns=True))
+        return self.replace(name, kept.unionByName(rows))
 
     def append(self, name: str, rows: DataFrame) -> int:
         """Rows are added as they are; the caller sees to keys."""
