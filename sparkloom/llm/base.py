@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +41,14 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, n: int):
-    """Batches of at most n rows go to Python in what is planned and run meanwhile, so that long texts need little memory there."""
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on at most so many rows of the session go to Python at a time, as whole texts may be long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

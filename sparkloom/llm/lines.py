@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_rows, materialize, table
+from .base import bound_batches, materialize, table
 
 REACH = 4  # words to either side that a word must be below, in hash order, for its line to be wrapped before it
-#: Words in whole lines that an aligned block must have. Any 50 words in a row hold about so many in whole wrapped lines.
-MIN_WORDS = 30
+#: Words in whole lines that an aligned block must have. Of 51 words amid others, 99 in 100 have as many in whole wrapped lines.
+MIN_WORDS = 24
 #: Lines that a sample shows in over 1 / HOT of its rows, at most HOT of them, are dealt with by a grouped minimum and a broadcast.
 HOT = 2048
 PIECE = 1 << 18
@@ -137,6 +137,7 @@ def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np
 
     at: the line's number; owner and place: the earlier document that has it first, and where; once: whether the line is
     unique in both. Lines between two aligned ones on one diagonal belong to the block if each repeats some earlier line.
+    A block that the document has more than once goes each time.
     """
     covered = dict(zip(at.tolist(), words.tolist()))
     doomed: set[int] = set()
@@ -166,6 +167,15 @@ def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np
                 low -= 1
             if sum(covered[x] for x in range(low, high + 1)) >= min_words:
                 doomed.update(range(low, high + 1))
+        # what repeats a block once more, or out of order, goes as well: runs of left lines on one diagonal
+        run: list[int] = []
+        for x in [*(y for y in here if y not in doomed), None]:
+            if run and (x is None or here[x] - x != here[run[-1]] - run[-1] or any(y not in covered or y in doomed for y in range(run[-1] + 1, x))):
+                if sum(covered[y] for y in range(run[0], run[-1] + 1)) >= min_words:
+                    doomed.update(range(run[0], run[-1] + 1))
+                run = []
+            if x is not None:
+                run.append(x)
     out: list[int] = []
     for x in sorted(doomed):
         if out and out[-1] == x:
@@ -250,9 +260,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     (n_removed, if added by the caller, too). An empty table gives an empty result.
     """
     names = docs.columns
-    with arrow_rows(docs.sparkSession, 1000):
-        found = materialize(line_table(docs.select("doc_id", "text")), "lines")
-        gone = materialize(deletions(found, min_words), "deletions")
+    bound_batches(docs.sparkSession)
+    gone = materialize(deletions(materialize(line_table(docs.select("doc_id", "text")), "lines"), min_words), "deletions")
     gone = gone.withColumnRenamed("key", "_key").dropDuplicates(["_key"])
     numbers = gone.agg(F.sum(F.size("ranges") + 4)).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, labelled_sample, table
+from .base import bound_batches, fold, labelled_sample, table
 
 PASSAGE = 64  # words
 WORD_DIMS, SHAPE_DIMS = 64, 64
@@ -88,13 +88,14 @@ def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(starts))
     new[order[1:]] = (h[order][1:] != h[order][:-1]) | (passage[order][1:] != passage[order][:-1])
     breaks = np.concatenate((np.zeros(1, np.int64), np.cumsum(data == 10)))
-    line = breaks[starts[1:]] > breaks[ends[:-1]]
+    line = (breaks[starts[1:]] > breaks[ends[:-1]]) & (piece[1:] == piece[:-1])
     broke = np.concatenate((line, [False])).astype(float)
     x[:, :STATS] = np.stack((
         total_of(lower) / chars, total_of(upper) / chars, total_of(digit) / chars, total_of(punct) / chars, total_of(other) / chars, chars / n / 10,
         total_of(same) / n, total_of(new) / n, total_of(fresh) / n, varied[owner], np.log1p(n_words)[owner] / 8, total_of(broke) / n,
         total_of((upper == length).astype(float)) / n, total_of((punct == length).astype(float)) / n, total_of((length > 15).astype(float)) / n, n / PASSAGE,
     ), axis=1)
+    x[np.bincount(passage, minlength=total) == 0] = 0
     last = data[ends - 1]
     mark = np.where(kind[ends - 1] == PUNCT, last & 31, 0)
     shape = (np.minimum(length, 15) // 2) * 8 + (upper > 0) * 4 + (punct > 0) * 2 + (digit > 0)
@@ -223,6 +224,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     held_out is false for a null doc_id. Repeated rows stay; an empty table gives an empty result, and with no usable labels
     every score is 0.5.
     """
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", folds, held, per_class or PER_CLASS, max_chars)
     model = fit(sample["text"].tolist(), sample["y"].to_numpy(np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, labelled_sample, table
+from .base import bound_batches, fold, labelled_sample, table
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -79,24 +79,27 @@ def pooled(tables: list[list[np.ndarray]], docs: list[np.ndarray]) -> np.ndarray
     """The maximum of each filter over each document. Long documents are taken in overlapping chunks, so all of the text counts."""
     widest = len(tables[-1])
     out = np.full((len(docs), len(tables) * FILTERS), -np.inf, np.float32)
-    pieces, owners, size = [], [], 0
+    pieces, owners, valid, size = [], [], [], 0
 
     def flush():
-        nonlocal pieces, owners, size
+        nonlocal pieces, owners, valid, size
         if not pieces:
             return
         tail = np.zeros((widest - 1, PARTS), np.int32)
         ids = np.concatenate([x for p in pieces for x in (p, tail)])
         starts = np.cumsum([0, *(len(p) + widest - 1 for p in pieces[:-1])])
         body = len(ids) - (widest - 1)
+        # windows begin at a chunk's own words alone, not at its overlap or padding
+        edges = np.stack((starts, starts + valid), axis=1).ravel()
+        edges = edges[:-1] if edges[-1] >= body else edges
         for k, parts in enumerate(tables):
             conv = parts[0][ids[:body, 0]]
             for o in range(len(parts)):
                 for j in range(PARTS):
                     if o or j:
                         conv += parts[o][ids[o : body + o, j]]
-            np.maximum.at(out[:, k * FILTERS : (k + 1) * FILTERS], owners, np.maximum.reduceat(conv, starts))
-        pieces, owners, size = [], [], 0
+            np.maximum.at(out[:, k * FILTERS : (k + 1) * FILTERS], owners, np.maximum.reduceat(conv, edges)[::2])
+        pieces, owners, valid, size = [], [], [], 0
 
     for i, doc in enumerate(docs):
         if not len(doc):
@@ -104,6 +107,7 @@ def pooled(tables: list[list[np.ndarray]], docs: list[np.ndarray]) -> np.ndarray
         for a in range(0, len(doc), CHUNK):
             pieces.append(doc[a : a + CHUNK + widest - 1])
             owners.append(i)
+            valid.append(min(CHUNK, len(doc) - a))
             size += len(pieces[-1])
             if size > CHUNK:
                 flush()
@@ -229,6 +233,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     A null or wordless text is scored as one padding word. held_out is false for a null doc_id. Repeated rows stay; an
     empty table gives an empty result, and with no usable labels every score is 0.5.
     """
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", folds, held, per_class or PER_CLASS, max_chars)
     model = fit(sample["text"].tolist(), sample["y"].to_numpy(np.int64), sample["lang"].tolist())
     sent = docs.sparkSession.sparkContext.broadcast((model.tables(), model.bias, model.out, model.out_bias, model.slope, model.shift))
