@@ -29,15 +29,19 @@ def line_windows(files: DataFrame, window: int | Column = WINDOW, overlap: int |
     """
     if isinstance(window, int) and isinstance(overlap, int) and not (window > 0 and 0 <= overlap < window):
         raise ValueError("the window must be positive and the overlap smaller than it")
-    w, s = (window if isinstance(window, Column) else F.lit(window)), None
+    w = window if isinstance(window, Column) else F.lit(window)
     s = w - (overlap if isinstance(overlap, Column) else F.lit(overlap))
     rows = files.withColumn("_lines", T.lines(F.col(content))).where(F.size("_lines") > 0)
     n = F.size("_lines")
     count = F.when(n <= w, F.lit(1)).otherwise(F.ceil((n - w) / s) + 1).cast("int")
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), count - 1)))
-    start = F.col("_k") * s
-    chunk = T.rstrip(F.array_join(F.slice("_lines", start + 1, w), "\n"))
-    rows = rows.select(*files.columns, (start + 1).cast("int").alias("start_line"), F.least(start + w, n).cast("int").alias("end_line"), chunk.alias("chunk")).where("chunk <> ''")
+
+    # windows are cut before they are exploded, so that no row carries all lines of its file
+    def part(k: Column) -> Column:
+        chunk = T.rstrip(F.array_join(F.slice("_lines", k * s + 1, w), "\n"))
+        return F.struct((k * s + 1).cast("int").alias("start_line"), F.least(k * s + w, n).cast("int").alias("end_line"), chunk.alias("chunk"))
+
+    rows = rows.select(*files.columns, F.explode(F.transform(F.sequence(F.lit(0), count - 1), part)).alias("_w"))
+    rows = rows.select(*files.columns, "_w.start_line", "_w.end_line", "_w.chunk").where("chunk <> ''")
     return rows.withColumn("chunk_id", chunk_id(F.col(path).cast("string")))
 
 

@@ -50,7 +50,7 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: st
     return rows.orderBy("distance", key).limit(k).withColumn("score", score(F.col("distance")))
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_key: str, vector: str = "vector", block: int = 4096) -> DataFrame:
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_key: str, vector: str = "vector", block: int = 16384) -> DataFrame:
     """query_key, key, distance (squared) and rank of the k rows nearest to each query, by distance and then key.
 
     The queries are a stated set that is collected in blocks, each held against all rows by matrix products in the tasks
@@ -76,13 +76,16 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_key
                 for a in range(0, len(pdf), 4096):
                     x = np.stack(pdf["v"].iloc[a : a + 4096].to_numpy()).astype(np.float64)
                     ids = pdf["k"].iloc[a : a + 4096].to_numpy(np.int64)
-                    d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0)
-                    # candidates by the fast form, then the exact distances of those alone
-                    keep = np.argpartition(d, min(4 * k, d.shape[1]) - 1, axis=1)[:, : 4 * k] if d.shape[1] > 4 * k else np.tile(np.arange(d.shape[1]), (len(q), 1))
-                    exact = ((q[:, None, :] - x[keep]) ** 2).sum(2)
-                    all_d, all_k = np.concatenate((best_d, exact), axis=1), np.concatenate((best_k, ids[keep]), axis=1)
-                    order = np.lexsort((all_k, all_d), axis=1)[:, :k]
-                    best_d, best_k = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
+                    for b in range(0, len(q), 512):
+                        some = q[b : b + 512]
+                        d = np.maximum((some * some).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * some @ x.T, 0)
+                        # candidates by the fast form, then the exact distances of those alone
+                        n = min(4 * k, d.shape[1])
+                        keep = np.argpartition(d, n - 1, axis=1)[:, :n]
+                        exact = ((some[:, None, :] - x[keep]) ** 2).sum(2)
+                        all_d, all_k = np.concatenate((best_d[b : b + 512], exact), axis=1), np.concatenate((best_k[b : b + 512], ids[keep]), axis=1)
+                        order = np.lexsort((all_k, all_d), axis=1)[:, :k]
+                        best_d[b : b + 512], best_k[b : b + 512] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
             real = best_k.ravel() >= 0
             yield pd.DataFrame({"q": np.repeat(names, k)[real], "k": best_k.ravel()[real], "distance": best_d.ravel()[real]})
 
