@@ -76,6 +76,12 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_key
                 for a in range(0, len(pdf), 4096):
                     x = np.stack(pdf["v"].iloc[a : a + 4096].to_numpy()).astype(np.float64)
                     ids = pdf["k"].iloc[a : a + 4096].to_numpy(np.int64)
+                    # of equal vectors only the k smallest keys can count, so ties never crowd out candidates
+                    _, same = np.unique(x, axis=0, return_inverse=True)
+                    order = np.lexsort((ids, same.ravel()))
+                    first = np.flatnonzero(np.diff(same.ravel()[order], prepend=-1))
+                    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                    x, ids = x[order[place < k]], ids[order[place < k]]
                     for b in range(0, len(q), 512):
                         some = q[b : b + 512]
                         d = np.maximum((some * some).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * some @ x.T, 0)

@@ -137,3 +137,12 @@ def test_router_falls_back_to_lines(spark):
     got = symbols.route_chunks(tree(spark))
     kinds = {r["path"]: r["kind"] for r in got.collect()}
     assert kinds["pkg/notes.md"] == "" and kinds["web/shared/util.ts"] == "" and kinds["pkg/base.py"] != ""
+
+
+def test_knn_join_with_many_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(500)] + [(1000 + i, [float(i), 1.0]) for i in range(50)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, [3.0, 1.0]), (9, None)], "q long, vector array<double>")
+    got = sorted((r["q"], r["rank"], r["id"]) for r in search.knn_join(q, v, 3, "id", "q", block=1).collect())
+    assert got == [(7, 1, 0), (7, 2, 1), (7, 3, 2), (8, 1, 1003), (8, 2, 1002), (8, 3, 1004)]
+    assert search.knn_join(q.limit(0), v, 3, "id", "q").count() == 0
