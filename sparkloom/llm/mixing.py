@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, shuffle_partitions, table
+from .base import materialize, shuffle_partitions, small, table
 
 SEED = 31
 ENTROPY = 0.95  # of the logarithm of the number of sources
@@ -38,8 +38,8 @@ class Mix:
     sources: DataFrame  # source, tokens, docs, weight, repeats
 
 
-def _bisect(low: float, high: float, holds) -> float:
-    """The largest dyadic point of [low, high] found to hold, for what holds below some point and not above; STEPS at a time."""
+def _bisect(low: float, high: float, holds) -> tuple[float, float]:
+    """The ends of the last interval of a bisection of [low, high], for what holds below some point and not above; STEPS at a time."""
     cuts = 1 << STEPS
     for _ in range(ROUNDS):
         points = [low + (high - low) * i / cuts for i in range(1, cuts)]
@@ -50,7 +50,7 @@ def _bisect(low: float, high: float, holds) -> float:
                 break
             last = x
         low = last
-    return low
+    return low, high
 
 
 def plan(rows: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None) -> Mix:
@@ -80,21 +80,21 @@ def plan(rows: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
     def over(points: list[float]) -> list[bool]:
         if budget is None:
             worst = [F.max(F.pow(F.lit(most) / F.col("tokens"), F.lit(1 - a))) for a in points]
-            return [w > repeats + 1e-12 for w in known.agg(*[w.alias(f"w{i}") for i, w in enumerate(worst)]).first()]
+            return [w > repeats for w in known.agg(*[w.alias(f"w{i}") for i, w in enumerate(worst)]).first()]
         cols = [x for i, a in enumerate(points) for x in (F.sum(F.pow(p, F.lit(a))).alias(f"z{i}"), F.max(F.pow(p, F.lit(a)) / F.col("tokens")).alias(f"m{i}"))]
         row = known.agg(*cols).first()
-        return [budget * row[f"m{i}"] / row[f"z{i}"] > repeats + 1e-12 for i in range(len(points))]
+        return [budget * row[f"m{i}"] / row[f"z{i}"] > repeats for i in range(len(points))]
 
-    a = 1.0 if even_enough([1.0])[0] else _bisect(0.0, 1.0, even_enough)
+    a = 1.0 if even_enough([1.0])[0] else _bisect(0.0, 1.0, even_enough)[0]
     if over([a])[0]:
-        a = 1.0 if over([1.0])[0] else _bisect(a, 1.0, over)  # too many repeats below, few enough from here on
+        a = 1.0 if over([1.0])[0] else _bisect(a, 1.0, over)[1]  # too many repeats below, few enough from here on
     z = known.agg(F.sum(F.pow(p, F.lit(a)))).first()[0]
     weight = F.when(F.col("tokens") > 0, F.pow(p, F.lit(a)) / F.lit(z)).otherwise(0.0)
     if budget is None:
         times = F.when(F.col("tokens") > 0, F.pow(F.lit(most) / F.col("tokens"), F.lit(1 - a))).otherwise(1.0)
     else:
         times = F.when(F.col("tokens") > 0, F.lit(float(budget)) * weight / F.col("tokens")).otherwise(1.0)
-    return Mix(a, n, sources.select("*", weight.alias("weight"), times.alias("repeats")))
+    return Mix(a, n, sources.select("*", weight.alias("weight"), F.round(times, 9).alias("repeats")))  # so that a limit met is met exactly
 
 
 def lay_out(rows: DataFrame, mix: Mix, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
@@ -153,9 +153,29 @@ def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, b
     rows = materialize(rows.groupBy("key", "source").agg(F.sum("tokens").alias("tokens")), "tokens")
     copies = lay_out(rows, plan(rows, entropy, repeats, budget), block_tokens, seed)
     copies = materialize(copies.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("turn").alias("_turn")), "copies")
-    out = keyed.join(copies, "_key").repartition(shuffle_partitions(docs.sparkSession), "_block").sortWithinPartitions("_block", "_turn")
+    out = keyed.join(small(copies), "_key").repartition(shuffle_partitions(docs.sparkSession), "_block").sortWithinPartitions("_block", "_turn")
     return out.select(*[F.col(f"`{c}`") for c in names])
 
 
+def oracle() -> str:
+    entropy = "(ln(list_sum(list_transform(ps, lambda p: pow(p, {0}))) ) - {0} * list_sum(list_transform(ps, lambda p: pow(p, {0}) * ln(p))) / list_sum(list_transform(ps, lambda p: pow(p, {0}))))"
+    enough = f"{entropy.format('mid')} >= {ENTROPY} * ln(n) - 1e-12"
+    half = "i + 1 AS i, CASE WHEN {0} THEN mid ELSE lo END AS lo, CASE WHEN {0} THEN hi ELSE mid END AS hi"
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+s AS (SELECT source, sum(tokens)::DOUBLE AS tok, count(*) AS docs FROM t GROUP BY 1),
+f AS (SELECT list(tok / (SELECT sum(tok) FROM s) ORDER BY source) AS ps, max(tok) AS most, min(tok) AS low, count(*)::DOUBLE AS n FROM s WHERE tok > 0),
+e(i, lo, hi) AS (SELECT 0, 0::DOUBLE, 1::DOUBLE UNION ALL SELECT {half.format(enough)} FROM (SELECT *, (lo + hi) / 2 AS mid FROM e WHERE i < {STEPS * ROUNDS}), f),
+a1 AS (SELECT CASE WHEN {entropy.format('1.0')} >= {ENTROPY} * ln(n) - 1e-12 THEN 1.0::DOUBLE ELSE (SELECT lo FROM e ORDER BY i DESC LIMIT 1) END AS a FROM f),
+o(i, lo, hi) AS (SELECT 0, a, 1::DOUBLE FROM a1 UNION ALL SELECT {half.format(f'pow(most / low, 1 - mid) > {REPEATS}')} FROM (SELECT *, (lo + hi) / 2 AS mid FROM o WHERE i < {STEPS * ROUNDS}), f),
+a2 AS (SELECT CASE WHEN pow(most / low, 1 - a) > {REPEATS} THEN (SELECT hi FROM o ORDER BY i DESC LIMIT 1) ELSE a END AS a FROM a1, f),
+w AS (SELECT source, tok, CASE WHEN tok > 0 THEN pow(tok / (SELECT sum(tok) FROM s), a) / list_sum(list_transform(ps, lambda p: pow(p, a))) ELSE 0 END AS weight,
+ round(CASE WHEN tok > 0 THEN pow(most / tok, 1 - a) ELSE 1 END, 9) AS repeats, least(greatest(ceil(docs / {PER_BUCKET}), 1), {MOST_BUCKETS})::BIGINT AS buckets FROM s, f, a2),
+b AS (SELECT greatest(1, ceil(trunc(sum(tok * repeats)) / {BLOCK_TOKENS}))::BIGINT AS blocks FROM w),
+c AS (SELECT t.*, tok, weight, repeats, buckets, unnest(range(0, greatest(ceil(repeats)::INT - 1, 0) + 1)) AS epoch FROM t JOIN w USING (source)),
+h AS (SELECT *, ('0x' || substr(md5('{SEED}:' || epoch || ':' || doc_id), 1, 15))::BIGINT AS turn FROM c),
+p AS (SELECT *, epoch + CASE WHEN tok > 0 THEN coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY (turn >> 20) % buckets, turn, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / tok ELSE 0 END AS place FROM h)
+SELECT doc_id, source, tokens AS n_tokens, round(weight, 6) AS weight, round(repeats, 6) AS repeats, epoch::INT AS epoch, least(floor(place / repeats * blocks), blocks - 1)::BIGINT AS block, turn FROM p, b WHERE place < repeats"""
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import bound_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 20240, 0.1, 4
@@ -30,7 +30,7 @@ NEVER = 1 << 62
 MASK = (1 << 64) - 1
 CYCLE = 4096
 SHORT = 48  # symbols; longer units take a heap
-KEPT = 500_000  # units kept by a worker
+KEPT = 200_000  # units kept by a worker
 
 
 def mixed(*parts: int) -> int:
@@ -297,14 +297,15 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: f
     again. Null and empty texts have no ids and n_tokens 0. Null ids, repeated rows and further columns are allowed; the
     latter are ignored. An empty table gives an empty result. ``model`` is a path that every executor can read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     dtype = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
         enc = encoder(model, seed, rate, variants)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
                 texts = part.column("text").to_pylist()
                 ids = enc.encode_batch(texts)
                 same = [enc.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_mixing": mixing.oracle(),
     "op9_secrets": secrets.oracle(),
 }

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import components, materialize, shuffle_partitions, table
+from .base import bound_batches, components, materialize, shuffle_partitions, table
 
 SEED = 42
 BLOCK = 16
@@ -58,6 +58,7 @@ def fingerprint(words: list[bytes], k: int) -> int:
 
 def with_fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, fp) of every row of docs; fp as a signed long."""
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
