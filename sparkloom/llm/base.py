@@ -58,18 +58,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in edges; root is the smallest node that can be reached.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join back, with the edges written between
-    rounds. Self loops and repeated edges are allowed, edges with a null end are ignored, and no edges give no rows.
+    Alternates large-star and small-star steps, each a grouped minimum and a join back. The minima are written before
+    they are joined, so both sides of a join are dealt out for it alone and a node with very many edges can be split. The
+    edges are written between rounds, of which there are about as many as a component's size has digits. Self loops and repeated edges are allowed, edges with a null end are ignored, and no edges give no rows.
     """
     cur = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     cur = materialize(cur.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # every row now points from a larger node to a smaller one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
         cur = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
@@ -79,6 +81,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components were not settled after {max_rounds} rounds")
     roots = cur.select("v").distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 

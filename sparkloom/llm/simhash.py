@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bound_batches, components, materialize, shuffle_partitions, table
+from .base import bound_batches, components, materialize, shuffle_partitions, small, table
 
 SEED = 42
 BLOCK = 16
@@ -164,11 +164,18 @@ def _links(most: int):
 
 
 def _group_links(codes: np.ndarray, bounds: np.ndarray, most: int) -> pd.DataFrame:
-    found: list[tuple[int, int]] = []
     sizes = np.diff(bounds)
-    for g in np.flatnonzero(sizes > 1):
+    # groups of one leaf, nearly all of them, are compared all at once
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    single = (sizes <= LEAF)[group]
+    pairs = []
+    for s in range(1, min(LEAF, int(sizes.max(initial=0)))):
+        near = single[s:] & (group[s:] == group[:-s]) & (popcount(codes[s:] ^ codes[:-s]) <= most)
+        pairs.append(np.stack((codes[:-s][near], codes[s:][near]), axis=1))
+    found: list[tuple[int, int]] = []
+    for g in np.flatnonzero(sizes > LEAF):
         found += forest(codes[bounds[g] : bounds[g + 1]], most)
-    flat = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    flat = np.concatenate([*pairs, np.array(found, dtype=np.uint64).reshape(-1, 2)]).view(np.int64)
     return pd.DataFrame({"a": flat[:, 0], "b": flat[:, 1]})
 
 
@@ -220,9 +227,10 @@ def simhash_components(docs: DataFrame, k: int = 3, most: int = 2, group_limit:
     codes = prints.groupBy("fp").agg(F.min("doc_id").alias("m"))
     links = fingerprint_links(codes.select("fp"), most, group_limit)
     roots = components(links)
-    joined = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "m", F.coalesce("root", "fp").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("m").alias("component_id"))
-    classes = materialize(joined.join(lowest, "root").select("fp", "component_id"), "classes")
+    rooted = materialize(codes.join(roots.withColumnRenamed("node", "fp"), "fp"), "rooted")
+    lowest = materialize(rooted.groupBy("root").agg(F.min("m").alias("low")), "lowest")
+    linked = materialize(rooted.join(small(lowest), "root").select("fp", "low"), "linked")
+    classes = materialize(codes.join(linked, "fp", "left").select("fp", F.coalesce("low", "m").alias("component_id")), "classes")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
