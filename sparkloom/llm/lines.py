@@ -8,14 +8,16 @@ diff: the longest chain of lines that are unique in both, in rising order, grown
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import bound_batches, materialize, table
+from .base import bound_batches, materialize, small, table
 
 REACH = 4  # words to either side that a word must be below, in hash order, for its line to be wrapped before it
 #: Words in whole lines that an aligned block must have. Of 51 words amid others, 99 in 100 have as many in whole wrapped lines.
@@ -23,8 +25,11 @@ MIN_WORDS = 24
 #: Lines that a sample shows in over 1 / HOT of its rows, at most HOT of them, are dealt with by a grouped minimum and a broadcast.
 HOT = 2048
 PIECE = 1 << 18
-#: The deletions are broadcast up to so many numbers (16 MB) and joined by shuffle beyond.
-BROADCAST_NUMBERS = 4_000_000
+#: Words and bytes beside a run that are held against the earlier document's.
+EDGE, EDGE_BYTES = 24, 1 << 9
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: The deletions are broadcast up to so many characters and joined by shuffle beyond.
+BROADCAST_CHARS = 1 << 26
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(1024)], np.uint64)
@@ -99,15 +104,54 @@ def lines_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, byte
     return starts, hashes, words, (text or "").encode("utf-8", "surrogatepass")
 
 
-def without(text: str | None, ranges: list[int]) -> str | None:
-    """The text without the lines from ranges[0] up to ranges[1], from ranges[2] up to ranges[3], and so on."""
-    starts, _, _, data = lines_of(text)
+def starts_of(texts: list[str | None]) -> list[np.ndarray]:
+    """The start bytes of each text's wrapped lines."""
+    number, starts, _, _ = lines_of_many(texts)
+    return np.split(starts, np.searchsorted(number, np.arange(1, len(texts))))
+
+
+def beside(text: str | None, line: int, after: bool, starts: np.ndarray | None = None) -> str:
+    """The EDGE words before a wrapped line, or those behind it, joined by single spaces."""
+    starts = starts_of([text])[0] if starts is None else starts
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if not after:
+        return b" ".join(data[max(0, starts[line] - EDGE_BYTES) : starts[line]].split()[-EDGE:]).decode("utf-8", "replace")
+    stop = starts[line + 1] if line + 1 < len(starts) else len(data)
+    return b" ".join(data[stop : stop + EDGE_BYTES].split()[:EDGE]).decode("utf-8", "replace")
+
+
+def without(text: str | None, runs: list[tuple[int, int, str, str]], starts: np.ndarray | None = None) -> str:
+    """The text without runs of lines (from, up to, what the earlier document has before the run, and behind it).
+
+    A run that begins or ends amid a physical line is grown over the words beside it, within that line, that the earlier
+    document has there too. White space behind what goes goes with it, but for the end of a line that is cut short.
+    """
+    starts = starts_of([text])[0] if starts is None else starts
+    data = (text or "").encode("utf-8", "surrogatepass")
     edges = np.append(starts, len(data))
     edges[0] = 0  # what stands before the first line goes with it
     kept, at = [], 0
-    for a, b in zip(ranges[::2], ranges[1::2]):
-        kept.append(data[at : edges[a]])
-        at = edges[b]
+    for a, b, before, behind in sorted(runs):
+        low, high = int(edges[a]), int(edges[b])
+        left = data[max(0, low - EDGE_BYTES) : low].rpartition(b"\n")[2]
+        words, known = left.split(), before.encode("utf-8", "surrogatepass").split()
+        k = 0
+        while k < min(len(words), len(known)) and words[-1 - k] == known[-1 - k]:
+            k += 1
+        if k:
+            low -= len(left) - [m.start() for m in _WORD.finditer(left)][-k]
+        if high < len(data) and b"\n" not in data[len(data[low:high].rstrip()) + low : high]:
+            right = data[high : high + EDGE_BYTES].partition(b"\n")[0]
+            known = behind.encode("utf-8", "surrogatepass").split()
+            spans = [m.span() for m in _WORD.finditer(right)]
+            k = 0
+            while k < min(len(spans), len(known)) and right[slice(*spans[k])] == known[k]:
+                k += 1
+            if k:
+                high += spans[k][0] if k < len(spans) else len(right)
+        if low > at:
+            kept.append(data[at:low])
+        at = max(at, high)
     kept.append(data[at:])
     return b"".join(kept).decode("utf-8", "surrogatepass")
 
@@ -132,19 +176,27 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np.ndarray, words: np.ndarray, min_words: int) -> list[int]:
-    """Ranges of a document's lines to delete; the rows are its repeated lines in order of ``at``.
+def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, ...]]:
+    """Runs of a document's lines to delete; the rows are its repeated lines in order of ``at``.
+
+    A run is (from, up to, the earlier document and line of its first line, and those of its last line).
 
     at: the line's number; owner and place: the earlier document that has it first, and where; once: whether the line is
     unique in both. Lines between two aligned ones on one diagonal belong to the block if each repeats some earlier line.
     A block that the document has more than once goes each time.
     """
     covered = dict(zip(at.tolist(), words.tolist()))
-    doomed: set[int] = set()
+    doomed: dict[int, tuple[int, int]] = {}
+
+    def doom(owner: int, here: dict[int, int], low: int, high: int) -> None:
+        if sum(covered[x] for x in range(low, high + 1)) >= min_words:
+            for x in range(low, high + 1):
+                doomed.setdefault(x, (owner, here[low] + x - low))
+
     by_owner: dict[int, list[int]] = {}
     for k, o in enumerate(owner.tolist()):
         by_owner.setdefault(o, []).append(k)
-    for rows in by_owner.values():
+    for o, rows in by_owner.items():
         here = {int(at[k]): int(place[k]) for k in rows}
         anchors = [k for k in rows if once[k]] or rows
         chain = [int(at[anchors[j]]) for j in rising([int(place[k]) for k in anchors])]
@@ -165,23 +217,21 @@ def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np
                     break
             while low - 1 in here and here[low - 1] - low + 1 == diagonal:
                 low -= 1
-            if sum(covered[x] for x in range(low, high + 1)) >= min_words:
-                doomed.update(range(low, high + 1))
+            doom(o, here, low, high)
         # what repeats a block once more, or out of order, goes as well: runs of left lines on one diagonal
         run: list[int] = []
         for x in [*(y for y in here if y not in doomed), None]:
             if run and (x is None or here[x] - x != here[run[-1]] - run[-1] or any(y not in covered or y in doomed for y in range(run[-1] + 1, x))):
-                if sum(covered[y] for y in range(run[0], run[-1] + 1)) >= min_words:
-                    doomed.update(range(run[0], run[-1] + 1))
+                doom(o, here, run[0], run[-1])
                 run = []
             if x is not None:
                 run.append(x)
-    out: list[int] = []
+    out: list[tuple[int, ...]] = []
     for x in sorted(doomed):
-        if out and out[-1] == x:
-            out[-1] = x + 1
+        if out and out[-1][1] == x:
+            out[-1] = (out[-1][0], x + 1, *out[-1][2:4], *doomed[x])
         else:
-            out += [x, x + 1]
+            out.append((x, x + 1, *doomed[x], *doomed[x]))
     return out
 
 
@@ -239,16 +289,41 @@ def repeats(lines: DataFrame) -> DataFrame:
 
 
 def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, ranges) of every document that loses lines."""
+    """(key, runs) of every document that loses lines."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(RUNS)
     def blocks(at: pd.Series, owner: pd.Series, place: pd.Series, once: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([common_blocks(*row, min_words) for row in zip(at, owner, place, once, words)])
 
     names = ["at", "owner", "place", "once", "words"]
     rows = repeats(lines).groupBy("key").agg(F.array_sort(F.collect_set(F.struct(*names))).alias("r"), F.sum("words").alias("n"))
     rows = rows.where(F.col("n") >= min_words)
-    return rows.select("key", blocks(*[F.col(f"r.{c}") for c in names]).alias("ranges")).where(F.size("ranges") > 0)
+    return rows.select("key", blocks(*[F.col(f"r.{c}") for c in names]).alias("runs")).where(F.size("runs") > 0)
+
+
+RUNS = "array<struct<a:int,b:int,first:long,first_line:int,last:long,last_line:int>>"
+
+
+def with_edges(gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, runs) of gone with what the earlier documents have beside each run; docs are keyed rows with text.
+
+    Only distinct places are looked up, so a passage that very many documents repeat costs one.
+    """
+    runs = gone.select("key", F.explode("runs").alias("r")).select("key", "r.*")
+    asks = runs.select(F.col("first").alias("owner"), F.col("first_line").alias("line"), F.lit(False).alias("after"))
+    asks = asks.unionByName(runs.select(F.col("last").alias("owner"), F.col("last_line").alias("line"), F.lit(True).alias("after"))).distinct()
+    asks = materialize(asks.groupBy("owner").agg(F.collect_list(F.struct("line", "after")).alias("asks")), "asks")
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series, asks: pd.Series) -> pd.Series:
+        return pd.Series([[beside(t, x["line"], x["after"], s) for x in a] for t, a, s in zip(texts, asks, starts_of(texts.tolist()))])
+
+    found = docs.select("key", "text").join(small(asks), docs["key"] == asks["owner"]).dropDuplicates(["owner"])
+    found = found.select("owner", F.explode(F.arrays_zip("asks", words("text", "asks").alias("words"))).alias("x"))
+    found = materialize(found.select("owner", "x.asks.line", "x.asks.after", "x.words"), "edges")
+    sides = [found.where(F.col("after") == after).select(F.col("owner").alias(o), F.col("line").alias(n), F.col("words").alias(w)) for after, o, n, w in ((False, "first", "first_line", "before"), (True, "last", "last_line", "behind"))]
+    runs = runs.join(small(sides[0]), ["first", "first_line"]).join(small(sides[1]), ["last", "last_line"])
+    return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b", "before", "behind"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -261,21 +336,26 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     names = docs.columns
     bound_batches(docs.sparkSession)
-    gone = materialize(deletions(materialize(line_table(docs.select("doc_id", "text")), "lines"), min_words), "deletions")
-    gone = gone.withColumnRenamed("key", "_key").dropDuplicates(["_key"])
-    numbers = gone.agg(F.sum(F.size("ranges") + 4)).first()[0] or 0
-    if numbers <= BROADCAST_NUMBERS:
+    plain = docs.select("doc_id", "text")
+    # read twice and then done with; what a lost executor held is made anew
+    found = line_table(plain).persist(StorageLevel.DISK_ONLY)
+    gone = materialize(deletions(found, min_words), "deletions")
+    found.unpersist()
+    gone = materialize(with_edges(gone, _keyed(plain)).withColumnRenamed("key", "_key"), "runs")
+    size = gone.agg(F.sum(F.aggregate("runs", F.lit(16), lambda n, r: n + 16 + F.length(r["before"]) + F.length(r["behind"])))).first()[0] or 0
+    if size <= BROADCAST_CHARS:
         gone = F.broadcast(gone)
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([without(t, r) for t, r in zip(texts, ranges)], dtype=object)
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        starts = starts_of(texts.tolist())
+        return pd.Series([without(t, [(x["a"], x["b"], x["before"], x["behind"]) for x in r], s) for t, r, s in zip(texts, runs, starts)], dtype=object)
 
     ident = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), ident.alias("_key"))
     # only documents that lose lines go through Python
     whole = wide.join(gone, "_key", "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
-    some = wide.join(gone, "_key").withColumn("_text", cut(F.col("_row.text").cast("string"), F.col("ranges")))
+    some = wide.join(gone, "_key").withColumn("_text", cut(F.col("_row.text").cast("string"), F.col("runs")))
     return whole.unionByName(some.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names]))
 
 
