@@ -13,7 +13,6 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -337,10 +336,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = docs.columns
     bound_batches(docs.sparkSession)
     plain = docs.select("doc_id", "text")
-    # read twice and then done with; what a lost executor held is made anew
-    found = line_table(plain).persist(StorageLevel.DISK_ONLY)
-    gone = materialize(deletions(found, min_words), "deletions")
-    found.unpersist()
+    gone = materialize(deletions(materialize(line_table(plain), "lines"), min_words), "deletions")
     gone = materialize(with_edges(gone, _keyed(plain)).withColumnRenamed("key", "_key"), "runs")
     size = gone.agg(F.sum(F.aggregate("runs", F.lit(16), lambda n, r: n + 16 + F.length(r["before"]) + F.length(r["behind"])))).first()[0] or 0
     if size <= BROADCAST_CHARS:

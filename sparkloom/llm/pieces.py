@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bound_batches, table
+from .base import bound_batches, give_back, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 20240, 0.1, 4
@@ -313,6 +313,8 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: f
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 cols = [part.column(c) for c in ("doc_id", "lang", "source")] + [lists, pa.array(np.diff(offsets)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "source", "ids", "n_tokens", "lossless"])
+        enc._forget()
+        give_back()
 
     return rows.mapInArrow(run, f"doc_id {dtype}, lang string, source string, ids array<int>, n_tokens long, lossless boolean")
 

@@ -23,7 +23,7 @@ EPOCHS = 40
 PER_CLASS = {0: 2000, 1: 3000}
 MAX_CHARS = 40_000
 #: Texts are encoded in pieces of at most so many bytes, cut at white space where there is some.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 SPACE, LOWER, UPPER, DIGIT, PUNCT, OTHER = range(6)
 _KIND = np.full(256, OTHER, np.uint8)
