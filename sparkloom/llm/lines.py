@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment: delete what a later document repeats, in order, from an earlier one.
 
 A line's words are hashed; long lines are wrapped at places that their own words choose, so a passage inside a line aligns
-as well as whole lines do. Every line that more than one document has points to its first document, so a document is
-paired with the earlier ones that its lines point to and never with all that share them. Each pair is aligned by patience
-diff: the longest chain of lines that are unique in both, in rising order, grown over the equal lines beside them.
+as well as whole lines do. Every line that more than one document has points to its first document, and a document is
+aligned by patience diff with the earlier ones that its lines point to: the longest chain of lines that are unique in both,
+in rising order, grown over the equal lines beside them. Where that leaves MIN_WORDS words or more in lines that all have been
+seen before, every least run of lines with so many words is looked up by one hash among all documents' runs, so a block goes
+whichever earlier document has it, also if its lines were first seen in others.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ BROADCAST_CHARS = 1 << 26
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(1024)], np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+#: So many hashes of runs are broadcast, and joined by shuffle beyond.
+BROADCAST_RUNS = 500_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -225,6 +230,74 @@ def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np
                 run = []
             if x is not None:
                 run.append(x)
+    return _merged(doomed)
+
+
+def least_runs(hashes: np.ndarray, words: np.ndarray, opens: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From, up to and hash of every least run of ``min_words`` words or more, of those that start at a line and that end at one.
+
+    ``opens`` holds the first line of each part; no run crosses from one to the next. Whatever block of at least so many
+    words two texts share, its lines are all in least runs within it, and these have equal hashes in both texts.
+    """
+    n = len(hashes)
+    sums = np.concatenate(([0], np.cumsum(words)))
+    edges = np.append(opens, n)
+    part = np.searchsorted(opens, np.arange(n), side="right") - 1
+    low = np.arange(n)
+    high = np.searchsorted(sums, sums[:-1] + min_words)
+    fits = high <= edges[part + 1]
+    stop = np.arange(1, n + 1)
+    start = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
+    ends = start >= edges[part]
+    low, high = np.concatenate((low[fits], start[ends])), np.concatenate((high[fits], stop[ends]))
+    low, high = np.divmod(np.unique(low * (n + 1) + high), n + 1)
+    power, inverse = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes) * power[:n], dtype=np.uint64)))
+    return low, high, _mix((total[high] - total[low]) * inverse[low]).view(np.int64)
+
+
+def asked_runs(at: np.ndarray, hashes: np.ndarray, words: np.ndarray, runs: list[tuple[int, ...]], min_words: int) -> list[tuple[int, int, int, list[int]]]:
+    """(from, up to, hash, words of each line) of the least runs of repeated lines that hold a line of a stretch of
+    ``min_words`` words or more, all repeated and none in ``runs``."""
+    gone = np.zeros(len(at), bool)
+    for a, b, *_ in runs:
+        gone |= (at >= a) & (at < b)
+    opens = np.diff(at, prepend=at[0] - 2) != 1
+    stretch = np.cumsum(opens | np.diff(gone, prepend=gone[0])) - 1
+    left = ~gone & (np.bincount(stretch, words)[stretch] >= min_words)
+    if not left.any():
+        return []
+    low, high, h = least_runs(hashes.astype(np.int64).view(np.uint64), words, np.flatnonzero(opens), min_words)
+    sums = np.concatenate(([0], np.cumsum(left)))
+    some = sums[high] > sums[low]
+    return [(int(at[a]), int(at[b - 1]) + 1, w, words[a:b].tolist()) for a, b, w in zip(low[some], high[some], h[some].tolist())]
+
+
+def joined_runs(runs: list[tuple[int, ...]], found: list[tuple], min_words: int) -> list[tuple[int, ...]]:
+    """``runs`` and the found ones (from, up to, earlier document, its line, words of each line), joined where they touch.
+
+    A stretch of found lines that aren't in ``runs`` goes if it has ``min_words`` words, whichever documents have its parts.
+    """
+    doomed: dict[int, tuple[int, int]] = {}
+    for a, b, first, first_line, last, last_line in runs:
+        for x in range(a, b):
+            doomed[x] = (first, first_line + x - a)
+        doomed[b - 1] = (last, last_line)
+        doomed[a] = (first, first_line)
+    more: dict[int, tuple[int, int]] = {}
+    sizes: dict[int, int] = {}
+    for a, b, owner, line, words in sorted(found):
+        for x in range(a, b):
+            if x not in doomed:
+                more.setdefault(x, (owner, line + x - a))
+                sizes[x] = words[x - a]
+    for a, b, *_ in _merged(more):
+        if sum(sizes[x] for x in range(a, b)) >= min_words:
+            doomed.update((x, more[x]) for x in range(a, b))
+    return _merged(doomed)
+
+
+def _merged(doomed: dict[int, tuple[int, int]]) -> list[tuple[int, ...]]:
     out: list[tuple[int, ...]] = []
     for x in sorted(doomed):
         if out and out[-1][1] == x:
@@ -260,7 +333,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(lines: DataFrame) -> DataFrame:
-    """(key, at, owner, place, once, words) of every line that an earlier document has, with the first that has it."""
+    """(key, ord, at, owner, place, once, words, h) of every line that an earlier document has, with the first that has it."""
     rows = lines.select("key", "ord", F.posexplode(F.arrays_zip("hashes", "facts")).alias("at", "l"))
     rows = rows.select(F.col("l.hashes").alias("h"), "ord", "key", "at", F.col("l.facts").alias("f"))
     # Which lines are hot only decides the path; a line takes part in full on either.
@@ -273,7 +346,7 @@ def repeats(lines: DataFrame) -> DataFrame:
     def told(df: DataFrame) -> DataFrame:
         df = df.where("o.key <> key and o.ord <> ord")
         once = (F.col("f").bitwiseAND(1) == 1) & (F.col("o.f").bitwiseAND(1) == 1)
-        return df.select("key", "at", F.col("o.key").alias("owner"), F.col("o.at").alias("place"), once.alias("once"), F.shiftright("f", 1).alias("words"))
+        return df.select("key", "ord", "at", F.col("o.key").alias("owner"), F.col("o.at").alias("place"), once.alias("once"), F.shiftright("f", 1).alias("words"), "h")
 
     def rest(df: DataFrame) -> DataFrame:
         w = Window.partitionBy("h").orderBy("ord", "key", "at")
@@ -290,14 +363,60 @@ def repeats(lines: DataFrame) -> DataFrame:
 def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, runs) of every document that loses lines."""
 
-    @F.pandas_udf(RUNS)
-    def blocks(at: pd.Series, owner: pd.Series, place: pd.Series, once: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([common_blocks(*row, min_words) for row in zip(at, owner, place, once, words)])
+    @F.pandas_udf(f"runs {RUNS}, asks array<struct<a:int,b:int,w:long,words:array<int>>>")
+    def blocks(at: pd.Series, owner: pd.Series, place: pd.Series, once: pd.Series, words: pd.Series, h: pd.Series) -> pd.DataFrame:
+        runs = [common_blocks(*row, min_words) for row in zip(at, owner, place, once, words)]
+        return pd.DataFrame({"runs": runs, "asks": [asked_runs(np.asarray(a), np.asarray(x), np.asarray(w), r, min_words) for a, x, w, r in zip(at, h, words, runs)]})
 
-    names = ["at", "owner", "place", "once", "words"]
-    rows = repeats(lines).groupBy("key").agg(F.array_sort(F.collect_set(F.struct(*names))).alias("r"), F.sum("words").alias("n"))
-    rows = rows.where(F.col("n") >= min_words)
-    return rows.select("key", blocks(*[F.col(f"r.{c}") for c in names]).alias("runs")).where(F.size("runs") > 0)
+    @F.pandas_udf(RUNS)
+    def joined(runs: pd.Series, found: pd.Series) -> pd.Series:
+        fields = ("a", "b", "first", "first_line", "last", "last_line")
+        plain = lambda rows, names: [] if rows is None else [tuple(list(r[c]) if c == "words" else r[c] for c in names) for r in rows]
+        return pd.Series([joined_runs(plain(r, fields), plain(f, ("a", "b", "owner", "line", "words")), min_words) for r, f in zip(runs, found)])
+
+    names = ["at", "owner", "place", "once", "words", "h"]
+    rows = repeats(lines).groupBy("key", "ord").agg(F.array_sort(F.collect_set(F.struct(*names))).alias("r"), F.sum("words").alias("n"))
+    rows = rows.where(F.col("n") >= min_words).select("key", "ord", blocks(*[F.col(f"r.{c}") for c in names]).alias("x"))
+    rows = materialize(rows.select("key", "ord", "x.*").where("size(runs) > 0 or size(asks) > 0"), "aligned")
+    asks = rows.select("key", "ord", F.explode("asks").alias("x")).select("key", "ord", "x.*")
+    found = answered(asks, lines, min_words)
+    if found is None:
+        return rows.select("key", "runs").where(F.size("runs") > 0)
+    found = found.groupBy("key").agg(F.collect_list(F.struct("a", "b", "owner", "line", "words")).alias("found"))
+    rows = rows.join(found, "key", "left").select("key", F.when(F.col("found").isNull(), F.col("runs")).otherwise(joined("runs", "found")).alias("runs"))
+    return rows.where(F.size("runs") > 0)
+
+
+def answered(asks: DataFrame, lines: DataFrame, min_words: int) -> DataFrame | None:
+    """(key, a, b, owner, line, words) of the asked runs (key, ord, a, b, w, words) that an earlier document has, with the first that has it.
+
+    Only documents' runs of an asked hash are kept: those in the broadcast hashes, or beyond BROADCAST_RUNS of these by a
+    join. None if nothing is asked.
+    """
+    wanted = materialize(asks.select("w").distinct(), "wanted-runs")
+    n = wanted.count()
+    if not n:
+        return None
+    few = n <= BROADCAST_RUNS
+    known = lines.sparkSession.sparkContext.broadcast(np.sort(np.array([r["w"] for r in wanted.collect()], np.int64)) if few else None)
+
+    @F.pandas_udf("array<struct<w:long,line:int>>")
+    def runs_of(hashes: pd.Series, facts: pd.Series) -> pd.Series:
+        out = []
+        for h, f in zip(hashes, facts):
+            low, _, w = least_runs(np.asarray(h, np.int64).view(np.uint64), np.asarray(f) >> 1, np.zeros(1, np.int64), min_words)
+            if known.value is not None:
+                hit = known.value[np.minimum(np.searchsorted(known.value, w), len(known.value) - 1)] == w
+                low, w = low[hit], w[hit]
+            out.append(list(zip(w.tolist(), low.tolist())))
+        return pd.Series(out)
+
+    have = lines.select("key", "ord", F.explode(runs_of("hashes", "facts")).alias("x")).select("ord", "key", F.col("x.line").alias("line"), F.col("x.w").alias("w"))
+    if not few:
+        have = have.join(wanted, "w", "left_semi")
+    first = materialize(have.groupBy("w").agg(F.min(F.struct("ord", "key", "line")).alias("o")), "first-runs")
+    rows = asks.join(small(first), "w").where("o.ord < ord")
+    return rows.select("key", "a", "b", F.col("o.key").alias("owner"), F.col("o.line").alias("line"), "words")
 
 
 RUNS = "array<struct<a:int,b:int,first:long,first_line:int,last:long,last_line:int>>"

@@ -222,6 +222,54 @@ def test_line_dedup_against_a_plain_version(spark):
         lines.HOT = hot
 
 
+def blocks_of_any_earlier(rows):
+    """Lines of each text that stand in a run of MIN_WORDS words which some earlier text has: compared with each of them."""
+    table, gone = [lines.lines_of(t) for _, t in rows], []
+    for d, (_, h, w, _) in enumerate(table):
+        own = set()
+        for _, g, _, _ in table[:d]:
+            for i in range(len(h)):
+                for j in np.flatnonzero(g == h[i]).tolist():
+                    k = 0
+                    while i + k < len(h) and j + k < len(g) and h[i + k] == g[j + k]:
+                        k += 1
+                    if w[i : i + k].sum() >= lines.MIN_WORDS:
+                        own |= set(range(i, i + k))
+        gone.append(own)
+    return gone
+
+
+@pytest.mark.parametrize("broadcast", [lines.BROADCAST_RUNS, 0])
+def test_blocks_go_whichever_earlier_document_has_them(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_RUNS", broadcast)
+    rng = random.Random(31)
+    parts = ["\n".join(sentence(rng, 6) for _ in range(3)) for _ in range(3)]  # a passage of 54 words in thirds of 18
+    own = lambda: "\n".join(sentence(rng, 7) for _ in range(3))
+    rows = [(i + 1, f"{own()}\n{p}\n{own()}") for i, p in enumerate(parts)]
+    rows += [(4, own() + "\n" + "\n".join(parts) + "\n" + own()), (5, own() + "\n" + "\n".join(parts) + "\n" + own())]
+    seen = [sentence(rng, 5) for _ in range(30)]  # lines first seen one by one, then in families of edited texts
+    rows += [(10 + i, f"{own()}\n{s}") for i, s in enumerate(seen)]
+    for i in range(12):
+        text = seen[: rng.randrange(10, 30)] if i % 2 else seen[rng.randrange(0, 10) :]
+        text = text[: rng.randrange(3, len(text))] + [sentence(rng, 6)] + text[rng.randrange(3, len(text)) :]
+        rows.append((100 + i, "\n".join(text)))
+    rows.append((200, rows[-1][1]))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    for (k, t), gone in zip(rows, blocks_of_any_earlier(rows)):
+        left, run = got[k].split("\n"), 0
+        for i, x in enumerate(t.split("\n")):  # of what an earlier text has, less than a block's words may stay in a stretch
+            run = run + len(x.split()) if x in left and all(y in gone for y in physical(t, i)) else 0
+            assert run < lines.MIN_WORDS
+    assert all(got[k] == t for k, t in rows if k < 5 or 10 <= k < 100) and not any(s in got[5] for p in parts for s in p.split("\n"))
+    assert got[200] == ""
+
+
+def physical(text, number):
+    """The wrapped lines of a text's line."""
+    starts, data = lines.lines_of(text)[0], text.encode()
+    return [i for i, s in enumerate(starts.tolist()) if data[:s].count(b"\n") == number]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab \n\t.", max_size=300), st.lists(st.integers(0, 40), max_size=6, unique=True))
 def test_cutting_lines_keeps_the_rest(text, cuts):
