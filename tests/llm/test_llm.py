@@ -375,6 +375,31 @@ def test_url_counts_are_plain_counts():
     assert slots[2][0][1] == slots[2][0][5]  # "ab" after the start, wherever its URL stands in the batch
 
 
+def test_url_scores_come_from_exact_counts(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BLOCK_CHARS", 4000)
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    rows = [(i, f"http://{name()}.{('com/', 'net/fr/', 'org/')[i % 3]}{name()}") for i in range(3000)] + [(9000, None)]
+    n = [collections.Counter(), collections.Counter()]  # more n-grams of a length than the tables once had slots
+    out = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    held = {r["u"] for r in spark.createDataFrame([(u or "",) for _, u in rows], "u string").where("pmod(xxhash64(u), 5) = 0").collect()}
+    padded = lambda u: b"\2" * urls.ORDERS + (u or "").encode() + b"\3"
+    for i, u in rows:
+        if out[i]["rule"] and u not in held:
+            b = padded(u)
+            n[out[i]["verdict"] == "allow"].update(b[at - k : at] for at in range(urls.ORDERS, len(b) + 1) for k in range(1, urls.ORDERS + 1) if at > urls.ORDERS or k < urls.ORDERS)
+    assert len({g for c in n for g in c if len(g) == 6}) > 1 << 15
+    for i, u in rows[:40] + rows[-1:]:
+        b, total = padded(u), 0.0
+        for at in range(urls.ORDERS, len(b)):
+            for c, sign in ((n[0], -1), (n[1], 1)):
+                p = (c[b[at : at + 1]] + urls.PRIOR / 256) / (sum(v for g, v in c.items() if len(g) == 1 and g != b"\2") + urls.PRIOR)
+                for k in range(2, urls.ORDERS + 1):
+                    p = (c[b[at - k + 1 : at + 1]] + urls.PRIOR * p) / (c[b[at - k + 1 : at]] + urls.PRIOR)
+                total += sign * np.log(p)
+        assert out[i]["score"] == pytest.approx(total / (len(b) - urls.ORDERS), abs=1e-9)
+
+
 # -- 7 --------------------------------------------------------------------------------------------------------------------
 
 
