@@ -1,45 +1,39 @@
 """SentencePiece encoding with seeded merge dropout, and lossless decoding.
 
 Merges are taken from an agenda by rank and then from left to right, as the model's own encoder does, but each candidate
-that comes up is skipped if a keyed hash of its merge and place falls below the dropout rate. Units between spaces and line
-ends can't merge with each other, so segmentations are kept by unit and variant of the key.
+that comes up is skipped if a keyed hash of its text, unit, merge and place falls below the dropout rate, so every
+occurrence of a word draws anew. Units between spaces and line ends can't merge with each other. What is kept of a unit is
+its agenda without dropout: an occurrence that skips none of those merges has that segmentation, and all others run
+their own agendas, many at once in numpy.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from functools import cache
-from itertools import chain, compress, cycle
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import bound_batches, give_back, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEED, RATE, VARIANTS = 20240, 0.1, 4
+SEED, RATE = 20240, 0.1
 SPACE = "▁"
 #: Stands for a SPACE character of the text itself, which is encoded as bytes; a text can't hold a lone surrogate.
 LITERAL = "\ud800"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}{LITERAL}\n]+|{SPACE}+|[{LITERAL}\n]")
 NEVER = 1 << 62
 MASK = (1 << 64) - 1
-CYCLE = 4096
 SHORT = 48  # symbols; longer units take a heap
-KEPT = 200_000  # units kept by a worker
-
-
-def mixed(*parts: int) -> int:
-    """A 64-bit hash of integers."""
-    h = 0x9E3779B97F4A7C15
-    for p in parts:
-        h = ((h ^ p) * 0xBF58476D1CE4E5B9) & MASK
-        h ^= h >> 29
-    return h
+KEPT = 1 << 18  # units kept by a worker; beyond, the half used least goes
+TAKEN = 1 << 20  # characters split at a time, and units segmented at a time
+_RANK, _AT, _OUT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
 
 
 def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -48,10 +42,50 @@ def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class Rows:
+    """Rows of various sizes, end to end in one growing array."""
+
+    def __init__(self, dtype):
+        self.flat, self.used = np.zeros(1 << 12, dtype), 0
+        self.sizes, self.begins, self.n = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.n + len(sizes) > len(self.sizes):
+            self.sizes, self.begins = (np.concatenate((x, np.zeros_like(x))) for x in (self.sizes, self.begins))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.begins[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[rows]
+        return self.flat[ragged(self.begins[rows], sizes)], sizes
+
+    def kept(self, rows: np.ndarray) -> Rows:
+        out = Rows(self.flat.dtype)
+        out.extend(*self.take(rows))
+        return out
+
+
+class Numbers(dict):
+    """Units by number, as they come up; ``new`` lists those that were numbered since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class PieceEncoder:
     """One model, seed and dropout rate. ``rate`` 0 gives the model's own segmentation."""
 
-    def __init__(self, model: str = MODEL, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS):
+    def __init__(self, model: str = MODEL, seed: int = SEED, rate: float = RATE, kept: int = KEPT):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -67,31 +101,66 @@ class PieceEncoder:
             self.bytes_of[i] = pieces[i].replace(SPACE, " ").encode("utf-8")
         for b, i in enumerate(self.byte):
             self.bytes_of[i] = bytes([b])
-        self.limit = int(rate * (1 << 32))
-        n = variants if rate else 1
-        self.keys = [mixed(seed, v) for v in range(n)]
-        # for each variant, the number of a unit's entry in sizes and flat, which hold the ids of all units end to end
-        self.kept: list[dict[str, int]] = [{} for _ in range(n)]
-        self._forget()
-        turns = [mixed(seed, 77, i) % n for i in range(CYCLE)]
-        self.pattern = [self.kept[v] for v in turns]
-        self.own = [[x == v for x in turns] for v in range(n)]
-        # every pair of symbols that makes up a piece: the pair as one number, the piece's rank, its id.
-        pairs = sorted((self.ids[p[:i]] << 32 | self.ids[p[i:]], r, self.ids[p]) for p, r in self.rank.items() for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids)
-        self.pairs = np.array([p for p, _, _ in pairs] or [-1], np.int64)
-        self.merged = np.array([r << 32 | i for _, r, i in pairs] or [NEVER], np.int64)
+        self.seed, self.limit, self.most = seed, int(rate * (1 << 32)), kept
+        # every pair of symbols that makes up a piece, in a table found by hash: the pair as one number; the piece's rank and id
+        pairs = {self.ids[p[:i]] << 32 | self.ids[p[i:]]: r << 32 | self.ids[p] for p, r in self.rank.items() for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids}
+        self.slots = max(16, (2 * len(pairs)).bit_length())
+        self.pairs, self.merged = np.full(1 << self.slots, -1, np.int64), np.full(1 << self.slots, NEVER, np.int64)
+        self.probes = self._fill(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
         # ids of characters by code point, -1 for those that aren't pieces
         self.char_ids = np.full(0x110000, -1, np.int32)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.char_ids[ord(p)] = i
+        self._forget()
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * np.uint64(_RANK) >> np.uint64(64 - self.slots)).astype(np.int64)
+
+    def _fill(self, pairs: np.ndarray, merged: np.ndarray) -> int:
+        slot, probes, left = self._slot(pairs), 0, np.arange(len(pairs))
+        while len(left):
+            probes += 1
+            free = left[self.pairs[slot[left]] == -1]
+            self.pairs[slot[free]], self.merged[slot[free]] = pairs[free], merged[free]  # of several the last stays
+            left = left[self.pairs[slot[left]] != pairs[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.slots) - 1)
+        return probes
+
+    def _candidates(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and id (rank << 32 | id) of what each pair of symbols merges to; NEVER where it doesn't."""
+        want = a.astype(np.int64) << 32 | b
+        want[(a < 0) | (b < 0)] = -2
+        slot = self._slot(want)
+        out = np.where(self.pairs[slot] == want, self.merged[slot], NEVER)
+        open_ = np.flatnonzero((self.pairs[slot] != want) & (self.pairs[slot] != -1) & (want >= 0))
+        for p in range(1, self.probes):
+            if not len(open_):
+                break
+            s = (slot[open_] + p) & ((1 << self.slots) - 1)
+            hit = self.pairs[s] == want[open_]
+            out[open_[hit]] = self.merged[s[hit]]
+            open_ = open_[~hit & (self.pairs[s] != -1)]
+        return out
 
     def _skips(self, key: int, rank: int, at: int) -> bool:
-        h = ((key ^ (rank * 0x9E3779B97F4A7C15) ^ (at * 0xD6E8FEB86659FD93)) * 0xBF58476D1CE4E5B9) & MASK
+        h = ((key ^ (rank * _RANK) ^ (at * _AT)) * _OUT) & MASK
         return (h ^ (h >> 31)) & 0xFFFFFFFF < self.limit
 
+    def _skip_many(self, keys: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = (keys ^ (ranks.astype(np.uint64) * np.uint64(_RANK)) ^ (at.astype(np.uint64) * np.uint64(_AT))) * np.uint64(_OUT)
+        return ((h ^ (h >> np.uint64(31))) & np.uint64(0xFFFFFFFF)).astype(np.int64) < self.limit
+
+    def unit_keys(self, text_keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The dropout keys of units: of the text's hash and the unit's place in it."""
+        h = (text_keys.astype(np.uint64) ^ (places.astype(np.uint64) * np.uint64(_AT))) * np.uint64(_RANK)
+        return h ^ (h >> np.uint64(29))
+
+    def text_key(self, text: str) -> int:
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
+
     def segment(self, unit: str, key: int) -> list[str]:
-        """The unit's pieces under one variant of the key."""
+        """The unit's pieces under one key."""
         if len(unit) > SHORT:
             return self._segment_long(unit, key)
         syms, at = list(unit), list(range(len(unit)))
@@ -144,43 +213,33 @@ class PieceEncoder:
             offer(i)
         return [s for s in syms if s is not None]
 
-    def _candidates(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank and id (rank << 32 | id) of what each pair of symbols merges to; NEVER where it doesn't."""
-        want = a.astype(np.int64) << 32 | b
-        i = np.searchsorted(self.pairs, want)
-        i[i == len(self.pairs)] = 0
-        return np.where((self.pairs[i] == want) & (b >= 0), self.merged[i], NEVER)
-
-    def segment_many(self, units: list[str], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many units of SHORT symbols at most, end to end, and how many each unit has.
+    def segment_many(self, numbers: np.ndarray, keys: np.ndarray | None, events: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many kept units of SHORT symbols at most, end to end, and how many each has; no ``keys``: without dropout.
 
-        All agendas advance together, one candidate of each unit at a time, in numpy.
+        All agendas advance together, one candidate of each unit at a time. ``events`` is given (unit's index, rank, place)
+        of the candidates that come up.
         """
-        if not units:
+        if not len(numbers):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        sizes = np.array([len(u) for u in units])
-        codes = self.char_ids[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        firsts = np.cumsum(sizes) - sizes
-        keys = np.array(self.keys, np.uint64)[np.array(variants)]
+        sizes, begins = self.codes.sizes[numbers], self.codes.begins[numbers]
         order = np.argsort(sizes, kind="stable")
-        found, counts = [], np.zeros(len(units), np.int64)
+        found, counts = [], np.zeros(len(numbers), np.int64)
         for a in range(0, len(order), 4096):
             rows = order[a : a + 4096]
-            width = int(sizes[rows].max()) + 1
-            columns = np.arange(width)
+            columns = np.arange(int(sizes[rows].max()) + 1)
             # -1: a symbol that isn't a piece, -2: none; the last column is always none
             there = columns < sizes[rows][:, None]
-            syms = np.where(there, codes[np.minimum(firsts[rows][:, None] + columns, len(codes) - 1)], -2)
-            syms, at = self._merge_all(syms, keys[rows])
-            ids, counts[rows] = self._flat(syms, at, [units[i] for i in rows] if (syms == -1).any() else None)
+            syms = np.where(there, self.codes.flat[np.minimum(begins[rows][:, None] + columns, self.codes.used - 1)], -2)
+            syms, at = self._merge_all(syms, None if keys is None else keys[rows], None if events is None else (rows, events))
+            ids, counts[rows] = self._flat(syms, at, numbers[rows] if (syms == -1).any() else None)
             found.append(ids)
         # from the order of length back to that of the units
         flat = np.concatenate(found)
-        begins = np.empty(len(units), np.int64)
+        begins = np.empty(len(numbers), np.int64)
         begins[order] = np.cumsum(counts[order]) - counts[order]
         return flat[ragged(begins, counts)], counts
 
-    def _merge_all(self, syms: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merge_all(self, syms: np.ndarray, keys: np.ndarray | None, events: tuple | None) -> tuple[np.ndarray, np.ndarray]:
         n, width = syms.shape
         columns = np.arange(width)
         at = np.tile(columns.astype(np.int8), (n, 1))
@@ -195,114 +254,194 @@ class PieceEncoder:
             over = best == NEVER
             if 3 * over.sum() >= len(left):  # finished rows are put aside once they are many
                 done_syms[left[over]], done_at[left[over]] = syms[over], at[over]
-                left, syms, at, cand, keys = (x[~over] for x in (left, syms, at, cand, keys))
+                left, syms, at, cand = (x[~over] for x in (left, syms, at, cand))
+                keys = None if keys is None else keys[~over]
                 continue
+            if events is not None:
+                events[1].append((events[0][left[~over]], (best >> 32)[~over], at[row, i][~over]))
             idle = over
-            if self.limit:
-                h = (keys ^ ((best >> 32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (at[row, i].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xBF58476D1CE4E5B9)
-                skip = ((h ^ (h >> np.uint64(31))) & np.uint64(0xFFFFFFFF)).astype(np.int64) < self.limit
+            if keys is not None:
+                skip = self._skip_many(keys, best >> 32, at[row, i])
                 cand[row[skip], i[skip]] = NEVER
                 idle = over | skip
             # the symbol to the right of a merge goes and all behind it move up; rows that are idle stay
             m, j = row[~idle], i[~idle]
             syms[m, j] = best[m] & 0xFFFFFFFF
-            cut = np.where(idle, width, i)[:, None]
-            source = np.minimum(columns + (columns > cut), width - 1)
-            syms, at = np.take_along_axis(syms, source, 1), np.take_along_axis(at, source, 1)
-            cand = np.take_along_axis(cand, np.minimum(columns + (columns >= cut), width - 1), 1)
+            behind = columns[:-1] >= np.where(idle, width, i)[:, None]
+            np.copyto(cand[:, :-1], cand[:, 1:].copy(), where=behind)
+            behind[:, :-1] = behind[:, :-1] & (columns[:-2] != np.where(idle, width, i)[:, None])
+            np.copyto(syms[:, :-1], syms[:, 1:].copy(), where=behind)
+            np.copyto(at[:, :-1], at[:, 1:].copy(), where=behind)
             cand[m, j] = self._candidates(syms[m, j], syms[m, np.minimum(j + 1, width - 1)])
             some = j > 0
             m, j = m[some], j[some] - 1
             cand[m, j] = self._candidates(syms[m, j], syms[m, j + 1])
         return done_syms, done_at
 
-    def _flat(self, syms: np.ndarray, at: np.ndarray, units: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
-        if units is None:
+    def _flat(self, syms: np.ndarray, at: np.ndarray, numbers: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if numbers is None:
             there = syms >= 0
             return syms[there].astype(np.int32), there.sum(1)
         rows = []
-        for u, ids, places in zip(units, syms.tolist(), at.tolist()):
-            rows.append([y for x, p in zip(ids, places) if x != -2 for y in ([x] if x >= 0 else self._bytes(u[p]))])
+        for u, ids, places in zip(numbers.tolist(), syms.tolist(), at.tolist()):
+            rows.append([y for x, p in zip(ids, places) if x != -2 for y in ([x] if x >= 0 else self._bytes(self.names[u][p]))])
         return np.array(list(chain.from_iterable(rows)), np.int32), np.array([len(r) for r in rows])
 
     def _bytes(self, symbol: str) -> list[int]:
         return [self.byte[b] for b in (SPACE if symbol == LITERAL else symbol).encode("utf-8", "surrogatepass")]
 
-    def _ids_of(self, unit: str, key: int) -> tuple[int, ...]:
+    def _ids_of(self, unit: str, key: int) -> list[int]:
         out: list[int] = []
         for s in self.segment(unit, key):
             x = self.ids.get(s)
             out += self._bytes(s) if x is None else [x]
-        return tuple(out)
+        return out
+
+    def number(self, units: list[str]) -> np.ndarray:
+        """The units' numbers; new ones are kept with their agendas without dropout."""
+        out = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
+        new = self.numbers.new
+        if new:
+            first, self.numbers.new = len(self.names), []
+            self.names += new
+            short = [u if len(u) <= SHORT else "" for u in new]
+            points = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.codes.extend(self.char_ids[points], np.array([len(u) for u in short], np.int64))
+            events: list = []
+            self.plain.extend(*self.segment_many(np.arange(first, first + len(new)), None, events if self.limit else None))
+            which, ranks, at = (np.concatenate([e[k] for e in events]) if events else np.zeros(0, np.int64) for k in range(3))
+            order = np.argsort(which, kind="stable")
+            self.agendas.extend((ranks << 8 | at)[order], np.bincount(which, minlength=len(new)))
+        return out
+
+    def encode_units(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units under their keys, end to end, and how many each unit has."""
+        numbers = self.number(units)
+        ids, sizes = self.plain.take(numbers)
+        drops = np.zeros(len(units), bool)
+        if self.limit:
+            agendas, n = self.agendas.take(numbers)
+            skip = self._skip_many(np.repeat(keys, n), agendas >> 8, agendas & 0xFF)
+            some = n > 0
+            drops[some] = np.logical_or.reduceat(skip, (np.cumsum(n) - n)[some]) if some.any() else False
+        own, own_sizes = self.segment_many(numbers[drops], keys[drops])
+        long = [i for i, u in enumerate(units) if len(u) > SHORT] if self.long_seen(numbers) else []
+        others = [self._ids_of(units[i], int(keys[i])) for i in long]
+        if drops.any() or long:
+            # own segmentations behind the plain ones, then all gathered in order
+            begins, n = np.cumsum(sizes) - sizes, len(ids)
+            begins[drops], sizes[drops] = n + np.cumsum(own_sizes) - own_sizes, own_sizes
+            ids = np.concatenate((ids, own, np.array(list(chain.from_iterable(others)), np.int32)))
+            n += len(own)
+            for i, x in zip(long, others):
+                begins[i], sizes[i] = n, len(x)
+                n += len(x)
+            ids = ids[ragged(begins, sizes)]
+        self._age(numbers)
+        return ids, sizes
+
+    def long_seen(self, numbers: np.ndarray) -> bool:
+        return bool((self.codes.sizes[numbers] == 0).any())
+
+    def _age(self, numbers: np.ndarray) -> None:
+        n = len(self.names)
+        if n > len(self.hits):
+            self.hits = np.concatenate((self.hits, np.zeros(max(n, len(self.hits)), np.int64)))
+        self.hits[:n] += np.bincount(numbers, minlength=n)
+        if n > self.most or any(len(u) > SHORT for u in self.names[self.aged :]):
+            # the units used most stay, long ones never do
+            weight = np.where(self.codes.sizes[:n] > 0, self.hits[:n], -1)
+            stay = np.sort(np.argsort(-weight, kind="stable")[: self.most // 2 if n > self.most else n])
+            stay = stay[weight[stay] >= 0]
+            self.names = [self.names[i] for i in stay.tolist()]
+            self.codes, self.plain, self.agendas = (x.kept(stay) for x in (self.codes, self.plain, self.agendas))
+            self.hits = self.hits[stay] // 2
+            self.numbers = Numbers()
+            self.numbers.update(zip(self.names, range(len(self.names))))
+        self.aged = len(self.names)
+
+    def _forget(self) -> None:
+        self.numbers, self.names, self.aged = Numbers(), [], 0
+        self.hits = np.zeros(0, np.int64)
+        self.codes, self.plain, self.agendas = Rows(np.int32), Rows(np.int32), Rows(np.int64)
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_batch([text])[0]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts; none for null or empty. Equal texts have equal ids under one seed."""
-        if len(self.sizes) > KEPT:
-            self._forget()
-        split = []
-        missing: list[set[str]] = [set() for _ in self.kept]
-        for text in texts:
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        units: list[str] = []
+        jobs: list[tuple[int, int, int, int]] = []  # text, its key, the first unit's place in it, units
+
+        def flush() -> None:
+            if not units:
+                return
+            counts = np.array([j[3] for j in jobs])
+            places = ragged(np.array([j[2] for j in jobs]), counts)
+            ids, sizes = self.encode_units(units, self.unit_keys(np.repeat(np.array([j[1] for j in jobs], np.uint64), counts), places))
+            ends = np.cumsum(sizes)[np.cumsum(counts) - 1]
+            for (i, *_), x in zip(jobs, np.split(ids, ends[:-1])):
+                out[i].append(x)
+            units.clear()
+            jobs.clear()
+
+        for i, text in enumerate(texts):
             if not text:
-                split.append(([], 0))
                 continue
-            if SPACE in text:
-                text = text.replace(SPACE, LITERAL)
-            start = zlib.crc32(text[:256].encode("utf-8", "surrogatepass")) % CYCLE
-            units = UNIT.findall(SPACE + text.replace(" ", SPACE))
-            split.append((units, start))
-            for want, kept, own in zip(missing, self.kept, self.own):
-                want.update(set(compress(units, chain(own[start:], cycle(own)))).difference(kept))
-        short = [(u, v) for v, m in enumerate(missing) for u in m if len(u) <= SHORT]
-        long = [(u, v) for v, m in enumerate(missing) for u in m if len(u) > SHORT]
-        ids, sizes = self.segment_many([u for u, _ in short], [v for _, v in short])
-        others = [self._ids_of(u, self.keys[v]) for u, v in long]
-        n = len(self.sizes)
-        for i, (u, v) in enumerate(short + long):
-            self.kept[v][u] = n + i
-        self.sizes = np.concatenate((self.sizes, sizes, np.array([len(x) for x in others], np.int64)))
-        self.flat = np.concatenate((self.flat, ids, np.array(list(chain.from_iterable(others)), np.int32)))
-        begins = np.cumsum(self.sizes) - self.sizes
-        out = []
-        for units, start in split:
-            which = map(dict.__getitem__, chain(self.pattern[start:], cycle(self.pattern)), units)
-            which = np.fromiter(which, np.int64, len(units))
-            out.append(self.flat[ragged(begins[which], self.sizes[which])])
-        if long:
-            self._forget()
-        return out
-
-    def _forget(self) -> None:
-        for k in self.kept:
-            k.clear()
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+            key, place = self.text_key(text), 0
+            for part in parts_of(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)):
+                found = UNIT.findall(part)
+                jobs.append((i, key, place, len(found)))
+                place += len(found)
+                units += found
+                if len(units) > TAKEN >> 2:
+                    flush()
+        flush()
+        return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 
     def decode(self, ids) -> str:
         """The text that the ids came from."""
-        data = b"".join([self.bytes_of[i] for i in ids])
+        data = b"".join(map(self.bytes_of.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "surrogatepass")
 
 
+def parts_of(text: str):
+    """The text in parts of about TAKEN characters, cut where a unit begins with SPACE."""
+    a = 0
+    while len(text) - a > TAKEN:
+        cut = text.rfind(SPACE, a + 1, a + TAKEN)
+        while cut > a and text[cut - 1] == SPACE:
+            cut -= 1
+        if cut <= a:  # no unit begins with SPACE there
+            cut = a + TAKEN
+            while cut < len(text) and not (text[cut] == SPACE and text[cut - 1] != SPACE):
+                cut += 1
+        yield text[a:cut]
+        a = cut
+    yield text[a:]
+
+
 @cache
-def encoder(model: str, seed: int, rate: float, variants: int) -> PieceEncoder:
-    return PieceEncoder(model, seed, rate, variants)
+def encoder(model: str, seed: int, rate: float) -> PieceEncoder:
+    return PieceEncoder(model, seed, rate)
 
 
-def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and lossless of every row of docs(doc_id, text, lang, source).
 
-    ids segment the whole text with merge dropout under the seed; ``lossless`` says that decoding them gave the text
-    again. Null and empty texts have no ids and n_tokens 0. Null ids, repeated rows and further columns are allowed; the
-    latter are ignored. An empty table gives an empty result. ``model`` is a path that every executor can read.
+    ids segment the whole text with merge dropout under the seed; each occurrence of a unit draws by the whole text's hash
+    and the unit's place, so equal texts have equal ids under one seed and another seed, say one for each epoch, gives other
+    segmentations. ``lossless`` says that decoding them gave the text again. Null and empty texts have no ids and n_tokens 0.
+    Null ids, repeated rows and further columns are allowed; the latter are ignored. An empty table gives an empty result.
+    ``model`` is a path that every executor can read.
     """
-    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     dtype = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
-        enc = encoder(model, seed, rate, variants)
+        enc = encoder(model, seed, rate)
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
@@ -320,11 +459,11 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = SEED, rate: f
 
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and text of every row of encoded(doc_id, ids). Null ids decode to an empty text."""
+    """doc_id and text of every row of encoded(doc_id, ids). Null ids decode to an empty text; an empty table gives an empty result."""
     dtype = dict(encoded.dtypes)["doc_id"]
 
     def run(batches):
-        enc = encoder(model, SEED, 0.0, 1)
+        enc = encoder(model, SEED, 0.0)
         for batch in batches:
             texts = [enc.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -321,20 +321,54 @@ def test_pieces_match_the_model_without_dropout():
 @given(st.text(max_size=120), st.sampled_from([0.0, 0.1, 0.5, 1.0]))
 def test_pieces_are_lossless(text, rate):
     text = text.encode("utf-8", "ignore").decode()
-    enc = pieces.encoder(pieces.MODEL, 5, rate, 4)
+    enc = pieces.encoder(pieces.MODEL, 5, rate)
     assert enc.decode(enc.encode(text).tolist()) == text
 
 
+def plain_pieces(enc, text):
+    """Unit by unit, with the agenda in plain Python and the key of each unit's place."""
+    units = pieces.UNIT.findall(pieces.SPACE + text.replace(pieces.SPACE, pieces.LITERAL).replace(" ", pieces.SPACE)) if text else []
+    keys = enc.unit_keys(np.full(len(units), enc.text_key(text or ""), np.uint64), np.arange(len(units)))
+    return [x for u, k in zip(units, keys.tolist()) for x in enc._ids_of(u, k)]
+
+
 def test_dropout_varies_by_seed_and_agendas_agree():
-    a, b = pieces.encoder(pieces.MODEL, 1, 0.3, 4), pieces.encoder(pieces.MODEL, 2, 0.3, 4)
+    a, b = pieces.encoder(pieces.MODEL, 1, 0.3), pieces.encoder(pieces.MODEL, 2, 0.3)
     text = "international organisation of neighbouring representatives " * 20
     assert a.encode(text).tolist() == a.encode(text).tolist() != b.encode(text).tolist()
-    units = [u for u in pieces.UNIT.findall(pieces.SPACE + text.replace(" ", pieces.SPACE))][:40] + ["▁a①b", "▁"]
-    for u in units:
-        assert all(a.segment(u, k) == a._segment_long(u, k) for k in a.keys)
-    ids, n = a.segment_many(units, [i % 4 for i in range(len(units))])
-    at = np.cumsum(n) - n
-    assert [tuple(ids[x : x + y].tolist()) for x, y in zip(at, n)] == [a._ids_of(u, a.keys[i % 4]) for i, u in enumerate(units)]
+    for i, u in enumerate([*pieces.UNIT.findall(pieces.SPACE + text.replace(" ", pieces.SPACE))[:40], "▁a①b", "▁"]):
+        assert a.segment(u, i * 977) == a._segment_long(u, i * 977)
+
+
+def test_batches_equal_plain_agendas():
+    rng = random.Random(8)
+    texts = [sentence(rng, rng.randrange(1, 200)) for _ in range(40)] + ["", None, "y" * 70 + " representatives ①②▁ \n é" * 9, sentence(rng, 50)]
+    enc = pieces.PieceEncoder(rate=0.2)
+    want = [plain_pieces(enc, t) for t in texts]
+    for _ in range(2):  # from an empty and from a filled cache
+        assert [x.tolist() for x in enc.encode_batch(texts)] == want
+    small = pieces.PieceEncoder(rate=0.2, kept=50)  # one that forgets all the time
+    assert [small.encode(t).tolist() for t in texts] == want and len(small.names) <= 50
+
+
+def test_texts_are_split_where_units_begin(monkeypatch):
+    text = sentence(random.Random(9), 300) + "  x" * 50 + " " + "z" * 400 + " end"
+    want = pieces.PieceEncoder(rate=0.1).encode(text).tolist()
+    monkeypatch.setattr(pieces, "TAKEN", 64)
+    assert pieces.PieceEncoder(rate=0.1).encode(text).tolist() == want
+    marked = pieces.SPACE + text.replace(" ", pieces.SPACE)
+    assert [u for p in pieces.parts_of(marked) for u in pieces.UNIT.findall(p)] == pieces.UNIT.findall(marked)
+
+
+def test_segmentations_of_one_word_grow_with_the_corpus():
+    enc = pieces.PieceEncoder()
+    texts = [f"internationally {i}" for i in range(4000)]
+    first = [tuple(x[: -len(enc.encode(str(i)))].tolist()) for i, x in enumerate(enc.encode_batch(texts))]
+    few, many = len(set(first[:100])), len(set(first))
+    assert 4 < few < many
+    # a piece of one merge is split in a tenth of its occurrences
+    pair = enc.encode_batch([f"of {i}" for i in range(4000)])
+    assert len(enc.segment("▁of", 1)) == 1 and 0.05 < np.mean([x[0] != enc.ids["▁of"] for x in pair]) < 0.35
 
 
 def test_decode_pieces(spark):
