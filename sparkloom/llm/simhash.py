@@ -1,12 +1,14 @@
 """SimHash fingerprints and a Gray-order hierarchical index that links those within a few bits.
 
-The distinct fingerprints are dealt out by masks of which any two linked ones share at least one. Inside a mask's
-group, fingerprints are sorted by Gray rank; runs of neighbours become leaves, runs of leaves become upper nodes, and
-each node holds the bits that all below it share and no node above it has. A search adds up the differences on the way
-down and leaves a whole node out as soon as they exceed the limit.
-
-A mask group of more than ``group_limit`` fingerprints is dealt out again by finer masks, whose groups cannot exceed
-65,536 distinct values, so no key can fill a task however many copies the corpus has.
+The 64 bits are three blocks, and two fingerprints within two bits of each other agree in one block at least. So the
+distinct fingerprints are taken three times, each time turned so that another block stands on top, and dealt by ranges of
+that block's Gray rank: the partitions are stretches of one Gray order, and linked fingerprints meet in one of them. Each
+partition sorts its fingerprints by Gray rank; runs of neighbours become leaves, runs of leaves upper nodes, and each node
+holds the bits that all below it share and no node above it has. A search adds up the differences on the way down and
+leaves a whole node out as soon as they exceed the limit.
+
+A block's value with very many distinct fingerprints is dealt out again by finer masks, whose groups cannot exceed
+2 ** 22 distinct values, so no key can fill a task however many copies the corpus has.
 """
 
 from __future__ import annotations
@@ -16,17 +18,19 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import bound_batches, components, materialize, shuffle_partitions, small, table
 
 SEED = 42
-BLOCK = 16
 FULL = (1 << 64) - 1
-#: At most two differing bits touch at most two of four blocks, so two blocks agree; of three sub-blocks, one agrees.
-COARSE = [sum(((1 << BLOCK) - 1) << (BLOCK * b) for b in pair) for pair in combinations(range(4), 2)]
-LEAF = 16
+#: First and last bit, exclusive, of each block.
+BLOCKS = ((0, 21), (21, 42), (42, 64))
+LEAF = 4
+#: Fingerprints that a partition should hold.
+PART = 1 << 17
+#: A block's value is dealt out again beyond so many fingerprints, or beyond four times the share of a value if that is more.
 GROUP_LIMIT = 4096
 
 
@@ -80,11 +84,12 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """The hierarchy over one group's fingerprints (uint64, any order, no repeats)."""
+    """The hierarchy over a set of fingerprints (uint64, any order, no repeats). ``looked`` counts the codes that searches compared."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves' parents up: own mask, own pattern
+        self.looked = 0
         everything = np.uint64(FULL)
         low, high = self.codes, self.codes  # AND and OR of all codes below
         shared = []
@@ -104,115 +109,122 @@ class GrayIndex:
         q = np.arange(len(queries))
         node = np.zeros(len(queries), np.int64)
         mask, pattern = self.levels[-1]
-        far = popcount((queries ^ pattern[0]) & mask[0]).astype(np.int64)
+        far = popcount((queries ^ pattern[0]) & mask[0])
         for level in range(len(self.levels) - 1, -1, -1):
             live = far <= most
             q, node, far = q[live], node[live], far[live]
             masks, patterns = self.levels[level - 1] if level else (self.rest, self.codes & self.rest)
             child = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
-            there = child < len(masks)
-            q, far, node = np.repeat(q, LEAF)[there], np.repeat(far, LEAF)[there], child[there]
+            q, far, node = np.repeat(q, LEAF), np.repeat(far, LEAF), child
+            if len(child) and child.max() >= len(masks):
+                there = child < len(masks)
+                q, far, node = q[there], far[there], child[there]
             far = far + popcount((queries[q] ^ patterns[node]) & masks[node])
+        self.looked += len(q)
         live = far <= most
         return q[live], node[live]
 
 
-def forest(codes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Enough links (indices into the Gray order) to connect all codes that links within ``most`` bits connect."""
-    index = GrayIndex(codes)
-    parent = np.arange(len(codes))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
+def forest(index: GrayIndex, most: int) -> np.ndarray:
+    """Enough links (rows of two codes) to connect all codes of the index that links within ``most`` bits connect."""
+    codes = index.codes
+    root = np.arange(len(codes))
+    out = [np.zeros((0, 2), np.uint64)]
     for start in range(0, len(codes), 512):
-        q, c = index.search(index.codes[start : start + 512], most)
+        q, c = index.search(codes[start : start + 512], most)
         q = q + start
-        ahead = q < c
-        for x, y in zip(q[ahead].tolist(), c[ahead].tolist()):
-            rx, ry = find(x), find(y)
-            if rx != ry:
-                parent[max(rx, ry)] = min(rx, ry)
-                out.append((int(index.codes[x]), int(index.codes[y])))
-    return out
+        q, c = q[q < c], c[q < c]
+        while len(q):
+            x, y = root[q], root[c]
+            apart = x != y
+            q, c, x, y = q[apart], c[apart], x[apart], y[apart]
+            if not len(q):
+                break
+            # each root that has a smaller one beside it joins the smallest
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
+            root[high[first]] = low[first]
+            out.append(np.stack((codes[q[first]], codes[c[first]]), axis=1))
+            while True:
+                up = root[root]
+                if np.array_equal(up, root):
+                    break
+                root = up
+    return np.concatenate(out)
+
+
+def turned(code: np.ndarray, block: int, back: bool = False) -> np.ndarray:
+    """The codes turned so that the block's bits are the highest, or turned back."""
+    k = 64 - BLOCKS[block][1]
+    k = (64 - k) % 64 if back else k
+    return code if not k else code << np.uint64(k) | code >> np.uint64(64 - k)
 
 
 def _links(most: int):
-    """mapInPandas function: rows sorted by (mask, key) to links of each group."""
+    """mapInPandas function: a partition's (block, code) to the links that connect its codes."""
 
     def run(batches):
-        held = None
-        for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            m, k = pdf["mask"].to_numpy(), pdf["key"].to_numpy()
-            cut = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1])) + 1
-            last = cut[-1] if len(cut) else 0
-            held = pdf.iloc[last:]
-            if last:
-                yield _group_links(pdf["fp"].to_numpy()[:last].view(np.uint64), np.concatenate(([0], cut)), most)
-        if held is not None:
-            yield _group_links(held["fp"].to_numpy().view(np.uint64), np.array([0, len(held)]), most)
+        kept = [(b["block"].to_numpy(np.int8), b["code"].to_numpy(np.int64)) for b in batches]
+        if not kept:
+            return
+        blocks, codes = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
+        for block in np.unique(blocks):
+            found = forest(GrayIndex(np.unique(codes[blocks == block]).view(np.uint64)), most)
+            found = turned(found, int(block), back=True).view(np.int64)
+            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
 
-def _group_links(codes: np.ndarray, bounds: np.ndarray, most: int) -> pd.DataFrame:
-    sizes = np.diff(bounds)
-    # groups of one leaf, nearly all of them, are compared all at once
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    single = (sizes <= LEAF)[group]
-    pairs = []
-    for s in range(1, min(LEAF, int(sizes.max(initial=0)))):
-        near = single[s:] & (group[s:] == group[:-s]) & (popcount(codes[s:] ^ codes[:-s]) <= most)
-        pairs.append(np.stack((codes[:-s][near], codes[s:][near]), axis=1))
-    found: list[tuple[int, int]] = []
-    for g in np.flatnonzero(sizes > LEAF):
-        found += forest(codes[bounds[g] : bounds[g + 1]], most)
-    flat = np.concatenate([*pairs, np.array(found, dtype=np.uint64).reshape(-1, 2)]).view(np.int64)
-    return pd.DataFrame({"a": flat[:, 0], "b": flat[:, 1]})
+def _turned(code: Column, block: int) -> Column:
+    k = 64 - BLOCKS[block][1]
+    return F.shiftleft(code, k).bitwiseOR(F.shiftrightunsigned(code, 64 - k)) if k else code
 
 
-def _finer(mask: int) -> list[int]:
-    """Masks that hold one more half of the open bits of ``mask`` each: of four open parts, two agree."""
-    bits = [i for i in range(64) if not mask >> i & 1]
-    quarter = len(bits) // 4
-    parts = [sum(1 << i for i in bits[p * quarter : (p + 1) * quarter]) for p in range(4)]
-    return [mask | x | y for x, y in combinations(parts, 2)]
+def _top_rank(code: Column, block: int) -> Column:
+    """The Gray rank of the block on top of a turned code."""
+    low, high = BLOCKS[block]
+    r = F.shiftrightunsigned(code, 64 - (high - low))
+    for s in (1, 2, 4, 8, 16):
+        r = r.bitwiseXOR(F.shiftright(r, s))
+    return r
 
 
-def _dealt(codes: DataFrame, masks: list[int]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])
-    return codes.select("fp", F.explode(pairs).alias("p")).select("p.mask", "p.key", "fp")
+def _finer(block: int) -> list[int]:
+    """Masks of turned codes: the block on top and two of four parts of the rest, of which two agree."""
+    low, high = BLOCKS[block]
+    n = 64 - (high - low)
+    cuts = [n * i // 4 for i in range(5)]
+    parts = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(4)]
+    return [(FULL ^ ((1 << n) - 1)) | x | y for x, y in combinations(parts, 2)]
 
 
 def fingerprint_links(codes: DataFrame, most: int = 2, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``codes(fp)`` exactly as all links within ``most`` (0 to 2) bits do."""
-    if not 0 <= most <= 2:
-        raise ValueError("the masks are made for 0 to 2 differing bits")
-    spark = codes.sparkSession
-    n = shuffle_partitions(spark)
-    rows = _dealt(codes, COARSE)
-    hot = materialize(rows.groupBy("mask", "key").count().where(F.col("count") > group_limit).select("mask", "key"), "hot")
+    if not 0 <= most < len(BLOCKS):
+        raise ValueError("three blocks are made for 0 to 2 differing bits")
+    every = range(len(BLOCKS))
+    turns = F.array(*[F.struct(F.lit(b).alias("block"), _turned(F.col("fp"), b).alias("code")) for b in every])
+    rows = codes.select(F.explode(turns).alias("t")).select("t.block", "t.code")
+    rank = F.when(F.col("block") == 0, _top_rank(F.col("code"), 0)).when(F.col("block") == 1, _top_rank(F.col("code"), 1)).otherwise(_top_rank(F.col("code"), 2))
+    rows = rows.select("block", rank.alias("key"), "code")
+    groups = rows.groupBy("block", "key").count()
+    n = codes.count()
+    hot = materialize(groups.where(F.col("count") > max(group_limit, 4 * n >> 21)).select("block", "key"), "hot")
+    parts = max(shuffle_partitions(codes.sparkSession), -(-len(BLOCKS) * n // PART))
 
     def linked(dealt: DataFrame) -> DataFrame:
-        return dealt.repartition(n, "mask", "key").sortWithinPartitions("mask", "key").mapInPandas(_links(most), "a long, b long")
+        return dealt.repartitionByRange(parts, "block", "key").select("block", "code").mapInPandas(_links(most), "a long, b long")
 
     if hot.isEmpty():
         return linked(rows)
-    kept = rows.join(hot, ["mask", "key"], "left_anti")
-    finer = [f for m in COARSE for f in _finer(m)]
-    # each hot row goes on to the six finer masks of its own mask
-    step = F.sequence(F.col("mask") * 6, F.col("mask") * 6 + 5)
-    masks = F.array(*[F.lit(signed(m)) for m in finer])
-    again = rows.join(hot, ["mask", "key"], "left_semi").select(F.explode(step).alias("mask"), "fp")
-    again = again.select("mask", F.col("fp").bitwiseAND(F.element_at(masks, F.col("mask") + 1)).alias("key"), "fp")
+    marked = small(hot)
+    kept = rows.join(marked, ["block", "key"], "left_anti")
+    # each hot row goes on to the six finer masks of its own block
+    masks = F.array(*[F.array(*[F.lit(signed(m)) for m in _finer(b)]) for b in every])
+    again = rows.join(marked, ["block", "key"], "left_semi").select("block", "code", F.posexplode(masks[F.col("block")]).alias("i", "mask"))
+    again = again.select("block", F.struct("i", F.col("code").bitwiseAND(F.col("mask")).alias("bits")).alias("key"), "code")
     return linked(kept).unionByName(linked(again))
 
 

@@ -576,22 +576,43 @@ def plain_components(n, linked):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("leaf", [2, 16])
-def test_groups_of_any_size_are_connected(leaf):
+@pytest.mark.parametrize("leaf", [2, 4, 16])
+def test_groups_of_any_size_are_connected(leaf, monkeypatch):
     rng = np.random.default_rng(3)
-    before, simhash.LEAF = simhash.LEAF, leaf
-    try:
-        for _ in range(60):
-            groups = [np.unique(rng.integers(0, 2**63, dtype=np.uint64) ^ (rng.integers(0, 2**7, n, dtype=np.uint64) << np.uint64(20))) for n in (1, 1, 2, 5, 9, 17, 40)]
-            bounds = np.cumsum([0, *map(len, groups)])
-            out = simhash._group_links(np.concatenate(groups), bounds, 2).to_numpy().astype(np.int64).view(np.uint64).tolist()
-            codes = np.concatenate(groups).tolist()
-            of = {c: i for i, c in enumerate(codes)}
-            have = {(of[a], of[b]) for a, b in out} | {(of[b], of[a]) for a, b in out}
-            which = np.repeat(np.arange(len(groups)), np.diff(bounds))
-            assert plain_components(len(codes), lambda i, j: (i, j) in have) == plain_components(len(codes), lambda i, j: which[i] == which[j] and (codes[i] ^ codes[j]).bit_count() <= 2)
-    finally:
-        simhash.LEAF = before
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    for n in (1, 1, 2, 5, 9, 17, 40, 120) * 8:
+        codes = np.unique(rng.integers(0, 2**63, dtype=np.uint64) ^ (rng.integers(0, 2**10, n, dtype=np.uint64) << np.uint64(20)))
+        index = simhash.GrayIndex(codes)
+        out = simhash.forest(index, 2).tolist()
+        codes = codes.tolist()
+        of = {c: i for i, c in enumerate(codes)}
+        assert all((a ^ b).bit_count() <= 2 for a, b in out)
+        have = {(of[a], of[b]) for a, b in out} | {(of[b], of[a]) for a, b in out}
+        assert plain_components(len(codes), lambda i, j: (i, j) in have) == plain_components(len(codes), lambda i, j: (codes[i] ^ codes[j]).bit_count() <= 2)
+
+
+def test_turned_blocks_stand_on_top():
+    x = np.random.default_rng(1).integers(0, 2**64, 50, dtype=np.uint64)
+    for b, (low, high) in enumerate(simhash.BLOCKS):
+        t = simhash.turned(x, b)
+        assert (t >> np.uint64(64 - high + low)).tolist() == [v >> low & (1 << high - low) - 1 for v in x.tolist()]
+        assert simhash.turned(t, b, back=True).tolist() == x.tolist()
+        masks = simhash._finer(b)
+        assert len(set(masks)) == 6 and all(m.bit_count() >= 42 and m >> 64 - high + low == (1 << high - low) - 1 for m in masks)
+
+
+def test_the_index_prunes_real_fingerprints(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    codes = np.array([r["fp"] for r in simhash.with_fingerprints(rows, 3).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    index = simhash.GrayIndex(codes)
+    links = simhash.forest(index, 2)
+    assert len(codes) > 800 and index.looked < 0.5 * len(codes) ** 2  # fewer than half of all pairs were compared
+    near = [(i, j) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes[i] ^ codes[:i]) <= 2).tolist()]
+    of = {c: i for i, c in enumerate(codes.tolist())}
+    have = {(max(of[a], of[b]), min(of[a], of[b])) for a, b in links.tolist()}
+    assert have <= set(near)
+    near = set(near)
+    assert plain_components(len(codes), lambda i, j: (i, j) in have) == plain_components(len(codes), lambda i, j: (i, j) in near)
 
 
 @pytest.mark.parametrize("limit", [simhash.GROUP_LIMIT, 2])
