@@ -4,7 +4,7 @@ All texts take the same random walk: at step j the walk writes the character it
 decides that depends on j and the character alone. Texts within a few edits of each other soon walk in step again, so edit
 distance becomes Hamming distance of what is written. The fingerprint samples bits of that string at shared steps, as many
 from each doubling of the walk's length as from the next, so one layout serves texts of every length. Bands of sampled bits
-give candidates, and the likeness of whole fingerprints verifies them.
+give candidates, the likeness of whole fingerprints verifies them, and verified links make classes.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import shuffle_partitions, table
+from .base import bound_batches, components, materialize, shuffle_partitions, small, table
 
 #: The walk's bits repeat after PERIOD steps; characters count modulo CLASSES.
 PERIOD, CLASSES = 4096, 512
@@ -113,35 +114,70 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _bounds(docs: DataFrame, per_part: int) -> list[int]:
-    """Ids that cut the order of doc_id into parts of about per_part rows."""
-    n = docs.where("doc_id is not null").count()
-    parts = max(shuffle_partitions(docs.sparkSession), -(-n // per_part))
-    if n == 0 or parts < 2:
-        return []
-    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(c) for c in cuts})
+SAMPLED = 64  # rows looked at for each partition to find the ranges' bounds
+PART_BYTES = 1 << 26
+LONG = "cast(-9223372036854775808 as bigint)"
+
+
+def _order_bytes(*columns: np.ndarray) -> np.ndarray:
+    """Rows of longs as byte strings of the same order."""
+    both = np.stack([c.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for c in columns], axis=1).astype(">u8")
+    return np.ascontiguousarray(both).view(f"S{8 * len(columns)}").ravel()
+
+
+def _bounds(rows: DataFrame) -> tuple[np.ndarray, tuple[int, ...]]:
+    """The keys (ident, hash) of the rows that open the second and each further range, and the key of the first row."""
+    state = rows.agg(F.count("*").alias("n"), F.sum(F.length("text") + 16).alias("size"), F.min(F.struct("ident", "hash")).alias("first")).first()
+    if not state["n"]:
+        return np.zeros((0, 2), np.int64), (0, 0)
+    parts = max(shuffle_partitions(rows.sparkSession), -(-state["size"] // PART_BYTES))
+    share = min(1.0, SAMPLED * parts / state["n"])
+    sample = rows.select("ident", "hash", (F.length("text") + 16).alias("size")).sample(share, 3) if share < 1 else rows.select("ident", "hash", (F.length("text") + 16).alias("size"))
+    sample = sample.toPandas().sort_values(["ident", "hash"], ignore_index=True)  # about SAMPLED rows a partition
+    sizes = sample["size"].to_numpy(np.int64)
+    places = np.searchsorted(np.cumsum(sizes), sizes.sum() * np.arange(1, parts) / parts)
+    return sample[["ident", "hash"]].to_numpy(np.int64)[np.unique(places[places < len(sample)])], tuple(state["first"])
+
+
+def _slots(spark, n: int) -> np.ndarray:
+    """For each of n partitions a number that hash partitioning puts there."""
+    slots, start = np.full(n, -1, np.int64), 0
+    while (slots < 0).any():
+        ids = spark.range(start, start + 8 * n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).toPandas()["p"].to_numpy()
+        slots[ids] = np.arange(start, start + 8 * n)
+        start += 8 * n
+    return slots
 
 
 def _print_rows(batches, per_batch: int):
-    """Rows sorted by part, ahead, id and text; the rows ahead are only looked at, as what follows the part's last row."""
-    held = None
+    """Rows sorted by part, ahead and order; the rows ahead are only looked at, as what follows the part's last row."""
+    held, unpack = None, zstandard.ZstdDecompressor()
+    part, done = -1, 0
 
     def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        nonlocal part, done
         texts, ahead = pdf["text"].tolist(), pdf["ahead"].to_numpy()
         own = np.flatnonzero(~ahead[:-1])
         changed = [edited(texts[i], texts[i + 1]) for i in own]
         bits, octaves, n = walk(texts + changed)
         prints = printed(bits, octaves)
         after = np.arange(len(texts), len(texts) + len(own))
+        parts = pdf["part"].to_numpy()[own]
+        numbers = np.arange(len(own)) - np.searchsorted(parts, parts)
+        if len(own) and parts[0] == part:
+            numbers[parts == part] += done
+        if len(own):
+            part, done = int(parts[-1]), int(numbers[-1]) + 1
         return pd.DataFrame({
-            "doc_id": pdf["doc_id"].iloc[own].astype("Int64"), "n_chars": n[own],
+            "row_id": (parts.astype(np.int64) << 40) + numbers, "doc_id": pdf["doc_id"].iloc[own].astype("Int64"), "n_chars": n[own],
             "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
             "fingerprint": [prints[i] for i in own], "edited_fingerprint": prints[len(texts) :],
             "near_edited": likeness(bits[own], bits[after], n[own], n[after]), "near_next": likeness(bits[own], bits[own + 1], n[own], n[own + 1]),
         })
 
     for pdf in batches:
+        pdf["text"] = [unpack.decompress(x).decode("utf-8", "surrogatepass") for x in pdf["packed"]]
+        pdf = pdf.drop(columns="packed")
         pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         lengths = pdf["text"].str.len().to_numpy()
         start = 0
@@ -154,85 +190,202 @@ def _print_rows(batches, per_batch: int):
         held = pdf.iloc[start:]
 
 
-def edit_fingerprints(docs: DataFrame, per_part: int = 4096, per_batch: int = 2048) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row of docs(doc_id, text).
+def edit_fingerprints(docs: DataFrame, per_batch: int = 2048) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row of docs(doc_id, text),
+    and row_id, which no other row has.
 
-    Null texts are empty. The next document is the next row by doc_id and then text, nulls first, and after the last comes
-    the first; a single row is its own next. Repeated rows stay and have equal fingerprints. Other columns are ignored;
-    an empty table gives an empty result. Rows are dealt out by ranges of doc_id, and each part also gets the rows that
-    start the next one, so every text moves once and no task holds more than its range.
+    Null texts are empty. The next document is the next row by doc_id, nulls first, and then by a hash of the text; after the
+    last comes the first, and a single row is its own next. Repeated rows stay and have equal fingerprints. Other columns
+    are ignored; an empty table gives an empty result. Rows are dealt out by ranges of that order, one to a partition and even
+    if one id holds very many rows, and each range also gets the row that opens the next, so every text moves once.
     """
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = _bounds(rows, per_part)
-    least = rows.agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    cuts = np.array([c for c in cuts if c != least["low"] or least["nulls"]], np.int64)
-    marks = docs.sparkSession.sparkContext.broadcast(cuts)
-
-    @F.pandas_udf("part int, opens boolean")
-    def place(ids: pd.Series) -> pd.DataFrame:
-        null = ids.isna().to_numpy()
-        x = ids.fillna(0).to_numpy(np.int64)
-        after, before = (np.searchsorted(marks.value, x, side=side) for side in ("right", "left"))
-        return pd.DataFrame({"part": np.where(null, 0, after).astype(np.int32), "opens": (after != before) & ~null})
-
-    is_first = F.col("doc_id").isNull() if least["nulls"] else F.col("doc_id") == F.lit(least["low"])
-    goes = lambda part, ahead: F.struct(part.cast("int").alias("part"), F.lit(ahead).alias("ahead"))
-    copies = F.array_compact(F.array(
-        goes(F.col("p.part"), False), F.when(F.col("p.opens"), goes(F.col("p.part") - 1, True)), F.when(is_first, goes(F.lit(len(cuts)), True))
-    ))
-    dealt = rows.withColumn("p", place("doc_id")).select(F.explode(copies).alias("c"), "doc_id", "text").select("c.part", "c.ahead", "doc_id", "text")
-    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    n = max(shuffle_partitions(docs.sparkSession), len(cuts) + 1)
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "ahead", "doc_id", "text").mapInPandas(lambda b: _print_rows(b, per_batch), out)
+    rows = rows.select("*", F.coalesce("doc_id", F.expr(LONG)).alias("ident"), F.xxhash64("text").alias("hash"))
+    cuts, first = _bounds(rows)
+    n_parts = max(shuffle_partitions(spark), len(cuts) + 1)
+    marks = spark.sparkContext.broadcast((_order_bytes(*cuts.T), _slots(spark, n_parts)))
+    last = len(cuts)
+
+    @F.pandas_udf("array<struct<slot:int,part:int,ahead:boolean>>")
+    def place(ident: pd.Series, hashes: pd.Series) -> pd.Series:
+        bounds, slots = marks.value
+        keys = _order_bytes(ident.to_numpy(), hashes.to_numpy())
+        high, low = (np.searchsorted(bounds, keys, side=side).tolist() for side in ("right", "left"))
+        begins = ((ident == first[0]) & (hashes == first[1])).tolist()
+        goes = lambda p, ahead: (int(slots[p]), p, ahead)
+        out = []
+        for i, (a, b, f) in enumerate(zip(low, high, begins)):
+            # a key that opens several ranges is that of equal rows, which share these out and follow each other
+            own = b if a == b else a + 1 + i % (b - a)
+            ahead = {a} if a != b else set()
+            ahead |= ({own} if own < b else set()) | ({last} if f else set())
+            out.append([goes(own, False), *(goes(p, True) for p in sorted(ahead))])
+        return pd.Series(out)
 
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=1)
+        return pd.Series([pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts])
 
-def op8_editprint(spark, sf_dir: str) -> DataFrame:
-    return edit_fingerprints(table(spark, sf_dir, "documents"))
+    dealt = rows.select("doc_id", "ident", "hash", packed("text").alias("packed"), F.explode(place("ident", "hash")).alias("c"))
+    dealt = dealt.select("c.*", "ident", "hash", "doc_id", "packed").repartition(n_parts, "slot")
+    dealt = dealt.sortWithinPartitions("part", "ahead", "ident", "hash").select("part", "ahead", "doc_id", "packed")
+    out = "row_id long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return dealt.mapInPandas(lambda b: _print_rows(b, per_batch), out)
 
 
-BANDS, BAND_BITS = 16, 24
+#: Texts are near at this likeness or more. A band is BAND_BITS sampled bits; at this likeness one of them agrees with a chance
+#: of 0.95, a whole band of 0.19, and one of BANDS of 0.99.
+NEAR, BANDS, BAND_BITS = 0.9, 20, 32
+#: Members of a bucket that are paired at once; larger buckets are searched from member to member.
+FEW = 16
+#: Buckets of more members are dealt out again by SUB_BANDS bands of SUB_BITS further bits.
+BIG, SUB_BANDS, SUB_BITS = 2048, 16, 16
 
 
-def near_pairs(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """(doc_id, other, likeness) of rows of prints(doc_id, n_chars, fingerprint) found by banding and verified.
+def unprinted(prints: list[str]) -> np.ndarray:
+    """The bits of fingerprints, a row each, with end marks behind the shorter ones."""
+    most = max(map(len, prints)) // 2
+    marked = np.concatenate([sampled_steps(o) for o in range(most * 8 // BITS)])
+    ends = np.packbits(_marks[marked % PERIOD, 0]).tobytes()
+    return np.unpackbits(np.frombuffer(b"".join(bytes.fromhex(p) + ends[len(p) // 2 :] for p in prints), np.uint8).reshape(len(prints), most), axis=1)
 
-    A band is BAND_BITS sampled bits of the two octaves in which a text's walk ends or of the two before, so texts on
-    either side of a boundary share a set. Each row of a band's bucket is held against the row of the smallest doc_id in
-    it, never against all, and pairs whose likeness is below ``at_least`` are dropped. Null ids and empty texts have no pairs.
+
+def level_of(n_chars: float) -> int:
+    """The number of doublings of the about 2 * n_chars steps of a text's walk."""
+    return max(3, int(np.ceil(np.log2(max(2 * n_chars, 1)))))
+
+
+@cache
+def band_picks(level: int, bands: int, bits: int, seed: int) -> np.ndarray:
+    """Columns of sampled bits, a row for each band, drawn evenly from the steps below 2**level."""
+    octaves = max(1, level - FIRST + 1)
+    steps = np.concatenate([sampled_steps(o) for o in range(octaves)])
+    weight = np.repeat([(octave_range(o)[1] - octave_range(o)[0]) / BITS for o in range(octaves)], BITS) * (steps < 1 << level)
+    return np.random.default_rng(seed + level).choice(len(steps), (bands, bits), p=weight / weight.sum())
+
+
+def _band_values(prints: list[str], levels: list[int], bands: int, bits: int, seed: int) -> np.ndarray:
+    """For each row and band the band's bits as a number."""
+    out = np.zeros((len(prints), bands), np.int64)
+    for level in set(levels):
+        rows = [i for i, x in enumerate(levels) if x == level]
+        picks = band_picks(level, bands, bits, seed)
+        x = unprinted([prints[i] for i in rows] + ["00" * (BITS // 8 * max(1, level - FIRST + 1))])[:-1]  # as wide as the level
+        values = np.packbits(x[:, picks], axis=2)
+        out[rows] = np.concatenate((np.zeros((*values.shape[:2], 8 - bits // 8), np.uint8), values), axis=2).view(">i8")[..., 0]
+    return out
+
+
+def near_classes(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
+    """(row_id, class_id) of every row of prints(row_id, doc_id, n_chars, fingerprint) whose class_id isn't its doc_id.
+
+    A class is what links of ``at_least`` or more connect, and class_id its smallest doc_id (null if it has none). Texts whose
+    walks agree in a band of sampled bits meet in a bucket; a text close below a doubling of its steps bands at that doubling's
+    level, too. All pairs of a small bucket are verified on whole fingerprints; a larger one is searched from member to member,
+    each held against those not yet reached, so no link in a bucket is lost. Empty texts are one class. No rows give none.
     """
-    picks = np.random.default_rng(99).integers(0, 2 * BITS, (BANDS, BAND_BITS))
+    nodes = prints.groupBy("fingerprint", "n_chars").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("rows"))
+    nodes = materialize(nodes, "nodes")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<long>")
     def bands(prints: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
-        for p, n in zip(prints, sizes):
-            x = np.unpackbits(np.frombuffer(bytes.fromhex(p), np.uint8))
-            top = octaves_of(-(-2 * int(n) // 3)) - 1
-            keys = []
-            for level in {max(top - 1, 0), top}:
-                own = x[max(level - 1, 0) * BITS : (level + 1) * BITS]
-                keys += [f"{level}:{b}:" + np.packbits(own[k % len(own)]).tobytes().hex() for b, k in enumerate(picks)]
-            out.append(keys)
+        levels = [level_of(n) for n in sizes]
+        above = [level_of(1.05 * n / at_least) for n in sizes]
+        prints = prints.tolist()
+        more = [i for i, (a, b) in enumerate(zip(levels, above)) if a != b]
+        keys = lambda p, l: (_band_values(p, l, BANDS, BAND_BITS, 99) + ((np.array(l)[:, None] * BANDS + np.arange(BANDS)) << BAND_BITS)).tolist()
+        out = keys(prints, levels) if prints else []
+        if more:
+            for i, k in zip(more, keys([prints[i] for i in more], [above[i] for i in more])):
+                out[i] = out[i] + k
         return pd.Series(out)
 
+    rows = nodes.where("n_chars > 0").select("node", F.explode(bands("fingerprint", "n_chars")).alias("key"))
+    rows = materialize(rows, "bands", codec="zstd")
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    members = rows.join(shared, "key")
+    pairs = members.where(F.col("m") <= FEW).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("s"))
+    pairs = pairs.select(F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as a, y as b))))")).alias("p"))
+    pairs = materialize(pairs.select("p.a", "p.b").distinct(), "pairs")
+
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a))
-        for i, (x, y, n, m) in enumerate(zip(a, b, n_a, n_b)):
-            k = max(len(x), len(y)) * 4 // BITS
-            marks = np.concatenate([_marks[sampled_steps(o) % PERIOD, 0] for o in range(k)])
-            rows = []
-            for s in (x, y):
-                bits = np.unpackbits(np.frombuffer(bytes.fromhex(s), np.uint8))
-                rows.append(np.concatenate((bits, marks[len(bits) :]))[None, :])
-            out[i] = likeness(rows[0], rows[1], np.array([n]), np.array([m]))[0]
-        return pd.Series(out)
+        if not len(a):
+            return pd.Series([], dtype=float)
+        bits = unprinted(a.tolist() + b.tolist())
+        return pd.Series(likeness(bits[: len(a)], bits[len(a) :], n_a.to_numpy(), n_b.to_numpy()))
+
+    ends = [nodes.select(F.col("node").alias(x), F.col("fingerprint").alias(f), F.col("n_chars").alias(n)) for x, f, n in (("a", "f", "n"), ("b", "g", "m"))]
+    links = pairs.join(ends[0], "a").join(ends[1], "b").where(alike("f", "g", "n", "m") >= at_least).select("a", "b")
+    many = members.where(F.col("m") > FEW).join(nodes.select("node", "fingerprint", "n_chars"), "node")
+    links = links.unionByName(_searched(many, at_least))
+    roots = components(links)
+    rooted = materialize(nodes.join(roots, "node"), "rooted")
+    lows = materialize(rooted.groupBy("root").agg(F.min("low").alias("class_id")), "lows")
+    classes = rooted.join(small(lows), "root").select("fingerprint", "n_chars", "class_id")
+    alone = nodes.where("rows > 1").join(roots, "node", "left_anti").select("fingerprint", "n_chars", F.col("low").alias("class_id"))
+    classes = materialize(classes.unionByName(alone), "classes")
+    found = prints.select("row_id", "doc_id", "fingerprint", "n_chars").join(small(classes), ["fingerprint", "n_chars"])
+    return found.where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select("row_id", "class_id")
+
+
+def _searched(members: DataFrame, at_least: float) -> DataFrame:
+    """Links (a, b) that connect what links of at_least or more connect in each bucket of members(key, m, node, fingerprint, n_chars)."""
+
+    @F.pandas_udf("array<long>")
+    def finer(keys: pd.Series, prints: pd.Series) -> pd.Series:
+        levels = ((keys.to_numpy() >> BAND_BITS) // BANDS).tolist()
+        values = _band_values(prints.tolist(), levels, SUB_BANDS, SUB_BITS, 7) + (np.arange(SUB_BANDS) << SUB_BITS) if len(keys) else np.zeros((0, SUB_BANDS), np.int64)
+        return pd.Series(values.tolist())
+
+    once = members.where(F.col("m") <= BIG).select("key", F.lit(-1).cast("long").alias("sub"), "node", "fingerprint", "n_chars")
+    again = members.where(F.col("m") > BIG).select("key", F.explode(finer("key", "fingerprint")).alias("sub"), "node", "fingerprint", "n_chars")
+    dealt = once.unionByName(again).repartition(shuffle_partitions(members.sparkSession), "key", "sub").sortWithinPartitions("key", "sub", "node")
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            at = pdf[["key", "sub"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()]
+            held = pdf.iloc[cuts[-1] :]
+            for a, b in zip(cuts, cuts[1:]):
+                yield reached(pdf.iloc[a:b], at_least)
+        if held is not None:
+            yield reached(held, at_least)
+
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def reached(pdf: pd.DataFrame, at_least: float) -> pd.DataFrame:
+    """A spanning forest of one bucket's links: each member reached is held against all those not reached yet."""
+    bits, sizes, nodes = unprinted(pdf["fingerprint"].tolist()), pdf["n_chars"].to_numpy(), pdf["node"].to_numpy()
+    left, out, queue = np.arange(len(nodes)), [np.zeros((0, 2), np.int64)], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        x = queue.pop()
+        near = likeness(bits[x][None, :], bits[left], np.full(len(left), sizes[x]), sizes[left]) >= at_least if len(left) else np.zeros(0, bool)
+        hit = left[near]
+        out.append(np.stack((np.full(len(hit), nodes[x]), nodes[hit]), axis=1))
+        queue += hit.tolist()
+        left = left[~near]
+    found = np.concatenate(out)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
+def edit_classes(docs: DataFrame, at_least: float = NEAR) -> DataFrame:
+    """All columns of ``edit_fingerprints`` but row_id, and class_id, the smallest doc_id of the row's near class."""
+    prints = materialize(edit_fingerprints(docs), "prints", codec="zstd")
+    moved = materialize(near_classes(prints, at_least), "moved").withColumn("moved", F.lit(True))
+    out = prints.join(small(moved), "row_id", "left").withColumn("class_id", F.when(F.col("moved"), F.col("class_id")).otherwise(F.col("doc_id")))
+    return out.drop("row_id", "moved")
 
-    rows = prints.where("doc_id is not null and n_chars > 0").select("doc_id", "n_chars", "fingerprint")
-    keyed = rows.select("doc_id", F.explode(bands("fingerprint", "n_chars")).alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("doc_id").alias("other"))
-    pairs = keyed.join(heads, "band").where("doc_id <> other").select("doc_id", "other").distinct()
-    one = rows.dropDuplicates(["doc_id"])
-    other = one.select(F.col("doc_id").alias("other"), F.col("n_chars").alias("m"), F.col("fingerprint").alias("g"))
-    held = pairs.join(one, "doc_id").join(other, "other").withColumn("likeness", alike("fingerprint", "g", "n_chars", "m"))
-    return held.where(F.col("likeness") >= at_least).select("doc_id", "other", "likeness")
+
+def op8_editprint(spark, sf_dir: str) -> DataFrame:
+    return edit_classes(table(spark, sf_dir, "documents"))

@@ -488,12 +488,13 @@ def test_walks_against_a_plain_version():
     assert editprint.printed(bits, octaves) == [plain_walk(t) for t in texts]
 
 
-def test_next_documents_and_likeness(spark):
+def test_next_documents_and_likeness(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i * 3, sentence(rng, rng.randrange(0, 120))) for i in range(300)]
     rows[7] = (21, "")
-    for per_part in (16, 4096):
-        out = {r["doc_id"]: r for r in editprint.edit_fingerprints(docs_of(spark, rows), per_part=per_part, per_batch=7).collect()}
+    for part_bytes in (4000, 1 << 26):
+        monkeypatch.setattr(editprint, "PART_BYTES", part_bytes)
+        out = {r["doc_id"]: r for r in editprint.edit_fingerprints(docs_of(spark, rows), per_batch=7).collect()}
         texts = [t for _, t in rows]
         for i, (k, t) in enumerate(rows):
             e = editprint.edited(t, texts[(i + 1) % len(rows)])
@@ -505,13 +506,60 @@ def test_next_documents_and_likeness(spark):
     assert only["near_next"] == 1 and only["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
 
 
-def test_edit_pairs(spark):
+def test_equal_and_null_ids_are_split_and_follow_each_other(spark, monkeypatch):
+    monkeypatch.setattr(editprint, "PART_BYTES", 2000)
+    rows = [(5, "same text " * 9)] * 300 + [(None, f"{i} without an id {i}") for i in range(200)] + [(9, "end"), (2, "begin")]
+    out = editprint.edit_fingerprints(docs_of(spark, rows)).toPandas()
+    assert len(out) == 502 and out["row_id"].is_unique and collections.Counter(out["doc_id"].dropna()) == {5: 300, 9: 1, 2: 1}
+    five = collections.Counter(out.loc[out["doc_id"] == 5, "edited_sha256"])
+    digest = lambda a, b: hashlib.sha256(editprint.edited(a, b).encode()).hexdigest()
+    assert five == {digest(rows[0][1], rows[0][1]): 299, digest(rows[0][1], "end"): 1}
+    nulls = set(out.loc[out["doc_id"].isna(), "edited_sha256"])
+    texts = [t for k, t in rows if k is None]
+    assert len(nulls) == 200 and nulls <= {digest(a, b) for a in texts for b in [*texts, "begin"]}
+    # rows without an id come first, so one of them follows the last row
+    assert out.loc[out["doc_id"] == 9, "edited_sha256"].iloc[0] in {digest("end", t) for t in texts}
+
+
+def brute_classes(rows, at_least):
+    """Components of all pairs of rows (id, text) whose whole fingerprints are alike."""
+    prints, _, n = (lambda x: (editprint.printed(x[0], x[1]), x[1], x[2]))(editprint.walk([t or "" for _, t in rows]))
+    bits = editprint.unprinted(prints)
+    near = [editprint.likeness(bits[i][None, :], bits, np.full(len(n), n[i]), n) >= at_least for i in range(len(n))]
+    return plain_components(len(rows), lambda i, j: near[i][j])
+
+
+@pytest.mark.parametrize("few, big", [(16, 2048), (2, 2048), (2, 4)])
+def test_edit_classes_against_all_pairs(spark, monkeypatch, few, big):
+    monkeypatch.setattr(editprint, "FEW", few)
+    monkeypatch.setattr(editprint, "BIG", big)
     rng = random.Random(5)
-    rows = [(i, sentence(rng, 80)) for i in range(60)] + [(1000, None)]
-    near = [(100 + i, rows[i][1][:200] + "!" + rows[i][1][201:]) for i in range(20)]
-    prints = editprint.edit_fingerprints(docs_of(spark, rows + near))
-    pairs = {(r["doc_id"], r["other"]) for r in editprint.near_pairs(prints, 0.7).collect()}
-    assert len(pairs & {(100 + i, i) for i in range(20)}) >= 18 and all(a - b == 100 for a, b in pairs)
+    rows = [(i, sentence(rng, rng.randrange(1, 150))) for i in range(60)] + [(1000, None), (1001, ""), (1002, "x"), (1003, "y")]
+    for i in range(120):  # chains of small edits, and copies
+        t = rows[rng.randrange(len(rows) if i % 3 else 20)][1] or "z"
+        at = rng.randrange(len(t))
+        rows.append((100 + i, t if i % 10 == 0 else t[:at] + rng.choice(["", "!", "ab"]) + t[at + 1 :]))
+    want = brute_classes(rows, editprint.NEAR)
+    got = {r["doc_id"]: r["class_id"] for r in editprint.edit_classes(docs_of(spark, rows)).collect()}
+    low = {w: min(rows[i][0] for i, v in enumerate(want) if v == w) for w in set(want)}
+    right = [got[k] == low[w] for (k, _), w in zip(rows, want)]
+    assert len(set(want)) < 110 and np.mean(right) > 0.97
+
+
+def test_edit_bands_recall_on_real_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, rng = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], random.Random(6)
+    for i in range(400):  # edited copies, so that many pairs lie at and just above the threshold
+        t = list(rows[i][1])
+        for _ in range(rng.randrange(1, 2 + len(t) // 60)):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "yz"])
+        rows.append((10_000 + i, "".join(t)))
+    prints, _, n = (lambda x: (editprint.printed(x[0], x[1]), x[1], x[2]))(editprint.walk([t or "" for _, t in rows]))
+    bits, got = editprint.unprinted(prints), {r["doc_id"]: r["class_id"] for r in editprint.edit_classes(docs_of(spark, rows)).collect()}
+    pairs = [(i, j) for i in range(len(n)) for j in np.flatnonzero(editprint.likeness(bits[i][None, :], bits[:i], np.full(i, n[i]), n[:i]) >= editprint.NEAR).tolist() if prints[i] != prints[j]]
+    joined = [got[rows[i][0]] == got[rows[j][0]] for i, j in pairs]
+    assert len(pairs) > 150 and np.mean(joined) >= 0.95, (len(pairs), np.mean(joined))
+    assert not [1 for i in range(0, len(n), 7) for j in range(0, i, 11) if got[rows[i][0]] == got[rows[j][0]] and editprint.likeness(bits[i][None, :], bits[j][None, :], n[[i]], n[[j]])[0] < 0.3]
 
 
 # -- 9 --------------------------------------------------------------------------------------------------------------------
