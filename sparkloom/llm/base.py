@@ -122,6 +122,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held
     return rows.toPandas().sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates(ignore_index=True)
 
 
-def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else as it is, for a join by shuffle. df should be cheap to count."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def small(df: DataFrame, most_rows: int = 500_000, most_bytes: int = 1 << 26) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows and characters in them, else as it is, for a join by shuffle.
+
+    df should be cheap to read twice.
+    """
+    if df.count() > most_rows:
+        return df
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]))))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df

@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment: delete what a later document repeats, in order, from an earlier one.
 
 A line's words are hashed; long lines are wrapped at places that their own words choose, so a passage inside a line aligns
-as well as whole lines do. Every line that more than one document has points to its first document, and a document is
-aligned by patience diff with the earlier ones that its lines point to: the longest chain of lines that are unique in both,
-in rising order, grown over the equal lines beside them. Where that leaves MIN_WORDS words or more in lines that all have been
-seen before, every least run of lines with so many words is looked up by one hash among all documents' runs, so a block goes
-whichever earlier document has it, also if its lines were first seen in others.
+as well as whole lines do. Documents that share a line are paired: a line's every later holder with its first holder and,
+unless the line is very frequent, with the holder before it, so the few holders of a rare line are all linked. Each pair
+is aligned by patience diff: the longest chain of lines that are unique in both, in rising order, grown over the equal lines
+beside them; the blocks of all pairs go. Where that leaves MIN_WORDS words or more in lines that all have been seen before, every
+least run of lines with so many words is looked up by one hash among all documents' runs, so a block goes whichever earlier
+document has it, also if its lines were first seen in others.
 """
 
 from __future__ import annotations
@@ -19,42 +20,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import bound_batches, materialize, small, table
+from .words import _STEP, mix, words_in
 
 REACH = 4  # words to either side that a word must be below, in hash order, for its line to be wrapped before it
-#: Words in whole lines that an aligned block must have. Of 51 words amid others, 99 in 100 have as many in whole wrapped lines.
+WRAP = 12  # words that a wrapped line has at most
+#: Wrapped lines beside a block whose words are held against the earlier document's. In both documents a passage is wrapped alike
+#: but for 4 words at its end, and before the first place that its own words choose, so more lines than these aren't cut apart.
+BESIDE = 4
+#: Words in whole lines that an aligned block must have.
 MIN_WORDS = 24
-#: Lines that a sample shows in over 1 / HOT of its rows, at most HOT of them, are dealt with by a grouped minimum and a broadcast.
-HOT = 2048
-PIECE = 1 << 18
-#: Words and bytes beside a run that are held against the earlier document's.
-EDGE, EDGE_BYTES = 24, 1 << 9
+#: Lines that a sample of one in SAMPLE rows shows more often than this are dealt with by a grouped minimum and a join.
+SAMPLE, HOT = 16, 64
+BATCH = 1 << 18  # bytes of short texts that are taken together
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: The deletions are broadcast up to so many characters and joined by shuffle beyond.
-BROADCAST_CHARS = 1 << 26
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(1024)], np.uint64)
-_STEP = 0x9E3779B97F4A7C15
-#: So many hashes of runs are broadcast, and joined by shuffle beyond.
-BROADCAST_RUNS = 500_000
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def _piece_lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a piece of text: the byte at which each (wrapped) line's first word starts, its hash and its words."""
-    x = np.frombuffer(data, np.uint8)
-    space = _SPACE[x]
-    before = np.concatenate(([True], space[:-1]))
-    starts = np.flatnonzero(before & ~space)
+#: Asked runs are broadcast up to so many and joined by shuffle beyond.
+BROADCAST_RUNS = 1 << 20
+_POWERS = np.array([pow(_STEP, i, 1 << 64) for i in range(WRAP)], np.uint64)
+
+
+def _wrapped(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: the byte at which each (wrapped) line's first word starts, its hash and its words."""
+    starts, _, h = words_in(data)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    place = np.arange(len(x)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(x)]))))
-    h = _mix(np.add.reduceat(np.where(space, 0, x).astype(np.uint64) * _POWERS[place & 1023], starts))
-    line = np.cumsum(x == 10)[starts]
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
     opens = np.ones(len(h), bool)
     for o in range(1, REACH + 1):
         same = line[o:] == line[:-o]
@@ -62,41 +51,36 @@ def _piece_lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         opens[:-o] &= ~same | (h[:-o] <= h[o:])
     opens[0] = True
     opens[1:] |= line[1:] != line[:-1]
+    # runs without such a word, of one word repeated say, are wrapped by count
+    opens |= (np.arange(len(h)) - np.maximum.accumulate(np.where(opens, np.arange(len(h)), 0))) % WRAP == 0
     first = np.flatnonzero(opens)
     sizes = np.diff(np.append(first, len(h)))
     at = np.arange(len(h)) - np.repeat(first, sizes)
-    return starts[first], _mix(np.add.reduceat(h * _POWERS[at & 1023], first)), sizes
+    return starts[first], mix(np.add.reduceat(h * _POWERS[at], first)), sizes
 
 
 def lines_of_many(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the wrapped lines of all texts in order: the text's number, start byte, hash and words.
 
-    Texts are taken together up to PIECE bytes, and longer ones piece by piece, cut at line ends, else spaces.
+    Short texts are taken together up to BATCH bytes, longer ones whole.
     """
     found, batch, size = [], [], 0
 
     def flush():
         nonlocal batch, size
         if batch:
-            offsets = np.cumsum([0, *(len(d) + 1 for _, _, d in batch[:-1])])
-            starts, h, w = _piece_lines(b"\n".join(d for _, _, d in batch))
+            offsets = np.cumsum([0, *(len(d) + 1 for _, d in batch[:-1])])
+            starts, h, w = _wrapped(b"\n".join([d for _, d in batch]))
             which = np.searchsorted(offsets, starts, side="right") - 1
-            number, begins = (np.array([x[k] for x in batch], np.int64) for k in (0, 1))
-            found.append((number[which], starts - offsets[which] + begins[which], h, w))
+            found.append((np.array([i for i, _ in batch], np.int64)[which], starts - offsets[which], h, w))
         batch, size = [], 0
 
     for i, t in enumerate(texts):
-        d, at = (t or "").encode("utf-8", "surrogatepass"), 0
-        while len(d) - at > PIECE:
-            cut = d.rfind(b"\n", at, at + PIECE) + 1 or d.rfind(b" ", at, at + PIECE) + 1 or at + PIECE
-            flush()
-            batch = [(i, at, d[at:cut])]
-            flush()
-            at = cut
-        if size + len(d) - at > PIECE:
+        d = (t or "").encode("utf-8", "surrogatepass")
+        if size + len(d) > BATCH:
             flush()
-        batch.append((i, at, d[at:]))
-        size += len(d) - at
+        batch.append((i, d))
+        size += len(d)
     flush()
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else none
@@ -115,20 +99,19 @@ def starts_of(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def beside(text: str | None, line: int, after: bool, starts: np.ndarray | None = None) -> str:
-    """The EDGE words before a wrapped line, or those behind it, joined by single spaces."""
+    """The words of the BESIDE wrapped lines before a wrapped line, or of those behind it, joined by single spaces."""
     starts = starts_of([text])[0] if starts is None else starts
     data = (text or "").encode("utf-8", "surrogatepass")
-    if not after:
-        return b" ".join(data[max(0, starts[line] - EDGE_BYTES) : starts[line]].split()[-EDGE:]).decode("utf-8", "replace")
-    stop = starts[line + 1] if line + 1 < len(starts) else len(data)
-    return b" ".join(data[stop : stop + EDGE_BYTES].split()[:EDGE]).decode("utf-8", "replace")
+    edges = [*starts.tolist(), len(data)]
+    low, high = (line + 1, min(line + 1 + BESIDE, len(starts))) if after else (max(line - BESIDE, 0), line)
+    return b" ".join(data[edges[low] : edges[high]].split()).decode("utf-8", "surrogatepass")
 
 
 def without(text: str | None, runs: list[tuple[int, int, str, str]], starts: np.ndarray | None = None) -> str:
     """The text without runs of lines (from, up to, what the earlier document has before the run, and behind it).
 
-    A run that begins or ends amid a physical line is grown over the words beside it, within that line, that the earlier
-    document has there too. White space behind what goes goes with it, but for the end of a line that is cut short.
+    A run that begins or ends amid a physical line is grown over the words of the BESIDE wrapped lines beside it, within that
+    physical line, that the earlier document has there too. White space behind what goes goes with it, but for the end of a line that is cut short.
     """
     starts = starts_of([text])[0] if starts is None else starts
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -137,7 +120,7 @@ def without(text: str | None, runs: list[tuple[int, int, str, str]], starts: np.
     kept, at = [], 0
     for a, b, before, behind in sorted(runs):
         low, high = int(edges[a]), int(edges[b])
-        left = data[max(0, low - EDGE_BYTES) : low].rpartition(b"\n")[2]
+        left = data[int(edges[max(a - BESIDE, 0)]) : low].rpartition(b"\n")[2]
         words, known = left.split(), before.encode("utf-8", "surrogatepass").split()
         k = 0
         while k < min(len(words), len(known)) and words[-1 - k] == known[-1 - k]:
@@ -145,7 +128,7 @@ def without(text: str | None, runs: list[tuple[int, int, str, str]], starts: np.
         if k:
             low -= len(left) - [m.start() for m in _WORD.finditer(left)][-k]
         if high < len(data) and b"\n" not in data[len(data[low:high].rstrip()) + low : high]:
-            right = data[high : high + EDGE_BYTES].partition(b"\n")[0]
+            right = data[high : int(edges[min(b + BESIDE, len(starts))])].partition(b"\n")[0]
             known = behind.encode("utf-8", "surrogatepass").split()
             spans = [m.span() for m in _WORD.finditer(right)]
             k = 0
@@ -252,8 +235,8 @@ def least_runs(hashes: np.ndarray, words: np.ndarray, opens: np.ndarray, min_wor
     low, high = np.concatenate((low[fits], start[ends])), np.concatenate((high[fits], stop[ends]))
     low, high = np.divmod(np.unique(low * (n + 1) + high), n + 1)
     power, inverse = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes) * power[:n], dtype=np.uint64)))
-    return low, high, _mix((total[high] - total[low]) * inverse[low]).view(np.int64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:n], dtype=np.uint64)))
+    return low, high, mix((total[high] - total[low]) * inverse[low]).view(np.int64)
 
 
 def asked_runs(at: np.ndarray, hashes: np.ndarray, words: np.ndarray, runs: list[tuple[int, ...]], min_words: int) -> list[tuple[int, int, int, list[int]]]:
@@ -333,40 +316,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(lines: DataFrame) -> DataFrame:
-    """(key, ord, at, owner, place, once, words, h) of every line that an earlier document has, with the first that has it."""
+    """(key, ord, at, owner, place, once, words, h) of every line that an earlier document has, with the first that has it and the one before."""
     rows = lines.select("key", "ord", F.posexplode(F.arrays_zip("hashes", "facts")).alias("at", "l"))
     rows = rows.select(F.col("l.hashes").alias("h"), "ord", "key", "at", F.col("l.facts").alias("f"))
-    # Which lines are hot only decides the path; a line takes part in full on either.
-    sample = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(16)) == 0)
-    n = sample.count()
-    often = sample.groupBy("h").count().where(F.col("count") > max(8, n // HOT)).orderBy(F.desc("count"), "h").limit(HOT)
-    hot = [r["h"] for r in often.select("h").collect()]  # HOT numbers at most
+    # Which lines are hot only decides the path: they are paired with their first holder alone.
+    sample = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(SAMPLE)) == 0)
+    hot = materialize(sample.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot-lines")
     first = F.struct("ord", "key", "at", "f")
 
     def told(df: DataFrame) -> DataFrame:
         df = df.where("o.key <> key and o.ord <> ord")
         once = (F.col("f").bitwiseAND(1) == 1) & (F.col("o.f").bitwiseAND(1) == 1)
-        return df.select("key", "ord", "at", F.col("o.key").alias("owner"), F.col("o.at").alias("place"), once.alias("once"), F.shiftright("f", 1).alias("words"), "h")
+        return df.select("key", "ord", "at", "late", F.col("o.key").alias("owner"), F.col("o.at").alias("place"), once.alias("once"), F.shiftright("f", 1).alias("words"), "h")
 
     def rest(df: DataFrame) -> DataFrame:
         w = Window.partitionBy("h").orderBy("ord", "key", "at")
-        return told(df.withColumn("o", F.first(first).over(w)))
+        df = df.withColumn("o", F.first(first).over(w)).withColumn("p", F.lag(first).over(w))
+        both = F.when((F.col("p.key") != F.col("o.key")) & (F.col("p.key") != F.col("key")), F.array("o", "p")).otherwise(F.array("o"))
+        return told(df.where("o.key <> key").select("key", "ord", "at", "f", "h", F.posexplode(both).alias("late", "o")))
 
-    if not hot:
+    if hot.isEmpty():
         return rest(rows)
-    marked = F.broadcast(lines.sparkSession.createDataFrame([(h,) for h in hot], "h long"))
-    heads = rows.join(marked, "h").groupBy("h").agg(F.min(first).alias("o"))  # a row for each hot line
-    heads = lines.sparkSession.createDataFrame(heads.collect(), heads.schema)
-    return rest(rows.join(marked, "h", "left_anti")).unionByName(told(rows.join(F.broadcast(heads), "h")))
+    marked = small(hot)
+    heads = materialize(rows.join(marked, "h", "left_semi").groupBy("h").agg(F.min(first).alias("o")), "heads")  # a row for each hot line
+    return rest(rows.join(marked, "h", "left_anti")).unionByName(told(rows.join(small(heads), "h").withColumn("late", F.lit(0))))
 
 
 def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, runs) of every document that loses lines."""
+    """(key, ord, runs) of every document that loses lines."""
 
     @F.pandas_udf(f"runs {RUNS}, asks array<struct<a:int,b:int,w:long,words:array<int>>>")
     def blocks(at: pd.Series, owner: pd.Series, place: pd.Series, once: pd.Series, words: pd.Series, h: pd.Series) -> pd.DataFrame:
         runs = [common_blocks(*row, min_words) for row in zip(at, owner, place, once, words)]
-        return pd.DataFrame({"runs": runs, "asks": [asked_runs(np.asarray(a), np.asarray(x), np.asarray(w), r, min_words) for a, x, w, r in zip(at, h, words, runs)]})
+        asks = []
+        for a, x, w, r in zip(at, h, words, runs):
+            a, own = np.unique(a, return_index=True)  # a line has a row for each owner
+            asks.append(asked_runs(a, x[own], w[own], r, min_words))
+        return pd.DataFrame({"runs": runs, "asks": asks})
 
     @F.pandas_udf(RUNS)
     def joined(runs: pd.Series, found: pd.Series) -> pd.Series:
@@ -375,15 +361,15 @@ def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pd.Series([joined_runs(plain(r, fields), plain(f, ("a", "b", "owner", "line", "words")), min_words) for r, f in zip(runs, found)])
 
     names = ["at", "owner", "place", "once", "words", "h"]
-    rows = repeats(lines).groupBy("key", "ord").agg(F.array_sort(F.collect_set(F.struct(*names))).alias("r"), F.sum("words").alias("n"))
+    rows = repeats(lines).groupBy("key", "ord").agg(F.array_sort(F.collect_set(F.struct("at", "late", *names[1:]))).alias("r"), F.sum("words").alias("n"))
     rows = rows.where(F.col("n") >= min_words).select("key", "ord", blocks(*[F.col(f"r.{c}") for c in names]).alias("x"))
     rows = materialize(rows.select("key", "ord", "x.*").where("size(runs) > 0 or size(asks) > 0"), "aligned")
     asks = rows.select("key", "ord", F.explode("asks").alias("x")).select("key", "ord", "x.*")
     found = answered(asks, lines, min_words)
     if found is None:
-        return rows.select("key", "runs").where(F.size("runs") > 0)
+        return rows.select("key", "ord", "runs").where(F.size("runs") > 0)
     found = found.groupBy("key").agg(F.collect_list(F.struct("a", "b", "owner", "line", "words")).alias("found"))
-    rows = rows.join(found, "key", "left").select("key", F.when(F.col("found").isNull(), F.col("runs")).otherwise(joined("runs", "found")).alias("runs"))
+    rows = rows.join(found, "key", "left").select("key", "ord", F.when(F.col("found").isNull(), F.col("runs")).otherwise(joined("runs", "found")).alias("runs"))
     return rows.where(F.size("runs") > 0)
 
 
@@ -423,11 +409,11 @@ RUNS = "array<struct<a:int,b:int,first:long,first_line:int,last:long,last_line:i
 
 
 def with_edges(gone: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, runs) of gone with what the earlier documents have beside each run; docs are keyed rows with text.
+    """(key, ord, runs) of gone with what the earlier documents have beside each run; docs are keyed rows with text.
 
     Only distinct places are looked up, so a passage that very many documents repeat costs one.
     """
-    runs = gone.select("key", F.explode("runs").alias("r")).select("key", "r.*")
+    runs = gone.select("key", "ord", F.explode("runs").alias("r")).select("key", "ord", "r.*")
     asks = runs.select(F.col("first").alias("owner"), F.col("first_line").alias("line"), F.lit(False).alias("after"))
     asks = asks.unionByName(runs.select(F.col("last").alias("owner"), F.col("last_line").alias("line"), F.lit(True).alias("after"))).distinct()
     asks = materialize(asks.groupBy("owner").agg(F.collect_list(F.struct("line", "after")).alias("asks")), "asks")
@@ -441,7 +427,7 @@ def with_edges(gone: DataFrame, docs: DataFrame) -> DataFrame:
     found = materialize(found.select("owner", "x.asks.line", "x.asks.after", "x.words"), "edges")
     sides = [found.where(F.col("after") == after).select(F.col("owner").alias(o), F.col("line").alias(n), F.col("words").alias(w)) for after, o, n, w in ((False, "first", "first_line", "before"), (True, "last", "last_line", "behind"))]
     runs = runs.join(small(sides[0]), ["first", "first_line"]).join(small(sides[1]), ["last", "last_line"])
-    return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b", "before", "behind"))).alias("runs"))
+    return runs.groupBy("key", "ord").agg(F.array_sort(F.collect_list(F.struct("a", "b", "before", "behind"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -456,21 +442,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bound_batches(docs.sparkSession)
     plain = docs.select("doc_id", "text")
     gone = materialize(deletions(materialize(line_table(plain), "lines"), min_words), "deletions")
-    gone = materialize(with_edges(gone, _keyed(plain)).withColumnRenamed("key", "_key"), "runs")
-    size = gone.agg(F.sum(F.aggregate("runs", F.lit(16), lambda n, r: n + 16 + F.length(r["before"]) + F.length(r["behind"])))).first()[0] or 0
-    if size <= BROADCAST_CHARS:
-        gone = F.broadcast(gone)
+    gone = materialize(with_edges(gone, _keyed(plain)).withColumnsRenamed({"key": "_key", "ord": "_ord"}), "runs")
+    gone = small(gone)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
         starts = starts_of(texts.tolist())
         return pd.Series([without(t, [(x["a"], x["b"], x["before"], x["behind"]) for x in r], s) for t, r, s in zip(texts, runs, starts)], dtype=object)
 
-    ident = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), ident.alias("_key"))
+    # both names: the key is a hash, so the id is compared as well
+    ident = [F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_ord")]
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *ident)
     # only documents that lose lines go through Python
-    whole = wide.join(gone, "_key", "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
-    some = wide.join(gone, "_key").withColumn("_text", cut(F.col("_row.text").cast("string"), F.col("runs")))
+    whole = wide.join(gone, ["_key", "_ord"], "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    some = wide.join(gone, ["_key", "_ord"]).withColumn("_text", cut(F.col("_row.text").cast("string"), F.col("runs")))
     return whole.unionByName(some.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names]))
 
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkloom.llm import base, editprint, lines, media, mixing, neardup, pieces, quality, secrets, simhash, toxicity, urls
+from sparkloom.llm import base, editprint, lines, media, mixing, neardup, pieces, quality, secrets, simhash, toxicity, urls, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta one two three four five six seven eight nine ten eleven twelve".split()
@@ -138,12 +138,59 @@ def test_pooling_sees_the_whole_text():
     assert np.allclose(small, toxicity.pooled(model.tables(), ids), atol=1e-5)
 
 
-def test_attention_takes_texts_piece_by_piece():
+def test_attention_takes_texts_piece_by_piece(monkeypatch):
     rng = random.Random(1)
     model = quality.fit([sentence(rng, 100) for _ in range(20)], np.array([0, 1] * 10))
     texts = [sentence(rng, 500), "", None, "a"]
+    texts.append(sentence(rng, 3000) + "\n\n" + "word " * 700)
     one = [quality.score_texts(model, [t])[0] for t in texts]
     assert np.allclose(quality.score_texts(model, texts), one)
+    for chunk, batch in ((1, 1), (3, 1 << 20), (1000, 100)):  # neither passages held at a time nor texts taken together matter
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        monkeypatch.setattr(quality, "BATCH", batch)
+        assert np.allclose(quality.score_texts(model, texts), one, atol=1e-12)
+    plain = [plain_bag(model, t) for t in texts]
+    assert np.allclose(plain, one, atol=1e-6)
+
+
+def plain_bag(model, text):
+    """A text's score from passages one by one."""
+    x = np.concatenate([x for x, _ in quality.encode([text])])
+    h = [np.tanh(np.clip((row - model.mean) / model.scale, -6, 6) @ model.p["W"] + model.p["b"]) for row in x]
+    a = np.array([(np.tanh(v @ model.p["V"]) / (1 + np.exp(-(v @ model.p["U"])))) @ model.p["w"] for v in h])
+    a = np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    z = sum(w * v for w, v in zip(a, h))
+    return 1 / (1 + np.exp(-(model.slope * (z @ model.p["c"] + model.p["d"][0]) + model.shift)))
+
+
+def test_passage_features_against_plain_counts():
+    rng = random.Random(3)
+    text = sentence(rng, 150) + "\nTHE END THE END, again again\n12 ä"
+    x = np.concatenate([x for x, _ in quality.encode([text, "x y"])])
+    words = text.split()
+    assert len(x) == -(-len(words) // quality.PASSAGE) + 1
+    seen = set()
+    for k in range(len(x) - 1):
+        part = words[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+        chars = sum(len(w.encode()) for w in part)
+        fresh = sum(w not in seen and not seen.add(w) for w in part)
+        same = sum(a == b for a, b in zip(part, part[1:]))
+        upper = sum(c.isupper() and c.isascii() for w in part for c in w)
+        want = [upper / chars, chars / len(part) / 10, same / len(part), len(set(part)) / len(part), fresh / len(part), len(set(words)) / len(words), np.log1p(len(words)) / 8, len(part) / quality.PASSAGE]
+        assert np.allclose(x[k, [1, 5, 6, 7, 8, 9, 10, 15]], want, atol=1e-6)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=200), st.integers(1, 40))
+def test_word_hashes_depend_on_the_word_alone(data, block):
+    before = words.BLOCK
+    words.BLOCK = block
+    try:
+        starts, ends, h = words.words_in(data)
+    finally:
+        words.BLOCK = before
+    assert [data[a:b] for a, b in zip(starts, ends)] == data.replace(b"\x1c", b"!").replace(b"\x1d", b"!").replace(b"\x1e", b"!").replace(b"\x1f", b"!").split() or any(c in data for c in b"\x1c\x1d\x1e\x1f")
+    assert h.tolist() == [int(words.words_in(data[a:b])[2][0]) for a, b in zip(starts, ends)]
 
 
 # -- 2 --------------------------------------------------------------------------------------------------------------------
@@ -177,15 +224,19 @@ def test_media_round_trip(spark):
 
 
 def plain_dedup(rows):
-    """The same alignment over first owners, document by document."""
-    first, cut = {}, {}
+    """The same alignment, document by document: a line's first holder and the holder before."""
+    holders, cut = {}, {}
     table = {k: lines.lines_of(t) for k, t in rows}
     for k, t in sorted(rows):
         h = table[k][1].tolist()
         for i, x in enumerate(h):
-            first.setdefault(x, (k, i))
+            holders.setdefault(x, []).append((k, i))
         n = collections.Counter(h)
-        hit = [(i, *first[x], n[x] == 1 and table[first[x][0]][1].tolist().count(x) == 1, int(table[k][2][i])) for i, x in enumerate(h) if first[x][0] != k]
+        hit = []
+        for i, x in enumerate(h):
+            first, before = holders[x][0], holders[x][holders[x].index((k, i)) - 1]
+            owners = [first] + [before] * (before[0] not in (first[0], k)) if first[0] != k else []
+            hit += [(i, *o, n[x] == 1 and table[o[0]][1].tolist().count(x) == 1, int(table[k][2][i])) for o in owners]
         gone = lines.common_blocks(*map(np.array, zip(*hit)), lines.MIN_WORDS) if hit else []
         text_of = dict(rows)
         runs = [(a, b, lines.beside(text_of[o], p, False), lines.beside(text_of[q], r, True)) for a, b, o, p, q, r in gone]
@@ -215,7 +266,7 @@ def test_line_dedup_against_a_plain_version(spark):
                 assert not any(" ".join(words[x : x + 2]) in got[i] for x in range(59))  # to the very word, within lines as well
         if not any(p in rows[i][1] for p in passages):
             assert got[i] == rows[i][1]  # clean ones are left alone, whatever short lines they share
-    hot, lines.HOT = lines.HOT, 10**9  # the other path: each line in nearly every sampled row is hot
+    hot, lines.HOT = lines.HOT, 0  # the other path: every line that the sample has is hot
     try:
         assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, rows)).collect()} == got
     finally:
@@ -264,6 +315,43 @@ def test_blocks_go_whichever_earlier_document_has_them(spark, broadcast, monkeyp
     assert got[200] == ""
 
 
+def windows_of(text, n):
+    words_ = (text or "").split()
+    return {" ".join(words_[i : i + n]) for i in range(len(words_) - n + 1)}
+
+
+def test_repeated_passages_go_on_real_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    for n, least in ((40, 0.99), (60, 1.0)):
+        seen, repeated, left = set(), 0, 0
+        for k in sorted(before):
+            own = windows_of(before[k], n)
+            repeated += len(own & seen)
+            left += len(own & seen & windows_of(after[k], n))
+            seen |= own
+        assert repeated > 500 and 1 - left / repeated >= least, (n, repeated, left)
+    several = {w for w, c in collections.Counter(w for t in before.values() for w in windows_of(t, 8)).items() if c > 1}
+    for k, t in before.items():  # texts that share no eight words with another are left alone
+        if not windows_of(t, 8) & several:
+            assert after[k] == t
+
+
+def test_runs_of_one_word_and_six_owners(spark):
+    rng = random.Random(17)
+    own = lambda: sentence(rng, 30)
+    run = "spam " * 300
+    rows = [(1, own() + "\n" + run), (2, own() + "\n" + "spam " * 170 + own()), (3, "a b " * 90)]
+    block = [sentence(rng, 8) for _ in range(6)]
+    rows += [(10 + i, own() + "\n" + b) for i, b in enumerate(block)] + [(20, own() + "\n" + "\n".join(block)), (21, own() + "\n" + "\n".join(block) + "\n" + own())]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got[2].count("spam") < 24 and got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[20] == dict(rows)[20] and not any(b in got[21] for b in block)
+    sizes = lines.lines_of(run + "\n" + "a b c " * 50)[2]
+    assert sizes.max() <= lines.WRAP
+
+
 def physical(text, number):
     """The wrapped lines of a text's line."""
     starts, data = lines.lines_of(text)[0], text.encode()
@@ -721,3 +809,21 @@ def test_near_dedup_against_all_pairs(spark):
     want = plain_components(len(rows), lambda i, j: len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]))
     got = {r["doc_id"] for r in neardup.near_dedup(docs_of(spark, rows)).collect()}
     assert got == {rows[w][0] for w in want}
+
+
+def test_near_dedup_in_large_buckets_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SIDE", 4000)  # many blocks
+    rng = random.Random(22)
+    frame = sentence(rng, 160).split()
+    rows = []
+    for i in range(150):  # pages of one template, 0.6 to 0.75 alike
+        own = [f"p{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 45))]
+        rows.append((i, " ".join(frame + own)))
+    for i in range(12):  # copies of some of them with an edit
+        words = rows[100 + 3 * i][1].split()
+        words[rng.randrange(len(words))] = "edit"
+        rows.append((500 + i, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = plain_components(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r["doc_id"] for r in neardup.near_dedup(docs_of(spark, rows)).collect()}
+    assert got == {rows[w][0] for w in want} and len(got) == 150
