@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import bound_batches, fold, labelled_sample, table
+from .words import words_in
 
 PASSAGE = 64  # words
 WORD_DIMS, SHAPE_DIMS = 64, 64
@@ -22,8 +23,8 @@ EPOCHS = 40
 #: The fit's bound: rows of each class at most, and characters of a row at most.
 PER_CLASS = {0: 2000, 1: 3000}
 MAX_CHARS = 40_000
-#: Texts are encoded in pieces of at most so many bytes, cut at white space where there is some.
-PIECE = 1 << 18
+#: Passages whose features are held at a time, and bytes of short texts that are taken together.
+CHUNK, BATCH = 4096, 1 << 18
 
 SPACE, LOWER, UPPER, DIGIT, PUNCT, OTHER = range(6)
 _KIND = np.full(256, OTHER, np.uint8)
@@ -32,76 +33,71 @@ _KIND[33:127] = PUNCT
 _KIND[ord("0") : ord("9") + 1] = DIGIT
 _KIND[ord("A") : ord("Z") + 1] = UPPER
 _KIND[ord("a") : ord("z") + 1] = LOWER
-_POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(64)], np.uint64)
 STATS = 16
 DIMS = STATS + 32 + SHAPE_DIMS + WORD_DIMS
 
 
-def pieces(data: bytes) -> list[bytes]:
-    out = []
-    while len(data) > PIECE:
-        cut = max(data.rfind(b" ", 0, PIECE), data.rfind(b"\n", 0, PIECE)) + 1 or PIECE
-        out.append(data[:cut])
-        data = data[cut:]
-    return [*out, data]
-
-
-def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage of the pieces, and the piece each passage belongs to. A piece without words is one empty passage."""
-    text = b"\n" + b"\n".join(parts) + b"\n"
-    data = np.frombuffer(text, np.uint8)
-    kind = _KIND[data]
-    space = kind == SPACE
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    offsets = np.cumsum([1, *(len(p) + 1 for p in parts)])
-    piece = np.searchsorted(offsets, starts, side="right") - 1
-    n_words = np.bincount(piece, minlength=len(parts)) if len(starts) else np.zeros(len(parts), np.int64)
+def encode(texts: list[str | None]):
+    """Features of the passages of whole texts, CHUNK passages at a time, and the text each passage belongs to.
+
+    A text without words is one empty passage. What a feature says of a text (its words, the share of distinct ones, which
+    stand there first) is taken from the whole of it.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\n".join([*parts, b""])
+    starts, ends, h = words_in(joined)
+    data = np.frombuffer(joined, np.uint8)
+    text = np.searchsorted(np.cumsum([0, *(len(p) + 1 for p in parts)]), starts, side="right") - 1
+    n_words = np.bincount(text, minlength=len(parts))
     n_passages = np.maximum(1, -(-n_words // PASSAGE))
     first = np.cumsum(n_passages) - n_passages
-    total = int(n_passages.sum())
     owner = np.repeat(np.arange(len(parts)), n_passages)
-    x = np.zeros((total, DIMS), np.float32)
-    if not len(starts):
-        return x, owner
-    rank = np.arange(len(starts)) - (np.cumsum(n_words) - n_words)[piece]
-    passage = first[piece] + rank // PASSAGE
-    length = ends - starts
-    within = lambda k: np.add.reduceat((kind == k).astype(np.int64), starts)  # noqa: E731  what follows a word is white space
+    passage = first[text] + (np.arange(len(starts)) - (np.cumsum(n_words) - n_words)[text]) // PASSAGE
+    order = np.lexsort((h, text))
+    fresh = np.ones(len(starts))
+    fresh[order[1:]] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+    whole = np.stack((np.bincount(text, fresh, len(parts)) / np.maximum(n_words, 1), np.log1p(n_words) / 8), axis=1)
+    newlines = np.flatnonzero(data == 10)
+    for a in range(0, len(owner), CHUNK):
+        own = owner[a : a + CHUNK]
+        i, j = np.searchsorted(passage, (a, a + CHUNK))
+        x = np.zeros((len(own), DIMS), np.float32)
+        if j > i:
+            near = slice(i, min(j + 1, len(starts)))  # with the word behind, to tell how the last one ends
+            _fill(x, data, starts[near], ends[near], h[near], text[near], passage[near] - a, fresh[i:j], whole[own], newlines)
+        yield x, own
+
+
+def _fill(x, data, starts, ends, h, text, passage, fresh, whole, newlines) -> None:
+    """The features of len(fresh) words, into the rows x of their passages; further words only follow."""
+    m, total = len(fresh), len(x)
+    line = np.searchsorted(newlines, starts[1:]) > np.searchsorted(newlines, ends[:-1])
+    broke = np.append(line & (text[1:] == text[:-1]), False)[:m].astype(float)
+    same = np.zeros(m)
+    same[1:] = (h[1:m] == h[: m - 1]) & (passage[1:m] == passage[: m - 1])
+    starts, ends, h, passage = starts[:m], ends[:m], h[:m], passage[:m]
+    base = int(starts[0])
+    kind = _KIND[data[base : ends[-1]]]
+    within = lambda k: np.add.reduceat(kind == k, starts - base, dtype=np.int64)  # noqa: E731  what follows a word is white space
     lower, upper, digit, punct, other = (within(k) for k in (LOWER, UPPER, DIGIT, PUNCT, OTHER))
-    place = np.arange(len(data)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)]))))
-    weighed = np.where(space, 0, data).astype(np.uint64) * _POWERS[place & 63]
-    h = np.add.reduceat(weighed, starts)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
+    length = ends - starts
     total_of = lambda w: np.bincount(passage, w, total)
     n = np.maximum(np.bincount(passage, minlength=total), 1).astype(float)
     chars = np.maximum(total_of(length), 1)
-    same = np.zeros(len(starts))
-    same[1:] = (h[1:] == h[:-1]) & (piece[1:] == piece[:-1])
-    order = np.lexsort((h, piece))
-    fresh = np.ones(len(starts))
-    fresh[order[1:]] = (h[order][1:] != h[order][:-1]) | (piece[order][1:] != piece[order][:-1])
-    varied = np.bincount(piece, fresh, len(parts)) / np.maximum(n_words, 1)
     order = np.lexsort((h, passage))
-    new = np.ones(len(starts))
+    new = np.ones(m)
     new[order[1:]] = (h[order][1:] != h[order][:-1]) | (passage[order][1:] != passage[order][:-1])
-    breaks = np.concatenate((np.zeros(1, np.int64), np.cumsum(data == 10)))
-    line = (breaks[starts[1:]] > breaks[ends[:-1]]) & (piece[1:] == piece[:-1])
-    broke = np.concatenate((line, [False])).astype(float)
     x[:, :STATS] = np.stack((
         total_of(lower) / chars, total_of(upper) / chars, total_of(digit) / chars, total_of(punct) / chars, total_of(other) / chars, chars / n / 10,
-        total_of(same) / n, total_of(new) / n, total_of(fresh) / n, varied[owner], np.log1p(n_words)[owner] / 8, total_of(broke) / n,
+        total_of(same) / n, total_of(new) / n, total_of(fresh) / n, whole[:, 0], whole[:, 1], total_of(broke) / n,
         total_of((upper == length).astype(float)) / n, total_of((punct == length).astype(float)) / n, total_of((length > 15).astype(float)) / n, n / PASSAGE,
     ), axis=1)
-    x[np.bincount(passage, minlength=total) == 0] = 0
     last = data[ends - 1]
-    mark = np.where(kind[ends - 1] == PUNCT, last & 31, 0)
+    mark = np.where(_KIND[last] == PUNCT, last & 31, 0)
     shape = (np.minimum(length, 15) // 2) * 8 + (upper > 0) * 4 + (punct > 0) * 2 + (digit > 0)
-    for at, size, code, w in ((STATS, 32, mark, None), (STATS + 32, SHAPE_DIMS, shape, None), (STATS + 32 + SHAPE_DIMS, WORD_DIMS, (h >> np.uint64(50)).astype(np.int64) % WORD_DIMS, None)):
-        x[:, at : at + size] = np.sqrt(np.bincount(passage * size + code, w, total * size).reshape(total, size) / n[:, None])
-    return x, owner
+    for at, size, code in ((STATS, 32, mark), (STATS + 32, SHAPE_DIMS, shape), (STATS + 32 + SHAPE_DIMS, WORD_DIMS, (h >> np.uint64(50)).astype(np.int64) % WORD_DIMS)):
+        x[:, at : at + size] = np.sqrt(np.bincount(passage * size + code, minlength=total * size).reshape(total, size) / n[:, None])
+    x[np.bincount(passage, minlength=total) == 0] = 0
 
 
 @dataclass
@@ -124,23 +120,15 @@ class GatedAttention:
         return self.slope * (z @ self.p["c"] + self.p["d"][0]) + self.shift
 
 
-def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Passage features of all texts, and the first row of each text."""
-    cut = [pieces((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-    x, owner = encode([p for c in cut for p in c])
-    text = np.repeat(np.arange(len(cut)), [len(c) for c in cut])[owner]
-    return x, np.searchsorted(text, np.arange(len(cut)))
-
-
 def score_texts(model: GatedAttention, texts: list[str | None]) -> np.ndarray:
-    """Scores of whole texts, a few MB at a time."""
+    """Scores of whole texts; short ones are taken together."""
     out, batch, size = [], [], 0
     for i, t in enumerate(texts):
         batch.append(t)
         size += len(t or "")
-        if size > PIECE or i + 1 == len(texts):
-            x, starts = _bags(batch)
-            out.append(model.bags(np.concatenate([model.passages(x[a : a + 8192]) for a in range(0, len(x), 8192)]), starts))
+        if size > BATCH or i + 1 == len(texts):
+            h, owner = (np.concatenate(c) for c in zip(*((model.passages(x), own) for x, own in encode(batch))))
+            out.append(model.bags(h, np.searchsorted(owner, np.arange(len(batch)))))
             batch, size = [], 0
     return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -40, 40))) if out else np.zeros(0)
 
@@ -157,8 +145,8 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> GatedAttention:
         return model
     feats, firsts = [], []
     for a in range(0, len(texts), 64):
-        x, starts = _bags(texts[a : a + 64])
-        feats += np.split(x, starts[1:])
+        x, owner = (np.concatenate(c) for c in zip(*encode(texts[a : a + 64])))
+        feats += np.split(x, np.searchsorted(owner, np.arange(1, len(texts[a : a + 64]))))
     order = rng.permutation(len(texts))
     check, train = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(y[check].tolist())) < 2:
