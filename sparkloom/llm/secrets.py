@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, table
+from .base import materialize, scratch, table
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ EXTRA = (
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}", 0, 1),
 )
 RULES = BASE + EXTRA
+LEDGER = "blob string, rule string, spans array<struct<at:bigint,end:bigint>>"
 #: A cheaper test of whether a rule can match at all, where one is equivalent.
 SCREEN = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
@@ -57,17 +58,20 @@ def _parts(text: Column, rule: Rule) -> Column:
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, rule, at, end) of every match of the rules in blobs(blob, text, todo); code points, end exclusive."""
+    """(blob, rule, spans) of every blob of blobs(blob, text, todo) and rule in its todo; code points, end exclusive."""
     each = []
     for rule in rules:
-        wanted = F.array_contains("todo", rule.key) & F.col("text").rlike(SCREEN.get(rule.kind, rule.pattern))
-        each.append(F.when(wanted, F.struct(F.lit(rule.key).alias("rule"), F.lit(rule.least).alias("least"), _parts(F.col("text"), rule).alias("parts"))))
+        can = F.col("text").rlike(SCREEN.get(rule.kind, rule.pattern))
+        parts = F.when(can, _parts(F.col("text"), rule))
+        each.append(F.when(F.array_contains("todo", rule.key), F.struct(F.lit(rule.key).alias("rule"), F.lit(rule.least).alias("least"), parts.alias("parts"))))
     rows = blobs.select("blob", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("r"))
-    rows = rows.select("blob", "r.rule", "r.least", F.posexplode("r.parts").alias("i", "p")).where("p.hit is not null")
+    # a rule that can't match has no parts, and what stands behind the last match is a part without one: each keeps a row
+    rows = rows.select("blob", "r.rule", "r.least", F.posexplode_outer("r.parts").alias("i", "p"))
     order = Window.partitionBy("blob", "rule").orderBy("i")
-    end = F.sum(F.col("p.gap") + F.col("p.hit")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum(F.col("p.gap") + F.coalesce("p.hit", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.select("blob", "rule", "p.hit", "p.inner", "least", end.cast("long").alias("end"))
-    return rows.where("inner >= least").select("blob", "rule", (F.col("end") - F.col("hit")).alias("at"), "end")
+    span = F.when(F.col("inner") >= F.col("least"), F.struct((F.col("end") - F.col("hit")).alias("at"), "end"))
+    return rows.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def addressed(versions: DataFrame) -> DataFrame:
@@ -76,27 +80,37 @@ def addressed(versions: DataFrame) -> DataFrame:
     return versions.select("doc_id", F.sha2(text, 256).alias("blob"), text.alias("text"))
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """The ledger (blob, rule, spans array<struct<at,end>>) after versions(doc_id, text).
+def unseen(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
+    """(blob, rule, spans array<struct<at,end>>) of every text of versions(doc_id, text) and rule version that the ledger hasn't.
 
-    It has a row for each text and rule version scanned, with no spans where nothing was found, so that the next call
-    scans neither again. Rows of the ledger given are kept as they are.
+    There is a row where nothing was found, too, so that no later call scans that text by that rule version again.
     """
-    keys = [r.key for r in rules]
     blobs = addressed(versions).select("blob", "text").dropDuplicates(["blob"])
-    every = F.array(*map(F.lit, keys))
-    if ledger is None:
-        todo = blobs.withColumn("todo", every)
-    else:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
-        todo = todo.where(F.size("todo") > 0).drop("seen")
-    found = scan(todo, rules).groupBy("blob", "rule").agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("spans"))
+    every = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        return found
-    scanned = todo.select("blob", F.explode("todo").alias("rule")).join(found, ["blob", "rule"], "left")
-    none = F.array().cast("array<struct<at:bigint,end:bigint>>")
-    return ledger.select("blob", "rule", "spans").unionByName(scanned.withColumn("spans", F.coalesce("spans", none)))
+        return scan(blobs.withColumn("todo", every), rules)
+    seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
+    return scan(todo.where(F.size("todo") > 0), rules)
+
+
+def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
+    """The ledger (blob, rule, spans) with the rows that versions(doc_id, text) add; rows of the ledger given stay as they are."""
+    new = unseen(versions, ledger, rules)
+    return new if ledger is None else ledger.select("blob", "rule", "spans").unionByName(new)
+
+
+def keep_ledger(versions: DataFrame, folder: str, rules=RULES) -> DataFrame:
+    """The ledger in a folder that all executors share, after the rows that versions(doc_id, text) add were appended to it.
+
+    The first call makes the folder. A call that dies leaves the ledger as it was, as Spark shows appended files only once
+    all are written; two calls at a time would both scan what both find unseen, which repeats rows but changes no finding.
+    """
+    spark = versions.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    known = spark.read.schema(LEDGER).parquet(folder) if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
+    unseen(versions, known, rules).write.mode("append").option("compression", "zstd").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
 
 
 def by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
@@ -104,7 +118,7 @@ def by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
     names = F.array(*[F.lit(r.kind) for r in rules])
     n_base = sum(r.base for r in rules)
-    rows = ledger.where(F.size("spans") > 0).select("blob", kinds[F.col("rule")].alias("k"), F.explode("spans").alias("s"))
+    rows = ledger.where(F.size("spans") > 0).dropDuplicates(["blob", "rule"]).select("blob", kinds[F.col("rule")].alias("k"), F.explode("spans").alias("s"))
     rows = rows.where("k is not null").select("blob", "k", F.col("s.at").alias("at"), F.col("s.end").alias("end"))
     counts = [F.count_if(F.col("k") == i).alias(f"n_{r.kind}") for i, r in enumerate(rules) if r.base]
     grouped = rows.groupBy("blob").agg(*counts, F.array_sort(F.collect_list(F.struct("at", "k", "end"))).alias("all"))
@@ -113,13 +127,16 @@ def by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
     return grouped.select("blob", *[f"n_{r.kind}" for r in rules if r.base], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("all")).alias("spans"))
 
 
-def secret_scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
+def secret_scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, folder: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of versions(doc_id, text).
 
-    Null and empty texts have no spans; base_sha256 is then the digest of an empty string. Rows with a null or a repeated
-    doc_id stay, each with the findings of its own text. Other columns are ignored. An empty table gives an empty result.
+    Texts and rule versions in ``ledger``, or in the one kept in ``folder``, aren't scanned; a ledger in a folder keeps
+    what this call scans. Null and empty texts have no spans; base_sha256 is then the digest of an empty string. Rows with
+    a null or a repeated doc_id stay, each with the findings of its own text. Other columns are ignored. An empty table gives
+    an empty result.
     """
-    found = materialize(by_blob(update_ledger(versions, ledger, rules), rules), "ledger")
+    after = keep_ledger(versions, folder, rules) if folder else update_ledger(versions, ledger, rules)
+    found = materialize(by_blob(after, rules), "found")
     paths = addressed(versions).select("doc_id", "blob")
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in rules if r.base]
     none = F.sha2(F.lit(""), 256)
@@ -127,7 +144,8 @@ def secret_scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULE
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents"))
+    """The ledger lies in a folder of this call's own, so the rows don't depend on earlier calls."""
+    return secret_scan(table(spark, sf_dir, "documents"), folder=scratch(spark, "secrets-ledger"))
 
 
 def oracle() -> str:
