@@ -21,7 +21,7 @@ REPEATS = 2.0
 BLOCK_TOKENS = 1 << 16
 STEPS = 6  # of bisection for each pass over the sources
 ROUNDS = 8
-PER_BUCKET, MOST_BUCKETS = 512, 4096
+PER_BUCKET = 512
 #: Per-source figures are broadcast up to so many sources and joined by shuffle beyond.
 BROADCAST_SOURCES = 50_000
 
@@ -103,7 +103,7 @@ def lay_out(rows: DataFrame, mix: Mix, block_tokens: int = BLOCK_TOKENS, seed: i
     A source's whole epochs hold all its rows; the last, partial one holds those whose turn begins before it ends. A
     large source is cut into buckets of the keyed order, so running totals never need more than one bucket in a task.
     """
-    buckets = F.least(F.greatest(F.ceil(F.col("docs") / PER_BUCKET), F.lit(1)), F.lit(MOST_BUCKETS)).cast("long")
+    buckets = F.greatest(F.ceil(F.col("docs") / PER_BUCKET), F.lit(1)).cast("long")
     figures = mix.sources.select(F.col("source").alias("s"), F.col("tokens").alias("of"), "weight", "repeats", buckets.alias("buckets"))
     total = mix.sources.agg(F.sum(F.col("tokens") * F.col("repeats"))).first()[0] or 0.0
     blocks = max(1, -(-int(total) // block_tokens))
@@ -148,13 +148,14 @@ def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, b
     """
     names = docs.columns
     source = F.col("source").cast("string")
-    keyed = docs.withColumns({"_key": F.xxhash64("doc_id", source, F.col("text").cast("string")), "_source": source})
-    rows = keyed.select(F.col("_key").alias("key"), F.col("_source").alias("source"), n_tokens(F.col("text")).alias("tokens"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    keyed = docs.select(whole, F.xxhash64("doc_id", source, F.col("text").cast("string")).alias("key"), source.alias("source"))
+    rows = keyed.select("key", "source", n_tokens(F.col("row.text")).alias("tokens"))
     rows = materialize(rows.groupBy("key", "source").agg(F.sum("tokens").alias("tokens")), "tokens")
     copies = lay_out(rows, plan(rows, entropy, repeats, budget), block_tokens, seed)
-    copies = materialize(copies.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("turn").alias("_turn")), "copies")
-    out = keyed.join(small(copies), "_key").repartition(shuffle_partitions(docs.sparkSession), "_block").sortWithinPartitions("_block", "_turn")
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    copies = materialize(copies.select("key", "block", "turn"), "copies")
+    out = keyed.select("row", "key").join(small(copies), "key").repartition(shuffle_partitions(docs.sparkSession), "block").sortWithinPartitions("block", "turn")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def oracle() -> str:
@@ -169,7 +170,7 @@ a1 AS (SELECT CASE WHEN {entropy.format('1.0')} >= {ENTROPY} * ln(n) - 1e-12 THE
 o(i, lo, hi) AS (SELECT 0, a, 1::DOUBLE FROM a1 UNION ALL SELECT {half.format(f'pow(most / low, 1 - mid) > {REPEATS}')} FROM (SELECT *, (lo + hi) / 2 AS mid FROM o WHERE i < {STEPS * ROUNDS}), f),
 a2 AS (SELECT CASE WHEN pow(most / low, 1 - a) > {REPEATS} THEN (SELECT hi FROM o ORDER BY i DESC LIMIT 1) ELSE a END AS a FROM a1, f),
 w AS (SELECT source, tok, CASE WHEN tok > 0 THEN pow(tok / (SELECT sum(tok) FROM s), a) / list_sum(list_transform(ps, lambda p: pow(p, a))) ELSE 0 END AS weight,
- round(CASE WHEN tok > 0 THEN pow(most / tok, 1 - a) ELSE 1 END, 9) AS repeats, least(greatest(ceil(docs / {PER_BUCKET}), 1), {MOST_BUCKETS})::BIGINT AS buckets FROM s, f, a2),
+ round(CASE WHEN tok > 0 THEN pow(most / tok, 1 - a) ELSE 1 END, 9) AS repeats, greatest(ceil(docs / {PER_BUCKET}), 1)::BIGINT AS buckets FROM s, f, a2),
 b AS (SELECT greatest(1, ceil(trunc(sum(tok * repeats)) / {BLOCK_TOKENS}))::BIGINT AS blocks FROM w),
 c AS (SELECT t.*, tok, weight, repeats, buckets, unnest(range(0, greatest(ceil(repeats)::INT - 1, 0) + 1)) AS epoch FROM t JOIN w USING (source)),
 h AS (SELECT *, ('0x' || substr(md5('{SEED}:' || epoch || ':' || doc_id), 1, 15))::BIGINT AS turn FROM c),
