@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
@@ -35,14 +37,19 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing else uses, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 BATCH_ROWS = 1000
 
 
@@ -107,19 +114,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held
     """A bounded sample of labelled texts as pandas: text, lang, y; never a row whose fold of n is ``held``.
 
     Of each class it takes the ``per_class`` rows lowest in hash order whose text has at most ``max_chars`` characters
-    (longer ones and rows without a text are left out of the fit alone). Null ids and labels that aren't 0 or 1 are ignored.
+    (longer ones and rows without a text are left out of the fit alone). Of rows that share an id the text lowest in hash order
+    counts. Null ids and labels that aren't 0 or 1 are ignored.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(f"doc_id is not null and y in (0, 1) and {label} is not null")
     known = known.where(fold("doc_id", n) != held)
     order = F.xxhash64(F.lit(17), "doc_id")
     picks = None
     for y, most in per_class.items():
-        part = known.where(F.col("y") == y).withColumn("h", order).orderBy("h", "doc_id").limit(most).select("doc_id", "y")
+        part = known.where(F.col("y") == y).distinct().withColumn("h", order).orderBy("h", "doc_id").limit(most).select("doc_id", "y")
         picks = part if picks is None else picks.unionByName(part)
-    picks = picks.distinct()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.length("text") <= max_chars).join(F.broadcast(picks), "doc_id")  # the picks are bounded by per_class
-    return rows.toPandas().sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates(ignore_index=True)
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "text")).alias("r"))
+    return rows.select("doc_id", "r.text", "r.lang", "y").toPandas().sort_values(["doc_id", "y"], ignore_index=True)
 
 
 def small(df: DataFrame, most_rows: int = 500_000, most_bytes: int = 1 << 26) -> DataFrame:

@@ -552,6 +552,18 @@ def test_mixed_rows_are_those_of_the_plan(spark):
     out = mixing.mixed(docs, 0.99, 2.0, block_tokens=256)
     n = collections.Counter(r["source"] for r in out.collect())
     assert out.columns == docs.columns and n["big"] == 150 and 95 <= n["small"] <= 100
+    for c in ("_key", "_source", "_block", "_turn", "key", "row", "tokens", "epoch"):  # names that the layout uses stay the caller's
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for op in (lambda d: mixing.mixed(d, 0.99, 2.0, block_tokens=256), neardup.near_dedup, lines.dedup_lines):
+        row = op(docs).first()
+        assert all(row[c] == f"own {c}" for c in ("_key", "_source", "_block", "_turn", "key", "row", "tokens", "epoch"))
+
+
+def test_labelled_samples_are_bounded_whatever_repeats(spark):
+    docs = docs_of(spark, [(1, f"text {i % 7}") for i in range(300)] + [(2, "b"), (3, "c"), (None, "d")])
+    labels = labels_of(spark, [(1, 0, 0)] * 50 + [(2, 0, 0), (3, 1, 0), (None, 1, 0)])
+    got = base.labelled_sample(docs, labels, "quality", 1000, 999, {0: 1, 1: 5}, 100)
+    assert len(got) == 2 and got["y"].sum() == 1
 
 
 # -- 8 --------------------------------------------------------------------------------------------------------------------
@@ -678,6 +690,23 @@ def test_secrets_against_a_plain_scan(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in want) for k in range(3)]
 
 
+def test_a_kept_ledger_grows_by_what_is_unseen(spark, tmp_path):
+    folder, n = f"file://{tmp_path}/ledger", len(secrets.RULES)
+    first = secrets.secret_scan(docs_of(spark, [(1, "token=abcdef"), (2, "nothing"), (3, "token=abcdef"), (4, None), (5, "")]), folder=folder)
+    assert {r["doc_id"]: r["spans"] for r in first.collect()} == {1: "assign:0:12", 2: "", 3: "assign:0:12", 4: "", 5: ""}
+    kept = spark.read.parquet(folder)
+    assert kept.count() == 3 * n and kept.where("size(spans) > 0").count() == 1  # a row for every text and rule, found or not
+    files = {f.name for f in (tmp_path / "ledger").glob("*.parquet")}
+    versions = docs_of(spark, [(6, "nothing"), (7, "password: 'hunter22'"), (8, "")])
+    again = secrets.secret_scan(versions, folder=folder)
+    assert {r["doc_id"]: r["spans"] for r in again.collect()} == {6: "", 7: "assign:0:19", 8: ""}
+    new = [str(f) for f in (tmp_path / "ledger").glob("*.parquet") if f.name not in files]
+    assert spark.read.parquet(*new).count() == n  # the one new text alone
+    newer = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least, 2, r.base) if r.kind == "hex" else r for r in secrets.RULES)
+    assert secrets.unseen(versions, spark.read.parquet(folder), newer).count() == 3  # three texts by the one new rule version
+    assert secrets.update_ledger(versions).count() == 3 * n
+
+
 def test_the_ledger_spares_known_texts(spark):
     one = docs_of(spark, [(1, "token=abcdef"), (2, "nothing"), (3, "token=abcdef")])
     none = spark.createDataFrame([], "blob string, rule string, spans array<struct<at:bigint,end:bigint>>")
