@@ -118,6 +118,7 @@ def rest_links(buckets: DataFrame, roots: DataFrame, texts_of, similar: float) -
     own, every = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
     left = held.where("root <> main").select(*where, "node", "root", own.alias("x"), every.alias("y")).join(sets, "node")
     right = held.select(*where, "node", "root", own.alias("y"), every.alias("x")).join(sets, "node")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own: both sides come from the same tables
 
     def compared(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         out = []
