@@ -22,7 +22,7 @@ SECRET_NAMES = r"(?i)(^|/)(\.env(\..+)?|id_(rsa|ed25519)(\.pub)?|[^/]*\.(pem|key
 SECRET_SEGMENTS = r"(?i)(^|/)(\.ssh|secrets?|private)(/|$)"
 #: Languages and extensions that count as code.
 CODE_LANGUAGES = ("typescript", "javascript", "python", "go", "rust", "kotlin", "java", "c", "cpp", "csharp", "swift", "scala")
-CODE_EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "kt", "kts", "java", "c", "h", "cc", "cpp", "hpp", "cs", "swift", "scala", "rb")
+CODE_EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "kt", "kts", "java", "c", "cc", "cpp", "cxx", "h", "hpp", "cs", "swift", "scala")
 
 
 def slashes(path: Column) -> Column:
@@ -59,7 +59,7 @@ def is_ignored(path: Column, extra: tuple[str, ...] = ()) -> Column:
 
 
 def is_code(path: Column, lang: Column | None = None) -> Column:
-    return (lang if lang is not None else language(path)).isin(*CODE_LANGUAGES) | extension(path).isin(*CODE_EXTENSIONS)
+    return F.lower(lang if lang is not None else language(path)).isin(*CODE_LANGUAGES) | extension(path).isin(*CODE_EXTENSIONS)
 
 
 def glob_regex(pattern: str) -> str:

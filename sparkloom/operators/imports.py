@@ -304,13 +304,21 @@ def dependency_groups(edges: DataFrame, most: int = 200) -> DataFrame:
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
-    """total, resolved, unresolved, rate, and Python's classes: standard library first, then internal and external."""
-    std = F.substring_index("raw_specifier", ".", 1).isin(*STDLIB) & (F.col("level") == 0)
+    """total, resolved, unresolved, rate, and the edges by class: standard library first, then internal and external.
+
+    A Python edge is of the standard library if the first part of its name is, dots in front aside, even where a file of the
+    tree answers to it; it is internal if it is relative, found or found by an alias. Internal edges have a rate of their own.
+    """
+    python = F.col("lang") == "python"
+    std = python & F.substring_index(F.regexp_replace("raw_specifier", r"^\.+", ""), ".", 1).isin(*STDLIB)
     found = F.col("resolved_target").isNotNull() & ~F.coalesce(F.col("resolved_target").startswith("pkg:"), F.lit(False))
-    n = F.count("*")
+    internal = ~std & (found | F.col("raw_specifier").startswith(".") | (F.col("level") > 0))
+    n, inside = F.count("*"), F.count_if(internal)
     return edges.agg(
         n.alias("total"), F.count_if(found).alias("resolved"), F.count_if(~found).alias("unresolved"), F.when(n > 0, F.count_if(found) / n).otherwise(0.0).alias("rate"),
-        F.count_if(std & ~found).alias("stdlib"), F.count_if(found).alias("internal"), F.count_if(~found & ~std).alias("external"), F.count_if(F.col("conditional")).alias("conditional"),
+        F.count_if(std).alias("stdlib"), inside.alias("internal"), F.count_if(internal & found).alias("internal_resolved"),
+        F.when(inside > 0, F.count_if(internal & found) / inside).otherwise(0.0).alias("internal_rate"), F.count_if(~std & ~internal).alias("external"),
+        F.count_if(F.contains(F.coalesce("unresolved_reason", F.lit("")), F.lit("by alias"))).alias("by_alias"), F.count_if(F.col("conditional")).alias("conditional"),
     )
 
 

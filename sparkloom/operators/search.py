@@ -129,7 +129,7 @@ def rescore(candidates: DataFrame, query: str, now_ms: int) -> DataFrame:
     return rows.withColumn("final_score", VECTOR * F.col("score") + SYMBOL * F.col("symbol_match") + PATH * F.col("path_match") + F.col("recency") + F.col("penalty"))
 
 
-def post_filter(rows: DataFrame, include: str | None = None, exclude: str | None = None, language: str | None = None, min_score: float | None = None) -> DataFrame:
+def post_filter(rows: DataFrame, include: str | None = None, exclude: str | None = None, language: str | None = None, min_score: float | None = None, code_only: bool = False) -> DataFrame:
     """The filters that come after rescoring and before the limit; min_score is held to [0, 10]."""
     if include:
         rows = rows.where(P.matches(F.col("path"), include))
@@ -137,6 +137,8 @@ def post_filter(rows: DataFrame, include: str | None = None, exclude: str | None
         rows = rows.where(~P.matches(F.col("path"), exclude))
     if language:
         rows = rows.where(F.lower("language") == language.lower())
+    if code_only:
+        rows = rows.where(P.is_code(F.col("path"), F.col("language")))
     if min_score is not None:
         rows = rows.where(F.col("final_score") >= min(10.0, max(0.0, min_score)))
     return rows
@@ -161,14 +163,14 @@ def semantic_search(chunks: DataFrame, query: str, query_vector: Sequence[float]
 
 
 def suggestion_score(name: Column, wanted: str) -> Column:
-    """How well a symbol's name answers a wanted one: equal, equal in any case, prefix, part, else prefix or token overlap."""
-    low, want = F.lower(name), wanted.lower()
+    """How well a symbol's name answers a wanted one, both trimmed and in any case: 1 if equal, 0.95 if it begins with it, 0.85
+    if it holds it, 0.7 if it is a part of it, else the better of shared prefix and token overlap; 0 if either is blank."""
+    low, want = F.lower(F.trim(name)), wanted.strip().lower()
     w = F.lit(want)
-    prefix = F.when(F.greatest(F.length(low), F.length(w)) > 0, T.common_prefix(low, w) / F.greatest(F.length(low), F.length(w))).otherwise(0.0)
-    tokens = T.camel_tokens(F.lit(wanted))
-    overlap = T.coverage(tokens, T.camel_tokens(name))
+    prefix = T.common_prefix(low, w) / F.greatest(F.length(low), F.length(w))
+    overlap = T.coverage(T.camel_tokens(w), T.camel_tokens(low))
     return (
-        F.when(name == F.lit(wanted), 1.0).when(low == w, 0.95).when(low.startswith(w) | F.startswith(w, low), 0.85).when(F.contains(low, w) | F.contains(w, low), 0.7)
+        F.when((F.coalesce(low, F.lit("")) == "") | (w == ""), 0.0).when(low == w, 1.0).when(F.startswith(low, w), 0.95).when(F.contains(low, w), 0.85).when(F.contains(w, low), 0.7)
         .otherwise(F.greatest(0.65 * prefix, 0.75 * overlap))
     )
 

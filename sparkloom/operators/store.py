@@ -1,19 +1,17 @@
-"""A versioned table store on Parquet: a table is a folder of versions, and one small file says which of them counts.
+"""A versioned table store on Parquet: a table is a folder of versions, and empty marker files say which of them are whole.
 
-A write makes a whole new version and then swaps the pointer, so readers see the old or the new table and a write that
-dies half-way leaves nothing but a folder that recovery removes.
+A write makes a whole new version and then its marker; the highest marked version counts. Making an empty file is one step
+and nothing is deleted or renamed for it, so readers see the old or the new table wherever a write dies, and recovery finds
+nothing but a folder without a marker. One writer at a time.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-POINTER = "_CURRENT"
+MARKERS = "_whole"
 #: The stored tables, their columns and keys.
 TABLES = {
     "chunks": ("id string, vector array<float>, content string, file_path string, start_line int, end_line int, symbol_name string, symbol_kind string, language string, repo_id string, worktree_id string, blob_hash string", ("id",)),
@@ -31,24 +29,24 @@ DEFAULTS = {"worktree_id": "default-worktree", "blob_hash": "", "symbol_name": "
 class Store:
     """Tables by name under one folder that Spark can read and write."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, dimensions: int | None = None):
+        """``dimensions``: the length that vectors of chunks must have; a write of others fails."""
+        self.spark, self.root, self.dimensions = spark, root.rstrip("/"), dimensions
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _versions(self, path: str) -> list[int]:
+        """The numbers of the entries v1, v2, ... of a folder."""
+        fs, top = self._fs(path)
+        names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        return sorted(int(x[1:]) for x in names if x.startswith("v") and x[1:].isdigit())
+
     def version(self, name: str) -> int:
         """The version that counts; 0 before the first write."""
-        fs, p = self._fs(f"{self.root}/{name}/{POINTER}")
-        if not fs.exists(p):
-            return 0
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())["version"]
-        finally:
-            stream.close()
+        return max(self._versions(f"{self.root}/{name}/{MARKERS}"), default=0)
 
     def schema(self, name: str) -> StructType:
         return self.spark.createDataFrame([], TABLES[name][0]).schema
@@ -63,27 +61,26 @@ class Store:
         return df.select(*[F.col(f.name) if f.name in have else F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
     def replace(self, name: str, df: DataFrame) -> int:
-        """Write df as the next version and swap to it."""
+        """Write df as the next version and mark it."""
         v = self.version(name) + 1
         self._complete(name, df).write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}")
-        self._point(name, v)
+        self._mark(name, v)
         return v
 
     def _complete(self, name: str, df: DataFrame, *extra: str) -> DataFrame:
         """The table's columns and the extra ones, missing ones by their defaults."""
         have = set(df.columns)
-        cols = [(F.col(f.name) if f.name in have else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in self.schema(name).fields]
-        return df.select(*cols, *extra)
-
-    def _point(self, name: str, v: int) -> None:
-        fs, p = self._fs(f"{self.root}/{name}/{POINTER}")
-        _, fresh = self._fs(f"{self.root}/{name}/.{uuid.uuid4().hex}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
-        out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(fresh, p)
+        cols = {f.name: (F.col(f.name) if f.name in have else F.lit(DEFAULTS.get(f.name))).cast(f.dataType) for f in self.schema(name).fields}
+        if "vector" in cols and self.dimensions:
+            v = cols["vector"]
+            wrong = F.concat(F.lit(f"a vector must have {self.dimensions} values, one has "), F.size(v).cast("string"))
+            cols["vector"] = F.when(v.isNull() | (F.size(v) == self.dimensions), v).otherwise(F.raise_error(wrong).cast("array<float>"))
+        return df.select(*[c.alias(k) for k, c in cols.items()], *extra)
+
+    def _mark(self, name: str, v: int) -> None:
+        """Fails if another writer has marked that version."""
+        fs, p = self._fs(f"{self.root}/{name}/{MARKERS}/v{v}")
+        fs.create(p, False).close()
 
     def upsert(self, name: str, rows: DataFrame, order: str | None = None) -> int:
         """Rows replace those of the same key; of several new ones the last by ``order`` wins."""
@@ -115,28 +112,36 @@ class Store:
         return self.replace(name, self.read(name).repartition(files))
 
     def recover(self, name: str) -> list[str]:
-        """Remove versions after the one that counts: writes that died before the swap."""
-        v, gone = self.version(name), []
-        fs, top = self._fs(f"{self.root}/{name}")
-        if fs.exists(top):
-            for s in fs.listStatus(top):
-                leaf = s.getPath().getName()
-                if leaf.startswith("v") and leaf[1:].isdigit() and int(leaf[1:]) > v or leaf.startswith(".") and not leaf.endswith(".crc"):
-                    fs.delete(s.getPath(), True)
-                    gone.append(leaf)
-        return sorted(gone)
+        """Remove versions after the one that counts: writes that died before their marker.
+
+        Where no version is marked, the last one that was written to its end counts from now on, so the only whole copy of a
+        table never goes.
+        """
+        top = f"{self.root}/{name}"
+        found, v = self._versions(top), self.version(name)
+        if not v:
+            whole = [n for n in found if self._exists(f"{top}/v{n}/_SUCCESS")]
+            if whole:
+                v = whole[-1]
+                self._mark(name, v)
+        return self._drop(name, [n for n in found if n > v])
 
     def vacuum(self, name: str, keep: int = 1) -> list[str]:
-        """Remove versions older than the last ``keep``."""
-        v, gone = self.version(name), []
-        fs, top = self._fs(f"{self.root}/{name}")
-        if fs.exists(top):
-            for s in fs.listStatus(top):
-                leaf = s.getPath().getName()
-                if leaf.startswith("v") and leaf[1:].isdigit() and int(leaf[1:]) <= v - keep:
-                    fs.delete(s.getPath(), True)
-                    gone.append(leaf)
-        return sorted(gone)
+        """Remove versions older than the last ``keep``, at least 1; the one that counts stays."""
+        top, v = f"{self.root}/{name}", self.version(name)
+        return self._drop(name, [n for n in self._versions(top) if n <= v - max(1, keep)])
+
+    def _exists(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def _drop(self, name: str, versions: list[int]) -> list[str]:
+        """A marker goes before its folder, so nothing marked is ever incomplete."""
+        for v in versions:
+            for path in (f"{self.root}/{name}/{MARKERS}/v{v}", f"{self.root}/{name}/v{v}"):
+                fs, p = self._fs(path)
+                fs.delete(p, True)
+        return [f"v{v}" for v in versions]
 
     def state(self, key: str, default: str | None = None) -> str | None:
         row = self.read("index_state").where(F.col("key") == key).first()

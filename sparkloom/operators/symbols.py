@@ -53,7 +53,10 @@ def line_symbols(files: DataFrame) -> DataFrame:
 
 
 def scan_python(text: str) -> list[Row]:
-    """Blocks by indentation: functions, classes, methods with their decorators, and constants of modules; ``async def`` counts too."""
+    """Blocks by indentation: functions, classes, methods with their decorators, and constants of modules; ``async def`` counts too.
+
+    A constant is one line; ``__all__`` runs on over its brackets and the blank lines behind it.
+    """
     lines = text.split("\n")
     out: list[Row] = []
     classes: list[tuple[int, str]] = []
@@ -81,16 +84,21 @@ def scan_python(text: str) -> list[Row]:
             if kind == "class":
                 classes.append((depth[i], m[2]))
         elif depth[i] == 0 and (m := re.match(r"([A-Z][A-Z0-9_]*|__all__)\s*(?::[^=]+)?=(?!=)", line)):
-            opened, stop = 0, i
-            while stop < len(lines):  # up to the line that closes all brackets
-                opened += sum(lines[stop].count(c) for c in "([{") - sum(lines[stop].count(c) for c in ")]}")
-                if opened <= 0:
-                    break
-                stop += 1
-            out.append(("variable", m[1], "", i + 1, min(stop, len(lines) - 1) + 1))
+            stop = i + 1
+            if m[1] == "__all__":  # with its brackets, continued and deeper lines, and the blank lines after it
+                opened, goes_on = _balance(line), line.rstrip().endswith("\\")
+                while stop < len(lines) and (not bare[stop] or opened > 0 or goes_on or depth[stop] > 0):
+                    if bare[stop]:
+                        opened, goes_on = opened + _balance(lines[stop]), bare[stop].endswith("\\")
+                    stop += 1
+            out.append(("variable", m[1], "", i + 1, stop))
     return out
 
 
+def _balance(line: str) -> int:
+    return sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
+
+
 _TS_RULES = (
     ("class", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)")),
     ("interface", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s+([A-Za-z_$][\w$]*)")),
@@ -160,7 +168,8 @@ def scanned_symbols(files: DataFrame) -> DataFrame:
             for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"]):
                 lines = (content or "").split("\n")
                 for kind, name, parent, a, b in (scan_python if language == "python" else scan_typescript)(content or ""):
-                    out.append((path, kind, name, parent, a, b, "\n".join(lines[a - 1 : b])))
+                    chunk = "\n".join(lines[a - 1 : b])
+                    out.append((path, kind, name, parent, a, b, chunk.strip() if kind == "variable" else chunk))
             yield pd.DataFrame(out, columns=["path", "kind", "name", "parent", "start_line", "end_line", "chunk"])
 
     wanted = files.where(F.col("language").isin("python", "typescript", "javascript")).select("path", "language", "content")

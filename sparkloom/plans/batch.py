@@ -3,14 +3,45 @@
 from __future__ import annotations
 
 import json
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
-TOOLS = ("semantic_search", "find_files", "get_symbols", "file_summary", "get_recent_changes", "get_dependencies", "find_importers", "find_references", "status")
+#: The tools of a plan and their arguments; a type of one element is required.
+TOOLS = {
+    "semantic_search": {"query": (str,), "limit": int, "min_score": float, "worktree_id": str, "file_pattern": str, "exclude_pattern": str, "language": str, "code_only": bool},
+    "find_files": {"pattern": (str,), "worktree_id": str},
+    "get_symbols": {"name": str, "file_path": str, "kind": str, "limit": int},
+    "get_file_summary": {"path": (str,)},
+    "get_recent_changes": {"query": str, "limit": int, "since": str},
+    "get_dependencies": {"path": (str,), "recursive": bool, "max_files": int},
+    "find_importers": {"target": (str,), "limit": int},
+    "find_references": {"symbol": (str,), "file_path": str, "include_declaration": bool, "include_context": bool, "context_lines": int, "limit": int},
+    "status": {},
+}
 MOST_CALLS = 8
 
 
+def arguments(tool: str, args: dict) -> dict:
+    """A tool's arguments in its own spelling: ``filePath`` and ``file_path`` are the same, the first counts.
+
+    Unknown ones, and optional ones of another type, are left out; a required text that is missing or blank is an error.
+    Numbers must be finite and are cut to whole ones where the tool wants those.
+    """
+    out = {}
+    for name, kind in TOOLS[tool].items():
+        needed, kind = (True, kind[0]) if isinstance(kind, tuple) else (False, kind)
+        head, *rest = name.split("_")
+        values = [args[k] for k in (head + "".join(x.title() for x in rest), name) if k in args]
+        fits = [v for v in values if (isinstance(v, kind) if kind in (str, bool) else isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v))]
+        if needed and not (fits and fits[0].strip()):
+            raise ValueError(f"{tool}: the text {name!r} is missing")
+        if fits:
+            out[name] = kind(fits[0])
+    return out
+
+
 def check_plan(plan, most: int = MOST_CALLS) -> list[dict]:
     """The calls of a plan: a list, or an object with ``calls``, or either as JSON; ValueError says what is wrong."""
     if isinstance(plan, str):
@@ -23,7 +54,22 @@ def check_plan(plan, most: int = MOST_CALLS) -> list[dict]:
             raise ValueError(f"call {i}: the tool must be one of {', '.join(TOOLS)}")
         if not isinstance(c.get("args", {}), dict):
             raise ValueError(f"call {i}: args must be an object")
-    return [{"tool": c["tool"], "args": c.get("args", {})} for c in calls]
+    return [{"tool": c["tool"], "args": arguments(c["tool"], c.get("args", {}))} for c in calls]
+
+
+def _call(engine, tool: str, args: dict):
+    """The engine's answer to one call; its own names of the arguments are set here."""
+    if tool == "semantic_search":
+        names = {"file_pattern": "include", "exclude_pattern": "exclude"}
+        return engine.semantic_search(**{names.get(k, k): v for k, v in args.items()})
+    if tool == "get_file_summary":
+        return engine.file_summary(**args)
+    if tool == "get_dependencies":
+        return engine.get_dependencies(args["path"], args.get("recursive", False), args.get("max_files", 50))
+    if tool == "find_references":
+        rows, note = engine.find_references(None, args["symbol"], args.get("file_path"), args.get("limit", 50), declarations=args.get("include_declaration", False))
+        return (engine.in_context(rows, args.get("context_lines", 2)) if args.get("include_context") else rows), note
+    return getattr(engine, tool)(**args)
 
 
 def _plain(x):
@@ -39,7 +85,7 @@ def run_plan(engine, plan, most: int = MOST_CALLS, threads: int = 1) -> dict:
     try:
         calls = check_plan(plan, most)
         with ThreadPoolExecutor(threads) as pool:
-            results = list(pool.map(lambda c: {"tool": c["tool"], "result": _plain(getattr(engine, c["tool"])(**c["args"]))}, calls))
+            results = list(pool.map(lambda c: {"tool": c["tool"], "result": _plain(_call(engine, c["tool"], c["args"]))}, calls))
         return {"ok": True, "calls_executed": len(calls), "results": results}
     except Exception as e:  # the envelope carries any error of a call
         return {"ok": False, "error": str(e)}

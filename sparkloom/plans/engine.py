@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,15 @@ class Engine:
     samples: list[tuple[str, float, str, bool]] = field(default_factory=list)
 
     def __post_init__(self):
-        self.store = Store(self.spark, self.root_dir)
         self.embedder, self.warning = embed.provider(self.config.embedding, dimensions=self.config.dimensions)
+        self.store = Store(self.spark, self.root_dir, self.embedder.dimensions)
+        self.content: DataFrame | None = None
+        self.commits: DataFrame | None = None
+
+    def attach(self, content: DataFrame | None = None, commits: DataFrame | None = None) -> None:
+        """The live files(path, content) and commits that questions read; ``index`` attaches the trees that it is given."""
+        self.content = content if content is not None else self.content
+        self.commits = commits if commits is not None else self.commits
 
     # -- writing ----------------------------------------------------------------------------------------------------------
 
@@ -39,6 +47,7 @@ class Engine:
         writes nothing.
         """
         key = lambda df, h: df.select(F.concat_ws("\x1f", "worktree_id", "path").alias("path"), F.col(h).alias("hash"))
+        self.attach(content=trees.select("path", "content"))
         old = self.store.read("tree_entries")
         same_schema = self.store.state("symbol_schema") == SYMBOL_SCHEMA
         diff = overlay.manifest_diff(key(old, "blob_hash"), key(trees, "content_hash"))
@@ -86,8 +95,8 @@ class Engine:
         vector = embed._hashed(query, self.embedder.dimensions).tolist() if isinstance(self.embedder, embed.HashEmbedder) else self.embedder.embed(self.spark.createDataFrame([(query,)], "q string"), "q").first()["vector"]
         return search.semantic_search(chunks, query, vector, limit, self.now_ms, self.visible(worktree_id), **filters)
 
-    def find_files(self, pattern: str, limit: int = 200) -> DataFrame:
-        return self.visible().where(P.matches(F.col("path"), pattern)).select("path").distinct().orderBy("path").limit(limit)
+    def find_files(self, pattern: str, limit: int = 200, worktree_id: str | None = None) -> DataFrame:
+        return self.visible(worktree_id).where(P.matches(F.col("path"), pattern)).select("path").distinct().orderBy("path").limit(limit)
 
     def get_symbols(self, **arguments) -> DataFrame:
         return tables.get_symbols(self.store.read("symbols"), **arguments)
@@ -95,7 +104,14 @@ class Engine:
     def search_docs(self, query: str, limit: int = 10) -> DataFrame:
         return tables.search_docs(self.store.read("docs_chunks"), query, limit)
 
-    def get_recent_changes(self, commits: DataFrame, query: str | None = None, limit: int = 20) -> DataFrame:
+    def get_recent_changes(self, commits: DataFrame | None = None, query: str | None = None, limit: int = 20, since: str | None = None) -> DataFrame:
+        """Of the commits given, else of those attached; ``since`` is a date or time in ISO 8601 and counts before any limit."""
+        commits = commits if commits is not None else self.commits
+        if commits is None:
+            raise ValueError("no commits are attached")
+        if since:
+            start = datetime.fromisoformat(since)
+            commits = commits.where(F.col("ts") >= F.timestamp_micros(F.lit(int((start if start.tzinfo else start.replace(tzinfo=timezone.utc)).timestamp() * 1e6))))
         return tables.recent_commits(commits, query, limit, self.config.most_commits)
 
     def get_dependencies(self, path: str, recursive: bool = True, most_files: int = 50) -> DataFrame:
@@ -114,13 +130,20 @@ class Engine:
         self._record("find_importers", start, "edges", False)
         return out
 
-    def find_references(self, content: DataFrame, symbol: str, anchor: str | None = None, limit: int = 50, **options) -> tuple[DataFrame, dict]:
-        """Over files(path, content); the index has edges and symbols."""
+    def find_references(self, content: DataFrame | None, symbol: str, anchor: str | None = None, limit: int = 50, **options) -> tuple[DataFrame, dict]:
+        """Over files(path, content), else over those attached; the index has edges and symbols."""
+        content = content if content is not None else self.content
+        if content is None:
+            raise ValueError("no files are attached")
         start = time.monotonic()
         rows, note = references.find_references(content, symbol, anchor, self._edges(), self.store.read("symbols"), limit, **options)
         self._record("find_references", start, note["actual"], note["actual"] == "heuristic")
         return rows, note
 
+    def in_context(self, rows: DataFrame, n: int = 2) -> DataFrame:
+        """References with the n lines around each, from the files attached."""
+        return references.with_context(rows, self.content, n)
+
     def _edges(self) -> DataFrame:
         return self.store.read("import_edges").withColumn("conditional", F.contains(F.coalesce("unresolved_reason", F.lit("")), F.lit("in a condition")))
 

@@ -1,4 +1,4 @@
-"""Queries of the code operators on a small source tree written here, with the rows that they must give."""
+"""Queries of the code operators over source trees that stand for whole tables: a file for every document or page."""
 
 from __future__ import annotations
 
@@ -6,104 +6,97 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import imports, references, symbols
+from .q_text import read
 
-TREE = {
-    "pkg/__init__.py": 'from .base import Shape\n\n__all__ = ["Shape"]\n',
-    "pkg/base.py": 'import os\nfrom pkg.tools import area\n\n\nclass Shape:\n    """A Shape has an area."""\n\n    def area(self):\n        return area(self)\n',
-    "pkg/square.py": "from .base import Shape\nfrom . import tools\n\n\nclass Square(Shape):\n    def area(self):\n        return tools.area(self) ** 2  # area\n",
-    "pkg/tools.py": "try:\n    import numpy\nexcept ImportError:\n    numpy = None\n\n\ndef area(x):\n    return 1\n\n\nLIMIT = [\n    1,\n]\n",
-    "pkg/notes.md": "# area\nSquare and area are explained here.\n",
-    "web/app.ts": 'import { add } from "./math";\nimport React from "react";\nexport * from "@/shared/util";\nimport x from "./gone";\n\nexport class App {\n  run(): number {\n    return add(1, 2);\n  }\n}\n\nexport interface Props {\n  name: string;\n}\n\nexport type Id = string | number;\n',
-    "web/math.ts": "export function add(a: number, b: number) {\n  return a + b;\n}\nexport enum Kind { A, B }\n",
-    "web/shared/util.ts": "export const one = 1;\n",
-    "srv/main.go": 'package main\n\nimport (\n\t"fmt"\n\t"example.com/srv/store"\n\t"github.com/x/y"\n)\n\ntype Server struct{}\n\nfunc (s *Server) Run() {}\n\nfunc main() { fmt.Println() }\n',
-    "srv/lib.rs": "use std::fmt;\npub struct Point;\npub trait Draw {}\npub enum Side { L }\npub fn draw() {}\n",
-    "srv/A.kt": "import a.b.C\ndata class User(val n: String)\nobject One\nfun greet() {}\ntypealias Id = String\n",
-}
 PROJECTS = [{"folder": "web", "base": "web", "paths": {"@/*": ["*"]}, "paths_from": "web"}]
+HUB = ("hub/base.py", "class Base:\n    def run(self):\n        return 1\n")
 
 
-def tree(spark):
-    df = spark.createDataFrame(sorted(TREE.items()), "path string, content string")
-    return df.withColumn("language", P.language(F.col("path")))
+def _with(spark, files, path, content):
+    """files and one more."""
+    return files.unionByName(spark.createDataFrame([(path, content)], "path string, content string")).withColumn("language", P.language(F.col("path")))
 
 
-def _python_edges(spark, d):
-    e = imports.python_edges(tree(spark))
-    return e.select("source_file", "raw_specifier", F.coalesce("resolved_target", F.lit("")).alias("target"), "edge_kind", "confidence")
+def _id(n=0):
+    return (F.col("doc_id") + n).cast("string")
 
 
-def _ts_edges(spark, d):
-    e = imports.ts_edges(tree(spark), PROJECTS)
-    return e.select("source_file", "raw_specifier", F.coalesce("resolved_target", F.lit("")).alias("target"), "edge_kind", "confidence")
+def _python(spark, d):
+    """A module for every document in a folder for its source; it imports the next document's and the hub."""
+    content = F.concat(
+        F.lit("import os\nimport numpy as np\nfrom hub.base import Base\nfrom .d"), _id(1), F.lit(" import run"), _id(1),
+        F.lit("\nfrom . import missing\ntry:\n    import yaml\nexcept ImportError:\n    yaml = None\n\nLIMIT = "), F.col("n_chars").cast("string"),
+        F.lit("\n\nclass Doc"), _id(), F.lit("(Base):\n    def run(self):\n        return run"), _id(1), F.lit("(LIMIT)\n\ndef run"), _id(), F.lit("(x):\n    return Doc"), _id(), F.lit("().run()\n"),
+    )
+    path = F.concat(F.lit("p_"), F.regexp_replace("source", "[^A-Za-z0-9]+", "_"), F.lit("/d"), _id(), F.lit(".py"))
+    return _with(spark, read(spark, d, "documents").select(path.alias("path"), content.alias("content")), *HUB)
 
 
-def _importers(spark, d):
-    return imports.find_importers(imports.python_edges(tree(spark)), "pkg/base.py")[0]
+def _typescript(spark, d):
+    """A module for every page that imports the next page's."""
+    n = F.col("page_id").cast("string")
+    content = F.concat(F.lit('import { a } from "./p'), (F.col("page_id") + 1).cast("string"), F.lit('";\nimport React from "react";\nexport * from "@/shared/util";\nimport x from "./gone";\n'))
+    return _with(spark, read(spark, d, "pages").select(F.concat(F.lit("web/p"), n, F.lit(".ts")).alias("path"), content.alias("content")), "web/shared/util.ts", "export const one = 1;\n")
 
 
-def _groups(spark, d):
-    g = imports.dependency_groups(imports.python_edges(tree(spark)))
-    return g.select("source_file", "group", F.array_join("names", ",").alias("names"))
+def _go(spark, d):
+    n = F.col("page_id").cast("string")
+    content = F.concat(F.lit('package main\n\nimport (\n\t"fmt"\n\t"example.com/srv/s'), n, F.lit('"\n\t"github.com/x/y'), n, F.lit('"\n)\n'))
+    return read(spark, d, "pages").select(F.concat(F.lit("srv/m"), n, F.lit(".go")).alias("path"), content.alias("content"), F.lit("go").alias("language"))
 
 
-def _go_groups(spark, d):
-    e = imports.line_edges(tree(spark)).where("lang = 'go'")
-    return e.select("raw_specifier", imports.go_class(F.col("raw_specifier"), "example.com/srv").alias("class"))
+def edge_rows(edges):
+    return edges.select("source_file", "raw_specifier", F.coalesce("resolved_target", F.lit("")).alias("target"), "edge_kind", "confidence")
 
 
-def _symbols(spark, d):
-    return symbols.symbol_chunks(tree(spark)).select("path", "kind", "name", "parent", "start_line", "end_line")
+def group_rows(edges):
+    return imports.dependency_groups(edges).select("source_file", "group", F.array_join("names", ",").alias("names"))
 
 
-def _python_references(spark, d):
-    return references.python_references(tree(spark), "area", "pkg/base.py").select("path", "line", "kind")
+def class_rows(files):
+    return imports.line_edges(files).where("lang = 'go'").select("raw_specifier", imports.go_class(F.col("raw_specifier"), "example.com/srv").alias("class"))
 
 
-def _stats(spark, d):
-    return imports.graph_stats(imports.python_edges(tree(spark))).select("total", "resolved", "stdlib", "external", "conditional")
+def symbol_rows(files):
+    return symbols.symbol_chunks(files).select("path", "kind", "name", "parent", "start_line", "end_line")
 
 
-def _values(names, rows):
-    quoted = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {quoted}) t({', '.join(chr(34) + n + chr(34) for n in names)})"
+def stat_rows(edges):
+    return imports.graph_stats(edges).select("total", "resolved", "stdlib", "internal", "internal_resolved", "external", "conditional")
 
 
 QUERIES = {
-    "import_edges_py": _python_edges,
-    "import_edges_ts": _ts_edges,
-    "importers": _importers,
-    "dep_groups": _groups,
-    "go_groups": _go_groups,
-    "symbol_chunks": _symbols,
-    "python_references": _python_references,
-    "graph_stats": _stats,
+    "import_edges_py": lambda s, d: edge_rows(imports.python_edges(_python(s, d))),
+    "import_edges_ts": lambda s, d: edge_rows(imports.ts_edges(_typescript(s, d), PROJECTS)),
+    "importers": lambda s, d: imports.find_importers(imports.python_edges(_python(s, d)), HUB[0])[0],
+    "dep_groups": lambda s, d: group_rows(imports.python_edges(_python(s, d))),
+    "go_groups": lambda s, d: class_rows(_go(s, d)),
+    "symbol_chunks": lambda s, d: symbol_rows(_python(s, d)),
+    "python_references": lambda s, d: references.python_references(_python(s, d), "LIMIT").select("path", "line", "kind"),
+    "graph_stats": lambda s, d: stat_rows(imports.python_edges(_python(s, d))),
 }
 
-_EDGE = ("source_file", "raw_specifier", "target", "edge_kind", "confidence")
+_FILES = """f AS (SELECT DISTINCT doc_id AS n, 'p_' || regexp_replace(source, '[^A-Za-z0-9]+', '_', 'g') AS dir FROM documents),
+x AS (SELECT f.*, f.dir || '/d' || f.n || '.py' AS path, '.d' || (f.n + 1) AS spec, CASE WHEN g.n IS NOT NULL THEN f.dir || '/d' || g.n || '.py' ELSE '' END AS next FROM f LEFT JOIN f g ON g.n = f.n + 1 AND g.dir = f.dir)"""
+
 ORACLES = {
-    "import_edges_py": _values(_EDGE, [
-        ("pkg/__init__.py", ".base", "pkg/base.py", "from", "high"), ("pkg/base.py", "os", "", "import", "medium"), ("pkg/base.py", "pkg.tools", "pkg/tools.py", "from", "high"),
-        ("pkg/square.py", ".base", "pkg/base.py", "from", "high"), ("pkg/square.py", ".", "pkg/__init__.py", "from", "high"), ("pkg/square.py", ".tools", "pkg/tools.py", "child", "high"), ("pkg/tools.py", "numpy", "", "import", "low"),
-    ]),
-    "import_edges_ts": _values(_EDGE, [
-        ("web/app.ts", "./math", "web/math.ts", "import", "high"), ("web/app.ts", "react", "pkg:react", "import", "medium"), ("web/app.ts", "@/shared/util", "web/shared/util.ts", "export", "high"), ("web/app.ts", "./gone", "", "import", "low"),
-    ]),
-    "importers": _values(("source_file", "via"), [("pkg/__init__.py", ".base"), ("pkg/square.py", ".base")]),
-    "dep_groups": _values(("source_file", "group", "names"), [
-        ("pkg/__init__.py", "internal", "pkg/base.py"), ("pkg/base.py", "internal", "pkg/tools.py"), ("pkg/base.py", "stdlib", "os"), ("pkg/square.py", "internal", "pkg/__init__.py,pkg/base.py,pkg/tools.py"), ("pkg/tools.py", "external", "numpy"),
-    ]),
-    "go_groups": _values(("raw_specifier", "class"), [("fmt", "stdlib"), ("example.com/srv/store", "internal"), ("github.com/x/y", "external")]),
-    "symbol_chunks": _values(("path", "kind", "name", "parent", "start_line", "end_line"), [
-        ("pkg/__init__.py", "variable", "__all__", "", 3, 3), ("pkg/base.py", "class", "Shape", "", 5, 10), ("pkg/base.py", "method", "area", "Shape", 8, 10), ("pkg/square.py", "class", "Square", "", 5, 8), ("pkg/square.py", "method", "area", "Square", 6, 8),
-        ("pkg/tools.py", "function", "area", "", 7, 10), ("pkg/tools.py", "variable", "LIMIT", "", 11, 13), ("srv/A.kt", "class", "User", "", 2, 2), ("srv/A.kt", "class", "One", "", 3, 3), ("srv/A.kt", "function", "greet", "", 4, 4), ("srv/A.kt", "type", "Id", "", 5, 5),
-        ("srv/lib.rs", "class", "Point", "", 2, 2), ("srv/lib.rs", "interface", "Draw", "", 3, 3), ("srv/lib.rs", "enum", "Side", "", 4, 4), ("srv/lib.rs", "function", "draw", "", 5, 5),
-        ("srv/main.go", "class", "Server", "", 9, 9), ("srv/main.go", "method", "Run", "Server", 11, 11), ("srv/main.go", "function", "main", "", 13, 13),
-        ("web/app.ts", "class", "App", "", 6, 10), ("web/app.ts", "method", "run", "App", 7, 9), ("web/app.ts", "interface", "Props", "", 12, 14), ("web/app.ts", "type", "Id", "", 16, 16),
-        ("web/math.ts", "function", "add", "", 1, 3), ("web/math.ts", "enum", "Kind", "", 4, 4),
-    ]),
-    "python_references": _values(("path", "line", "kind"), [
-        ("pkg/base.py", 2, "reference"), ("pkg/base.py", 8, "declaration"), ("pkg/base.py", 9, "reference"), ("pkg/square.py", 6, "override"), ("pkg/square.py", 7, "reference"), ("pkg/tools.py", 7, "declaration"),
-    ]),
-    "graph_stats": _values(("total", "resolved", "stdlib", "external", "conditional"), [(7, 5, 1, 1, 1)]),
-}
+    "import_edges_py": f"""WITH {_FILES}
+SELECT path AS source_file, 'os' AS raw_specifier, '' AS target, 'import' AS edge_kind, 'medium' AS confidence FROM x UNION ALL SELECT path, 'numpy', '', 'import', 'low' FROM x
+UNION ALL SELECT path, 'yaml', '', 'import', 'low' FROM x UNION ALL SELECT path, 'hub.base', 'hub/base.py', 'from', 'high' FROM x
+UNION ALL SELECT path, spec, next, 'from', CASE WHEN next = '' THEN 'low' ELSE 'high' END FROM x UNION ALL SELECT path, '.', dir, 'from', 'medium' FROM x""",
+    "import_edges_ts": """WITH x AS (SELECT DISTINCT p.page_id AS n, q.page_id AS m FROM pages p LEFT JOIN pages q ON q.page_id = p.page_id + 1)
+SELECT 'web/p' || n || '.ts' AS source_file, './p' || (n + 1) AS raw_specifier, CASE WHEN m IS NULL THEN '' ELSE 'web/p' || m || '.ts' END AS target, 'import' AS edge_kind, CASE WHEN m IS NULL THEN 'low' ELSE 'high' END AS confidence FROM x
+UNION ALL SELECT 'web/p' || n || '.ts', 'react', 'pkg:react', 'import', 'medium' FROM x UNION ALL SELECT 'web/p' || n || '.ts', './gone', '', 'import', 'low' FROM x
+UNION ALL SELECT 'web/p' || n || '.ts', '@/shared/util', 'web/shared/util.ts', 'export', 'high' FROM x""",
+    "importers": f"WITH {_FILES} SELECT path AS source_file, 'hub.base' AS via FROM x ORDER BY path LIMIT 100",
+    "dep_groups": f"""WITH {_FILES} SELECT path AS source_file, 'internal' AS "group", 'hub/base.py,' || dir || CASE WHEN next <> '' THEN ',' || next ELSE '' END AS names FROM x
+UNION ALL SELECT path, 'stdlib', 'os' FROM x UNION ALL SELECT path, 'external', CASE WHEN next = '' THEN spec || ',' ELSE '' END || 'numpy,yaml' FROM x""",
+    "go_groups": """WITH p AS (SELECT DISTINCT page_id AS n FROM pages) SELECT 'fmt' AS raw_specifier, 'stdlib' AS "class" FROM p
+UNION ALL SELECT 'example.com/srv/s' || n, 'internal' FROM p UNION ALL SELECT 'github.com/x/y' || n, 'external' FROM p""",
+    "symbol_chunks": f"""WITH {_FILES} SELECT path, 'variable' AS kind, 'LIMIT' AS name, '' AS parent, 11 AS start_line, 11 AS end_line FROM x UNION ALL SELECT path, 'class', 'Doc' || n, '', 13, 16 FROM x
+UNION ALL SELECT path, 'method', 'run', 'Doc' || n, 14, 16 FROM x UNION ALL SELECT path, 'function', 'run' || n, '', 17, 19 FROM x
+UNION ALL SELECT 'hub/base.py', 'class', 'Base', '', 1, 4 UNION ALL SELECT 'hub/base.py', 'method', 'run', 'Base', 2, 4""",
+    "python_references": f"WITH {_FILES} SELECT path, 11 AS line, 'declaration' AS kind FROM x UNION ALL SELECT path, 15, 'reference' FROM x",
+    "graph_stats": f"""WITH {_FILES} SELECT 6 * count(*) AS total, 2 * count(*) + count(*) FILTER (WHERE next <> '') AS resolved, count(*) AS stdlib, 3 * count(*) AS internal,
+2 * count(*) + count(*) FILTER (WHERE next <> '') AS internal_resolved, 2 * count(*) AS external, count(*) AS conditional FROM x""",
+}

@@ -221,9 +221,16 @@ def _first_wins(spark, d):
     return tables.first_wins(rows, ["conv_id", "role"], ["turn"]).select("conv_id", "role", "turn")
 
 
+WANTED = "cold widget"
+
+
 def _suggest(spark, d):
-    part = read(spark, d, "part")
-    return part.select("p_partkey", F.round(search.suggestion_score(F.col("p_name"), "part"), 6).alias("match"))
+    return read(spark, d, "part").select("p_partkey", F.round(search.suggestion_score(F.col("p_name"), WANTED), 6).alias("match"))
+
+
+def _suggest_top(spark, d):
+    names = read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("start_line"))
+    return search.suggest_symbols(names, WANTED, 20).select("name", "start_line", F.round("match", 6).alias("match"))
 
 
 QUERIES = {
@@ -252,8 +259,14 @@ QUERIES = {
     "prefix_closure": _closure,
     "first_wins_dedupe": _first_wins,
     "symbol_suggestions": _suggest,
+    "suggest_top": _suggest_top,
 }
 
+_SUGGEST_SQL = rf"""n AS (SELECT *, lower(trim(p_name)) AS c, '{WANTED}' AS q FROM part),
+m AS (SELECT *, list_max(list_filter(range(0, least(length(c), length(q)) + 1), lambda i: left(c, i) = left(q, i))) AS pre, {_TOKENS.format('q')} AS qt, {_TOKENS.format('c')} AS ct FROM n),
+s AS (SELECT *, CASE WHEN c = '' THEN 0.0 WHEN c = q THEN 1.0 WHEN starts_with(c, q) THEN 0.95 WHEN contains(c, q) THEN 0.85 WHEN contains(q, c) THEN 0.7
+ ELSE greatest(0.65 * pre / greatest(length(c), length(q)), 0.75 * len(list_filter(qt, lambda t: list_contains(ct, t))) / len(qt)) END::DOUBLE AS score FROM m)"""
+
 _METRIC_SQL = """WITH r AS (SELECT source AS query, doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents),
 g AS (SELECT DISTINCT source AS query, doc_id AS path FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 h AS (SELECT query, 1.0 / min(place) AS rr, sum(CASE WHEN place <= 10 THEN 1 / log2(place + 1) ELSE 0 END) AS dcg, count(*) FILTER (WHERE place <= 5) AS p, count(*) FILTER (WHERE place <= 10) AS k FROM r JOIN g USING (query, path) GROUP BY 1),
@@ -262,6 +275,8 @@ i AS (SELECT n, (SELECT sum(1 / log2(x + 1)) FROM range(1, 11) t(x) WHERE x <= n
 SELECT round(avg(coalesce(rr, 0)), 6) AS mrr, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg, round(avg(coalesce(p, 0) / 5), 6) AS "precision", round(avg(coalesce(k, 0) / w.n), 6) AS recall FROM w JOIN i ON i.n = w.n LEFT JOIN h USING (query)"""
 
 ORACLES = {
+    "symbol_suggestions": f"WITH {_SUGGEST_SQL} SELECT p_partkey, round(score, 6) AS match FROM s",
+    "suggest_top": f"WITH {_SUGGEST_SQL} SELECT p_name AS name, p_partkey AS start_line, round(score, 6) AS match FROM s WHERE score > 0 ORDER BY score DESC, p_partkey, p_brand, p_name LIMIT 20",
     "knn_topk": _knn_sql("true"),
     "knn_filtered": _knn_sql("label IN (1, 2, 3)"),
     "knn_join": """WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, 65), lambda i: (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),

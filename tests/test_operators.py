@@ -50,6 +50,59 @@ def test_store_round_trip_and_recovery(spark, tmp_path):
     assert rows(s.read("docs_chunks"), "url", "chunk_index") == [("u", 0), ("w", 0)]
 
 
+BLOBS = "blob_hash string, chunk_ids array<string>"
+
+
+@pytest.mark.parametrize("step", ["data", "marker", "done"])
+def test_a_write_that_dies_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch, step):
+    s = Store(spark, f"file://{tmp_path}/idx")
+    s.replace("blobs", spark.createDataFrame([("old", ["1"])], BLOBS))
+    new = spark.createDataFrame([("new", ["2"])], BLOBS)
+    mark = Store._mark
+
+    def dies(self, name, v):
+        if step == "done":
+            mark(self, name, v)
+        raise KeyboardInterrupt
+
+    if step == "data":
+        new = new.withColumn("blob_hash", F.raise_error(F.lit("lost")).cast("string"))
+    else:
+        monkeypatch.setattr(Store, "_mark", dies)
+    with pytest.raises(BaseException):
+        s.replace("blobs", new)
+    monkeypatch.undo()
+    want = [("new",)] if step == "done" else [("old",)]
+    assert rows(s.read("blobs"), "blob_hash") == want
+    s.recover("blobs")
+    assert rows(s.read("blobs"), "blob_hash") == want and s.recover("blobs") == []
+    s.replace("blobs", spark.createDataFrame([("next", [])], BLOBS))
+    assert rows(s.read("blobs"), "blob_hash") == [("next",)]
+
+
+def test_recovery_keeps_the_only_whole_version(spark, tmp_path, monkeypatch):
+    s = Store(spark, f"file://{tmp_path}/idx")
+    monkeypatch.setattr(Store, "_mark", lambda self, name, v: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        s.replace("blobs", spark.createDataFrame([("first", [])], BLOBS))
+    monkeypatch.undo()
+    (tmp_path / "idx" / "blobs" / "v2" / "_temporary").mkdir(parents=True)  # and a second that was never finished
+    assert s.read("blobs").count() == 0 and s.recover("blobs") == ["v2"]
+    assert rows(s.read("blobs"), "blob_hash") == [("first",)] and s.recover("blobs") == []
+    s.compact("blobs", 2)
+    assert s.vacuum("blobs", keep=0) == ["v1"] and rows(s.read("blobs"), "blob_hash") == [("first",)]
+    with pytest.raises(Exception):
+        s._mark("blobs", 2)  # another writer came first
+
+
+def test_vectors_of_another_length_are_refused(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/idx", dimensions=2)
+    s.upsert("chunks", spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "id string, vector array<float>"))
+    with pytest.raises(Exception, match="2 values"):
+        s.upsert("chunks", spark.createDataFrame([("c", [1.0])], "id string, vector array<float>"))
+    assert rows(s.read("chunks"), "id") == [("a",), ("b",)]
+
+
 def test_scalar_filter_and_knn(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0], "r", None), ("b", [0.0, 1.0], "r", "w"), ("c", [1.0, 0.1], "s", "w")], "id string, vector array<double>, repo string, tree string")
     near = search.knn(df, [1.0, 0.0], 2, "id")
@@ -67,8 +120,13 @@ def test_symbol_and_path_beat_a_closer_vector(spark):
 
 def test_suggestions(spark):
     s = spark.createDataFrame([("getUser", 3), ("getuser", 1), ("user", 2), ("zzz", 9)], "name string, start_line int").withColumn("file_path", F.lit("f"))
-    assert [r["name"] for r in search.suggest_symbols(s, "getUser", 3).collect()] == ["getUser", "getuser", "user"]
+    assert [r["name"] for r in search.suggest_symbols(s, "getUser", 3).collect()] == ["getuser", "getUser", "user"]
     assert search.suggest_symbols(s, "qqqq", 2).count() == 2
+    names = [(x,) for x in ("Foo", "fooBar", "aFooB", "fo", "f_o_x", "x foo y z", " ", None)]
+    got = {r["name"]: r["m"] for r in spark.createDataFrame(names, "name string").select("name", F.round(search.suggestion_score(F.col("name"), " foo "), 4).alias("m")).collect()}
+    assert got == {"Foo": 1.0, "fooBar": 0.95, "aFooB": 0.85, "fo": 0.7, "f_o_x": 0.13, "x foo y z": 0.85, " ": 0.0, None: 0.0}
+    two = spark.createDataFrame([("bar_x_foo",)], "name string").select(search.suggestion_score(F.col("name"), "foo bar").alias("m")).first()["m"]
+    assert two == 0.75  # both words, in another order
 
 
 def test_floor_percentile(spark):
@@ -109,7 +167,7 @@ def test_docstrings_are_masked():
 
 
 def test_references_by_anchor(spark):
-    from sparkloom.plans.q_code import tree
+    from code_tree import tree
     from sparkloom.operators import imports
 
     t, e = tree(spark), imports.ts_edges(tree(spark))
@@ -132,7 +190,7 @@ def test_locations():
 
 
 def test_router_falls_back_to_lines(spark):
-    from sparkloom.plans.q_code import tree
+    from code_tree import tree
 
     got = symbols.route_chunks(tree(spark))
     kinds = {r["path"]: r["kind"] for r in got.collect()}
