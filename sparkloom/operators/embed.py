@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -51,32 +50,33 @@ class HashEmbedder:
         return df.withColumn(out, vectors(F.col(text).cast("string")))
 
 
-def _hashed(text: str | None, dim: int):
-    v = np.zeros(dim)
-    for t in re.split(r"[^a-z0-9_]+", (text or "").lower()):
-        if t:
-            i = _slot(t, dim)
-            v[i] += 1
-            v[(i + 17) % dim] += 0.5
-    if not v.any():
-        v[0] = 1.0
-        return v
-    return v / reduce(lambda a, x: a + x * x, v.tolist(), 0.0) ** 0.5
+_WORDS = re.compile("[a-z0-9_]+")
 
 
-_slots: dict[tuple[str, int], int] = {}
+def _hashed(text: str | None, dim: int) -> np.ndarray:
+    places = np.fromiter(map(_hashes.__getitem__, _WORDS.findall((text or "").lower())), np.int64)
+    if not len(places):
+        return np.eye(1, dim)[0]
+    if len(_hashes) > MOST_HASHES:
+        _hashes.clear()
+    counts = np.bincount(places % dim, minlength=dim)
+    v = counts + 0.5 * np.roll(counts, 17)
+    return v / np.sqrt((v * v).sum())  # a sum of quarters, exact in any order
 
 
-def _slot(token: str, dim: int) -> int:
-    found = _slots.get((token, dim))
-    if found is None:
-        if len(_slots) > 500_000:
-            _slots.clear()
+class _Hashes(dict):
+    """|FNV-1a| of the words met so far."""
+
+    def __missing__(self, word: str) -> int:
         h = 2166136261
-        for c in token.encode():
+        for c in word.encode():
             h = (h ^ c) * 16777619 & 0xFFFFFFFF
-        found = _slots[token, dim] = abs(h - (1 << 32) if h >> 31 else h) % dim
-    return found
+        self[word] = found = abs(h - (1 << 32) if h >> 31 else h)
+        return found
+
+
+_hashes = _Hashes()
+MOST_HASHES = 500_000  # of a worker, between texts
 
 
 class NativeHashEmbedder(HashEmbedder):

@@ -11,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the session's shared folder (its own where none is named, as in tests) and read again."""
+    """df written as Parquet in the session's shared folder (on a local master its own where none is named, as in tests) and read again."""
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named and app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sparkloom-rounds-")
     path = f"{(named or _own[app]).rstrip('/')}/round-{uuid.uuid4().hex}"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+MOST_PARTS = 16
+
 
 def search_docs(docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Document chunks(url, chunk_index, title, content, updated_at) with the query in content, title or URL, in any case; newest first."""
@@ -106,17 +110,19 @@ def merged(primary: DataFrame, secondary: DataFrame, key: list[str], order: list
 def closure(edges: DataFrame, start: DataFrame, parent: str, child: str, most_rounds: int = 100) -> DataFrame:
     """(node, depth) of all that can be reached from start(node) along edges(parent, child), with the fewest steps; cycles are safe.
 
-    Only the nodes new in a round go into the next, so a round costs what it finds.
+    Only the nodes new in a round go into the next and are written; what earlier rounds found is written again once in
+    ``MOST_PARTS`` rounds, so that the plan stays small.
     """
     from .rounds import settle
 
     hops = edges.select(F.col(parent).alias("_from"), F.col(child).alias("node")).distinct()
-    reached = settle(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    front = reached
+    front = settle(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    parts = [front]
     for depth in range(1, most_rounds + 1):
+        reached = reduce(DataFrame.unionByName, parts)
         found = front.join(hops, front["node"] == hops["_from"]).select(hops["node"]).distinct().join(reached, "node", "left_anti")
         front = settle(found.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        reached = settle(reached.unionByName(front))
-    return reached
+        parts = [settle(reached), front] if len(parts) >= MOST_PARTS else [*parts, front]
+    return reduce(DataFrame.unionByName, parts)

@@ -83,19 +83,24 @@ def _penalty(spark, d):
     return docs.select("doc_id", F.round(search.penalty(F.when(F.col("lang") == "en", "markdown").otherwise("go"), path, F.col("n")), 6).alias("penalty"))
 
 
+def _files(spark, d, table, kind, key, content, out="blob_hash"):
+    """A table's rows as files with the hash of their content."""
+    return read(spark, d, table).select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("path"), F.md5(content).alias(out))
+
+
 def _tree(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.where("doc_id % 4 <> 3").select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("blob_hash"))
+    return _files(spark, d, "documents", "", "doc_id", "text")
 
 
 def _dirty(spark, d):
-    """Labelled documents are dirty: their content is that of the text with a mark."""
+    """Labelled documents are dirty: their content is that of the text with a mark. Pages are files not yet tracked."""
     docs = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_semi")
-    return docs.select(F.col("doc_id").cast("string").alias("path"), F.md5(F.concat("text", F.lit("!"))).alias("content_hash"))
+    changed = docs.select(F.col("doc_id").cast("string").alias("path"), F.md5(F.concat("text", F.lit("!"))).alias("content_hash"))
+    return changed.unionByName(_files(spark, d, "pages", "page", "page_id", "html", "content_hash"))
 
 
-_TREE_SQL = """tree AS (SELECT doc_id::VARCHAR AS path, md5(text) AS blob_hash FROM documents WHERE doc_id % 4 <> 3),
-dirty AS (SELECT doc_id::VARCHAR AS path, md5(text || '!') AS content_hash FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+_TREE_SQL = """tree AS (SELECT doc_id::VARCHAR AS path, md5(text) AS blob_hash FROM documents),
+dirty AS (SELECT doc_id::VARCHAR AS path, md5(text || '!') AS content_hash FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'page' || page_id, md5(html) FROM pages),
 visible AS (SELECT coalesce(t.path, d.path) AS path, coalesce(content_hash, blob_hash) AS hash, (t.path IS NULL) AS late FROM tree t FULL JOIN dirty d ON t.path = d.path)"""
 
 
@@ -111,24 +116,29 @@ def _aliases(spark, d):
 
 
 def _diff(spark, d):
-    after = _visible(spark, d).select("path", "hash")
-    before = read(spark, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.md5("text").alias("hash"))
-    return overlay.manifest_diff(before, after)
+    """The manifest before had the conversations as files, and the documents without what is dirty now."""
+    before = _tree(spark, d).unionByName(_files(spark, d, "conversations", "conv", "conv_id", "text")).withColumnRenamed("blob_hash", "hash")
+    return overlay.manifest_diff(before, _visible(spark, d).select("path", "hash"))
+
+
+def _ids(spark, d, table, kind, key):
+    return read(spark, d, table).select(F.md5(F.concat(F.lit(kind), F.col(key).cast("string"))).alias("id"))
 
 
 def _stored(spark, d):
-    return read(spark, d, "documents").where("doc_id % 10 <> 1").select(F.md5(F.concat("source", F.col("doc_id").cast("string"))).alias("id"))
+    """Chunks of documents and of pages that nothing names any more."""
+    return _ids(spark, d, "documents", "doc", "doc_id").unionByName(_ids(spark, d, "pages", "page", "page_id"))
 
 
 def _referenced(spark, d):
-    docs = read(spark, d, "documents").where("doc_id % 10 <> 2")
-    ids = F.array(F.md5(F.concat("source", F.col("doc_id").cast("string"))))
-    blobs = docs.where("doc_id % 3 <> 0").select(ids.alias("chunk_ids"))
-    return overlay.referenced_ids(blobs, docs.where("doc_id % 3 = 0").select(ids.alias("chunk_ids")))
+    """Documents' chunks, and those of dirty benchmark items that were never stored."""
+    named = [_ids(spark, d, *x).select(F.array("id").alias("chunk_ids")) for x in (("documents", "doc", "doc_id"), ("benchmark", "item", "item_id"))]
+    return overlay.referenced_ids(*named)
 
 
 def _blob_gc(spark, d):
-    blobs = read(spark, d, "documents").select(F.md5("text").alias("blob_hash")).distinct()
+    """Blobs of documents and of conversations, which no file has."""
+    blobs = _tree(spark, d).unionByName(_files(spark, d, "conversations", "conv", "conv_id", "text")).select("blob_hash").distinct()
     return overlay.unreferenced_blobs(blobs, _tree(spark, d), _dirty(spark, d))
 
 
@@ -289,11 +299,12 @@ SELECT doc_id, round(-(CASE WHEN lang = 'en' THEN 0.04 + CASE WHEN n >= 80 THEN
 c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'x' || doc_id END AS path, CASE WHEN doc_id % 9 = 0 THEN '' ELSE md5(text) END AS blob FROM documents),
 r AS (SELECT doc_id, CASE WHEN v.path IS NOT NULL AND (blob = '' OR v.hash = blob) THEN c.path WHEN blob <> '' THEN alias END AS path FROM c LEFT JOIN visible v ON v.path = c.path LEFT JOIN a ON a.hash = blob)
 SELECT doc_id, path FROM r WHERE path IS NOT NULL""",
-    "manifest_diff": f"""WITH {_TREE_SQL}, b AS (SELECT doc_id::VARCHAR AS path, md5(text) AS hash FROM documents WHERE doc_id % 5 <> 0)
+    "manifest_diff": f"""WITH {_TREE_SQL}, b AS (SELECT doc_id::VARCHAR AS path, md5(text) AS hash FROM documents UNION ALL SELECT 'conv' || conv_id, md5(text) FROM conversations)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'deleted' WHEN a.hash = b.hash THEN 'same' ELSE 'modified' END AS change FROM visible a FULL JOIN b ON a.path = b.path""",
-    "consistency_missing": "SELECT md5(source || doc_id) AS id FROM documents WHERE doc_id % 10 = 1",
-    "consistency_orphan": "SELECT md5(source || doc_id) AS id FROM documents WHERE doc_id % 10 = 2",
-    "blob_gc": f"WITH {_TREE_SQL} SELECT DISTINCT md5(text) AS blob_hash FROM documents WHERE md5(text) NOT IN (SELECT blob_hash FROM tree) AND md5(text) NOT IN (SELECT content_hash FROM dirty)",
+    "consistency_missing": "SELECT DISTINCT md5('item' || item_id) AS id FROM benchmark",
+    "consistency_orphan": "SELECT DISTINCT md5('page' || page_id) AS id FROM pages",
+    "blob_gc": f"""WITH {_TREE_SQL}, b AS (SELECT DISTINCT md5(text) AS blob_hash FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations))
+SELECT blob_hash FROM b WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.blob_hash = b.blob_hash) AND NOT EXISTS (SELECT 1 FROM dirty t WHERE t.content_hash = b.blob_hash)""",
     "new_blobs": "SELECT min(doc_id) AS path, md5(text) AS blob_hash FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY 2",
     "known_ids_union": "SELECT doc_id AS id FROM documents UNION SELECT doc_id FROM labels",
     "symbols_filter": "SELECT p_name AS name, p_type AS kind, p_brand AS file_path, p_partkey AS start_line FROM part WHERE contains(lower(p_name), 'an') ORDER BY 1, 3, 4 LIMIT 200",
