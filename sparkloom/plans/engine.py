@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import embed, imports, overlay, references, search, symbols, tables
 from ..operators.store import Store
 from ..sources import documents, files, projects
+from ..streaming import watch
 
 SYMBOL_SCHEMA = "1"
 
@@ -43,7 +46,8 @@ class Engine:
     def index(self, trees: DataFrame) -> dict:
         """Bring the index up to files(worktree_id, repo_id, path, content_hash, language, content, ...); says what changed.
 
-        A file whose content is known already is neither chunked nor embedded again, and a second run over the same trees
+        Each working tree is scanned on its own, so trees may hold different files at one path; an import resolves within its
+        tree. A file whose content is known already is neither chunked nor embedded again, and a second run over the same trees
         writes nothing.
         """
         key = lambda df, h: df.select(F.concat_ws("\x1f", "worktree_id", "path").alias("path"), F.col(h).alias("hash"))
@@ -58,8 +62,10 @@ class Engine:
         named = trees.select("*", F.col("content_hash").alias("blob_hash"))
         known = self.store.read("blobs").select("blob_hash")
         fresh = overlay.new_blobs(named, known)
-        parts = symbols.route_chunks(fresh).join(fresh.select("path", "language", "repo_id", "worktree_id", "blob_hash"), "path")
-        parts = self.embedder.embed(parts, "chunk")
+        holder = fresh.groupBy("blob_hash").agg(F.min("worktree_id").alias("worktree_id"))
+        fresh = fresh.join(holder, ["blob_hash", "worktree_id"], "left_semi")
+        scan = lambda df: symbols.route_chunks(df).join(df.select("path", "language", "repo_id", "worktree_id", "blob_hash"), "path")
+        parts = self.embedder.embed(_by_tree(fresh, scan), "chunk")
         chunks = parts.select(
             F.col("chunk_id").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("chunk").alias("content"), F.col("path").alias("file_path"), "start_line", "end_line",
             F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), "language", "repo_id", "worktree_id", "blob_hash",
@@ -70,9 +76,9 @@ class Engine:
         self.store.replace("blobs", named.select("blob_hash").distinct().join(ids, "blob_hash", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>"))))
         used = self.store.read("blobs").select("blob_hash")
         self.store.replace("chunks", written.join(used, "blob_hash", "left_semi"))
-        names = symbols.symbol_chunks(named).join(named.select("path", "repo_id", "worktree_id"), "path")
+        names = _by_tree(named, lambda df: symbols.symbol_chunks(df).join(df.select("path", "repo_id", "worktree_id"), "path"))
         self.store.replace("symbols", names.select("name", "kind", F.col("path").alias("file_path"), "start_line", "end_line", F.col("chunk_id").alias("chunk_id"), "repo_id", "worktree_id"))
-        edges = imports.python_edges(named, self.config.import_aliases).unionByName(imports.ts_edges(named))
+        edges = _by_tree(named, lambda df: imports.python_edges(df, self.config.import_aliases).unionByName(imports.ts_edges(df)))
         self.store.replace("import_edges", edges.drop("conditional"))
         self.store.replace("tree_entries", named.select("worktree_id", "path", "blob_hash"))
         self.store.put_state(symbol_schema=SYMBOL_SCHEMA, indexed_at=str(self.now_ms))
@@ -189,6 +195,12 @@ class Engine:
         return report
 
 
+def _by_tree(trees: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """scan() of each working tree's files, together; there are as many trees as checkouts."""
+    ids = [r[0] for r in trees.select("worktree_id").distinct().orderBy("worktree_id").collect()]
+    return reduce(DataFrame.unionByName, [scan(trees.where(F.col("worktree_id").eqNullSafe(F.lit(w)))) for w in ids or [None]])
+
+
 def index_state(tracked: bool, dirty: bool, has_chunks: bool, has_symbols: bool) -> str:
     if dirty:
         return "dirty-overlay" if has_chunks and has_symbols else "dirty-overlay-incomplete" if has_chunks or has_symbols else "dirty-overlay-unstructured"
@@ -197,12 +209,6 @@ def index_state(tracked: bool, dirty: bool, has_chunks: bool, has_symbols: bool)
     return "live-file-not-indexed"
 
 
-def last_writers(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def bake_off(evaluate, candidates: dict[str, dict]) -> list[tuple[str, dict]]:
     """Candidates by what ``evaluate(options)`` measures, best first: by mrr, then ndcg, then name. One that fails has an error."""
     out = []
@@ -222,3 +228,8 @@ def scan_roots(spark: SparkSession, roots: list[str], config: projects.Config) -
         df = files.scan_files(spark, root, config.include, config.exclude, info["repo_id"], info["worktree_id"])
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def watched(engine: Engine, roots: list[str], checkpoint: str, poll_ms: int = watch.POLL_MS, quiet_ms: int = watch.DEBOUNCE_MS) -> watch.Watcher:
+    """A watcher that brings the index up to the roots after each batch of changes; the caller starts and stops it."""
+    return watch.Watcher(engine.spark, roots, lambda changes: engine.index(scan_roots(engine.spark, roots, engine.config)), checkpoint, poll_ms, quiet_ms)

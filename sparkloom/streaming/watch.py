@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -97,10 +98,7 @@ class TreeReader(SimpleDataSourceStreamReader):
 
 
 class TreeDiff(StatefulProcessor):
-    """Keyed by root: keeps each path's signature, gives out what a poll changed, and after ``quiet_ms`` of quiet the batch."""
-
-    def __init__(self, quiet_ms: int = 0):
-        self.quiet_ms = quiet_ms
+    """Keyed by root: keeps each path's signature and gives out what a poll changed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -138,11 +136,16 @@ def stream_changes(snapshots: DataFrame) -> DataFrame:
 
 
 class Watcher:
-    """Runs ``on_batch(changes)`` for each batch of changes, one at a time, sorted by path; start and stop may be called again."""
+    """Runs ``on_batch(changes)`` for each batch of changes, one at a time, sorted by path; start and stop may be called again.
+
+    A batch ends once ``quiet_ms`` have passed without a change, looked at after each poll; of several changes of a path the
+    last counts. What waits when the watcher stops is given out then.
+    """
 
-    def __init__(self, spark: SparkSession, roots: list[str], on_batch: Callable[[list[tuple[str, str, str]]], None], checkpoint: str, poll_ms: int = POLL_MS):
+    def __init__(self, spark: SparkSession, roots: list[str], on_batch: Callable[[list[tuple[str, str, str]]], None], checkpoint: str, poll_ms: int = POLL_MS, quiet_ms: int = DEBOUNCE_MS):
         self.spark, self.roots, self.on_batch, self.checkpoint, self.query = spark, roots, on_batch, checkpoint, None
-        self.poll_ms = max(LEAST_POLL_MS, poll_ms)
+        self.poll_ms, self.quiet_ms = max(LEAST_POLL_MS, poll_ms), max(LEAST_DEBOUNCE_MS, quiet_ms)
+        self.waiting, self.changed = {}, 0.0
 
     def start(self) -> None:
         if self.query is not None and self.query.isActive:
@@ -150,14 +153,24 @@ class Watcher:
         self.spark.dataSource.register(TreeSource)
         rows = self.spark.readStream.format("tree_poll").option("roots", ";".join(self.roots)).load()
 
-        def each(df: DataFrame, _: int) -> None:
-            found = coalesce_changes(df, ["root", "path"], ["poll"]).orderBy("path", "root").select("root", "path", "kind").collect()  # one poll's changes
-            if found:
-                self.on_batch([tuple(r) for r in found])
+        self.query = stream_changes(rows).writeStream.foreachBatch(lambda df, _: self.polled(df)).option("checkpointLocation", self.checkpoint).trigger(processingTime=f"{self.poll_ms} milliseconds").start()
+
+    def polled(self, changes: DataFrame) -> None:
+        """Take in what a poll changed, and give out what waits after a poll without changes and enough quiet."""
+        found = coalesce_changes(changes, ["root", "path"], ["poll"]).select("root", "path", "kind").collect()  # one poll's changes
+        self.waiting |= {(r["root"], r["path"]): r["kind"] for r in found}
+        if found:
+            self.changed = time.monotonic()
+        elif time.monotonic() - self.changed >= self.quiet_ms / 1000:
+            self._give_out()
 
-        self.query = stream_changes(rows).writeStream.foreachBatch(each).option("checkpointLocation", self.checkpoint).trigger(processingTime=f"{self.poll_ms} milliseconds").start()
+    def _give_out(self) -> None:
+        if self.waiting:
+            batch, self.waiting = sorted(((*k, kind) for k, kind in self.waiting.items()), key=lambda x: (x[1], x[0])), {}
+            self.on_batch(batch)
 
     def stop(self) -> None:
         if self.query is not None:
             self.query.stop()
             self.query = None
+            self._give_out()

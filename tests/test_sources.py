@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.plans.batch import check_plan, format_references, format_results, format_status, format_summary, run_plan
-from sparkloom.plans.engine import Engine, index_state, scan_roots
+from sparkloom.plans.engine import Engine, index_state, scan_roots, watched
 from sparkloom.sources import documents, files, projects
 
 
@@ -84,6 +84,46 @@ def test_index_is_incremental_and_answers(spark, repo, tmp_path):
     every_tool_runs_from_a_plan(e, repo)
 
 
+def test_two_trees_with_one_path(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/idx")
+    rows = [("wA", "a.py", "hA", "def alpha():\n    return 1\n"), ("wB", "a.py", "hB", "def beta():\n    return 2\n"), ("wB", "b.py", "hA", "def alpha():\n    return 1\n")]
+    trees = spark.createDataFrame([(w, "r", p, h, "python", c) for w, p, h, c in rows], "worktree_id string, repo_id string, path string, content_hash string, language string, content string")
+    assert e.index(trees)["added"] == 3
+    named = {(r["worktree_id"], r["file_path"], r["name"]) for r in e.store.read("symbols").collect()}
+    assert named == {("wA", "a.py", "alpha"), ("wB", "a.py", "beta"), ("wB", "b.py", "alpha")}
+    assert sorted((r["blob_hash"], r["symbol_name"]) for r in e.store.read("chunks").collect()) == [("hA", "alpha"), ("hB", "beta")]
+    assert [r["path"] for r in e.semantic_search("alpha", 1, "wA").collect()] == ["a.py"]
+    assert {r["path"] for r in e.semantic_search("alpha", 5, "wB").collect()} == {"a.py", "b.py"}
+    assert e.doctor() == {"missing": 0, "orphan": 0, "removed": []}
+
+
+def test_watched_trees_are_indexed(spark, repo, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/idx")
+    w = watched(e, [str(repo)], str(tmp_path / "cp"))
+    for changes in ([("r", "a.py", "modified")], []):
+        w.waiting = {x[:2]: x[2] for x in changes}
+        w._give_out()
+    assert [r["path"] for r in e.find_files("*.py").collect()] == ["a.py", "sub/b.py", "sub/c.py"]
+
+
+def test_changes_wait_for_quiet(spark, tmp_path):
+    from sparkloom.streaming.watch import Watcher
+
+    got = []
+    w = Watcher(spark, [], got.append, str(tmp_path), 1, 1)
+    assert (w.poll_ms, w.quiet_ms) == (50, 25)
+    change = lambda *rows: spark.createDataFrame(list(rows), "root string, path string, kind string, poll long")
+    w.quiet_ms = 60_000
+    w.polled(change(("r", "b", "added", 1), ("r", "a", "added", 1), ("r", "b", "modified", 2)))
+    w.polled(change())
+    assert got == []  # not quiet for long enough
+    w.polled(change(("r", "a", "deleted", 3)))
+    w.quiet_ms = 0
+    w.polled(change())
+    w.polled(change())
+    assert got == [[("r", "a", "deleted"), ("r", "b", "modified")]]
+
+
 def every_tool_runs_from_a_plan(e, repo):
     e.attach(commits=files.git_history(e.spark, str(repo)))
     calls = [
