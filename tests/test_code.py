@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from code_tree import PROJECTS, ROWS, tree
 
-from sparkloom.operators import imports, references
+from sparkloom.operators import imports, references, symbols
 from sparkloom.plans import q_code
 
 ANSWERS = {
@@ -38,3 +38,29 @@ def test_constants_are_a_line_and_all_runs_on():
 
     text = '__all__ = [\n    "a",\n]\n\n\nLIMIT = [\n    1,\n]\n__all__: list = \\\n    ["b"]\nX = 1\n'
     assert scan_python(text) == [("variable", "__all__", "", 1, 5), ("variable", "LIMIT", "", 6, 6), ("variable", "__all__", "", 9, 10), ("variable", "X", "", 11, 11)]
+
+
+def test_top_level_declarations(spark):
+    code = "export const a = 'class Z'\n  const inner = 1\nexport default class B {\n}\nasync function* c() {}\nconst enum D { x }\n"
+    got = imports.ts_declarations(spark.createDataFrame([("a.ts", code), ("b.py", "class X: pass"), ("e.ts", None)], "path string, content string")).collect()
+    assert sorted((r["line"], r["name"], r["kind"]) for r in got) == [(1, "a", "variable"), (3, "B", "class"), (5, "c", "function"), (6, "D", "enum")]
+
+
+def test_paths_suggested_for_a_missing_one(spark):
+    files = spark.createDataFrame([("src/a.py",), ("src/b.py",), ("lib/user_model.py",), ("src/deep/c.py",)], "path string")
+    got = [(r["path"], r["why"]) for r in imports.suggest_paths(files, "src/user.ts").collect()]
+    assert sorted(got) == [("lib/user_model.py", "alike"), ("src/a.py", "beside"), ("src/b.py", "beside")]
+
+
+def test_importers_of_the_first_spelling_that_has_any(spark):
+    edges = spark.createDataFrame([("x.py", "pkg/a"), ("y.py", "pkg/a.py"), ("y.py", "pkg/a.py"), ("z.py", "pkg/b.py")], "source_file string, resolved_target string")
+    got = lambda *v: sorted(tuple(r) for r in imports.ranked_importers(edges, list(v)).collect())
+    assert got("a", "pkg/a.py", "pkg/a") == [("y.py", "pkg/a.py")] and got("none") == []
+
+
+def test_nearest_declaration_and_exported_names():
+    lines = ["def f():", "    pass", "x = f()", "", "def f():", "    return 1"]
+    assert references.nearest_declaration(lines, 4, "f", "python") == 5 and references.nearest_declaration(lines, 2, "f", "python") == 1
+    assert references.nearest_declaration(lines, 3, "g", "python") is None and references.nearest_declaration([], 1, "f", "python") is None
+    assert symbols.exported_names("a = 1\n__all__: list = ['a', \"b\", c]\n") == ["a", "b"]
+    assert symbols.exported_names("def (") == symbols.exported_names("x = 1") == []

@@ -204,3 +204,11 @@ def test_knn_join_with_many_ties(spark):
     got = sorted((r["q"], r["rank"], r["id"]) for r in search.knn_join(q, v, 3, "id", "q", block=1).collect())
     assert got == [(7, 1, 0), (7, 2, 1), (7, 3, 2), (8, 1, 1003), (8, 2, 1002), (8, 3, 1004)]
     assert search.knn_join(q.limit(0), v, 3, "id", "q").count() == 0
+
+
+def test_contents_are_counted_and_ids_scrubbed(spark):
+    tree = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "k")], "path string, blob_hash string")
+    dirty = spark.createDataFrame([("d", "h")], "path string, content_hash string")
+    assert overlay.reference_counts("h", tree, dirty).first()["n"] == 3 and overlay.reference_counts("x", tree, dirty).first()["n"] == 0
+    blobs = spark.createDataFrame([("h", ["1", "2", "3"]), ("k", []), ("n", None)], "blob_hash string, chunk_ids array<string>")
+    assert rows(overlay.scrub_ids(blobs, ["2", "9"]), "blob_hash", "chunk_ids") == [("h", ["1", "3"]), ("k", []), ("n", None)]

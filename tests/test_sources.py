@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.plans.batch import check_plan, format_references, format_results, format_status, format_summary, run_plan
-from sparkloom.plans.engine import Engine, index_state, scan_roots, watched
+from sparkloom.plans.engine import Engine, bake_off, index_state, scan_roots, watched
 from sparkloom.sources import documents, files, projects
 
 
@@ -233,3 +233,19 @@ def test_watch_stream(spark, tmp_path):
     finally:
         w.stop()
         w.stop()
+
+
+def test_bake_off_ranks_and_keeps_failures():
+    def evaluate(options):
+        return {"mrr": 1 / options["n"], "ndcg": 0.5}
+
+    got = bake_off(evaluate, {"b": {"n": 2}, "a": {"n": 2}, "best": {"n": 1}, "broken": {"n": 0}})
+    assert [name for name, _ in got] == ["best", "a", "b", "broken"] and "error" in got[-1][1]
+
+
+def test_indexed_docs_are_replaced_by_url(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/idx")
+    pages = lambda *rows: spark.createDataFrame(list(rows), "url string, content_type string, body string")
+    e.index_docs(pages(("u", "text/html", "<html><title>T</title><body>old words</body></html>"), ("v", "text/plain", "other")))
+    e.index_docs(pages(("u", "text/plain", "new words")))
+    assert [r["content"] for r in e.search_docs("words").collect()] == ["new words"] and e.search_docs("OTHER").count() == 1
