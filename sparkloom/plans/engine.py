@@ -43,21 +43,24 @@ class Engine:
 
     # -- writing ----------------------------------------------------------------------------------------------------------
 
-    def index(self, trees: DataFrame) -> dict:
+    def index(self, trees: DataFrame, head: DataFrame | None = None) -> dict:
         """Bring the index up to files(worktree_id, repo_id, path, content_hash, language, content, ...); says what changed.
 
         Each working tree is scanned on its own, so trees may hold different files at one path; an import resolves within its
         tree. A file whose content is known already is neither chunked nor embedded again, and a second run over the same trees
-        writes nothing.
+        writes nothing. With head(worktree_id, path, blob_hash), the last commits, files that differ from theirs are kept as
+        dirty files over the tracked ones; working trees that head doesn't have are tracked as they are.
         """
-        key = lambda df, h: df.select(F.concat_ws("\x1f", "worktree_id", "path").alias("path"), F.col(h).alias("hash"))
         self.attach(content=trees.select("path", "content"))
-        old = self.store.read("tree_entries")
         same_schema = self.store.state("symbol_schema") == SYMBOL_SCHEMA
-        diff = overlay.manifest_diff(key(old, "blob_hash"), key(trees, "content_hash"))
+        tree, dirty = _over_head(trees, head)
+        old = overlay.visible_files(_keyed(self.store.read("tree_entries"), "blob_hash"), _keyed(self.store.read("dirty_files"), "content_hash"))
+        diff = overlay.manifest_diff(old, _keyed(trees, "content_hash").withColumnRenamed("content_hash", "hash"))
         counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
         report = {k: counts.get(k, 0) for k in ("added", "modified", "deleted", "same")}
         if same_schema and not report["added"] + report["modified"] + report["deleted"]:
+            if head is not None:
+                self._lay_over(tree, dirty)
             return report
         named = trees.select("*", F.col("content_hash").alias("blob_hash"))
         known = self.store.read("blobs").select("blob_hash")
@@ -80,10 +83,21 @@ class Engine:
         self.store.replace("symbols", names.select("name", "kind", F.col("path").alias("file_path"), "start_line", "end_line", F.col("chunk_id").alias("chunk_id"), "repo_id", "worktree_id"))
         edges = _by_tree(named, lambda df: imports.python_edges(df, self.config.import_aliases).unionByName(imports.ts_edges(df)))
         self.store.replace("import_edges", edges.drop("conditional"))
-        self.store.replace("tree_entries", named.select("worktree_id", "path", "blob_hash"))
+        self._lay_over(tree, dirty)
         self.store.put_state(symbol_schema=SYMBOL_SCHEMA, indexed_at=str(self.now_ms))
         return report
 
+    def _lay_over(self, tree: DataFrame, dirty: DataFrame) -> None:
+        """Store the tracked and the dirty files, where they differ from those stored; dirty ones name their chunks."""
+        for name, rows, h in (("tree_entries", tree, "blob_hash"), ("dirty_files", dirty, "content_hash")):
+            was = _keyed(self.store.read(name), h).withColumnRenamed(h, "hash")
+            if overlay.manifest_diff(was, _keyed(rows, h).withColumnRenamed(h, "hash")).where("change <> 'same'").isEmpty():
+                continue
+            if name == "dirty_files":
+                ids = self.store.read("blobs").withColumnRenamed("blob_hash", "content_hash")
+                rows = rows.join(ids, "content_hash", "left").select("worktree_id", "path", "content_hash", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
+            self.store.replace(name, rows)
+
     def index_docs(self, pages: DataFrame) -> int:
         """Replace the chunks of the pages(url, content_type, body) given; others stay."""
         return self.store.replace_group("docs_chunks", documents.chunked(documents.readable(pages)), "url")
@@ -94,7 +108,9 @@ class Engine:
         tree, dirty = self.store.read("tree_entries"), self.store.read("dirty_files")
         if worktree_id:
             tree, dirty = (t.where(F.col("worktree_id") == worktree_id) for t in (tree, dirty))
-        return overlay.visible_files(tree, dirty)
+        both = overlay.visible_files(_keyed(tree, "blob_hash"), _keyed(dirty, "content_hash"))
+        path = F.substring_index("path", "\x1f", -1)
+        return both.select(path.alias("path"), "hash", F.struct("place.dirty_only", path.alias("path"), F.col("path").alias("key")).alias("place"))
 
     def semantic_search(self, query: str, limit: int = 10, worktree_id: str | None = None, **filters) -> DataFrame:
         chunks = self.store.read("chunks").withColumnsRenamed({"id": "chunk_id", "file_path": "path"}).withColumn("modified", F.lit(None).cast("timestamp"))
@@ -195,6 +211,24 @@ class Engine:
         return report
 
 
+def _keyed(rows: DataFrame, h: str) -> DataFrame:
+    """(path, hash) with the working tree before the path, so that trees don't meet."""
+    return rows.select(F.concat_ws("\x1f", "worktree_id", "path").alias("path"), h)
+
+
+def _over_head(trees: DataFrame, head: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The tracked tree_entries(worktree_id, path, blob_hash) and the dirty(worktree_id, path, content_hash) of files over head."""
+    key = ["worktree_id", "path"]
+    files_now = trees.select(*key, "content_hash")
+    if head is None:
+        return files_now.withColumnRenamed("content_hash", "blob_hash"), files_now.limit(0)
+    ours = head.select("worktree_id").distinct()
+    there = head.select(*key, "blob_hash").join(files_now, key, "left_semi")  # a tracked file that is gone can't be seen
+    tracked = there.unionByName(files_now.join(ours, "worktree_id", "left_anti").withColumnRenamed("content_hash", "blob_hash"))
+    changed = files_now.join(ours, "worktree_id", "left_semi").join(head.select(*key, F.col("blob_hash").alias("content_hash")), [*key, "content_hash"], "left_anti")
+    return tracked, changed
+
+
 def _by_tree(trees: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """scan() of each working tree's files, together; there are as many trees as checkouts."""
     ids = [r[0] for r in trees.select("worktree_id").distinct().orderBy("worktree_id").collect()]
@@ -230,6 +264,13 @@ def scan_roots(spark: SparkSession, roots: list[str], config: projects.Config) -
     return out
 
 
+def head_trees(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The last commits' tree_entries of the roots that are in a repository."""
+    known = [(root, info["worktree_id"]) for root in roots if (info := files.worktree_info(root))]
+    empty = spark.createDataFrame([], "worktree_id string, path string, blob_hash string")
+    return reduce(DataFrame.unionByName, [files.head_tree(spark, *x) for x in known], empty)
+
+
 def watched(engine: Engine, roots: list[str], checkpoint: str, poll_ms: int = watch.POLL_MS, quiet_ms: int = watch.DEBOUNCE_MS) -> watch.Watcher:
     """A watcher that brings the index up to the roots after each batch of changes; the caller starts and stops it."""
-    return watch.Watcher(engine.spark, roots, lambda changes: engine.index(scan_roots(engine.spark, roots, engine.config)), checkpoint, poll_ms, quiet_ms)
+    return watch.Watcher(engine.spark, roots, lambda changes: engine.index(scan_roots(engine.spark, roots, engine.config), head_trees(engine.spark, roots)), checkpoint, poll_ms, quiet_ms)

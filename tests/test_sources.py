@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.plans.batch import check_plan, format_references, format_results, format_status, format_summary, run_plan
-from sparkloom.plans.engine import Engine, bake_off, index_state, scan_roots, watched
+from sparkloom.plans.engine import Engine, bake_off, head_trees, index_state, scan_roots, watched
 from sparkloom.sources import documents, files, projects
 
 
@@ -97,6 +97,20 @@ def test_two_trees_with_one_path(spark, tmp_path):
     assert e.doctor() == {"missing": 0, "orphan": 0, "removed": []}
 
 
+def test_dirty_files_lie_over_the_last_commit(spark, repo, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/idx")
+    (repo / "a.py").write_text("def fresh():\n    return 3\n")
+    index = lambda: e.index(scan_roots(spark, [str(repo)], e.config), head_trees(spark, [str(repo)]))
+    assert index()["added"] == 4
+    dirty = lambda: {r["path"]: len(r["chunk_ids"]) for r in e.store.read("dirty_files").collect()}
+    assert dirty()["a.py"] == 1 and "sub/b.py" not in dirty() and e.file_summary("a.py")["state"] == "dirty-overlay"
+    assert [r["path"] for r in e.semantic_search("fresh", 1).collect()] == ["a.py"]
+    git(repo, "add", "-A")
+    git(repo, "commit", "-q", "-m", "all")
+    assert index()["same"] == 4 and dirty() == {} and e.file_summary("a.py")["state"] == "indexed"
+    assert e.doctor()["orphan"] == 0
+
+
 def test_watched_trees_are_indexed(spark, repo, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/idx")
     w = watched(e, [str(repo)], str(tmp_path / "cp"))
