@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import editprint, lines, media, mixing, pieces, quality, secrets, simhash, toxicity, urls
+from . import editprint, lines, media, mixing, pieces, pivots, quality, runs, secrets, simhash, toxicity, turns, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_editprint": editprint.op8_editprint,
     "op9_secrets": secrets.op9_secrets,
     "op10_simhash": simhash.op10_simhash,
+    "op11_pivots": pivots.op11_pivots,
+    "op12_runs": runs.op12_runs,
+    "op13_turns": turns.op13_turns,
 }
 
 ORACLES: dict[str, str] = {
     "op7_mixing": mixing.oracle(),
     "op9_secrets": secrets.oracle(),
+    "op11_pivots": pivots.oracle(),
+    "op13_turns": turns.oracle(),
 }
