@@ -21,7 +21,8 @@ REPEATS = 2.0
 BLOCK_TOKENS = 1 << 16
 STEPS = 6  # of bisection for each pass over the sources
 ROUNDS = 8
-PER_BUCKET = 512
+#: Rows in a bucket of a source, and buckets in a shelf: running totals go over one bucket, one shelf or all shelves of a source.
+PER_BUCKET, PER_SHELF = 512, 4096
 #: Per-source figures are broadcast up to so many sources and joined by shuffle beyond.
 BROADCAST_SOURCES = 50_000
 
@@ -98,10 +99,11 @@ def plan(rows: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
 
 
 def lay_out(rows: DataFrame, mix: Mix, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """One row for each copy of rows(key, source, tokens): key, source, tokens, weight, repeats, epoch, block and turn.
+    """One row for each copy of rows(key, mark, source, tokens): key, source, tokens, weight, repeats, epoch, block and turn.
 
-    A source's whole epochs hold all its rows; the last, partial one holds those whose turn begins before it ends. A
-    large source is cut into buckets of the keyed order, so running totals never need more than one bucket in a task.
+    ``mark`` tells rows of one key apart, so that each has a turn of its own. A source's whole epochs hold all its rows; the
+    last, partial one holds those whose turn begins before it ends. A large source is cut into buckets of the keyed order, and
+    those into shelves, so running totals never need more than one of them in a task.
     """
     buckets = F.greatest(F.ceil(F.col("docs") / PER_BUCKET), F.lit(1)).cast("long")
     figures = mix.sources.select(F.col("source").alias("s"), F.col("tokens").alias("of"), "weight", "repeats", buckets.alias("buckets"))
@@ -112,13 +114,18 @@ def lay_out(rows: DataFrame, mix: Mix, block_tokens: int = BLOCK_TOKENS, seed: i
     at = rows.join(figures, rows["source"].eqNullSafe(F.col("s"))).drop("s")
     last = F.greatest(F.ceil("repeats").cast("int") - 1, F.lit(0))
     at = at.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    at = at.withColumn("turn", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("key").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long"))
+    at = at.withColumn("turn", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("mark"))), 1, 15), 16, 10).cast("long"))
     at = at.withColumn("bucket", F.pmod(F.shiftright("turn", 20), F.col("buckets")))
     group = ["source", "epoch", "bucket"]
     sums = at.groupBy(*group).agg(F.sum("tokens").alias("in_bucket"))
-    ahead = F.sum("in_bucket").over(Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*[F.col(c).alias(f"g_{c}") for c in group], F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    own = F.sum("tokens").over(Window.partitionBy(*group).orderBy("turn", "key").rowsBetween(Window.unboundedPreceding, -1))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("shelf", F.floor(F.col("bucket") / PER_SHELF))
+    shelves = sums.groupBy("source", "epoch", "shelf").agg(F.sum("in_bucket").alias("in_shelf"))
+    shelves = shelves.select(*[F.col(c).alias(f"s_{c}") for c in ("source", "epoch", "shelf")], F.coalesce(F.sum("in_shelf").over(before(Window.partitionBy("source", "epoch").orderBy("shelf"))), F.lit(0)).alias("below"))
+    sums = sums.join(shelves, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("epoch") == F.col("s_epoch")) & (F.col("shelf") == F.col("s_shelf")))
+    ahead = F.col("below") + F.coalesce(F.sum("in_bucket").over(before(Window.partitionBy("source", "epoch", "shelf").orderBy("bucket"))), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"g_{c}") for c in group], ahead.alias("ahead"))
+    own = F.sum("tokens").over(before(Window.partitionBy(*group).orderBy("turn", "key", "mark")))
     at = at.withColumn("own", F.coalesce(own, F.lit(0)))
     match = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in group]
     at = at.join(sums, match[0] & match[1] & match[2])
@@ -132,11 +139,15 @@ def mix_documents(docs: DataFrame, entropy: float = ENTROPY, repeats: float = RE
     """doc_id, source, n_tokens, weight, repeats, epoch, block and turn of every copy of docs(doc_id, text, source) in the mix.
 
     Blocks follow each other, and rows within a block by turn. Null and empty texts have no tokens but are laid out like
-    others. Null and repeated ids are allowed, each row being laid out by itself. Other columns are ignored; an empty table
-    gives an empty result.
+    others. Null and repeated ids are allowed, each row being laid out by itself: rows of one id are told apart by their texts'
+    hash, and equal rows are counted and numbered, so the result doesn't depend on where rows are read. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").alias("key"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens"))
-    rows = materialize(rows, "tokens")
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(F.col("doc_id").alias("key"), F.col("source").cast("string").alias("source"), digest.alias("digest"), n_tokens(F.col("text")).alias("tokens"))
+    rows = rows.groupBy("key", "source", "digest", "tokens").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = materialize(rows.select("key", F.concat_ws(":", "digest", F.col("copy").cast("string")).alias("mark"), "source", "tokens"), "tokens")
     out = lay_out(rows, plan(rows, entropy, repeats, budget), block_tokens, seed)
     return out.select(F.col("key").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("repeats", 6).alias("repeats"), "epoch", "block", "turn")
 
@@ -151,7 +162,7 @@ def mixed(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, b
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     keyed = docs.select(whole, F.xxhash64("doc_id", source, F.col("text").cast("string")).alias("key"), source.alias("source"))
     rows = keyed.select("key", "source", n_tokens(F.col("row.text")).alias("tokens"))
-    rows = materialize(rows.groupBy("key", "source").agg(F.sum("tokens").alias("tokens")), "tokens")
+    rows = materialize(rows.groupBy("key", "source").agg(F.sum("tokens").alias("tokens")).withColumn("mark", F.lit("")), "tokens")
     copies = lay_out(rows, plan(rows, entropy, repeats, budget), block_tokens, seed)
     copies = materialize(copies.select("key", "block", "turn"), "copies")
     out = keyed.select("row", "key").join(small(copies), "key").repartition(shuffle_partitions(docs.sparkSession), "block").sortWithinPartitions("block", "turn")
@@ -162,7 +173,7 @@ def oracle() -> str:
     entropy = "(ln(list_sum(list_transform(ps, lambda p: pow(p, {0}))) ) - {0} * list_sum(list_transform(ps, lambda p: pow(p, {0}) * ln(p))) / list_sum(list_transform(ps, lambda p: pow(p, {0}))))"
     enough = f"{entropy.format('mid')} >= {ENTROPY} * ln(n) - 1e-12"
     half = "i + 1 AS i, CASE WHEN {0} THEN mid ELSE lo END AS lo, CASE WHEN {0} THEN hi ELSE mid END AS hi"
-    return f"""WITH RECURSIVE t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, source, md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
 s AS (SELECT source, sum(tokens)::DOUBLE AS tok, count(*) AS docs FROM t GROUP BY 1),
 f AS (SELECT list(tok / (SELECT sum(tok) FROM s) ORDER BY source) AS ps, max(tok) AS most, min(tok) AS low, count(*)::DOUBLE AS n FROM s WHERE tok > 0),
 e(i, lo, hi) AS (SELECT 0, 0::DOUBLE, 1::DOUBLE UNION ALL SELECT {half.format(enough)} FROM (SELECT *, (lo + hi) / 2 AS mid FROM e WHERE i < {STEPS * ROUNDS}), f),
@@ -173,8 +184,8 @@ w AS (SELECT source, tok, CASE WHEN tok > 0 THEN pow(tok / (SELECT sum(tok) FROM
  round(CASE WHEN tok > 0 THEN pow(most / tok, 1 - a) ELSE 1 END, 9) AS repeats, greatest(ceil(docs / {PER_BUCKET}), 1)::BIGINT AS buckets FROM s, f, a2),
 b AS (SELECT greatest(1, ceil(trunc(sum(tok * repeats)) / {BLOCK_TOKENS}))::BIGINT AS blocks FROM w),
 c AS (SELECT t.*, tok, weight, repeats, buckets, unnest(range(0, greatest(ceil(repeats)::INT - 1, 0) + 1)) AS epoch FROM t JOIN w USING (source)),
-h AS (SELECT *, ('0x' || substr(md5('{SEED}:' || epoch || ':' || doc_id), 1, 15))::BIGINT AS turn FROM c),
-p AS (SELECT *, epoch + CASE WHEN tok > 0 THEN coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY (turn >> 20) % buckets, turn, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / tok ELSE 0 END AS place FROM h)
+h AS (SELECT *, ('0x' || substr(md5('{SEED}:' || epoch || ':' || coalesce(doc_id::VARCHAR, '') || ':' || mark), 1, 15))::BIGINT AS turn FROM c),
+p AS (SELECT *, epoch + CASE WHEN tok > 0 THEN coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY (turn >> 20) % buckets, turn, doc_id, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / tok ELSE 0 END AS place FROM h)
 SELECT doc_id, source, tokens AS n_tokens, round(weight, 6) AS weight, round(repeats, 6) AS repeats, epoch::INT AS epoch, least(floor(place / repeats * blocks), blocks - 1)::BIGINT AS block, turn FROM p, b WHERE place < repeats"""
 
 

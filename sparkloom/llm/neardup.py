@@ -19,6 +19,8 @@ from .words import mix, words_in
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
 CENTRES = 5
+#: Texts in a bucket up to which all are compared with all.
+FEW = 6
 #: Shingles of a large bucket that one task holds against as many others.
 SIDE = 1 << 20
 _SALTS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,21 +70,25 @@ def candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b), a > b, of node ids of texts(node, fp, bands), linear in the number of texts; and the buckets
     (band, key, node, n).
 
-    In each band's bucket every text meets CENTRES others: the smallest node, and those that share most buckets with others,
-    by several weightings; in a group of copies of one text that is the text itself. ``rest_links`` compares what that leaves.
+    In a small bucket all texts meet. In one of more than FEW every text meets CENTRES others: the smallest node, and those
+    that share most buckets with others, by several weightings; in a group of copies of one text that is the text itself.
+    ``rest_links`` compares what that leaves.
     Texts of one fingerprint meet its smallest node, and those meet along the index's links.
     """
     rows = texts.select("node", F.posexplode("bands").alias("band", "key"))
     shared = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     rows = materialize(rows.join(shared, ["band", "key"]), "buckets")
+    few = rows.where(F.col("n") <= FEW).groupBy("band", "key").agg(F.array_sort(F.collect_set("node")).alias("s"))
+    few = few.select(F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as node, y as other))))")).alias("p")).select("p.*")
     degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = rows.join(degree, "node")
+    many = rows.where(F.col("n") > FEW)
+    ranked = many.join(degree, "node")
     unit = lambda i: F.pmod(F.xxhash64("node", "band", F.lit(i)), F.lit(1 << 20)) / (1 << 20)
     best = [F.max_by("node", F.struct(F.col("degree") * (1 + 0.4 * i * unit(i)), "node")).alias(f"m{i}") for i in range(CENTRES - 1)]
     centres = ranked.groupBy("band", "key").agg(F.min("node").alias("first"), *best)
     picks = F.array_distinct(F.array("first", *[f"m{i}" for i in range(CENTRES - 1)]))
     centres = materialize(centres.select("band", "key", F.explode(picks).alias("other")), "centres")
-    banded = rows.join(centres, ["band", "key"]).select("node", "other")
+    banded = many.join(centres, ["band", "key"]).select("node", "other").unionByName(few)
     heads = materialize(texts.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
     same = texts.select("node", "fp").join(heads.where("n > 1"), "fp").select("node", F.col("head").alias("other"))
     links = fingerprint_links(heads.select("fp"))
@@ -100,7 +106,7 @@ def rest_links(buckets: DataFrame, roots: DataFrame, texts_of, similar: float) -
     ``similar`` or more between components leaves a task. ``texts_of`` gives (node, text) of given nodes. None if nothing is left.
     """
     where = ["band", "key"]
-    big = buckets.where(F.col("n") > CENTRES + 1).join(roots, "node", "left").select(*where, "node", F.coalesce("root", "node").alias("root"))
+    big = buckets.where(F.col("n") > FEW).join(roots, "node", "left").select(*where, "node", F.coalesce("root", "node").alias("root"))
     big = materialize(big, "large-buckets")
     most = big.groupBy(*where, "root").agg(F.count("*").alias("c")).groupBy(*where).agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"))
     most = materialize(most.where("roots > 1").drop("roots"), "split-buckets")

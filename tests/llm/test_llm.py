@@ -545,6 +545,25 @@ def test_mixing_weights_and_blocks(spark):
     assert abs(few["n_tokens"].sum() - 5000) < 250
 
 
+def test_mixing_does_not_depend_on_where_rows_are_read(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(None, sentence(rng, rng.randrange(1, 9)), "en", rng.choice("ab"), None) for _ in range(3000)] + [(7, "same text", "en", "a", None)] * 400 + [(8, None, "en", None, None)] * 3
+    monkeypatch.setattr(mixing, "PER_BUCKET", 16)
+    monkeypatch.setattr(mixing, "PER_SHELF", 4)
+    one, two = (collections.Counter(map(tuple, mixing.mix_documents(docs_of(spark, rows).repartition(n), 0.99, 2.0, block_tokens=256).collect())) for n in (4, 7))
+    assert one == two and sum(one.values()) >= len(rows)
+    assert set(one.values()) == {1} and len({(r[1], r[5], r[7]) for r in one}) == len(one)  # every copy has a turn of its own
+
+
+def test_near_dedup_keeps_links_between_hubs(spark):
+    """A bucket of four texts of which one shares many other buckets: all six pairs are candidates."""
+    bands = {1: [100 + i for i in range(11)], 2: [], 3: [], 4: []}
+    rows = [(n, n, [9] + keys) for n, keys in bands.items()] + [(20 + i, 20 + i, [-i - 1] + [100 + j if j == i else 5000 + 50 * i + j for j in range(11)]) for i in range(11)]
+    texts = spark.createDataFrame([(n, f, [k if i == 0 else k + 10_000 * i for i, k in enumerate(b + [70_000 + 100 * n + x for x in range(12 - len(b))])]) for n, f, b in rows], "node long, fp long, bands array<long>")
+    pairs = {tuple(r) for r in neardup.candidate_pairs(texts)[0].collect()}
+    assert {(2, 1), (3, 1), (4, 1), (3, 2), (4, 2), (4, 3)} <= pairs
+
+
 def test_mixed_rows_are_those_of_the_plan(spark):
     rng = random.Random(9)
     rows = [(i, sentence(rng, 20), "en", "big" if i % 4 else "small", 0) for i in range(200)]
