@@ -12,6 +12,8 @@ LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust", "kt": "kotlin",
     "kts": "kotlin", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "md": "markdown", "json": "json",
 }
+#: The fewer languages that a file's summary tells apart.
+SUMMARY_LANGUAGES = ("typescript", "javascript", "python", "go", "rust", "kotlin", "java", "markdown", "json")
 #: Directory and file names that a scan leaves out.
 IGNORED = (
     "node_modules", ".git", ".next", "dist", "build", "coverage", "target", "vendor", "__pycache__", ".venv", "venv", ".mypy_cache", ".ruff_cache",
@@ -47,6 +49,12 @@ def language(path: Column) -> Column:
     return F.coalesce(table[extension(path)], F.lit("text"))
 
 
+def summary_language(path: Column) -> Column:
+    """As ``language``, with text for those that summaries don't tell apart."""
+    found = language(path)
+    return F.when(found.isin(*SUMMARY_LANGUAGES), found).otherwise("text")
+
+
 def is_secret(path: Column) -> Column:
     return path.rlike(SECRET_NAMES) | path.rlike(SECRET_SEGMENTS)
 

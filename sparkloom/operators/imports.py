@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import json
 import os
 import re
 import sys
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .nearest import TREE, candidates, given_configs, go_targets, scoped
+from .rounds import settle
 from .symbols import blank_literals
 
 #: Top-level modules of the running Python; what counts as standard library.
@@ -67,45 +68,48 @@ def python_statements(content: str) -> list[tuple[str, int, list[str], bool, str
 
 
 def python_imports(files: DataFrame) -> DataFrame:
-    """(source_file, module, level, names, conditional, edge_kind, mutates_path, hints) of Python files(path, content)."""
+    """(worktree_id, source_file, module, level, names, conditional, edge_kind, mutates_path, hints) of Python files(path, content)."""
 
     def run(batches):
         for pdf in batches:
             out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for tree, path, content in zip(pdf[TREE], pdf["path"], pdf["content"]):
                 hints = _HINT.findall(content or "")
-                out += [(path, m, lv, n, c, k, "sys.path" in content, hints) for m, lv, n, c, k in python_statements(content or "")]
-            yield pd.DataFrame(out, columns=["source_file", "module", "level", "names", "conditional", "edge_kind", "mutates_path", "hints"])
+                out += [(tree, path, m, lv, n, c, k, "sys.path" in content, hints) for m, lv, n, c, k in python_statements(content or "")]
+            yield pd.DataFrame(out, columns=[TREE, "source_file", "module", "level", "names", "conditional", "edge_kind", "mutates_path", "hints"])
 
-    python = files.where(P.extension(F.col("path")).isin("py", "pyi")).select("path", "content")
-    return python.mapInPandas(run, "source_file string, module string, level int, names array<string>, conditional boolean, edge_kind string, mutates_path boolean, hints array<string>")
+    python = scoped(files).where(P.extension(F.col("path")).isin("py", "pyi")).select(TREE, "path", "content")
+    return python.mapInPandas(run, f"{TREE} string, source_file string, module string, level int, names array<string>, conditional boolean, edge_kind string, mutates_path boolean, hints array<string>")
 
 
 def python_modules(files: DataFrame) -> DataFrame:
-    """(module, target) of every Python file, also without a leading ``src.``; of several files a plain one comes before a package."""
-    py = files.where(P.extension(F.col("path")).isin("py", "pyi")).select("path")
+    """(worktree_id, module, target) of every Python file, also without a leading ``src.``; of several files a plain one comes before a package."""
+    py = scoped(files).where(P.extension(F.col("path")).isin("py", "pyi")).select(TREE, "path")
     stem = F.regexp_replace(F.regexp_replace("path", r"\.pyi?$", ""), r"/__init__$", "")
-    rows = py.select(F.replace(stem, F.lit("/"), F.lit(".")).alias("module"), "path", F.col("path").rlike(r"(^|/)__init__\.pyi?$").alias("package"))
+    rows = py.select(TREE, F.replace(stem, F.lit("/"), F.lit(".")).alias("module"), "path", F.col("path").rlike(r"(^|/)__init__\.pyi?$").alias("package"))
     rows = rows.unionByName(rows.where(F.col("module").startswith("src.")).withColumn("module", F.expr("substring(module, 5)")))
-    return rows.groupBy("module").agg(F.min_by("path", F.struct("package", "path")).alias("target"))
+    return rows.groupBy(TREE, "module").agg(F.min_by("path", F.struct("package", "path")).alias("target"))
 
 
 def python_namespaces(files: DataFrame) -> DataFrame:
-    """(module) of every folder above a Python file."""
-    py = files.where(P.extension(F.col("path")).isin("py", "pyi")).select(F.split("path", "/").alias("p"))
+    """(worktree_id, module) of every folder above a Python file."""
+    py = scoped(files).where(P.extension(F.col("path")).isin("py", "pyi")).select(TREE, F.split("path", "/").alias("p"))
     ups = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda n: F.array_join(F.slice("p", 1, n), "."))
-    return py.where(F.size("p") > 1).select(F.explode(ups).alias("module")).distinct()
+    return py.where(F.size("p") > 1).select(TREE, F.explode(ups).alias("module")).distinct()
+
 
+def python_edges(files: DataFrame, aliases: dict[str, str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Resolved edges of Python files(path, content), among the paths ``known`` (those of the files if it isn't given).
 
-def python_edges(files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Resolved edges of Python files(path, content).
+    With a worktree_id, files resolve within their own tree, and edges name it.
 
     In order: relative imports climb their packages; then exact modules, namespace folders and sys.path hints, for the name
     itself and then for its aliases; then the standard library; else the module is external. Imports in a condition are one
     step less sure. ``from a import b`` has an edge to a and, where a.b is a module of its own, to that as well.
     """
-    rows = python_imports(files).withColumn("_row", F.monotonically_increasing_id())
-    rows = materialized(rows)
+    known = files if known is None else known
+    # rows numbered once must be read from storage, not numbered again
+    rows = settle(python_imports(files).withColumn("_row", F.monotonically_increasing_id()))
     own = F.split(F.regexp_replace(F.regexp_replace("source_file", r"\.pyi?$", ""), r"(^|/)[^/]+$", ""), "/")
     package = F.filter(own, lambda x: x != "")
     depth = F.size(package) - (F.col("level") - 1)
@@ -113,17 +117,18 @@ def python_edges(files: DataFrame, aliases: dict[str, str] | None = None) -> Dat
     full = F.when(F.col("level") > 0, F.concat_ws(".", F.when(base != "", base), F.when(F.col("module") != "", F.col("module")))).otherwise(F.col("module"))
     rows = rows.withColumns({"_escapes": (F.col("level") > 0) & (depth < 0), "_full": full})
     names = F.filter("names", lambda n: n != "*")
-    wanted = rows.where("not _escapes").select("_row", "hints", F.explode(F.concat(F.array(F.struct(F.lit("").alias("n"), F.col("_full").alias("m"))), F.transform(names, lambda n: F.struct(n.alias("n"), F.concat_ws(".", F.when(F.col("_full") != "", F.col("_full")), n).alias("m"))))).alias("w"))
-    wanted = wanted.select("_row", "hints", F.col("w.n").alias("_name"), F.col("w.m").alias("_m"))
+    wanted = rows.where("not _escapes").select(TREE, "_row", "hints", F.explode(F.concat(F.array(F.struct(F.lit("").alias("n"), F.col("_full").alias("m"))), F.transform(names, lambda n: F.struct(n.alias("n"), F.concat_ws(".", F.when(F.col("_full") != "", F.col("_full")), n).alias("m"))))).alias("w"))
+    wanted = wanted.select(TREE, "_row", "hints", F.col("w.n").alias("_name"), F.col("w.m").alias("_m"))
     tries = [F.struct(F.lit(0).alias("k"), F.lit("").alias("why"), F.col("_m").alias("m"))]
     for i, (old, new) in enumerate(sorted((aliases or {}).items()), 1):
         fits = (F.col("_m") == old) | F.col("_m").startswith(old + ".")
         tries.append(F.when(fits, F.struct(F.lit(10 * i).alias("k"), F.lit("by alias").alias("why"), F.concat(F.lit(new), F.substring("_m", len(old) + 1, 1 << 20)).alias("m"))))
     hinted = F.transform("hints", lambda h: F.struct(F.lit(5).alias("k"), F.lit("by path hint").alias("why"), F.concat_ws(".", F.replace(F.regexp_replace(h, r"^(\./)+|/+$", ""), F.lit("/"), F.lit(".")), F.col("_m")).alias("m")))
-    tried = wanted.where("_m <> ''").select("_row", "_name", F.explode(F.concat(F.array_compact(F.array(*tries)), hinted)).alias("t")).select("_row", "_name", "t.k", "t.why", F.col("t.m").alias("module"))
-    found = tried.join(python_modules(files), "module").select("_row", "_name", "k", "why", "target", F.lit(True).alias("exact"))
-    spaces = python_namespaces(files).join(python_modules(files), "module", "left_anti")
-    found = found.unionByName(tried.join(spaces, "module").select("_row", "_name", (F.col("k") + 1).alias("k"), "why", F.replace("module", F.lit("."), F.lit("/")).alias("target"), F.lit(False).alias("exact")))
+    tried = wanted.where("_m <> ''").select(TREE, "_row", "_name", F.explode(F.concat(F.array_compact(F.array(*tries)), hinted)).alias("t")).select(TREE, "_row", "_name", "t.k", "t.why", F.col("t.m").alias("module"))
+    modules = python_modules(known)
+    found = tried.join(modules, [TREE, "module"]).select("_row", "_name", "k", "why", "target", F.lit(True).alias("exact"))
+    spaces = python_namespaces(known).join(modules, [TREE, "module"], "left_anti")
+    found = found.unionByName(tried.join(spaces, [TREE, "module"]).select("_row", "_name", (F.col("k") + 1).alias("k"), "why", F.replace("module", F.lit("."), F.lit("/")).alias("target"), F.lit(False).alias("exact")))
     best = found.groupBy("_row", "_name").agg(F.min_by(F.struct("target", "exact", "why"), F.struct("k", "target")).alias("b")).select("_row", "_name", "b.*")
     main = best.where("_name = ''").drop("_name")
     rows = rows.join(main, "_row", "left")
@@ -138,28 +143,22 @@ def python_edges(files: DataFrame, aliases: dict[str, str] | None = None) -> Dat
         F.when(F.col("_escapes"), "escapes the package root").when(F.col("target").isNotNull(), F.when(F.col("why") != "", F.col("why")))
         .when(relative, "no such relative module").when(top.isin(*STDLIB), "standard library").otherwise("external")
     )
-    edges = rows.select("_row", "source_file", spec.alias("raw_specifier"), "names", F.col("target").alias("resolved_target"), "edge_kind", "level", "conditional", confidence.alias("confidence"), reason.alias("unresolved_reason"))
-    children = best.where("_name <> ''").join(rows.select("_row", "source_file", spec.alias("s"), "edge_kind", "level", "conditional", F.col("target").alias("main")), "_row")
+    edges = rows.select(TREE, "source_file", spec.alias("raw_specifier"), "names", F.col("target").alias("resolved_target"), "edge_kind", "level", "conditional", confidence.alias("confidence"), reason.alias("unresolved_reason"))
+    children = best.where("_name <> ''").join(rows.select(TREE, "_row", "source_file", spec.alias("s"), "edge_kind", "level", "conditional", F.col("target").alias("main")), "_row")
     children = children.where(F.col("exact") & (F.col("main").isNull() | (F.col("target") != F.col("main"))))
     sep = F.when(F.col("s").endswith("."), "").otherwise(".")
     extra = children.select(
-        "_row", "source_file", F.concat(F.col("s"), sep, F.col("_name")).alias("raw_specifier"), F.array("_name").alias("names"), F.col("target").alias("resolved_target"), F.lit("child").alias("edge_kind"),
+        TREE, "source_file", F.concat(F.col("s"), sep, F.col("_name")).alias("raw_specifier"), F.array("_name").alias("names"), F.col("target").alias("resolved_target"), F.lit("child").alias("edge_kind"),
         "level", "conditional", F.when(F.col("why") == "", "high").otherwise("medium").alias("confidence"), F.when(F.col("why") != "", F.col("why")).alias("unresolved_reason"),
     )
     out = edges.unionByName(extra)
     step = F.create_map(*[F.lit(x) for kv in LOWER.items() for x in kv])
     unsure = F.when(F.col("conditional"), F.concat_ws("; ", "unresolved_reason", F.lit("in a condition"))).otherwise(F.col("unresolved_reason"))
-    return out.select(
-        "source_file", "raw_specifier", F.col("names").alias("imported_names"), "resolved_target", "edge_kind", "level", "conditional",
+    out = out.select(
+        TREE, "source_file", "raw_specifier", F.col("names").alias("imported_names"), "resolved_target", "edge_kind", "level", "conditional",
         F.when(F.col("conditional"), step[F.col("confidence")]).otherwise(F.col("confidence")).alias("confidence"), unsure.alias("unresolved_reason"), F.lit("python").alias("lang"),
-    ).dropDuplicates(["source_file", "raw_specifier", "resolved_target", "edge_kind"])
-
-
-def materialized(df: DataFrame) -> DataFrame:
-    """Rows numbered once must be read from storage, not numbered again."""
-    from .rounds import settle
-
-    return settle(df)
+    ).dropDuplicates([TREE, "source_file", "raw_specifier", "resolved_target", "edge_kind"])
+    return out if TREE in files.columns else out.drop(TREE)
 
 
 # -- TypeScript and JavaScript --------------------------------------------------------------------------------------------
@@ -187,63 +186,38 @@ def ts_statements(content: str) -> list[tuple[str, list[str], str]]:
     return sorted(out)
 
 
-def normal_path(path: str) -> str:
-    out: list[str] = []
-    for part in path.split("/"):
-        if part == ".." and out and out[-1] != "..":
-            out.pop()
-        elif part not in ("", "."):
-            out.append(part)
-    return "/".join(out)
-
-
-def ts_candidates(source: str, spec: str, projects: list[dict]) -> list[str]:
-    """Paths without variants that a specifier may stand for, in order: relative, then the nearest project's patterns and base."""
-    if spec.startswith("."):
-        return [normal_path(os.path.join(os.path.dirname(source), spec))]
-    near = [p for p in projects if not p["folder"] or source.startswith(p["folder"] + "/")]
-    if not near:
-        return []
-    project = max(near, key=lambda p: len(p["folder"]))
-    out = []
-    for pattern in sorted(project["paths"], key=lambda x: -len(x.split("*")[0])):
-        head, star, tail = pattern.partition("*")
-        if star and spec.startswith(head) and spec.endswith(tail) and len(spec) >= len(head) + len(tail):
-            mid = spec[len(head) : len(spec) - len(tail)]
-            out += [normal_path(os.path.join(project["paths_from"], t.replace("*", mid))) for t in project["paths"][pattern]]
-        elif not star and spec == pattern:
-            out += [normal_path(os.path.join(project["paths_from"], t)) for t in project["paths"][pattern]]
-    if project["base"] is not None:
-        out.append(normal_path(os.path.join(project["base"], spec)))
-    return out
-
-
-def ts_edges(files: DataFrame, projects: list[dict] | None = None) -> DataFrame:
-    """Resolved edges of TypeScript and JavaScript files(path, content): relative paths, ``paths`` and ``baseUrl``; others are packages."""
-    sent = json.dumps(projects or [])
+def ts_edges(files: DataFrame, projects: list[dict] | DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Resolved edges of TypeScript and JavaScript files(path, content) among the paths ``known``: relative paths, ``paths`` and ``baseUrl``; others are packages.
+
+    ``projects`` is what ``nearest.ts_configs`` reads from a tree, or a list of such. With a worktree_id, files resolve within
+    their own tree, and edges name it.
+    """
+    known = files if known is None else known
 
     def run(batches):
-        known = json.loads(sent)
         for pdf in batches:
             out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                for n, (spec, names, kind) in enumerate(ts_statements(content or "")):
-                    base = ts_candidates(path, spec, known)
-                    tries = [v for b in base for v in ([b] + [re.sub(r"\.(m|c)?jsx?$", "", b) + e for e in TS_VARIANTS])]
-                    out.append((path, n, spec, names, kind, tries))
-            yield pd.DataFrame(out, columns=["source_file", "n", "raw_specifier", "imported_names", "edge_kind", "tries"])
-
-    rows = files.where(P.extension(F.col("path")).isin(*TS_EXTENSIONS)).select("path", "content").mapInPandas(run, "source_file string, n int, raw_specifier string, imported_names array<string>, edge_kind string, tries array<string>")
-    tries = rows.select("source_file", "n", F.posexplode("tries").alias("k", "path")).join(files.select("path").distinct(), "path")
-    best = tries.groupBy("source_file", "n").agg(F.min_by("path", "k").alias("resolved_target"))
-    rows = rows.join(best, ["source_file", "n"], "left")
-    relative = F.col("raw_specifier").startswith(".")
-    pkg = F.concat(F.lit("pkg:"), F.regexp_extract("raw_specifier", r"^(@[^/]+/[^/]+|[^/]+)", 1))
+            for tree, path, content in zip(pdf[TREE], pdf["path"], pdf["content"]):
+                out += [(tree, path, n, spec, names, kind) for n, (spec, names, kind) in enumerate(ts_statements(content or ""))]
+            yield pd.DataFrame(out, columns=[TREE, "path", "n", "spec", "imported_names", "edge_kind"])
+
+    some = scoped(files).where(P.extension(F.col("path")).isin(*TS_EXTENSIONS)).select(TREE, "path", "content")
+    rows = settle(some.mapInPandas(run, f"{TREE} string, path string, n int, spec string, imported_names array<string>, edge_kind string"))
+    configs = projects if isinstance(projects, DataFrame) else given_configs(rows, projects or [])
+    tried = candidates(rows.select(TREE, "path", "n", "spec"), configs)
+    stem = F.regexp_replace("candidate", r"\.(m|c)?jsx?$", "")
+    variants = F.posexplode(F.array(F.col("candidate"), *[F.concat(stem, F.lit(v)) for v in TS_VARIANTS])).alias("k", "target")
+    tried = tried.select(TREE, "path", "n", "rank", variants).join(scoped(known).select(TREE, F.col("path").alias("target")).distinct(), [TREE, "target"])
+    best = tried.groupBy(TREE, "path", "n").agg(F.min_by("target", F.struct("rank", "k")).alias("resolved_target"))
+    rows = rows.join(best, [TREE, "path", "n"], "left")
+    relative = F.col("spec").startswith(".")
+    pkg = F.concat(F.lit("pkg:"), F.regexp_extract("spec", r"^(@[^/]+/[^/]+|[^/]+)", 1))
     found = F.col("resolved_target").isNotNull()
-    return rows.select(
-        "source_file", "raw_specifier", "imported_names", F.coalesce("resolved_target", F.when(~relative, pkg)).alias("resolved_target"), "edge_kind", F.lit(0).alias("level"), F.lit(False).alias("conditional"),
+    out = rows.select(
+        TREE, F.col("path").alias("source_file"), F.col("spec").alias("raw_specifier"), "imported_names", F.coalesce("resolved_target", F.when(~relative, pkg)).alias("resolved_target"), "edge_kind", F.lit(0).alias("level"), F.lit(False).alias("conditional"),
         F.when(found, "high").when(relative, "low").otherwise("medium").alias("confidence"), F.when(~found, F.when(relative, "no such relative module").otherwise("external")).alias("unresolved_reason"), F.lit("typescript").alias("lang"),
     )
+    return out if TREE in files.columns else out.drop(TREE)
 
 
 _DECLARED = re.compile(r"(?m)^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|const\s+enum|const|let|var|namespace)\s+([A-Za-z_$][\w$]*)")
@@ -273,15 +247,30 @@ GO_BLOCK = r'(?s)\bimport\s*\((.*?)\)'
 
 
 def line_edges(files: DataFrame) -> DataFrame:
-    """(source_file, raw_specifier, lang) of Rust, Kotlin, Java, C and Go files(path, language, content); native."""
-    out = None
-    for lang, pattern in LINE_IMPORTS.items():
-        rows = files.where(F.col("language") == lang).select(F.col("path").alias("source_file"), F.explode(F.regexp_extract_all("content", F.lit("(?m)" + pattern), F.lit(1))).alias("raw_specifier"), F.lit(lang).alias("lang"))
-        out = rows if out is None else out.unionByName(rows)
-    go = files.where(F.col("language") == "go")
+    """(source_file, raw_specifier, lang) of Rust, Kotlin, Java, C and Go files(path, language, content), with their worktree_id where they have one; native."""
+    tree = [TREE] if TREE in files.columns else []
+    specs = lambda name: F.regexp_extract_all("content", F.lit("(?m)" + LINE_IMPORTS[name]), F.lit(1))
     block = F.array_join(F.regexp_extract_all("content", F.lit(GO_BLOCK), F.lit(1)), "\n")
-    specs = F.concat(F.regexp_extract_all(block, F.lit(r'"([^"]+)"'), F.lit(1)), F.regexp_extract_all("content", F.lit(r'(?m)^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"'), F.lit(1)))
-    return out.unionByName(go.select(F.col("path").alias("source_file"), F.explode(specs).alias("raw_specifier"), F.lit("go").alias("lang"))).distinct()
+    every = F.when(F.col("language") == "go", F.concat(F.regexp_extract_all(block, F.lit(r'"([^"]+)"'), F.lit(1)), F.regexp_extract_all("content", F.lit(r'(?m)^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"'), F.lit(1))))
+    for name in LINE_IMPORTS:
+        every = every.when(F.col("language") == name, specs(name))
+    rows = files.where(F.col("language").isin("go", *LINE_IMPORTS))
+    return rows.select(*tree, F.col("path").alias("source_file"), F.explode(every).alias("raw_specifier"), F.col("language").alias("lang")).distinct()
+
+
+def other_edges(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """The imports of Go, Rust, Kotlin, Java and C files as edges; a Go package of the nearest go.mod's module leads to its folder.
+
+    ``modules`` is what ``nearest.go_modules`` reads from the tree.
+    """
+    specs = line_edges(scoped(files)).select(TREE, F.col("source_file").alias("path"), F.col("raw_specifier").alias("spec"), "lang")
+    none = specs.where("lang <> 'go'").withColumns({"class": F.lit(None).cast("string"), "target": F.lit(None).cast("string")})
+    rows = go_targets(specs.where("lang = 'go'"), modules).unionByName(none)
+    reason = F.when(F.col("target").isNull(), F.when(F.col("class") == "stdlib", "standard library").when(F.col("class") == "external", "external").otherwise("not resolved"))
+    return rows.select(
+        TREE, F.col("path").alias("source_file"), F.col("spec").alias("raw_specifier"), F.array().cast("array<string>").alias("imported_names"), F.col("target").alias("resolved_target"), F.lit("import").alias("edge_kind"), F.lit(0).alias("level"), F.lit(False).alias("conditional"),
+        F.when(F.col("target").isNotNull() | (F.col("class") == "stdlib"), "medium").otherwise("low").alias("confidence"), reason.alias("unresolved_reason"), "lang",
+    )
 
 
 def go_class(specifier: Column, module: str) -> Column:
@@ -340,11 +329,6 @@ def find_importers(edges: DataFrame, target: str, include_self: bool = False, ex
     return rows.orderBy("source_file").limit(max(1, limit)), rows.count()
 
 
-def update_edges(before: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
-    """The edges of a graph after the files changed(path) were read again: theirs replaced, all others kept."""
-    return before.join(changed.select(F.col("path").alias("source_file")), "source_file", "left_anti").unionByName(fresh)
-
-
 def suggest_paths(files: DataFrame, wanted: str, near: int = 10, alike: int = 8) -> DataFrame:
     """(path, why) for a path that isn't there: files beside it, and files whose stem holds its stem."""
     folder = os.path.dirname(wanted)
@@ -363,11 +347,3 @@ def directory_dependencies(edges: DataFrame, folder: str, recursive: bool = True
     rows = edges.where(inside).select("source_file", F.coalesce("resolved_target", "raw_specifier").alias("t")).distinct()
     out = rows.groupBy("source_file").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("t")), 1, per_file).alias("names"))
     return out.orderBy("source_file").limit(min(500, max(1, most_files)))
-
-
-def ranked_importers(edges: DataFrame, variants: list[str]) -> DataFrame:
-    """Importers of the first of several spellings that has any."""
-    tried = edges.sparkSession.createDataFrame(list(enumerate(variants)), "k int, resolved_target string")
-    rows = edges.join(F.broadcast(tried), "resolved_target")  # a handful of spellings
-    first = rows.agg(F.min("k").alias("k"))
-    return rows.join(F.broadcast(first), "k").select("source_file", "resolved_target").distinct()

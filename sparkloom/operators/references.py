@@ -150,6 +150,13 @@ def _owner_class(content: str, symbol: str) -> str | None:
     return None
 
 
+def candidate_files(indexed: DataFrame, anchor: str, importers: DataFrame) -> DataFrame:
+    """indexed(path, ...) reduced to the anchor and the files that import it: all that a scan for its names has to read."""
+    own = indexed.sparkSession.createDataFrame([(anchor,)], "path string")
+    wanted = importers.select(F.col("source_file").alias("path")).unionByName(own).distinct()
+    return indexed.join(wanted, "path", "left_semi")
+
+
 def imported_references(files: DataFrame, symbol: str, declaring: str, edges: DataFrame, declarations: bool = True) -> DataFrame:
     """Word references in the declaring file and in the files whose edges lead to it: what a scan can tell without a compiler."""
     users = edges.where(F.col("resolved_target") == declaring).select(F.col("source_file").alias("path")).distinct()

@@ -144,11 +144,19 @@ def post_filter(rows: DataFrame, include: str | None = None, exclude: str | None
     return rows
 
 
-def semantic_search(chunks: DataFrame, query: str, query_vector: Sequence[float], limit: int = 10, now_ms: int = 0, visible: DataFrame | None = None, **filters) -> DataFrame:
+def first_places(rows: DataFrame, own: str = "_own") -> DataFrame:
+    """Of the paths at which a chunk can be seen, the one that it was cut from, else the first."""
+    names = [c for c in rows.columns if c != "chunk_id"]
+    best = rows.groupBy("chunk_id").agg(F.min_by(F.struct(*names), F.struct(F.col("path") != F.col(own), "path")).alias("_r"))
+    return best.select("chunk_id", *[F.col(f"_r.{c}").alias(c) for c in names])
+
+
+def semantic_search(chunks: DataFrame, query: str, query_vector: Sequence[float], limit: int = 10, now_ms: int = 0, visible: DataFrame | None = None, blobs: DataFrame | None = None, **filters) -> DataFrame:
     """The best chunks for a query: nearest by vector, visible ones only, rescored, filtered and cut to ``limit``.
 
     Filters come after the nearest max(100, 10 limit) are chosen, so a strict one can leave fewer than ``limit``. A blank
-    query has no results.
+    query has no results. With blobs(chunk_id, blob_hash), a chunk belongs to each content that has it and is seen wherever one
+    of them is.
     """
     limit = max(1, limit)
     if not query.strip():
@@ -157,7 +165,10 @@ def semantic_search(chunks: DataFrame, query: str, query_vector: Sequence[float]
     if visible is not None:
         from .overlay import resolve_candidates
 
-        near = resolve_candidates(near, visible)
+        if blobs is not None:
+            near = first_places(resolve_candidates(near.withColumn("_own", F.col("path")).join(blobs, "chunk_id"), visible)).drop("_own")
+        else:
+            near = resolve_candidates(near, visible)
     rows = post_filter(rescore(near, query, now_ms), **filters)
     return rows.orderBy(F.desc("final_score"), "distance", "chunk_id").limit(limit).drop("vector")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import short_sha1
-from .chunks import chunk_files
+from .chunks import chunk_files, chunk_id
 from .references import file_lines
 
 KINDS = ("function", "class", "method", "interface", "type", "enum", "variable", "module", "property", "constant")
@@ -176,22 +176,35 @@ def scanned_symbols(files: DataFrame) -> DataFrame:
     return wanted.mapInPandas(run, "path string, kind string, name string, parent string, start_line int, end_line int, chunk string")
 
 
-def symbol_chunks(files: DataFrame) -> DataFrame:
-    """Symbols of files(path, language, content) as chunks, the first of each place, kind and name; with chunk_id."""
-    rows = scanned_symbols(files).unionByName(line_symbols(files)).dropDuplicates(["path", "start_line", "end_line", "kind", "name"])
+def symbol_rows(files: DataFrame) -> DataFrame:
+    """Symbols of files(path, language, content), the first of each place, kind and name."""
+    return scanned_symbols(files).unionByName(line_symbols(files)).dropDuplicates(["path", "start_line", "end_line", "kind", "name"])
+
+
+def chunk_ids(rows: DataFrame) -> DataFrame:
+    """rows(path, kind, name, start_line, end_line, chunk) with chunk_id: of a symbol, or of a line window where there is no name."""
     span = F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string"))
     digest = short_sha1(F.col("path"), F.col("start_line").cast("string"), F.col("end_line").cast("string"), F.col("kind"), F.col("name"), F.col("chunk"))
-    return rows.withColumn("chunk_id", F.concat_ws(":", "path", span, "kind", "name", digest))
+    return rows.withColumn("chunk_id", F.when(F.col("name") == "", chunk_id(F.col("path"))).otherwise(F.concat_ws(":", "path", span, "kind", "name", digest)))
 
 
-def route_chunks(files: DataFrame) -> DataFrame:
-    """Symbol chunks where a file has any, line windows for all other files."""
-    symbols = symbol_chunks(files)
+def symbol_chunks(files: DataFrame) -> DataFrame:
+    """Symbols of files(path, language, content) as chunks, the first of each place, kind and name; with chunk_id."""
+    return chunk_ids(symbol_rows(files))
+
+
+def route_rows(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Symbol rows where a file has any, line windows for all other files; without ids."""
     rest = chunk_files(files.join(symbols.select("path").distinct(), "path", "left_anti"))
-    lines = rest.select("path", F.lit("").alias("kind"), F.lit("").alias("name"), F.lit("").alias("parent"), "start_line", "end_line", "chunk", "chunk_id")
+    lines = rest.select("path", F.lit("").alias("kind"), F.lit("").alias("name"), F.lit("").alias("parent"), "start_line", "end_line", "chunk")
     return symbols.select(lines.columns).unionByName(lines)
 
 
+def route_chunks(files: DataFrame) -> DataFrame:
+    """Symbol chunks where a file has any, line windows for all other files."""
+    return chunk_ids(route_rows(files, symbol_rows(files)))
+
+
 def exported_names(content: str) -> list[str]:
     """Names in a Python file's ``__all__``."""
     try:

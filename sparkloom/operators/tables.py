@@ -42,6 +42,14 @@ def recent_commits(commits: DataFrame, query: str | None = None, limit: int = 20
     return rows.orderBy(F.desc("ts"), "repo_id", "commit").limit(limit)
 
 
+def last_changes(commits: DataFrame, as_of: str | None = None) -> DataFrame:
+    """(repo_id, path, modified): the time of each path's newest commit(files, ts, repo_id), up to a time if one is given."""
+    rows = commits.where("ts is not null")
+    if as_of is not None:
+        rows = rows.where(F.col("ts") <= F.lit(as_of).cast("timestamp"))
+    return rows.select("repo_id", "ts", F.explode("files").alias("path")).groupBy("repo_id", "path").agg(F.max("ts").alias("modified"))
+
+
 def latest(samples: DataFrame, group: str, order: str, keep: int = 200) -> DataFrame:
     """A ring buffer: the last ``keep`` samples of each group."""
     w = Window.partitionBy(group).orderBy(F.desc(order))

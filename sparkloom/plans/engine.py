@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
@@ -12,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..operators import embed, imports, overlay, references, search, symbols, tables
-from ..operators.store import Store
+from ..operators import embed, imports, nearest, overlay, references, reverse, search, summaries, symbols, tables
+from ..operators.nearest import TREE
+from ..operators.rounds import settle
+from ..operators.store import TABLES, Store
 from ..sources import documents, files, projects
 from ..streaming import watch
 
-SYMBOL_SCHEMA = "1"
+SYMBOL_SCHEMA = "2"
+#: Names that files which came or went may answer to, up to which their buckets alone are read.
+MOST_KEYS = 2000
 
 
 @dataclass
@@ -37,66 +42,137 @@ class Engine:
         self.commits: DataFrame | None = None
 
     def attach(self, content: DataFrame | None = None, commits: DataFrame | None = None) -> None:
-        """The live files(path, content) and commits that questions read; ``index`` attaches the trees that it is given."""
+        """Live files(path, content) and commits that questions read in place of those that the index holds."""
         self.content = content if content is not None else self.content
         self.commits = commits if commits is not None else self.commits
 
     # -- writing ----------------------------------------------------------------------------------------------------------
 
-    def index(self, trees: DataFrame, head: DataFrame | None = None) -> dict:
+    def index(self, trees: DataFrame, head: DataFrame | None = None, commits: DataFrame | None = None) -> dict:
         """Bring the index up to files(worktree_id, repo_id, path, content_hash, language, content, ...); says what changed.
 
-        Each working tree is scanned on its own, so trees may hold different files at one path; an import resolves within its
-        tree. A file whose content is known already is neither chunked nor embedded again, and a second run over the same trees
-        writes nothing. With head(worktree_id, path, blob_hash), the last commits, files that differ from theirs are kept as
-        dirty files over the tracked ones; working trees that head doesn't have are tracked as they are.
+        Only what changed is scanned, embedded and written. Trees may hold different files at one path; imports resolve within
+        their tree, by its own TypeScript projects and Go modules, and a chunk that several contents share belongs to each.
+        A file that came or went has the files resolved again whose imports it can concern. With head(worktree_id, path,
+        blob_hash), the last commits, files that differ from theirs are dirty ones over the tracked ones; trees that head doesn't
+        have are tracked as they are. The newest of a file's modification and of the ``commits`` that name it is kept.
         """
-        self.attach(content=trees.select("path", "content"))
-        same_schema = self.store.state("symbol_schema") == SYMBOL_SCHEMA
-        tree, dirty = _over_head(trees, head)
-        old = overlay.visible_files(_keyed(self.store.read("tree_entries"), "blob_hash"), _keyed(self.store.read("dirty_files"), "content_hash"))
-        diff = overlay.manifest_diff(old, _keyed(trees, "content_hash").withColumnRenamed("content_hash", "hash"))
+        whole = self.store.state("symbol_schema") != SYMBOL_SCHEMA
+        slim = [F.col(c) if c in trees.columns else F.lit(None).cast("timestamp").alias(c) for c in (TREE, "repo_id", "path", "content_hash", "language", "modified")]
+        now = settle(trees.select(*slim))
+        was = self.visible().select(TREE, "path", F.col("hash").alias("old"))
+        both = now.select(TREE, "path", F.col("content_hash").alias("new")).join(was, [TREE, "path"], "full")
+        change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(F.col("old") == F.col("new"), "same").otherwise("modified")
+        diff = settle(both.withColumn("change", change).where(F.lit(True) if whole else F.col("change") != "same"))
         counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
-        report = {k: counts.get(k, 0) for k in ("added", "modified", "deleted", "same")}
-        if same_schema and not report["added"] + report["modified"] + report["deleted"]:
-            if head is not None:
-                self._lay_over(tree, dirty)
-            return report
-        named = trees.select("*", F.col("content_hash").alias("blob_hash"))
-        known = self.store.read("blobs").select("blob_hash")
-        fresh = overlay.new_blobs(named, known)
-        holder = fresh.groupBy("blob_hash").agg(F.min("worktree_id").alias("worktree_id"))
-        fresh = fresh.join(holder, ["blob_hash", "worktree_id"], "left_semi")
-        scan = lambda df: symbols.route_chunks(df).join(df.select("path", "language", "repo_id", "worktree_id", "blob_hash"), "path")
-        parts = self.embedder.embed(_by_tree(fresh, scan), "chunk")
-        chunks = parts.select(
-            F.col("chunk_id").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("chunk").alias("content"), F.col("path").alias("file_path"), "start_line", "end_line",
-            F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), "language", "repo_id", "worktree_id", "blob_hash",
-        )
-        self.store.upsert("chunks", chunks)
-        written = self.store.read("chunks")
-        ids = written.groupBy("blob_hash").agg(F.array_sort(F.collect_list("id")).alias("chunk_ids"))
-        self.store.replace("blobs", named.select("blob_hash").distinct().join(ids, "blob_hash", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>"))))
-        used = self.store.read("blobs").select("blob_hash")
-        self.store.replace("chunks", written.join(used, "blob_hash", "left_semi"))
-        names = _by_tree(named, lambda df: symbols.symbol_chunks(df).join(df.select("path", "repo_id", "worktree_id"), "path"))
-        self.store.replace("symbols", names.select("name", "kind", F.col("path").alias("file_path"), "start_line", "end_line", F.col("chunk_id").alias("chunk_id"), "repo_id", "worktree_id"))
-        edges = _by_tree(named, lambda df: imports.python_edges(df, self.config.import_aliases).unionByName(imports.ts_edges(df)))
-        self.store.replace("import_edges", edges.drop("conditional"))
-        self._lay_over(tree, dirty)
-        self.store.put_state(symbol_schema=SYMBOL_SCHEMA, indexed_at=str(self.now_ms))
+        report = {k: counts.get(k, 0) for k in ("added", "modified", "deleted")}
+        report["same"] = now.count() - report["added"] - report["modified"]
+        writes = self._overlay(now, head)
+        if commits is not None:
+            writes.append(lambda: self.store.replace("commits", commits))
+        if whole or sum(report[k] for k in ("added", "modified", "deleted")):
+            writes += self._contents(trees, now, diff, whole) + [lambda: self._changed_at(now, diff, commits)]
+        with ThreadPoolExecutor(max(1, len(writes))) as pool:
+            for done in [pool.submit(w) for w in writes]:
+                done.result()
+        self._name_dirty()
+        if writes:
+            self.store.put_state(symbol_schema=SYMBOL_SCHEMA, indexed_at=str(self.now_ms))
         return report
 
-    def _lay_over(self, tree: DataFrame, dirty: DataFrame) -> None:
-        """Store the tracked and the dirty files, where they differ from those stored; dirty ones name their chunks."""
+    def _contents(self, trees: DataFrame, now: DataFrame, diff: DataFrame, whole: bool) -> list[Callable]:
+        """The writes of contents, chunks, symbols and edges that a diff(worktree_id, path, old, new, change) of the trees asks for."""
+        store = self.store
+        key = [TREE, "path"]
+        changed = settle(trees.select(TREE, "repo_id", "path", "content_hash", "language", "content").join(diff.where("new is not null").select(*key), key, "left_semi"))
+        known = store.read("blobs").select(F.col("blob_hash").alias("content_hash"))
+        fresh = changed if whole else changed.join(known, "content_hash", "left_anti")
+        holder = fresh.groupBy("content_hash").agg(F.min(F.struct(*key)).alias("h")).select("content_hash", "h.*")
+        fresh = settle(fresh.join(holder, ["content_hash", *key], "left_semi"))
+        names = settle(_together(symbols.symbol_rows(_apart(changed))))
+        mine = names.join(fresh.select(*key), key, "left_semi")
+        parts = _together(symbols.route_rows(_apart(fresh), _apart(mine))).join(fresh.select(*key, "repo_id", "language", "content_hash"), key)
+        parts = settle(self.embedder.embed(symbols.chunk_ids(parts), "chunk"))
+        posted = parts.select("chunk_id", F.col("content_hash").alias("blob_hash")).distinct()
+        dead = settle(diff.where("old is not null").select(F.col("old").alias("blob_hash")).distinct().join(now.select(F.col("content_hash").alias("blob_hash")), "blob_hash", "left_anti"))
+        stored = store.read("chunk_blobs")
+        left = stored.join(dead, "blob_hash", "left_semi").select("chunk_id").distinct()
+        held = stored.join(dead, "blob_hash", "left_anti").select("chunk_id").unionByName(posted.select("chunk_id"))
+        orphans = left.join(held, "chunk_id", "left_anti").select(F.col("chunk_id").alias("id"))
+        if dead.isEmpty():
+            dead = orphans = None
+        chunks = parts.dropDuplicates(["chunk_id"]).select(
+            F.col("chunk_id").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("chunk").alias("content"), F.col("path").alias("file_path"), "start_line", "end_line",
+            F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), "language", "repo_id", TREE,
+        )
+        ids = fresh.select(F.col("content_hash").alias("blob_hash")).join(posted.groupBy("blob_hash").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids")), "blob_hash", "left")
+        ids = ids.withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+        touched = diff.select(TREE, F.col("path").alias("file_path"))
+        named = symbols.chunk_ids(names).join(changed.select(*key, "repo_id"), key).withColumnRenamed("path", "file_path")
+        writes = [
+            lambda: store.change("contents", fresh.select(F.col("content_hash").alias("blob_hash"), "content"), dead),
+            lambda: store.change("chunks", chunks, orphans),
+            lambda: store.change("chunk_blobs", posted, dead),
+            lambda: store.change("blobs", ids, dead),
+            lambda: store.change("symbols", named, touched),
+        ]
+        todo, edges, configs = self._resolved(changed, now, diff, whole)
+        again = todo.select(TREE, F.col("path").alias("source_file")).unionByName(touched.withColumnRenamed("file_path", "source_file")).distinct()
+        writes.append(lambda: store.change("import_edges", edges, again))
+        writes.append(lambda: store.change("import_keys", reverse.import_keys(edges, configs, self.config.import_aliases), again))
+        return writes
+
+    def _resolved(self, changed: DataFrame, now: DataFrame, diff: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The files whose imports are resolved again, their edges, and the trees' TypeScript projects."""
+        key = [TREE, "path"]
+        moved = settle(diff.where("change in ('added', 'deleted')").select(*key))
+        named = now.where(P.extension(F.col("path")).isin("json") | (P.basename(F.col("path")) == "go.mod"))
+        texts = self.store.read("contents").withColumnRenamed("blob_hash", "content_hash").join(named.select("content_hash").distinct(), "content_hash", "left_semi")
+        texts = texts.unionByName(changed.join(named.select(*key), key, "left_semi").select("content_hash", "content")).dropDuplicates(["content_hash"])
+        settings = P.basename(F.col("path")).isin("go.mod", "tsconfig.json", "jsconfig.json") | F.contains("content", F.lit("compilerOptions"))
+        texts = settle(named.join(texts, "content_hash").where(settings).select(*key, "content"))
+        configs, modules = settle(nearest.ts_configs(texts)), nearest.go_modules(texts)
+        todo = changed.select(*key, "language", "content")
+        if not whole and self.store.version("import_keys"):
+            steered = P.basename(F.col("path")).isin("go.mod", "tsconfig.json", "jsconfig.json")
+            trees = diff.where(steered).select(TREE).unionByName(changed.where((P.extension(F.col("path")) == "json") & F.contains("content", F.lit("compilerOptions"))).select(TREE)).distinct()
+            wanted = [r["key"] for r in reverse.answers(moved).select("key").distinct().limit(MOST_KEYS + 1).collect()]
+            posted = self.store.read("import_keys", wanted if len(wanted) <= MOST_KEYS else None)
+            again = reverse.concerned(posted, moved).unionByName(now.join(trees, TREE, "left_semi").select(*key)).distinct()
+            again = settle(now.join(again, key, "left_semi").join(changed.select(*key), key, "left_anti").select(*key, "language", "content_hash"))
+            if not again.isEmpty():
+                old = self.store.read("contents").withColumnRenamed("blob_hash", "content_hash")
+                todo = settle(todo.unionByName(again.join(old, "content_hash").select(*key, "language", "content")))
+        edges = imports.python_edges(todo, self.config.import_aliases, now).unionByName(imports.ts_edges(todo, configs, now)).unionByName(imports.other_edges(todo, modules))
+        return todo, settle(edges.drop("conditional")), configs
+
+    def _overlay(self, now: DataFrame, head: DataFrame | None) -> list[Callable]:
+        """The writes that bring the tracked and the dirty files to what they are now; those that are the same stay as they are."""
+        tree, dirty = _over_head(now, head)
+        out = []
         for name, rows, h in (("tree_entries", tree, "blob_hash"), ("dirty_files", dirty, "content_hash")):
-            was = _keyed(self.store.read(name), h).withColumnRenamed(h, "hash")
-            if overlay.manifest_diff(was, _keyed(rows, h).withColumnRenamed(h, "hash")).where("change <> 'same'").isEmpty():
-                continue
-            if name == "dirty_files":
-                ids = self.store.read("blobs").withColumnRenamed("blob_hash", "content_hash")
-                rows = rows.join(ids, "content_hash", "left").select("worktree_id", "path", "content_hash", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
-            self.store.replace(name, rows)
+            old = self.store.read(name).select(TREE, "path", F.col(h).alias("old"))
+            both = rows.select(TREE, "path", h).join(old, [TREE, "path"], "full")
+            both = settle(both.where(~F.col(h).eqNullSafe(F.col("old"))))
+            if not both.isEmpty():
+                out.append(lambda name=name, both=both, h=h: self.store.change(name, both.where(F.col(h).isNotNull()).drop("old"), both.where(F.col(h).isNull())))
+        return out
+
+    def _name_dirty(self) -> None:
+        """Dirty files name the chunks of their content; those that don't yet get them."""
+        unnamed = self.store.read("dirty_files").where("chunk_ids is null")
+        if not unnamed.isEmpty():
+            ids = self.store.read("blobs").withColumnRenamed("blob_hash", "content_hash")
+            self.store.change("dirty_files", settle(unnamed.drop("chunk_ids").join(ids, "content_hash", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))))
+
+    def _changed_at(self, now: DataFrame, diff: DataFrame, commits: DataFrame | None) -> int:
+        rows = now.select(TREE, "repo_id", "path", "modified")
+        if commits is None:
+            rows = rows.join(diff.select(TREE, "path"), [TREE, "path"], "left_semi")
+        else:
+            said = tables.last_changes(commits).withColumnRenamed("modified", "committed")
+            rows = rows.join(said, ["repo_id", "path"], "left").withColumn("modified", F.greatest("modified", "committed"))
+        return self.store.change("changed_at", rows.where("modified is not null"), diff.where("new is null"))
 
     def index_docs(self, pages: DataFrame) -> int:
         """Replace the chunks of the pages(url, content_type, body) given; others stay."""
@@ -105,83 +181,126 @@ class Engine:
     # -- questions --------------------------------------------------------------------------------------------------------
 
     def visible(self, worktree_id: str | None = None) -> DataFrame:
+        """(worktree_id, path, hash, place) of the files that can be seen, in one tree or in all."""
         tree, dirty = self.store.read("tree_entries"), self.store.read("dirty_files")
         if worktree_id:
-            tree, dirty = (t.where(F.col("worktree_id") == worktree_id) for t in (tree, dirty))
+            tree, dirty = (t.where(F.col(TREE) == worktree_id) for t in (tree, dirty))
         both = overlay.visible_files(_keyed(tree, "blob_hash"), _keyed(dirty, "content_hash"))
-        path = F.substring_index("path", "\x1f", -1)
-        return both.select(path.alias("path"), "hash", F.struct("place.dirty_only", path.alias("path"), F.col("path").alias("key")).alias("place"))
+        own, path = F.substring_index("path", "\x1f", 1), F.substring_index("path", "\x1f", -1)
+        return both.select(own.alias(TREE), path.alias("path"), "hash", F.struct("place.dirty_only", path.alias("path"), F.col("path").alias("key")).alias("place"))
+
+    def files(self, worktree_id: str | None = None, paths: DataFrame | None = None) -> DataFrame:
+        """(path, content, language) of the files that can be seen, with ``paths`` of those alone; from what is attached, else from the index."""
+        if self.content is not None:
+            rows = self.content.join(paths, "path", "left_semi") if paths is not None else self.content
+            return rows.select("path", "content", P.language(F.col("path")).alias("language"))
+        if not self.store.version("contents"):
+            raise ValueError("no files are indexed or attached")
+        seen = self.visible(worktree_id)
+        seen = seen.join(paths, "path", "left_semi") if paths is not None else seen
+        return seen.join(self.store.read("contents").withColumnRenamed("blob_hash", "hash"), "hash").select("path", "content", P.language(F.col("path")).alias("language"))
 
     def semantic_search(self, query: str, limit: int = 10, worktree_id: str | None = None, **filters) -> DataFrame:
-        chunks = self.store.read("chunks").withColumnsRenamed({"id": "chunk_id", "file_path": "path"}).withColumn("modified", F.lit(None).cast("timestamp"))
+        """Keys and vectors are scanned; what else a chunk has is read for the nearest alone, from their buckets."""
         vector = embed._hashed(query, self.embedder.dimensions).tolist() if isinstance(self.embedder, embed.HashEmbedder) else self.embedder.embed(self.spark.createDataFrame([(query,)], "q string"), "q").first()["vector"]
-        return search.semantic_search(chunks, query, vector, limit, self.now_ms, self.visible(worktree_id), **filters)
+        wanted = search.knn(self.store.read("chunks").select("id", "vector"), vector, max(100, 10 * max(1, limit)), "id").select("id")
+        ids = [r["id"] for r in wanted.collect()] if query.strip() else []  # at most ten for each result
+        chunks = self.store.read("chunks", ids).withColumnsRenamed({"id": "chunk_id", "file_path": "path"})
+        at = self.store.read("changed_at").groupBy("path").agg(F.max("modified").alias("modified")) if not worktree_id else self.store.read("changed_at").where(F.col(TREE) == worktree_id).select("path", "modified")
+        chunks = chunks.join(at, "path", "left")
+        return search.semantic_search(chunks, query, vector, limit, self.now_ms, self.visible(worktree_id), self.store.read("chunk_blobs", ids), **filters)
 
     def find_files(self, pattern: str, limit: int = 200, worktree_id: str | None = None) -> DataFrame:
         return self.visible(worktree_id).where(P.matches(F.col("path"), pattern)).select("path").distinct().orderBy("path").limit(limit)
 
-    def get_symbols(self, **arguments) -> DataFrame:
-        return tables.get_symbols(self.store.read("symbols"), **arguments)
+    def get_symbols(self, worktree_id: str | None = None, **arguments) -> DataFrame:
+        return tables.get_symbols(self._of("symbols", worktree_id), **arguments)
 
     def search_docs(self, query: str, limit: int = 10) -> DataFrame:
         return tables.search_docs(self.store.read("docs_chunks"), query, limit)
 
     def get_recent_changes(self, commits: DataFrame | None = None, query: str | None = None, limit: int = 20, since: str | None = None) -> DataFrame:
-        """Of the commits given, else of those attached; ``since`` is a date or time in ISO 8601 and counts before any limit."""
-        commits = commits if commits is not None else self.commits
-        if commits is None:
-            raise ValueError("no commits are attached")
+        """Of the commits given, else of those attached or indexed; ``since`` is a date or time in ISO 8601 and counts before any limit."""
+        commits = commits if commits is not None else self.commits if self.commits is not None else self.store.read("commits")
         if since:
             start = datetime.fromisoformat(since)
             commits = commits.where(F.col("ts") >= F.timestamp_micros(F.lit(int((start if start.tzinfo else start.replace(tzinfo=timezone.utc)).timestamp() * 1e6))))
         return tables.recent_commits(commits, query, limit, self.config.most_commits)
 
-    def get_dependencies(self, path: str, recursive: bool = True, most_files: int = 50) -> DataFrame:
+    def get_dependencies(self, path: str, recursive: bool = True, most_files: int = 50, worktree_id: str | None = None) -> DataFrame:
         """A file's dependencies by group, or those of each file in a folder."""
         path = P.jailed(path, self.config.roots)
         start = time.monotonic()
-        edges = self._edges()
-        is_file = not self.store.read("tree_entries").where(F.col("path") == path).isEmpty()
-        out = imports.dependency_groups(edges.where(F.col("source_file") == path)) if is_file else imports.directory_dependencies(edges, path, recursive, most_files)
+        is_file = not self._of("tree_entries", worktree_id, [path]).isEmpty() or not self._of("dirty_files", worktree_id, [path]).isEmpty()
+        edges = self._edges(worktree_id, [path] if is_file else None)
+        out = imports.dependency_groups(edges) if is_file else imports.directory_dependencies(edges, path, recursive, most_files)
         self._record("get_dependencies", start, "edges", False)
         return out
 
-    def find_importers(self, target: str, limit: int = 100) -> tuple[DataFrame, int]:
+    def _postings(self, worktree_id: str | None) -> reverse.Read:
+        return lambda keys: self._of("import_keys", worktree_id, keys)
+
+    def find_importers(self, target: str, limit: int = 100, worktree_id: str | None = None) -> tuple[DataFrame, int]:
+        """From the postings of the target's spellings; no edge of another target is read."""
         start = time.monotonic()
-        out = imports.find_importers(self._edges(), target, self.config.include_self, self.config.importer_excludes, limit)
-        self._record("find_importers", start, "edges", False)
+        out = reverse.find_importers(self._postings(worktree_id), target, self.config.include_self, self.config.importer_excludes, limit)
+        self._record("find_importers", start, "postings", False)
         return out
 
-    def find_references(self, content: DataFrame | None, symbol: str, anchor: str | None = None, limit: int = 50, **options) -> tuple[DataFrame, dict]:
-        """Over files(path, content), else over those attached; the index has edges and symbols."""
-        content = content if content is not None else self.content
-        if content is None:
-            raise ValueError("no files are attached")
+    def suggest(self, path: str, worktree_id: str | None = None) -> DataFrame:
+        """Files that a path which isn't there may have meant."""
+        return imports.suggest_paths(self.visible(worktree_id), path)
+
+    def find_references(self, content: DataFrame | None, symbol: str, anchor: str | None = None, limit: int = 50, worktree_id: str | None = None, **options) -> tuple[DataFrame, dict]:
+        """Over files(path, content), else over those attached or indexed.
+
+        With an anchor in Python, only that file and its importers are read; the report's ``files`` says how many.
+        """
         start = time.monotonic()
-        rows, note = references.find_references(content, symbol, anchor, self._edges(), self.store.read("symbols"), limit, **options)
+        python = (anchor or "").endswith((".py", ".pyi"))
+        if content is None and python:
+            users = reverse.postings(self._postings(worktree_id), anchor)
+            paths = settle(references.candidate_files(self.visible(worktree_id), anchor, users).select("path").distinct())
+            content, scanned = self.files(worktree_id, paths), paths.count()
+        else:
+            content, scanned = content if content is not None else self.files(worktree_id), None
+        edges = self._edges(worktree_id) if anchor and not python else None
+        rows, note = references.find_references(content, symbol, anchor, edges, self._of("symbols", worktree_id), limit, **options)
         self._record("find_references", start, note["actual"], note["actual"] == "heuristic")
-        return rows, note
+        return rows, note | {"files": scanned}
+
+    def in_context(self, rows: DataFrame, n: int = 2, worktree_id: str | None = None) -> DataFrame:
+        """References with the n lines around each."""
+        return references.with_context(rows, self.files(worktree_id, rows.select("path").distinct()), n)
 
-    def in_context(self, rows: DataFrame, n: int = 2) -> DataFrame:
-        """References with the n lines around each, from the files attached."""
-        return references.with_context(rows, self.content, n)
+    def _of(self, name: str, worktree_id: str | None, only: Sequence[str] | None = None) -> DataFrame:
+        rows = self.store.read(name, only)
+        return rows.where(F.col(TREE) == worktree_id) if worktree_id else rows
 
-    def _edges(self) -> DataFrame:
-        return self.store.read("import_edges").withColumn("conditional", F.contains(F.coalesce("unresolved_reason", F.lit("")), F.lit("in a condition")))
+    def _edges(self, worktree_id: str | None = None, only: Sequence[str] | None = None) -> DataFrame:
+        return self._of("import_edges", worktree_id, only).withColumn("conditional", F.contains(F.coalesce("unresolved_reason", F.lit("")), F.lit("in a condition")))
 
     def _record(self, tool: str, start: float, backend: str, fallback: bool) -> None:
         self.samples = [*self.samples, (tool, (time.monotonic() - start) * 1000, backend, fallback)][-200:]
 
-    def file_summary(self, path: str, content: str | None = None) -> dict:
-        """State, chunks, symbols and imports of one file; a file that isn't indexed is described by its content alone."""
+    def file_summary(self, path: str, content: str | None = None, worktree_id: str | None = None) -> dict:
+        """State, chunks, symbols, imports, leading comment and package of one file; one that isn't indexed is described by its content alone."""
         path = P.jailed(path, self.config.roots)
-        tracked = self.store.read("tree_entries").where(F.col("path") == path).first()
-        dirty = self.store.read("dirty_files").where(F.col("path") == path).first()
-        n_chunks = self.store.read("chunks").where(F.col("file_path") == path).count()
-        names = self.store.read("symbols").where(F.col("file_path") == path).orderBy("start_line", "name").limit(8).collect()
-        edges = self._edges().where(F.col("source_file") == path).select("raw_specifier").distinct().orderBy("raw_specifier").limit(8).collect()
+        tracked, dirty = (self._of(n, worktree_id, [path]).orderBy(TREE).first() for n in ("tree_entries", "dirty_files"))
+        blob = dirty["content_hash"] if dirty else tracked["blob_hash"] if tracked else None
+        held = self.store.read("blobs", [blob]).first() if blob else None
+        n_chunks = len(held["chunk_ids"]) if held else 0
+        names = self._of("symbols", worktree_id, [path]).orderBy("start_line", "name").limit(8).collect()
+        edges = self._edges(worktree_id, [path]).select("raw_specifier").distinct().orderBy("raw_specifier").limit(8).collect()
+        if content is None and blob:
+            row = self.store.read("contents", [blob]).first()
+            content = row["content"] if row else None
         state = index_state(tracked is not None, dirty is not None, n_chunks > 0, bool(names))
-        return {"path": path, "state": state, "chunks": n_chunks, "symbols": [f"{r['kind']} {r['name']}:{r['start_line']}" for r in names], "imports": [r[0] for r in edges], "lines": len(content.split("\n")) if content else None}
+        told = {"doc": None, "package": None}
+        if content is not None:
+            one = self.spark.createDataFrame([(path, content)], "path string, content string")
+            told = summaries.described(one).first().asDict()
+        return {"path": path, "state": state, "chunks": n_chunks, "symbols": [f"{r['kind']} {r['name']}:{r['start_line']}" for r in names], "imports": [r[0] for r in edges], "lines": len(content.split("\n")) if content else None, "doc": told["doc"], "package": told["package"]}
 
     def status(self) -> dict:
         """Counts, the graph's rates, latencies and backend shares of the last samples, and what can't be offered here."""
@@ -206,7 +325,7 @@ class Engine:
         if fix:
             if report["orphan"]:
                 self.store.delete("chunks", orphan)
-            for name in ("chunks", "blobs", "symbols", "tree_entries", "import_edges", "docs_chunks"):
+            for name in TABLES:
                 report["removed"] += [f"{name}/{v}" for v in self.store.recover(name)]
         return report
 
@@ -223,16 +342,20 @@ def _over_head(trees: DataFrame, head: DataFrame | None) -> tuple[DataFrame, Dat
     if head is None:
         return files_now.withColumnRenamed("content_hash", "blob_hash"), files_now.limit(0)
     ours = head.select("worktree_id").distinct()
-    there = head.select(*key, "blob_hash").join(files_now, key, "left_semi")  # a tracked file that is gone can't be seen
+    there = head.select(*key, "blob_hash").join(files_now.select(*key), key, "left_semi")  # a tracked file that is gone can't be seen
     tracked = there.unionByName(files_now.join(ours, "worktree_id", "left_anti").withColumnRenamed("content_hash", "blob_hash"))
     changed = files_now.join(ours, "worktree_id", "left_semi").join(head.select(*key, F.col("blob_hash").alias("content_hash")), [*key, "content_hash"], "left_anti")
     return tracked, changed
 
 
-def _by_tree(trees: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """scan() of each working tree's files, together; there are as many trees as checkouts."""
-    ids = [r[0] for r in trees.select("worktree_id").distinct().orderBy("worktree_id").collect()]
-    return reduce(DataFrame.unionByName, [scan(trees.where(F.col("worktree_id").eqNullSafe(F.lit(w)))) for w in ids or [None]])
+def _apart(files: DataFrame) -> DataFrame:
+    """Files under paths with their tree in front, so that equal paths of two trees are two files to a scanner."""
+    return files.withColumn("path", F.concat_ws("\x1f", TREE, "path"))
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """Rows of a scanner under their own paths, with the tree beside them."""
+    return rows.withColumns({TREE: F.substring_index("path", "\x1f", 1), "path": F.substring_index("path", "\x1f", -1)})
 
 
 def index_state(tracked: bool, dirty: bool, has_chunks: bool, has_symbols: bool) -> str:

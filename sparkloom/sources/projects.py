@@ -89,49 +89,3 @@ def read_jsonc(text: str) -> dict:
             out.append(text[i])
             i += 1
     return json.loads(re.sub(r",(\s*[}\]])", r"\1", "".join(out)) or "{}")
-
-
-def ts_projects(configs: dict[str, str]) -> list[dict]:
-    """A project for each tsconfig or jsconfig (path to text): its folder, base folder and path patterns, ``extends`` followed."""
-
-    def options(path: str, seen: frozenset[str]) -> tuple[str | None, dict, str]:
-        if path in seen or path not in configs:
-            return None, {}, os.path.dirname(path)
-        try:
-            data = read_jsonc(configs[path])
-        except ValueError:
-            return None, {}, os.path.dirname(path)
-        folder = os.path.dirname(path)
-        base, mapping, at = None, {}, folder
-        if isinstance(parent := data.get("extends"), str):
-            target = os.path.normpath(os.path.join(folder, parent))
-            base, mapping, at = options(target if target in configs else f"{target}.json", seen | {path})
-        own = data.get("compilerOptions", {})
-        if "baseUrl" in own:
-            base = os.path.normpath(os.path.join(folder, own["baseUrl"]))
-        if "paths" in own:
-            mapping, at = own["paths"], folder
-        return base, mapping, at
-
-    out = []
-    for path in sorted(configs):
-        if os.path.basename(path) in {"tsconfig.json", "jsconfig.json"}:
-            base, mapping, at = options(path, frozenset())
-            out.append({"folder": os.path.dirname(path), "base": base, "paths": mapping, "paths_from": base if base is not None else at})
-    return out
-
-
-def go_module(text: str) -> str | None:
-    m = re.search(r"(?m)^\s*module\s+(\S+)", text)
-    return m[1].strip('"') if m else None
-
-
-def nearest(folders: dict[str, object], path: str) -> str | None:
-    """The nearest folder at or above a path's own that is a key."""
-    folder = os.path.dirname(path)
-    while True:
-        if folder in folders:
-            return folder
-        if not folder:
-            return None
-        folder = os.path.dirname(folder)

@@ -37,7 +37,8 @@ def test_store_round_trip_and_recovery(spark, tmp_path):
     assert rows(s.read("blobs"), "blob_hash") == [("y",), ("z",)]
     new.write.parquet(f"file://{tmp_path}/idx/blobs/v9")  # a write that died before the swap
     assert s.version("blobs") == 3 and s.recover("blobs") == ["v9"]
-    assert s.vacuum("blobs") == ["v1", "v2"] and s.read("blobs").count() == 2
+    assert s.vacuum("blobs") == [] and s.compact("blobs") == 4  # two changes over their base
+    assert s.vacuum("blobs") == ["v1", "v2", "v3"] and s.read("blobs").count() == 2
     s.put_state(a="1")
     s.put_state(a="2", b="3")
     assert s.state("a") == "2" and s.state("none", "d") == "d"
