@@ -50,57 +50,79 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, key: str, vector: st
     return rows.orderBy("distance", key).limit(k).withColumn("score", score(F.col("distance")))
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_key: str, vector: str = "vector", block: int = 16384) -> DataFrame:
+def _best_of(names: np.ndarray, q: np.ndarray, batches, k: int) -> pd.DataFrame:
+    """(q, k, distance): for each query the k rows of frames(k, v) that are nearest, by distance and then key."""
+    best_d, best_k = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+    for pdf in batches:
+        for a in range(0, len(pdf), 4096):
+            x, ids = _first_of_equals(np.stack(pdf["v"].iloc[a : a + 4096].to_numpy()).astype(np.float64), pdf["k"].iloc[a : a + 4096].to_numpy(np.int64), k)
+            for b in range(0, len(q), 512):
+                some = q[b : b + 512]
+                size = (some * some).sum(1)[:, None] + (x * x).sum(1)[None, :]
+                d = np.maximum(size - 2 * some @ x.T, 0)
+                # candidates by the fast form, as many as could be among the k by what it rounds; then the exact distances of those
+                n = min(k, d.shape[1])
+                reach = np.partition(d, n - 1, axis=1)[:, n - 1] + 1e-12 * size.max(axis=1)
+                n = int((d <= reach[:, None]).sum(axis=1).max())
+                keep = np.argpartition(d, n - 1, axis=1)[:, :n]
+                exact = np.concatenate([((one[None, :] - x[own]) ** 2).sum(1)[None, :] for one, own in zip(some, keep)])
+                all_d, all_k = np.concatenate((best_d[b : b + 512], exact), axis=1), np.concatenate((best_k[b : b + 512], ids[keep]), axis=1)
+                order = np.lexsort((all_k, all_d), axis=1)[:, :k]
+                best_d[b : b + 512], best_k[b : b + 512] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
+    real = best_k.ravel() >= 0
+    return pd.DataFrame({"q": np.repeat(names, k)[real], "k": best_k.ravel()[real], "distance": best_d.ravel()[real]})
+
+
+def _first_of_equals(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors only the k smallest keys can count, so ties never crowd out candidates."""
+    _, same = np.unique(x, axis=0, return_inverse=True)
+    order = np.lexsort((ids, same.ravel()))
+    first = np.flatnonzero(np.diff(same.ravel()[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return x[order[place < k]], ids[order[place < k]]
+
+
+#: Queries that are sent to every task, and rows in a group of the way beyond that.
+BLOCK, BLOCK_ROWS = 16384, 65536
+
+
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_key: str, vector: str = "vector", block: int = BLOCK) -> DataFrame:
     """query_key, key, distance (squared) and rank of the k rows nearest to each query, by distance and then key.
 
-    The queries are a stated set that is collected in blocks, each held against all rows by matrix products in the tasks
-    that read them; a task sends on only its own k best for each query. Rows without a vector have no neighbours.
+    Up to ``block`` queries go to every task that reads rows, which sends on only its own k best for each. More are dealt in
+    blocks, as are the rows, and each pair of blocks is a group; nothing goes through the driver. Rows without a vector have
+    no neighbours.
     """
     spark = vectors.sparkSession
-    schema = dict(vectors.dtypes)
-    out = None
-    base = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).alias("v")).orderBy("q")
-    n = base.count()
-    parts = max(1, -(-n // block))
-    for p in range(parts):
-        # blocks by hash of the key, so that each is collected by itself
-        rows = base.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p).collect()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), np.array([r["v"] for r in rows], np.float64)))
-
-        def nearest(batches, sent=sent):
-            names, q = sent.value
-            best_d, best_k = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
-            for pdf in batches:
-                for a in range(0, len(pdf), 4096):
-                    x = np.stack(pdf["v"].iloc[a : a + 4096].to_numpy()).astype(np.float64)
-                    ids = pdf["k"].iloc[a : a + 4096].to_numpy(np.int64)
-                    # of equal vectors only the k smallest keys can count, so ties never crowd out candidates
-                    _, same = np.unique(x, axis=0, return_inverse=True)
-                    order = np.lexsort((ids, same.ravel()))
-                    first = np.flatnonzero(np.diff(same.ravel()[order], prepend=-1))
-                    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-                    x, ids = x[order[place < k]], ids[order[place < k]]
-                    for b in range(0, len(q), 512):
-                        some = q[b : b + 512]
-                        d = np.maximum((some * some).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * some @ x.T, 0)
-                        # candidates by the fast form, then the exact distances of those alone
-                        n = min(4 * k, d.shape[1])
-                        keep = np.argpartition(d, n - 1, axis=1)[:, :n]
-                        exact = ((some[:, None, :] - x[keep]) ** 2).sum(2)
-                        all_d, all_k = np.concatenate((best_d[b : b + 512], exact), axis=1), np.concatenate((best_k[b : b + 512], ids[keep]), axis=1)
-                        order = np.lexsort((all_k, all_d), axis=1)[:, :k]
-                        best_d[b : b + 512], best_k[b : b + 512] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
-            real = best_k.ravel() >= 0
-            yield pd.DataFrame({"q": np.repeat(names, k)[real], "k": best_k.ravel()[real], "distance": best_d.ravel()[real]})
-
-        found = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInPandas(nearest, f"q {dict(queries.dtypes)[query_key]}, k long, distance double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {schema[key]}, distance double, rank int")
+    q_type, k_type = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
+    base = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(vector).alias("v"))
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))
+    out = f"q {q_type}, k long, distance double"
+    held = base.limit(block + 1).toPandas()
+    if not len(held):
+        return spark.createDataFrame([], f"{query_key} {q_type}, {key} {k_type}, distance double, rank int")
+    if len(held) <= block:
+        sent = spark.sparkContext.broadcast((held["q"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64)))
+
+        def nearest(batches):
+            yield _best_of(*sent.value, batches, k)
+
+        found = rows.mapInPandas(nearest, out)
+    else:
+        parts, blocks = -(-base.count() // block), max(-(-rows.count() // BLOCK_ROWS), 1)
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        left = base.withColumn("part", deal("q", parts)).withColumn("block", every(blocks))
+        right = rows.withColumn("block", deal("k", blocks)).withColumn("part", every(parts))
+
+        def compared(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+            if not len(qs):
+                return pd.DataFrame({"q": qs["q"], "k": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+            return _best_of(qs["q"].to_numpy(), np.stack(qs["v"].to_numpy()).astype(np.float64), [xs], k)
+
+        found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(compared, out)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "k"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("k").cast(schema[key]).alias(key), "distance", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("k").cast(k_type).alias(key), "distance", "rank")
 
 
 def penalty(language: Column, path: Column, n_lines: Column) -> Column:
@@ -118,9 +140,9 @@ def recency(modified: Column, now_ms: int) -> Column:
     return F.coalesce(RECENCY * F.greatest(F.lit(0.0), 1 - age / F.lit(float(MONTH_MS))), F.lit(0.0))
 
 
-def rescore(candidates: DataFrame, query: str, now_ms: int) -> DataFrame:
-    """candidates(path, score, symbol_name, language, start_line, end_line, modified) with the parts of the fused score and final_score."""
-    q = T.camel_tokens(F.lit(query))
+def rescore(candidates: DataFrame, query: str | Column, now_ms: int) -> DataFrame:
+    """candidates(path, score, symbol_name, language, start_line, end_line, modified) with the parts of the fused score and final_score; the query is a text, or a column of them."""
+    q = T.camel_tokens(query if isinstance(query, Column) else F.lit(query))
     parts = {
         "symbol_match": T.coverage(q, T.camel_tokens(F.col("symbol_name"))), "path_match": T.coverage(q, T.camel_tokens(F.col("path"))),
         "recency": recency(F.col("modified"), now_ms), "penalty": penalty(F.col("language"), F.col("path"), F.col("end_line") - F.col("start_line") + 1),
@@ -173,6 +195,17 @@ def semantic_search(chunks: DataFrame, query: str, query_vector: Sequence[float]
     return rows.orderBy(F.desc("final_score"), "distance", "chunk_id").limit(limit).drop("vector")
 
 
+def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 10, now_ms: int = 0) -> DataFrame:
+    """The best ``limit`` chunks for each of queries(query_id, query, vector), with rank, over stored chunks(n, chunk_id, vector, ...).
+
+    ``n`` is a number in the order of chunk_id. Keys and vectors are scanned; the rest is joined to the nearest alone.
+    """
+    near = knn_join(queries.select("query_id", "vector"), chunks.select("n", "vector"), max(100, 10 * limit), "n", "query_id")
+    near = near.withColumn("score", score(F.col("distance"))).join(queries.select("query_id", "query"), "query_id").join(chunks.drop("vector"), "n")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "distance", "chunk_id"))
+    return rescore(near, F.col("query"), now_ms).withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
 def suggestion_score(name: Column, wanted: str) -> Column:
     """How well a symbol's name answers a wanted one, both trimmed and in any case: 1 if equal, 0.95 if it begins with it, 0.85
     if it holds it, 0.7 if it is a part of it, else the better of shared prefix and token overlap; 0 if either is blank."""

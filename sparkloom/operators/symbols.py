@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions.hashing import short_sha1
 from .chunks import chunk_files, chunk_id
 from .references import file_lines
+from .tables import merged
 
 KINDS = ("function", "class", "method", "interface", "type", "enum", "variable", "module", "property", "constant")
 AST_LANGUAGES = ("typescript", "javascript", "python", "go", "rust", "kotlin")
@@ -205,6 +207,68 @@ def route_chunks(files: DataFrame) -> DataFrame:
     return chunk_ids(route_rows(files, symbol_rows(files)))
 
 
+#: What declares a symbol in a line of any language; the first group is the name.
+ANY_LANGUAGE = (
+    ("function", r"^[ \t]*(?:export\s+)?function\s+([A-Za-z_$][\w$]*)\s*\("), ("class", r"^[ \t]*(?:export\s+)?class\s+([A-Za-z_$][\w$]*)"),
+    ("interface", r"^[ \t]*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"), ("type", r"^[ \t]*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*="),
+    ("class", r"^[ \t]*class\s+([A-Za-z_]\w*)"), ("variable", r"^([A-Z][A-Z0-9_]*)(?:\s*:\s*[^=]+)?\s*="),
+    ("function", r"^[ \t]*func\s+([A-Za-z_]\w*)\s*\("), ("method", r"^[ \t]*func\s*\(\s*[A-Za-z_]\w*\s+\*?[A-Za-z_]\w*\s*\)\s+([A-Za-z_]\w*)\s*\("),
+    ("class", r"^[ \t]*type\s+([A-Za-z_]\w*)\s+struct\b"), ("interface", r"^[ \t]*type\s+([A-Za-z_]\w*)\s+interface\b"),
+    ("function", r"^[ \t]*(?:pub\s+)?fn\s+([A-Za-z_]\w*)\s*\("), ("class", r"^[ \t]*(?:pub\s+)?struct\s+([A-Za-z_]\w*)\b"), ("interface", r"^[ \t]*(?:pub\s+)?trait\s+([A-Za-z_]\w*)\b"), ("enum", r"^[ \t]*(?:pub\s+)?enum\s+([A-Za-z_]\w*)\b"),
+    ("class", r"^[ \t]*(?:data\s+|sealed\s+|open\s+|abstract\s+)?class\s+([A-Za-z_]\w*)\b"), ("interface", r"^[ \t]*(?:sealed\s+)?interface\s+([A-Za-z_]\w*)\b"), ("type", r"^[ \t]*typealias\s+([A-Za-z_]\w*)\b"), ("function", r"^[ \t]*(?:suspend\s+)?fun\s+(?:[A-Za-z_]\w*\.)?([A-Za-z_]\w*)\s*\("),
+)
+_DEF, _CLASS = re.compile(r"^\s*def\s+([A-Za-z_]\w*)\s*\("), re.compile(r"^\s*class\s+([A-Za-z_]\w*)\s*(?:\([^)]*\))?\s*:")
+_REEXPORT = re.compile(r"^\s*from\s+[.A-Za-z0-9_]+\s+import\s+(.+)$")
+
+
+def python_extras(path: str, content: str) -> list[Row]:
+    """What the patterns of ANY_LANGUAGE leave out in Python: functions and methods, ``__all__``, and the names that a package passes on as modules."""
+    out: list[Row] = [r for r in scan_python(content) if r[1] == "__all__"]
+    classes: list[int] = []
+    for n, line in enumerate(content.split("\n"), 1):
+        bare, indent = line.strip(), len(line) - len(line.lstrip())
+        if bare and not bare.startswith("#"):
+            while classes and indent <= classes[-1]:
+                classes.pop()
+        if _CLASS.match(line):
+            classes.append(indent)
+        if m := _DEF.match(line):
+            out.append(("method" if classes else "function", m[1], "", n, n))
+        elif path.rsplit("/", 1)[-1] == "__init__.py" and (m := _REEXPORT.match(line)):
+            clause = m[1].split("#")[0].strip().strip("()")
+            names = [re.split(r"\s+as\s+", x.strip())[-1].strip() for x in clause.split(",")]
+            out += [("module", x, "", n, n) for x in names if x and x != "*"]
+    return out
+
+
+def extracted_symbols(files: DataFrame) -> DataFrame:
+    """(path, kind, name, start_line, end_line) by patterns alone, whatever the language of files(path, content), each once.
+
+    All patterns are tried on a line in one pass, native; what depends on the lines before is read from Python files alone.
+    """
+    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, 1).alias("name"))) for k, p in ANY_LANGUAGE]))
+    lines = file_lines(files).select("path", F.col("line").cast("int").alias("start_line"), F.explode(hits).alias("s"))
+    rows = lines.select("path", "s.kind", "s.name", "start_line", F.col("start_line").alias("end_line"))
+
+    def run(batches):
+        for pdf in batches:
+            out = [(p, k, n, a, b) for p, c in zip(pdf["path"], pdf["content"]) for k, n, _, a, b in python_extras(p.rsplit("\x1f", 1)[-1], (c or "").replace("\r\n", "\n"))]
+            yield pd.DataFrame(out, columns=["path", "kind", "name", "start_line", "end_line"])
+
+    python = files.where(P.extension(F.col("path")) == "py").select("path", "content")
+    extras = python.mapInPandas(run, "path string, kind string, name string, start_line int, end_line int")
+    return rows.unionByName(extras).dropDuplicates(["path", "start_line", "kind", "name"])
+
+
+def merged_symbols(scanned: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(path, kind, name, start_line, end_line, chunk_id, origin): what scanners found, and what patterns add; one row for each place, kind and name, the scanner's first."""
+    cols = ["path", "kind", "name", "start_line", "end_line", "chunk_id"]
+    if "chunk_id" not in extracted.columns:
+        extracted = extracted.withColumn("chunk_id", F.lit(None).cast("string"))
+    one, two = scanned.select(*cols, F.lit("scanner").alias("origin")), extracted.select(*cols, F.lit("pattern").alias("origin"))
+    return merged(one, two, ["path", "start_line", "kind", "name"], ["end_line"])
+
+
 def exported_names(content: str) -> list[str]:
     """Names in a Python file's ``__all__``."""
     try:

@@ -108,7 +108,8 @@ class Engine:
         ids = fresh.select(F.col("content_hash").alias("blob_hash")).join(posted.groupBy("blob_hash").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids")), "blob_hash", "left")
         ids = ids.withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
         touched = diff.select(TREE, F.col("path").alias("file_path"))
-        named = symbols.chunk_ids(names).join(changed.select(*key, "repo_id"), key).withColumnRenamed("path", "file_path")
+        both = symbols.merged_symbols(_apart(symbols.chunk_ids(names)), symbols.extracted_symbols(_apart(changed)))
+        named = _together(both).join(changed.select(*key, "repo_id"), key).withColumnRenamed("path", "file_path")
         writes = [
             lambda: store.change("contents", fresh.select(F.col("content_hash").alias("blob_hash"), "content"), dead),
             lambda: store.change("chunks", chunks, orphans),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks, embed, overlay, search, tables
+from ..operators.rounds import settle
 from ..streaming import watch
 from .q_text import _TOKENS, read
 
@@ -38,37 +39,79 @@ def _knn_join(spark, d):
     return search.knn_join(queries, rows, 10, "vec_id", "query_id").select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
 
 
+#: A fixed time for recency, in milliseconds: 2024-02-01. A document was changed as often as it has events, and last at the newest.
+NOW_MS = 1_706_745_600_000
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
 def _document_chunks(spark, d):
-    """Every document's line windows with vectors; documents stand for files, and a document in en for a prose one."""
-    docs = read(spark, d, "documents")
-    files = docs.select(F.concat_ws("/", "source", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"), F.when(F.col("lang") == "en", "markdown").otherwise("python").alias("language"), F.lit("").alias("symbol_name"))
-    rows = chunks.line_windows(files).withColumn("modified", F.lit(None).cast("timestamp"))
-    return embed.HashEmbedder(DIM).embed(rows, "chunk")
+    """Every document's line windows with vectors, stored once for a session and folder; documents stand for files, and a document in en for a prose one.
+
+    ``n`` numbers the chunks in the order of their ids, and ``modified`` is the document's newest event.
+    """
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _kept:
+        docs = read(spark, d, "documents")
+        changes = tables.last_changes(read(spark, d, "events").select(F.lit("r").alias("repo_id"), "ts", F.array(F.col("user_id")).alias("files"))).select(F.col("path").alias("doc_id"), "modified")
+        docs = docs.join(changes, "doc_id", "left")
+        files = docs.select(F.concat_ws("/", "source", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("text").alias("content"), F.when(F.col("lang") == "en", "markdown").otherwise("python").alias("language"), F.lit("").alias("symbol_name"), "modified")
+        rows = embed.HashEmbedder(DIM).embed(chunks.line_windows(files).drop("content"), "chunk")
+        _kept[at] = settle(rows.orderBy("chunk_id").withColumn("n", F.monotonically_increasing_id()))
+    return _kept[at]
 
 
 def _semantic(spark, d):
     row = read(spark, d, "benchmark").orderBy("item_id").select("text").first()
     query = row["text"]
     vector = embed._hashed(query, DIM).tolist()
-    out = search.semantic_search(_document_chunks(spark, d), query, vector, 10)
+    stored = _document_chunks(spark, d)
+    near = [r["n"] for r in search.knn(stored.select("n", "vector"), vector, 100, "n").select("n").collect()]  # what else a chunk has is read for these alone
+    rows = stored.where(F.col("n").isin(near)).withColumn("modified", F.lit(None).cast("timestamp"))
+    out = search.semantic_search(rows, query, vector, 10)
     return out.select("path", "start_line", "end_line", "chunk_id", F.round("score", 6).alias("score"), F.round("final_score", 6).alias("final_score"))
 
 
+def _semantic_all(spark, d):
+    """All benchmark items as queries, with recency at a fixed time."""
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    out = search.search_many(_document_chunks(spark, d), embed.HashEmbedder(DIM).embed(items, "query"), 10, NOW_MS)
+    return out.select("query_id", "rank", "chunk_id", F.round("final_score", 5).alias("final_score"), F.round("recency", 5).alias("recency"))
+
+
 def _fnv(source):
     return f"""(SELECT t, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % {DIM} AS i FROM (SELECT t, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(t, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c)::HUGEINT * 16777619 % 4294967296)::BIGINT) AS h FROM (SELECT DISTINCT t FROM {source})))"""
 
 
-_SEMANTIC_SQL = rf"""WITH f AS (SELECT source || '/doc' || doc_id || '.md' AS path, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS prose, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents WHERE length(text) > 0),
+_CHUNKS_SQL = rf"""f AS (SELECT source || '/doc' || doc_id || '.md' AS path, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS prose, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents WHERE length(text) > 0),
 k AS (SELECT *, unnest(range(0, CASE WHEN len(l) <= 80 THEN 1 ELSE ceil((len(l) - 80) / 60.0)::INT + 1 END)) * 60 AS a FROM f),
 c0 AS (SELECT path, prose, (a + 1)::INT AS start_line, least(a + 80, len(l))::INT AS end_line, regexp_replace(array_to_string(l[a + 1:a + 80], chr(10)), '\s+$', '') AS chunk FROM k),
-c AS (SELECT *, path || ':' || start_line || '-' || end_line || ':' || substr(sha1(path || ':' || start_line || ':' || end_line || ':' || chunk), 1, 16) AS chunk_id FROM c0 WHERE chunk <> ''),
-query AS (SELECT text AS q FROM benchmark ORDER BY item_id LIMIT 1),
-all_texts AS (SELECT chunk_id, chunk AS x FROM c UNION ALL SELECT '', q FROM query),
-n AS (SELECT chunk_id, t, count(*) AS k FROM (SELECT chunk_id, unnest(string_split_regex(lower(x), '[^a-z0-9_]+')) AS t FROM all_texts) WHERE t <> '' GROUP BY ALL),
+c AS (SELECT *, path || ':' || start_line || '-' || end_line || ':' || substr(sha1(path || ':' || start_line || ':' || end_line || ':' || chunk), 1, 16) AS chunk_id FROM c0 WHERE chunk <> '')"""
+
+
+def _vectors_sql(texts):
+    """v(chunk_id, i, x): the hash vectors of texts(chunk_id, x)."""
+    return f"""n AS (SELECT chunk_id, t, count(*) AS k FROM (SELECT chunk_id, unnest(string_split_regex(lower(x), '[^a-z0-9_]+')) AS t FROM {texts}) WHERE t <> '' GROUP BY ALL),
 s AS (SELECT chunk_id, i, sum(k) AS k FROM n JOIN {_fnv('n')} u USING (t) GROUP BY ALL),
 b AS (SELECT chunk_id, i, k::DOUBLE AS x FROM s UNION ALL SELECT chunk_id, (i + 17) % {DIM}, k * 0.5 FROM s),
-v0 AS (SELECT chunk_id, i, sum(x) AS x FROM b GROUP BY ALL UNION ALL SELECT chunk_id, 0, 1.0 FROM all_texts WHERE chunk_id NOT IN (SELECT chunk_id FROM n)),
-v AS (SELECT chunk_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY chunk_id)) AS x FROM v0),
+v0 AS (SELECT chunk_id, i, sum(x) AS x FROM b GROUP BY ALL UNION ALL SELECT chunk_id, 0, 1.0 FROM {texts} WHERE chunk_id NOT IN (SELECT chunk_id FROM n)),
+v AS (SELECT chunk_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY chunk_id)) AS x FROM v0)"""
+
+
+_SEMANTIC_ALL_SQL = rf"""WITH {_CHUNKS_SQL}, q AS (SELECT item_id, '?' || item_id AS chunk_id, text AS q FROM benchmark),
+all_texts AS (SELECT chunk_id, chunk AS x FROM c UNION ALL SELECT chunk_id, q FROM q), {_vectors_sql('all_texts')},
+w AS (SELECT chunk_id, list(coalesce(v.x, 0) ORDER BY r.i) AS v FROM (SELECT DISTINCT chunk_id FROM v) CROSS JOIN range(0, {DIM}) r(i) LEFT JOIN v USING (chunk_id, i) GROUP BY 1),
+g AS (SELECT q.item_id, q.q, c.*, list_sum(list_transform(range(1, {DIM} + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS d FROM q JOIN w a ON a.chunk_id = q.chunk_id CROSS JOIN c JOIN w b ON b.chunk_id = c.chunk_id),
+near AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(d, 10), chunk_id) <= 100),
+m AS (SELECT user_id, max(ts) AS modified FROM events GROUP BY 1),
+r AS (SELECT near.*, 1 / (1 + d) AS score, {_TOKENS.format('q')} AS qt, {_TOKENS.format('path')} AS pt, greatest(0, 1 - ({NOW_MS} - epoch_ms(modified)) / {search.MONTH_MS}.0) * {search.RECENCY} AS rec FROM near LEFT JOIN m ON 'doc' || user_id || '.md' = split_part(path, '/', -1)),
+o AS (SELECT *, coalesce(rec, 0) AS recency, 0.75 * score + 0.10 * coalesce(len(list_filter(qt, lambda t: list_contains(pt, t))) / nullif(len(qt), 0), 0) + coalesce(rec, 0)
+ - CASE WHEN prose = 1 THEN 0.04 + CASE WHEN end_line - start_line + 1 >= 80 THEN 0.08 WHEN end_line - start_line + 1 >= 60 THEN 0.05 WHEN end_line - start_line + 1 >= 40 THEN 0.03 ELSE 0 END ELSE 0 END AS final FROM r)
+SELECT item_id AS query_id, (row_number() OVER (PARTITION BY item_id ORDER BY final DESC, d, chunk_id))::INT AS rank, chunk_id, round(final, 5) AS final_score, round(recency, 5) AS recency FROM o QUALIFY rank <= 10"""
+
+_SEMANTIC_SQL = rf"""WITH {_CHUNKS_SQL},
+query AS (SELECT text AS q FROM benchmark ORDER BY item_id LIMIT 1),
+all_texts AS (SELECT chunk_id, chunk AS x FROM c UNION ALL SELECT '', q FROM query),
+{_vectors_sql('all_texts')},
 g AS (SELECT c.chunk_id, sum(power(coalesce(v.x, 0) - coalesce(q.x, 0), 2)) AS d FROM c CROSS JOIN range(0, {DIM}) r(i) LEFT JOIN v ON v.chunk_id = c.chunk_id AND v.i = r.i LEFT JOIN v q ON q.chunk_id = '' AND q.i = r.i GROUP BY 1),
 near AS (SELECT * FROM g ORDER BY d, chunk_id LIMIT 100),
 r AS (SELECT c.*, d, 1 / (1 + d) AS score, {_TOKENS.format('q')} AS qt, {_TOKENS.format('path')} AS pt FROM near JOIN c USING (chunk_id), query),
@@ -248,6 +291,7 @@ QUERIES = {
     "knn_filtered": _knn({"label": [1, 2, 3]}),
     "knn_join": _knn_join,
     "semantic_search": _semantic,
+    "semantic_search_all": _semantic_all,
     "rerank_penalty": _penalty,
     "overlay_visibility": lambda s, d: _visible(s, d).select("path", "hash"),
     "alias_resolution": _aliases,
@@ -292,6 +336,7 @@ ORACLES = {
     "knn_join": """WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, 65), lambda i: (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, vec_id, round(d, 5) AS distance, rank::INT AS rank FROM r WHERE rank <= 10""",
     "semantic_search": _SEMANTIC_SQL,
+    "semantic_search_all": _SEMANTIC_ALL_SQL,
     "rerank_penalty": """WITH d AS (SELECT doc_id, lang, doc_id % 7 = 0 AS t, CASE WHEN length(text) > 0 THEN len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) ELSE 0 END AS n FROM documents)
 SELECT doc_id, round(-(CASE WHEN lang = 'en' THEN 0.04 + CASE WHEN n >= 80 THEN 0.08 WHEN n >= 60 THEN 0.05 WHEN n >= 40 THEN 0.03 ELSE 0.0 END ELSE 0.0 END + CASE WHEN t THEN 0.1 ELSE 0.0 END)::DOUBLE, 6) AS penalty FROM d""",
     "overlay_visibility": f"WITH {_TREE_SQL} SELECT path, hash FROM visible",

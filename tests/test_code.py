@@ -52,12 +52,6 @@ def test_paths_suggested_for_a_missing_one(spark):
     assert sorted(got) == [("lib/user_model.py", "alike"), ("src/a.py", "beside"), ("src/b.py", "beside")]
 
 
-def test_importers_of_the_first_spelling_that_has_any(spark):
-    edges = spark.createDataFrame([("x.py", "pkg/a"), ("y.py", "pkg/a.py"), ("y.py", "pkg/a.py"), ("z.py", "pkg/b.py")], "source_file string, resolved_target string")
-    got = lambda *v: sorted(tuple(r) for r in imports.ranked_importers(edges, list(v)).collect())
-    assert got("a", "pkg/a.py", "pkg/a") == [("y.py", "pkg/a.py")] and got("none") == []
-
-
 def test_nearest_declaration_and_exported_names():
     lines = ["def f():", "    pass", "x = f()", "", "def f():", "    return 1"]
     assert references.nearest_declaration(lines, 4, "f", "python") == 5 and references.nearest_declaration(lines, 2, "f", "python") == 1
