@@ -31,8 +31,9 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}{LITERAL}\n]+|{SPACE}+|[{LITERAL}\n]")
 NEVER = 1 << 62
 MASK = (1 << 64) - 1
 SHORT = 48  # symbols; longer units take a heap
-KEPT = 1 << 18  # units kept by a worker; beyond, the half used least goes
-TAKEN = 1 << 20  # characters split at a time, and units segmented at a time
+KEPT = 1 << 17  # units kept by a worker; beyond, the half used least goes
+TAKEN = 1 << 20  # characters split at a time
+AT_ONCE = 1 << 16  # units segmented at a time
 _RANK, _AT, _OUT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
 
 
@@ -395,7 +396,7 @@ class PieceEncoder:
                 jobs.append((i, key, place, len(found)))
                 place += len(found)
                 units += found
-                if len(units) > TAKEN >> 2:
+                if len(units) > AT_ONCE:
                     flush()
         flush()
         return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
