@@ -18,12 +18,18 @@ from .symbols import blank_literals
 
 #: Top-level modules of the running Python; what counts as standard library.
 STDLIB = tuple(sorted(sys.stdlib_module_names))
+_STDLIB_SQL = ", ".join(f"'{m}'" for m in STDLIB)
 TS_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
 TS_VARIANTS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 LOWER = {"high": "medium", "medium": "low", "low": "low"}
 EDGES = "source_file string, raw_specifier string, imported_names array<string>, resolved_target string, edge_kind string, level int, conditional boolean, confidence string, unresolved_reason string, lang string"
 
 
+def in_stdlib(module: str) -> Column:
+    """Whether the first part of a module, an SQL expression, is in the standard library; one expression, so that building it is one call."""
+    return F.expr(f"substring_index({module}, '.', 1) IN ({_STDLIB_SQL})")
+
+
 # -- Python ---------------------------------------------------------------------------------------------------------------
 
 
@@ -132,16 +138,16 @@ def python_edges(files: DataFrame, aliases: dict[str, str] | None = None, known:
     best = found.groupBy("_row", "_name").agg(F.min_by(F.struct("target", "exact", "why"), F.struct("k", "target")).alias("b")).select("_row", "_name", "b.*")
     main = best.where("_name = ''").drop("_name")
     rows = rows.join(main, "_row", "left")
-    top = F.substring_index("_full", ".", 1)
+    std = in_stdlib("_full")
     relative = F.col("level") > 0
     spec = F.concat(F.repeat(F.lit("."), F.col("level")), F.col("module"))
     confidence = (
         F.when(F.col("_escapes"), "low").when(F.col("target").isNotNull(), F.when(F.col("exact") & (F.col("why") == ""), "high").otherwise("medium"))
-        .when(relative, "low").when(top.isin(*STDLIB), "medium").when(F.col("mutates_path"), "medium").otherwise("low")
+        .when(relative, "low").when(std, "medium").when(F.col("mutates_path"), "medium").otherwise("low")
     )
     reason = (
         F.when(F.col("_escapes"), "escapes the package root").when(F.col("target").isNotNull(), F.when(F.col("why") != "", F.col("why")))
-        .when(relative, "no such relative module").when(top.isin(*STDLIB), "standard library").otherwise("external")
+        .when(relative, "no such relative module").when(std, "standard library").otherwise("external")
     )
     edges = rows.select(TREE, "source_file", spec.alias("raw_specifier"), "names", F.col("target").alias("resolved_target"), "edge_kind", "level", "conditional", confidence.alias("confidence"), reason.alias("unresolved_reason"))
     children = best.where("_name <> ''").join(rows.select(TREE, "_row", "source_file", spec.alias("s"), "edge_kind", "level", "conditional", F.col("target").alias("main")), "_row")
@@ -286,7 +292,7 @@ def dependency_groups(edges: DataFrame, most: int = 200) -> DataFrame:
     """(source_file, group, n, names) of edges: internal, stdlib or external, distinct and sorted, with at most ``most`` shown."""
     target = F.coalesce("resolved_target", "raw_specifier")
     outside = F.col("resolved_target").isNull() | F.col("resolved_target").startswith("pkg:")
-    std = (F.col("lang") == "python") & F.substring_index("raw_specifier", ".", 1).isin(*STDLIB) & (F.col("level") == 0)
+    std = (F.col("lang") == "python") & in_stdlib("raw_specifier") & (F.col("level") == 0)
     group = F.when(outside & std, "stdlib").when(outside, "external").otherwise("internal")
     rows = edges.select("source_file", group.alias("group"), target.alias("t")).distinct()
     return rows.groupBy("source_file", "group").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("t")), 1, most).alias("names"))
@@ -299,7 +305,7 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     tree answers to it; it is internal if it is relative, found or found by an alias. Internal edges have a rate of their own.
     """
     python = F.col("lang") == "python"
-    std = python & F.substring_index(F.regexp_replace("raw_specifier", r"^\.+", ""), ".", 1).isin(*STDLIB)
+    std = python & in_stdlib("ltrim('.', raw_specifier)")
     found = F.col("resolved_target").isNotNull() & ~F.coalesce(F.col("resolved_target").startswith("pkg:"), F.lit(False))
     internal = ~std & (found | F.col("raw_specifier").startswith(".") | (F.col("level") > 0))
     n, inside = F.count("*"), F.count_if(internal)

@@ -77,11 +77,11 @@ def ts_configs(files: DataFrame) -> DataFrame:
     parent = F.when(F.col("extends").startswith("."), inside(F.col("folder"), F.col("extends")))
     rows = settle(rows.withColumn("parent", F.when(parent.endswith(".json"), parent).otherwise(F.concat(parent, F.lit(".json")))).drop("extends"))
     own = rows.where(P.basename(F.col("path")).isin("tsconfig.json", "jsconfig.json"))
-    ups = rows.select(TREE, *[F.col(c).alias(f"_{c}") for c in ("path", "base", "from_folder", "paths", "parent")])
+    ups = rows.select(*[F.col(c).alias(f"_{c}") for c in (TREE, "path", "base", "from_folder", "paths", "parent")])
     for _ in range(MOST_EXTENDS):  # a round for each step of the longest chain; configurations are few
         if own.where("parent is not null").isEmpty():
             break
-        met = own.join(ups, (own[TREE] == ups[TREE]) & (own["parent"] == ups["_path"]), "left").drop(ups[TREE])
+        met = own.join(ups, (F.col(TREE) == F.col(f"_{TREE}")) & (F.col("parent") == F.col("_path")), "left")
         own = settle(met.select(TREE, "path", "folder", F.coalesce("base", "_base").alias("base"), F.coalesce("paths", "_paths").alias("paths"), F.coalesce("from_folder", "_from_folder").alias("from_folder"), F.col("_parent").alias("parent")))
     best = own.groupBy(TREE, "folder").agg(F.max_by(F.struct("base", "from_folder", "paths"), F.col("path")).alias("s"))
     return best.select(TREE, "folder", "s.base", F.coalesce("s.base", "s.from_folder").alias("from_folder"), "s.paths")

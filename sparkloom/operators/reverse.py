@@ -35,11 +35,14 @@ def tried_modules(aliases: dict[str, str]) -> Column:
     full = F.when(F.col("level") > 0, F.concat_ws(".", F.when(base != "", base), F.when(bare != "", bare))).otherwise(bare)
     every = F.concat(F.array(full), F.transform(F.filter(F.coalesce("imported_names", F.array()), lambda n: n != "*"), lambda n: F.concat_ws(".", F.when(full != "", full), n)))
     for old, new in sorted(aliases.items()):
-        by = lambda m, old=old, new=new: F.when((m == old) | m.startswith(old + "."), F.concat(F.lit(new), F.substring(m, F.lit(len(old) + 1), F.length(m))))
-        every = F.concat(every, F.array_compact(F.transform(every, by)))
+        every = F.concat(every, F.array_compact(F.transform(every, _renamed(old, new))))
     return every
 
 
+def _renamed(old: str, new: str) -> Callable[[Column], Column]:
+    return lambda m: F.when((m == old) | m.startswith(old + "."), F.concat(F.lit(new), F.substring(m, F.lit(len(old) + 1), F.length(m))))
+
+
 def import_keys(edges: DataFrame, configs: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """(key, kind, worktree_id, source_file, raw_specifier): the postings of edges. ``configs`` are the trees' TypeScript projects."""
     edges = scoped(edges)

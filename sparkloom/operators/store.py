@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -112,8 +113,8 @@ class Store:
         def mine(df: DataFrame) -> DataFrame:
             if only is None:
                 return df
-            values = [F.lit(x) for x in sorted(set(only))]
-            numbers = sorted({r[0] for r in self.spark.range(1).select(F.explode(F.array(*[self._bucket(x) for x in values]))).collect()}) if values else []
+            numbers = sorted({xxhash.xxh64_intdigest(x.encode(), 42) for x in only})  # what xxhash64 gives, unsigned
+            numbers = sorted({(n - (1 << 64) if n >> 63 else n) % self.buckets for n in numbers})
             return df.where((F.col("_bucket").isin(numbers) | F.col("_bucket").isNull()) & F.col(spec.bucket).isin(sorted(set(only))))
 
         base, *changes = parts
@@ -165,7 +166,8 @@ class Store:
     def _fold(self, name: str) -> None:
         """Compact a table that has many changes or large ones."""
         base, *changes = self._parts(name)
-        if len(changes) > MOST_CHANGES or sum(map(lambda v: self.bytes_of(name, v), changes)) > max(MOST_SHARE * self.bytes_of(name, base), 1 << 20):
+        large = len(changes) % 4 == 0 and sum(self.bytes_of(name, v) for v in changes) > max(MOST_SHARE * self.bytes_of(name, base), 1 << 20)  # looked at now and then
+        if len(changes) > MOST_CHANGES or large:
             self.compact(name)
             self.vacuum(name, keep=2)
 

@@ -178,9 +178,12 @@ def scanned_symbols(files: DataFrame) -> DataFrame:
     return wanted.mapInPandas(run, "path string, kind string, name string, parent string, start_line int, end_line int, chunk string")
 
 
-def symbol_rows(files: DataFrame) -> DataFrame:
-    """Symbols of files(path, language, content), the first of each place, kind and name."""
-    return scanned_symbols(files).unionByName(line_symbols(files)).dropDuplicates(["path", "start_line", "end_line", "kind", "name"])
+def symbol_rows(files: DataFrame, languages: set[str] | None = None) -> DataFrame:
+    """Symbols of files(path, language, content), the first of each place, kind and name; ``languages`` are those that the files have, if that is known."""
+    rows = scanned_symbols(files)
+    if languages is None or languages & LINE_RULES.keys():
+        rows = rows.unionByName(line_symbols(files))
+    return rows.dropDuplicates(["path", "start_line", "end_line", "kind", "name"])
 
 
 def chunk_ids(rows: DataFrame) -> DataFrame:
@@ -241,12 +244,17 @@ def python_extras(path: str, content: str) -> list[Row]:
     return out
 
 
-def extracted_symbols(files: DataFrame) -> DataFrame:
-    """(path, kind, name, start_line, end_line) by patterns alone, whatever the language of files(path, content), each once.
+def _sql(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def extracted_symbols(files: DataFrame, languages: set[str] | None = None) -> DataFrame:
+    """(path, kind, name, start_line, end_line) by patterns alone, whatever the language of files(path, content), each once; ``languages`` as in ``symbol_rows``.
 
     All patterns are tried on a line in one pass, native; what depends on the lines before is read from Python files alone.
     """
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, 1).alias("name"))) for k, p in ANY_LANGUAGE]))
+    hits = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN text RLIKE {_sql(p)} THEN struct('{k}' AS kind, regexp_extract(text, {_sql(p)}, 1) AS name) END" for k, p in ANY_LANGUAGE) + "))")
     lines = file_lines(files).select("path", F.col("line").cast("int").alias("start_line"), F.explode(hits).alias("s"))
     rows = lines.select("path", "s.kind", "s.name", "start_line", F.col("start_line").alias("end_line"))
 
@@ -255,6 +263,8 @@ def extracted_symbols(files: DataFrame) -> DataFrame:
             out = [(p, k, n, a, b) for p, c in zip(pdf["path"], pdf["content"]) for k, n, _, a, b in python_extras(p.rsplit("\x1f", 1)[-1], (c or "").replace("\r\n", "\n"))]
             yield pd.DataFrame(out, columns=["path", "kind", "name", "start_line", "end_line"])
 
+    if languages is not None and "python" not in languages:
+        return rows.dropDuplicates(["path", "start_line", "kind", "name"])
     python = files.where(P.extension(F.col("path")) == "py").select("path", "content")
     extras = python.mapInPandas(run, "path string, kind string, name string, start_line int, end_line int")
     return rows.unionByName(extras).dropDuplicates(["path", "start_line", "kind", "name"])

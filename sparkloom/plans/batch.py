@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 TOOLS = {
     "semantic_search": {"query": (str,), "limit": int, "min_score": float, "worktree_id": str, "file_pattern": str, "exclude_pattern": str, "language": str, "code_only": bool},
     "find_files": {"pattern": (str,), "worktree_id": str},
-    "get_symbols": {"name": str, "file_path": str, "kind": str, "limit": int},
-    "get_file_summary": {"path": (str,)},
+    "get_symbols": {"name": str, "file_path": str, "kind": str, "limit": int, "worktree_id": str},
+    "get_file_summary": {"path": (str,), "worktree_id": str},
     "get_recent_changes": {"query": str, "limit": int, "since": str},
-    "get_dependencies": {"path": (str,), "recursive": bool, "max_files": int},
-    "find_importers": {"target": (str,), "limit": int},
-    "find_references": {"symbol": (str,), "file_path": str, "include_declaration": bool, "include_context": bool, "context_lines": int, "limit": int},
+    "get_dependencies": {"path": (str,), "recursive": bool, "max_files": int, "worktree_id": str},
+    "find_importers": {"target": (str,), "limit": int, "worktree_id": str},
+    "find_references": {"symbol": (str,), "file_path": str, "include_declaration": bool, "include_context": bool, "context_lines": int, "limit": int, "worktree_id": str},
     "status": {},
 }
 MOST_CALLS = 8
@@ -65,10 +65,10 @@ def _call(engine, tool: str, args: dict):
     if tool == "get_file_summary":
         return engine.file_summary(**args)
     if tool == "get_dependencies":
-        return engine.get_dependencies(args["path"], args.get("recursive", False), args.get("max_files", 50))
+        return engine.get_dependencies(args["path"], args.get("recursive", False), args.get("max_files", 50), args.get("worktree_id"))
     if tool == "find_references":
-        rows, note = engine.find_references(None, args["symbol"], args.get("file_path"), args.get("limit", 50), declarations=args.get("include_declaration", False))
-        return (engine.in_context(rows, args.get("context_lines", 2)) if args.get("include_context") else rows), note
+        rows, note = engine.find_references(None, args["symbol"], args.get("file_path"), args.get("limit", 50), args.get("worktree_id"), declarations=args.get("include_declaration", False))
+        return (engine.in_context(rows, args.get("context_lines", 2), args.get("worktree_id")) if args.get("include_context") else rows), note
     return getattr(engine, tool)(**args)
 
 
@@ -128,4 +128,5 @@ def format_status(status: dict) -> str:
 def format_summary(s: dict) -> str:
     parts = [f"[file] {s['path']}", f"[state] {s['state']}", f"[chunks] {s['chunks']}"]
     parts += [f"[{k}] " + ", ".join(s[k]) for k in ("symbols", "imports") if s[k]]
+    parts += [f"[{k}] {s[k]}" for k in ("package", "doc") if s.get(k)]
     return "\n".join(parts)

@@ -23,6 +23,8 @@ from ..streaming import watch
 SYMBOL_SCHEMA = "2"
 #: Names that files which came or went may answer to, up to which their buckets alone are read.
 MOST_KEYS = 2000
+#: The files that steer how imports resolve.
+STEERING = ("go.mod", "tsconfig.json", "jsconfig.json")
 
 
 @dataclass
@@ -66,12 +68,18 @@ class Engine:
         diff = settle(both.withColumn("change", change).where(F.lit(True) if whole else F.col("change") != "same"))
         counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
         report = {k: counts.get(k, 0) for k in ("added", "modified", "deleted")}
-        report["same"] = now.count() - report["added"] - report["modified"]
-        writes = self._overlay(now, head)
+        settings = P.extension(F.col("path")).isin("json") | (P.basename(F.col("path")) == "go.mod")
+        facts = now.agg(F.count("*").alias("n"), F.count_if(settings).alias("settings")).first()
+        report["same"] = facts["n"] - report["added"] - report["modified"]
+        report_changes = sum(report[k] for k in ("added", "modified", "deleted"))
+        if head is None and not whole and not self.store.version("dirty_files"):  # the tracked files are all there are, so the difference is known
+            writes = [lambda: self.store.change("tree_entries", diff.where("new is not null").withColumnRenamed("new", "blob_hash"), diff.where("new is null"))] if report_changes else []
+        else:
+            writes = self._overlay(now, head)
         if commits is not None:
             writes.append(lambda: self.store.replace("commits", commits))
-        if whole or sum(report[k] for k in ("added", "modified", "deleted")):
-            writes += self._contents(trees, now, diff, whole) + [lambda: self._changed_at(now, diff, commits)]
+        if whole or report_changes:
+            writes += self._contents(trees, now, diff, whole, report, facts["settings"] > 0) + [lambda: self._changed_at(now, diff, commits)]
         with ThreadPoolExecutor(max(1, len(writes))) as pool:
             for done in [pool.submit(w) for w in writes]:
                 done.result()
@@ -80,7 +88,7 @@ class Engine:
             self.store.put_state(symbol_schema=SYMBOL_SCHEMA, indexed_at=str(self.now_ms))
         return report
 
-    def _contents(self, trees: DataFrame, now: DataFrame, diff: DataFrame, whole: bool) -> list[Callable]:
+    def _contents(self, trees: DataFrame, now: DataFrame, diff: DataFrame, whole: bool, report: dict, settings: bool) -> list[Callable]:
         """The writes of contents, chunks, symbols and edges that a diff(worktree_id, path, old, new, change) of the trees asks for."""
         store = self.store
         key = [TREE, "path"]
@@ -89,18 +97,19 @@ class Engine:
         fresh = changed if whole else changed.join(known, "content_hash", "left_anti")
         holder = fresh.groupBy("content_hash").agg(F.min(F.struct(*key)).alias("h")).select("content_hash", "h.*")
         fresh = settle(fresh.join(holder, ["content_hash", *key], "left_semi"))
-        names = settle(_together(symbols.symbol_rows(_apart(changed))))
+        langs = {r["language"] for r in changed.select("language").distinct().collect()}
+        names = settle(_together(symbols.symbol_rows(_apart(changed), langs)))
         mine = names.join(fresh.select(*key), key, "left_semi")
         parts = _together(symbols.route_rows(_apart(fresh), _apart(mine))).join(fresh.select(*key, "repo_id", "language", "content_hash"), key)
         parts = settle(self.embedder.embed(symbols.chunk_ids(parts), "chunk"))
         posted = parts.select("chunk_id", F.col("content_hash").alias("blob_hash")).distinct()
-        dead = settle(diff.where("old is not null").select(F.col("old").alias("blob_hash")).distinct().join(now.select(F.col("content_hash").alias("blob_hash")), "blob_hash", "left_anti"))
-        stored = store.read("chunk_blobs")
-        left = stored.join(dead, "blob_hash", "left_semi").select("chunk_id").distinct()
-        held = stored.join(dead, "blob_hash", "left_anti").select("chunk_id").unionByName(posted.select("chunk_id"))
-        orphans = left.join(held, "chunk_id", "left_anti").select(F.col("chunk_id").alias("id"))
-        if dead.isEmpty():
-            dead = orphans = None
+        dead = orphans = None
+        if whole or report["modified"] or report["deleted"]:  # contents that no file has any more, and chunks that no content has
+            dead = settle(diff.where("old is not null").select(F.col("old").alias("blob_hash")).distinct().join(now.select(F.col("content_hash").alias("blob_hash")), "blob_hash", "left_anti"))
+            stored = store.read("chunk_blobs")
+            left = stored.join(dead, "blob_hash", "left_semi").select("chunk_id").distinct()
+            held = stored.join(dead, "blob_hash", "left_anti").select("chunk_id").unionByName(posted.select("chunk_id"))
+            orphans = left.join(held, "chunk_id", "left_anti").select(F.col("chunk_id").alias("id"))
         chunks = parts.dropDuplicates(["chunk_id"]).select(
             F.col("chunk_id").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("chunk").alias("content"), F.col("path").alias("file_path"), "start_line", "end_line",
             F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), "language", "repo_id", TREE,
@@ -108,7 +117,7 @@ class Engine:
         ids = fresh.select(F.col("content_hash").alias("blob_hash")).join(posted.groupBy("blob_hash").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids")), "blob_hash", "left")
         ids = ids.withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
         touched = diff.select(TREE, F.col("path").alias("file_path"))
-        both = symbols.merged_symbols(_apart(symbols.chunk_ids(names)), symbols.extracted_symbols(_apart(changed)))
+        both = symbols.merged_symbols(_apart(symbols.chunk_ids(names)), symbols.extracted_symbols(_apart(changed), langs))
         named = _together(both).join(changed.select(*key, "repo_id"), key).withColumnRenamed("path", "file_path")
         writes = [
             lambda: store.change("contents", fresh.select(F.col("content_hash").alias("blob_hash"), "content"), dead),
@@ -117,35 +126,63 @@ class Engine:
             lambda: store.change("blobs", ids, dead),
             lambda: store.change("symbols", named, touched),
         ]
-        todo, edges, configs = self._resolved(changed, now, diff, whole)
+        todo, edges, configs = self._resolved(changed, now, diff, whole, langs, report, settings)
         again = todo.select(TREE, F.col("path").alias("source_file")).unionByName(touched.withColumnRenamed("file_path", "source_file")).distinct()
         writes.append(lambda: store.change("import_edges", edges, again))
         writes.append(lambda: store.change("import_keys", reverse.import_keys(edges, configs, self.config.import_aliases), again))
         return writes
 
-    def _resolved(self, changed: DataFrame, now: DataFrame, diff: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The files whose imports are resolved again, their edges, and the trees' TypeScript projects."""
+    def _resolved(self, changed: DataFrame, now: DataFrame, diff: DataFrame, whole: bool, langs: set[str], report: dict, settings: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """The files whose imports are resolved again, their edges, and the trees' TypeScript projects.
+
+        ``langs`` are the languages of the changed files; the plans of others aren't made. ``settings`` says whether any tree has
+        files that may be a project's.
+        """
+        key = [TREE, "path"]
+        todo = changed.select(*key, "language", "content")
+        texts = todo.select(*key, "content").limit(0)
+        if settings:
+            texts = self._settings(changed, now)
+        if not whole and self.store.version("import_keys") and (settings or report["added"] or report["deleted"]):
+            again = self._again(changed, now, diff, report, settings)
+            more = {r["language"] for r in again.select("language").distinct().collect()}
+            if more:
+                old, langs = self.store.read("contents").withColumnRenamed("blob_hash", "content_hash"), langs | more
+                todo = settle(todo.unionByName(again.join(old, "content_hash").select(*key, "language", "content")))
+        configs = settle(nearest.ts_configs(texts)) if settings else nearest.given_configs(now.limit(0), [])
+        scans = []
+        if langs & {"python", "text"}:  # stubs have no language of their own
+            scans.append(imports.python_edges(todo, self.config.import_aliases, now))
+        if langs & {"typescript", "javascript", "text"}:
+            scans.append(imports.ts_edges(todo, configs, now))
+        if langs & {"go", *imports.LINE_IMPORTS}:
+            scans.append(imports.other_edges(todo, nearest.go_modules(texts)))
+        edges = reduce(DataFrame.unionByName, [x.drop("conditional") for x in scans]) if scans else self.store.read("import_edges").limit(0)
+        return todo, settle(edges), configs if langs & {"typescript", "javascript", "text"} else None
+
+    def _settings(self, changed: DataFrame, now: DataFrame) -> DataFrame:
+        """(worktree_id, path, content) of the trees' go.mod files and TypeScript configurations."""
         key = [TREE, "path"]
-        moved = settle(diff.where("change in ('added', 'deleted')").select(*key))
         named = now.where(P.extension(F.col("path")).isin("json") | (P.basename(F.col("path")) == "go.mod"))
         texts = self.store.read("contents").withColumnRenamed("blob_hash", "content_hash").join(named.select("content_hash").distinct(), "content_hash", "left_semi")
         texts = texts.unionByName(changed.join(named.select(*key), key, "left_semi").select("content_hash", "content")).dropDuplicates(["content_hash"])
-        settings = P.basename(F.col("path")).isin("go.mod", "tsconfig.json", "jsconfig.json") | F.contains("content", F.lit("compilerOptions"))
-        texts = settle(named.join(texts, "content_hash").where(settings).select(*key, "content"))
-        configs, modules = settle(nearest.ts_configs(texts)), nearest.go_modules(texts)
-        todo = changed.select(*key, "language", "content")
-        if not whole and self.store.version("import_keys"):
-            steered = P.basename(F.col("path")).isin("go.mod", "tsconfig.json", "jsconfig.json")
-            trees = diff.where(steered).select(TREE).unionByName(changed.where((P.extension(F.col("path")) == "json") & F.contains("content", F.lit("compilerOptions"))).select(TREE)).distinct()
+        steering = P.basename(F.col("path")).isin(*STEERING) | F.contains("content", F.lit("compilerOptions"))
+        return settle(named.join(texts, "content_hash").where(steering).select(*key, "content"))
+
+    def _again(self, changed: DataFrame, now: DataFrame, diff: DataFrame, report: dict, settings: bool) -> DataFrame:
+        """The unchanged files whose imports may resolve otherwise: those that asked for a file that came or went, and all of a tree whose settings changed."""
+        key = [TREE, "path"]
+        again = now.select(*key).limit(0)
+        if report["added"] or report["deleted"]:
+            moved = settle(diff.where("change in ('added', 'deleted')").select(*key))
             wanted = [r["key"] for r in reverse.answers(moved).select("key").distinct().limit(MOST_KEYS + 1).collect()]
-            posted = self.store.read("import_keys", wanted if len(wanted) <= MOST_KEYS else None)
-            again = reverse.concerned(posted, moved).unionByName(now.join(trees, TREE, "left_semi").select(*key)).distinct()
-            again = settle(now.join(again, key, "left_semi").join(changed.select(*key), key, "left_anti").select(*key, "language", "content_hash"))
-            if not again.isEmpty():
-                old = self.store.read("contents").withColumnRenamed("blob_hash", "content_hash")
-                todo = settle(todo.unionByName(again.join(old, "content_hash").select(*key, "language", "content")))
-        edges = imports.python_edges(todo, self.config.import_aliases, now).unionByName(imports.ts_edges(todo, configs, now)).unionByName(imports.other_edges(todo, modules))
-        return todo, settle(edges.drop("conditional")), configs
+            again = reverse.concerned(self.store.read("import_keys", wanted if len(wanted) <= MOST_KEYS else None), moved)
+        lost = F.col("new").isNull() & (P.extension(F.col("path")) == "json")  # it may have been one that others extend
+        steered = diff.where(P.basename(F.col("path")).isin(*STEERING) | lost).select(TREE)
+        if settings:
+            steered = steered.unionByName(changed.where((P.extension(F.col("path")) == "json") & F.contains("content", F.lit("compilerOptions"))).select(TREE))
+        again = again.unionByName(now.join(steered.distinct(), TREE, "left_semi").select(*key)).distinct()
+        return settle(now.join(again, key, "left_semi").join(changed.select(*key), key, "left_anti").select(*key, "language", "content_hash"))
 
     def _overlay(self, now: DataFrame, head: DataFrame | None) -> list[Callable]:
         """The writes that bring the tracked and the dirty files to what they are now; those that are the same stay as they are."""
@@ -395,6 +432,16 @@ def head_trees(spark: SparkSession, roots: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [files.head_tree(spark, *x) for x in known], empty)
 
 
+def histories(spark: SparkSession, roots: list[str], most: int) -> DataFrame | None:
+    """The newest commits of the roots that are in a repository; None if none is."""
+    known = [files.git_history(spark, root, most) for root in roots if files.worktree_info(root)]
+    return reduce(DataFrame.unionByName, known) if known else None
+
+
 def watched(engine: Engine, roots: list[str], checkpoint: str, poll_ms: int = watch.POLL_MS, quiet_ms: int = watch.DEBOUNCE_MS) -> watch.Watcher:
     """A watcher that brings the index up to the roots after each batch of changes; the caller starts and stops it."""
-    return watch.Watcher(engine.spark, roots, lambda changes: engine.index(scan_roots(engine.spark, roots, engine.config), head_trees(engine.spark, roots)), checkpoint, poll_ms, quiet_ms)
+
+    def refresh(changes) -> None:
+        engine.index(scan_roots(engine.spark, roots, engine.config), head_trees(engine.spark, roots), histories(engine.spark, roots, engine.config.most_commits) if engine.config.history else None)
+
+    return watch.Watcher(engine.spark, roots, refresh, checkpoint, poll_ms, quiet_ms)
