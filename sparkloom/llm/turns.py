@@ -238,12 +238,17 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     fixed = materialize(fixed, "fixed")
 
     def codes(batches):
+        ats, every = [], []
         for pdf in batches:
             for audit, initials, places in zip(pdf["audit"], pdf["initials"], pdf["firsts"]):
-                every = coded(audit, initials)
-                at = [a for p in places for a in range(p["first"], p["first"] + p["n"])]
-                for i in range(0, len(at), 1 << 16):
-                    yield pd.DataFrame({"at": at[i : i + (1 << 16)], "code": every[i : i + (1 << 16)]})
+                ats += [a for p in places for a in range(p["first"], p["first"] + p["n"])]
+                every += coded(audit, initials)
+                if len(ats) >= 1 << 14:
+                    for i in range(0, len(ats), 1 << 16):
+                        yield pd.DataFrame({"at": ats[i : i + (1 << 16)], "code": every[i : i + (1 << 16)]})
+                    ats, every = [], []
+        if ats:
+            yield pd.DataFrame({"at": ats, "code": every})
 
     same = F.col("f.conv_id").eqNullSafe(F.col("g.conv_id"))
     code = fixed.alias("f").join(firsts.alias("g"), same).select("f.audit", "f.initials", "g.firsts").mapInPandas(codes, "at long, code string")
