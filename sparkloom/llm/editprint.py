@@ -108,6 +108,25 @@ def likeness(bits_a: np.ndarray, bits_b: np.ndarray, size_a: np.ndarray, size_b:
     return np.where(differ.any(1), np.clip(1 - 2 * off / np.maximum(total, 1), 0, 1), 1.0)
 
 
+#: Row k: 128 bits of which the first k are set, as two words.
+_FIRST_BITS = np.packbits(np.arange(BITS) < np.arange(BITS + 1)[:, None], axis=1).view(np.uint64)
+
+
+def packed_likeness(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """``likeness`` of packed bits: two words for each octave of a row."""
+    steps = np.maximum(2 * np.maximum(size_a, size_b), 1)
+    differ = a ^ b
+    total, off = np.zeros(len(steps)), np.zeros(len(steps))
+    for o in range(differ.shape[1] // 2):
+        low, high = octave_range(o)
+        used = np.searchsorted(sampled_steps(o), steps)
+        share = np.bitwise_count(differ[:, 2 * o : 2 * o + 2] & _FIRST_BITS[used]).sum(1) / np.maximum(used, 1)
+        w = np.where(used > 0, np.clip(np.minimum(steps, high) - low, 0, None), 0)
+        total += w
+        off += w * share
+    return np.where(differ.any(1), np.clip(1 - 2 * off / np.maximum(total, 1), 0, 1), 1.0)
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the code points replaced by the first as many (or all) of the following text."""
     k = len(text) // 2
@@ -116,6 +135,9 @@ def edited(text: str, following: str) -> str:
 
 SAMPLED = 64  # rows looked at for each partition to find the ranges' bounds
 PART_BYTES = 1 << 26
+#: The driver holds bounds of at most so many ranges and about so many rows of the sample; ranges of a larger table grow instead,
+#: which their tasks read a batch at a time.
+MOST_PARTS, MOST_SAMPLED = 1 << 16, 1 << 20
 LONG = "cast(-9223372036854775808 as bigint)"
 
 
@@ -130,10 +152,10 @@ def _bounds(rows: DataFrame) -> tuple[np.ndarray, tuple[int, ...]]:
     state = rows.agg(F.count("*").alias("n"), F.sum(F.length("text") + 16).alias("size"), F.min(F.struct("ident", "hash")).alias("first")).first()
     if not state["n"]:
         return np.zeros((0, 2), np.int64), (0, 0)
-    parts = max(shuffle_partitions(rows.sparkSession), -(-state["size"] // PART_BYTES))
-    share = min(1.0, SAMPLED * parts / state["n"])
+    parts = min(MOST_PARTS, max(shuffle_partitions(rows.sparkSession), -(-state["size"] // PART_BYTES)))
+    share = min(1.0, SAMPLED * parts / state["n"], MOST_SAMPLED / state["n"])
     sample = rows.select("ident", "hash", (F.length("text") + 16).alias("size")).sample(share, 3) if share < 1 else rows.select("ident", "hash", (F.length("text") + 16).alias("size"))
-    sample = sample.toPandas().sort_values(["ident", "hash"], ignore_index=True)  # about SAMPLED rows a partition
+    sample = sample.toPandas().sort_values(["ident", "hash"], ignore_index=True)  # about MOST_SAMPLED rows at most
     sizes = sample["size"].to_numpy(np.int64)
     places = np.searchsorted(np.cumsum(sizes), sizes.sum() * np.arange(1, parts) / parts)
     return sample[["ident", "hash"]].to_numpy(np.int64)[np.unique(places[places < len(sample)])], tuple(state["first"])
@@ -241,16 +263,22 @@ def edit_fingerprints(docs: DataFrame, per_batch: int = 2048) -> DataFrame:
 NEAR, BANDS, BAND_BITS = 0.9, 20, 32
 #: Members of a bucket that are paired at once; larger buckets are searched from member to member.
 FEW = 16
-#: Buckets of more members are dealt out again by SUB_BANDS bands of SUB_BITS further bits.
-BIG, SUB_BANDS, SUB_BITS = 2048, 16, 16
+#: Buckets of more members first meet CENTRES of them; what those leave apart is dealt out again by SUB_BANDS bands of SUB_BITS
+#: further bits, and buckets of those that are still larger in pairs of blocks of BIG // 2.
+BIG, CENTRES, SUB_BANDS, SUB_BITS = 2048, 5, 16, 16
 
 
-def unprinted(prints: list[str]) -> np.ndarray:
-    """The bits of fingerprints, a row each, with end marks behind the shorter ones."""
+def unhexed(prints: list[str]) -> np.ndarray:
+    """The bytes of fingerprints, a row each, with end marks behind the shorter ones."""
     most = max(map(len, prints)) // 2
     marked = np.concatenate([sampled_steps(o) for o in range(most * 8 // BITS)])
     ends = np.packbits(_marks[marked % PERIOD, 0]).tobytes()
-    return np.unpackbits(np.frombuffer(b"".join(bytes.fromhex(p) + ends[len(p) // 2 :] for p in prints), np.uint8).reshape(len(prints), most), axis=1)
+    return np.frombuffer(b"".join(bytes.fromhex(p) + ends[len(p) // 2 :] for p in prints), np.uint8).reshape(len(prints), most)
+
+
+def unprinted(prints: list[str]) -> np.ndarray:
+    """The bits of fingerprints, a row each, with end marks behind the shorter ones."""
+    return np.unpackbits(unhexed(prints), axis=1)
 
 
 def level_of(n_chars: float) -> int:
@@ -285,7 +313,9 @@ def near_classes(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
     A class is what links of ``at_least`` or more connect, and class_id its smallest doc_id (null if it has none). Texts whose
     walks agree in a band of sampled bits meet in a bucket; a text close below a doubling of its steps bands at that doubling's
     level, too. All pairs of a small bucket are verified on whole fingerprints; a larger one is searched from member to member,
-    each held against those not yet reached, so no link in a bucket is lost. Empty texts are one class. No rows give none.
+    each held against those not yet reached. In one of more than BIG texts all first meet a few centres; those that the best
+    centre leaves are banded by further bits with the rest of the bucket, and what is still large is held against all of it in
+    pairs of blocks, so no task holds more than BIG fingerprints of a bucket. Empty texts are one class. No rows give none.
     """
     nodes = prints.groupBy("fingerprint", "n_chars").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     nodes = materialize(nodes, "nodes")
@@ -311,17 +341,12 @@ def near_classes(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
     pairs = pairs.select(F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as a, y as b))))")).alias("p"))
     pairs = materialize(pairs.select("p.a", "p.b").distinct(), "pairs")
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=float)
-        bits = unprinted(a.tolist() + b.tolist())
-        return pd.Series(likeness(bits[: len(a)], bits[len(a) :], n_a.to_numpy(), n_b.to_numpy()))
-
     ends = [nodes.select(F.col("node").alias(x), F.col("fingerprint").alias(f), F.col("n_chars").alias(n)) for x, f, n in (("a", "f", "n"), ("b", "g", "m"))]
-    links = pairs.join(ends[0], "a").join(ends[1], "b").where(alike("f", "g", "n", "m") >= at_least).select("a", "b")
-    many = members.where(F.col("m") > FEW).join(nodes.select("node", "fingerprint", "n_chars"), "node")
-    links = links.unionByName(_searched(many, at_least))
+    links = pairs.join(ends[0], "a").join(ends[1], "b").where(_alike()("f", "g", "n", "m") >= at_least).select("a", "b")
+    some = members.where(F.col("m").between(FEW + 1, BIG)).select("key", "node")
+    links = links.unionByName(_forests(some, nodes, ["key"], at_least))
+    if not shared.where(F.col("m") > BIG).isEmpty():
+        links = links.unionByName(_large(members.where(F.col("m") > BIG), nodes, at_least))
     roots = components(links)
     rooted = materialize(nodes.join(roots, "node"), "rooted")
     lows = materialize(rooted.groupBy("root").agg(F.min("low").alias("class_id")), "lows")
@@ -332,18 +357,24 @@ def near_classes(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
     return found.where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select("row_id", "class_id")
 
 
-def _searched(members: DataFrame, at_least: float) -> DataFrame:
-    """Links (a, b) that connect what links of at_least or more connect in each bucket of members(key, m, node, fingerprint, n_chars)."""
+def _alike():
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=float)
+        words = unhexed(a.tolist() + b.tolist()).view(np.uint64)
+        return pd.Series(packed_likeness(words[: len(a)], words[len(a) :], n_a.to_numpy(), n_b.to_numpy()))
+
+    return alike
 
-    @F.pandas_udf("array<long>")
-    def finer(keys: pd.Series, prints: pd.Series) -> pd.Series:
-        levels = ((keys.to_numpy() >> BAND_BITS) // BANDS).tolist()
-        values = _band_values(prints.tolist(), levels, SUB_BANDS, SUB_BITS, 7) + (np.arange(SUB_BANDS) << SUB_BITS) if len(keys) else np.zeros((0, SUB_BANDS), np.int64)
-        return pd.Series(values.tolist())
 
-    once = members.where(F.col("m") <= BIG).select("key", F.lit(-1).cast("long").alias("sub"), "node", "fingerprint", "n_chars")
-    again = members.where(F.col("m") > BIG).select("key", F.explode(finer("key", "fingerprint")).alias("sub"), "node", "fingerprint", "n_chars")
-    dealt = once.unionByName(again).repartition(shuffle_partitions(members.sparkSession), "key", "sub").sortWithinPartitions("key", "sub", "node")
+def _forests(members: DataFrame, nodes: DataFrame, group: list[str], at_least: float, joined: str = "false") -> DataFrame:
+    """Links (a, b) that connect what links of at_least or more connect in each group of members(*group, node).
+
+    Members for which ``joined`` holds are known to be connected. A group should have at most BIG rows.
+    """
+    rows = members.select(*group, "node", F.expr(joined).alias("joined")).join(nodes.select("node", "fingerprint", "n_chars"), "node")
+    dealt = rows.repartition(shuffle_partitions(nodes.sparkSession), *group).sortWithinPartitions(*group, "node")
 
     def run(batches):
         held = None
@@ -351,7 +382,7 @@ def _searched(members: DataFrame, at_least: float) -> DataFrame:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            at = pdf[["key", "sub"]].to_numpy()
+            at = pdf[group].to_numpy()
             cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()]
             held = pdf.iloc[cuts[-1] :]
             for a, b in zip(cuts, cuts[1:]):
@@ -362,15 +393,56 @@ def _searched(members: DataFrame, at_least: float) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
+def _large(members: DataFrame, nodes: DataFrame, at_least: float) -> DataFrame:
+    """As ``_forests`` for buckets of members(key, m, node) with any number of rows, but for links whose ends share none of SUB_BANDS bands.
+
+    The members near one centre are connected by it, so only the others have to be held against all of their bucket.
+    """
+    large = materialize(members.join(nodes.select("node", "fingerprint", "n_chars"), "node"), "large", codec="zstd")
+    picks = large.groupBy("key").agg(*[F.min_by(F.struct("node", "fingerprint", "n_chars"), F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)])
+    picks = picks.select("key", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("c"))
+    picks = materialize(picks.select("key", F.col("c.node").alias("centre"), F.col("c.fingerprint").alias("g"), F.col("c.n_chars").alias("n")), "centres")
+    star = large.join(small(picks), "key").where(_alike()("fingerprint", "g", "n_chars", "n") >= at_least)
+    star = materialize(star.select("key", "m", "node", "centre"), "star")
+    best = star.groupBy("key", "m", "centre").agg(F.count("*").alias("n")).groupBy("key", "m")
+    best = materialize(best.agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"), F.max("n").alias("n")), "best")
+    near = star.join(small(best.select("key", "centre")), ["key", "centre"]).select("key", "node", F.lit(True).alias("near"))
+    left = large.join(small(best.where("n < m").select("key")), "key").join(near, ["key", "node"], "left")
+
+    @F.pandas_udf("array<long>")
+    def finer(keys: pd.Series, prints: pd.Series) -> pd.Series:
+        levels = ((keys.to_numpy() >> BAND_BITS) // BANDS).tolist()
+        values = _band_values(prints.tolist(), levels, SUB_BANDS, SUB_BITS, 7) + (np.arange(SUB_BANDS) << SUB_BITS) if len(keys) else np.zeros((0, SUB_BANDS), np.int64)
+        return pd.Series(values.tolist())
+
+    dealt = left.select("key", "node", F.coalesce("near", F.lit(False)).alias("near"), F.explode(finer("key", "fingerprint")).alias("sub"))
+    dealt = materialize(dealt, "finer", codec="zstd")
+    sizes = dealt.groupBy("key", "sub").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("r")).where("r > 0 and n > 1")
+    dealt = dealt.join(materialize(sizes, "sizes"), ["key", "sub"])
+    whole = dealt.where(F.col("n") <= BIG)
+    # each block of those left meets each block of all
+    half, place = max(1, BIG // 2), lambda blocks: F.pmod(F.xxhash64("node", F.lit(5)), blocks)
+    rows, ranks = F.ceil(F.col("r") / half), F.ceil(F.col("n") / half)
+    both = dealt.where(F.col("n") > BIG).select("key", "sub", "node", "near", rows.alias("rows"), ranks.alias("ranks"))
+    one = both.where("not near").select("key", "sub", "node", "near", place(F.col("rows")).alias("i"), F.explode(F.expr("sequence(0, ranks - 1)")).alias("j"))
+    other = both.select("key", "sub", "node", "near", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place(F.col("ranks")).alias("j"))
+    blocks = one.unionByName(other.select(*one.columns))
+    links = star.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    links = links.unionByName(_forests(whole, nodes, ["key", "sub"], at_least, "near"))
+    return links.unionByName(_forests(blocks, nodes, ["key", "sub", "i", "j"], at_least, "near"))
+
+
 def reached(pdf: pd.DataFrame, at_least: float) -> pd.DataFrame:
-    """A spanning forest of one bucket's links: each member reached is held against all those not reached yet."""
-    bits, sizes, nodes = unprinted(pdf["fingerprint"].tolist()), pdf["n_chars"].to_numpy(), pdf["node"].to_numpy()
-    left, out, queue = np.arange(len(nodes)), [np.zeros((0, 2), np.int64)], []
+    """A forest of one group's links: each member reached is held against all those not reached yet. Repeated members count once."""
+    pdf = pdf.drop_duplicates("node")
+    words, sizes, nodes = unhexed(pdf["fingerprint"].tolist()).view(np.uint64), pdf["n_chars"].to_numpy(), pdf["node"].to_numpy()
+    joined = pdf["joined"].to_numpy(bool)
+    left, out, queue = np.flatnonzero(~joined), [np.zeros((0, 2), np.int64)], np.flatnonzero(joined).tolist()
     while len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
         x = queue.pop()
-        near = likeness(bits[x][None, :], bits[left], np.full(len(left), sizes[x]), sizes[left]) >= at_least if len(left) else np.zeros(0, bool)
+        near = packed_likeness(words[x], words[left], np.full(len(left), sizes[x]), sizes[left]) >= at_least
         hit = left[near]
         out.append(np.stack((np.full(len(hit), nodes[x]), nodes[hit]), axis=1))
         queue += hit.tolist()
