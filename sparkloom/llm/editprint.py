@@ -263,6 +263,16 @@ def edit_fingerprints(docs: DataFrame, per_batch: int = 2048) -> DataFrame:
 NEAR, BANDS, BAND_BITS = 0.9, 20, 32
 #: Members of a bucket that are paired at once; larger buckets are searched from member to member.
 FEW = 16
+#: Pairs whose sketches of 128 sampled bits differ in more bits aren't verified. Texts at NEAR differ in 6.4 of them, and in more
+#: than 16 with a chance of 0.0002, so the threshold falls with ``at_least`` by as many standard deviations.
+SKETCH = 128
+
+
+def sketch_bound(at_least: float) -> int:
+    apart = (1 - at_least) / 2
+    return int(np.ceil(SKETCH * apart + 3.8 * np.sqrt(SKETCH * apart * (1 - apart))))
+
+
 #: Buckets of more members first meet CENTRES of them; what those leave apart is dealt out again by SUB_BANDS bands of SUB_BITS
 #: further bits, and buckets of those that are still larger in pairs of blocks of BIG // 2.
 BIG, CENTRES, SUB_BANDS, SUB_BITS = 2048, 5, 16, 16
@@ -312,33 +322,40 @@ def near_classes(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
 
     A class is what links of ``at_least`` or more connect, and class_id its smallest doc_id (null if it has none). Texts whose
     walks agree in a band of sampled bits meet in a bucket; a text close below a doubling of its steps bands at that doubling's
-    level, too. All pairs of a small bucket are verified on whole fingerprints; a larger one is searched from member to member,
+    level, too. All pairs of a small bucket whose sketches are near are verified on whole fingerprints; a larger one is searched from member to member,
     each held against those not yet reached. In one of more than BIG texts all first meet a few centres; those that the best
     centre leaves are banded by further bits with the rest of the bucket, and what is still large is held against all of it in
     pairs of blocks, so no task holds more than BIG fingerprints of a bucket. Empty texts are one class. No rows give none.
     """
     nodes = prints.groupBy("fingerprint", "n_chars").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("rows"))
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes, "nodes", codec="zstd")
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<struct<level:int,s1:long,s2:long,keys:array<long>>>")
     def bands(prints: pd.Series, sizes: pd.Series) -> pd.Series:
         levels = [level_of(n) for n in sizes]
         above = [level_of(1.05 * n / at_least) for n in sizes]
         prints = prints.tolist()
         more = [i for i, (a, b) in enumerate(zip(levels, above)) if a != b]
-        keys = lambda p, l: (_band_values(p, l, BANDS, BAND_BITS, 99) + ((np.array(l)[:, None] * BANDS + np.arange(BANDS)) << BAND_BITS)).tolist()
-        out = keys(prints, levels) if prints else []
+
+        def at(p: list[str], l: list[int]) -> list[tuple]:
+            keys = _band_values(p, l, BANDS, BAND_BITS, 99) + ((np.array(l)[:, None] * BANDS + np.arange(BANDS)) << BAND_BITS)
+            return [(x, y, z, k) for x, (y, z), k in zip(l, _band_values(p, l, 2, SKETCH // 2, 55).tolist(), keys.tolist())]
+
+        out = [[x] for x in at(prints, levels)] if prints else []
         if more:
-            for i, k in zip(more, keys([prints[i] for i in more], [above[i] for i in more])):
-                out[i] = out[i] + k
+            for i, x in zip(more, at([prints[i] for i in more], [above[i] for i in more])):
+                out[i].append(x)
         return pd.Series(out)
 
-    rows = nodes.where("n_chars > 0").select("node", F.explode(bands("fingerprint", "n_chars")).alias("key"))
-    rows = materialize(rows, "bands", codec="zstd")
+    banded = nodes.where("n_chars > 0").select("node", F.explode(bands("fingerprint", "n_chars")).alias("b")).select("node", "b.*")
+    banded = materialize(banded, "bands", codec="zstd")
+    rows = banded.select("node", F.explode("keys").alias("key"))
     shared = materialize(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
-    members = rows.join(shared, "key")
-    pairs = members.where(F.col("m") <= FEW).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("s"))
-    pairs = pairs.select(F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x as a, y as b))))")).alias("p"))
+    members = materialize(rows.join(shared, "key"), "members", codec="zstd")
+    pairs = members.where(F.col("m") <= FEW).withColumn("level", F.expr(f"int(shiftright(key, {BAND_BITS}) div {BANDS})"))
+    pairs = pairs.join(banded.select("node", "level", "s1", "s2"), ["node", "level"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "s1", "s2"))).alias("s"))
+    close = f"bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {sketch_bound(at_least)}"
+    pairs = pairs.select(F.explode(F.expr(f"flatten(transform(s, (x, i) -> transform(filter(slice(s, i + 2, size(s)), y -> {close}), y -> struct(x.node as a, y.node as b))))")).alias("p"))
     pairs = materialize(pairs.select("p.a", "p.b").distinct(), "pairs")
 
     ends = [nodes.select(F.col("node").alias(x), F.col("fingerprint").alias(f), F.col("n_chars").alias(n)) for x, f, n in (("a", "f", "n"), ("b", "g", "m"))]
