@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.paths import IGNORED
+from ..operators.rounds import settle
 
 POLL_MS, DEBOUNCE_MS = 750, 250
 LEAST_POLL_MS, LEAST_DEBOUNCE_MS = 50, 25
@@ -23,9 +24,13 @@ def snapshot_changes(snapshots: DataFrame, path: str, poll: str, signature: str)
 
     The first poll only sets the scene. Polls are numbered once, so a path is compared with its own last sight alone.
     """
-    polls = snapshots.select(poll).distinct()
-    # few rows: one for each poll, not for each path
-    numbers = polls.withColumn("_n", F.row_number().over(Window.orderBy(poll)))
+    # numbered within ranges of polls; only the ranges' sizes, a row each, are summed in one task
+    ranges = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    polls = settle(snapshots.select(poll).distinct().repartitionByRange(ranges, poll).withColumn("_part", F.spark_partition_id()))
+    sizes = polls.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(poll))
+    numbers = polls.withColumn("_within", within).join(F.broadcast(before), "_part").select(poll, (F.col("_within") + F.col("_before")).alias("_n"))
     w = Window.partitionBy(path).orderBy("_n")
     rows = snapshots.join(numbers, poll).select("*", F.lag("_n").over(w).alias("_was"), F.lag(signature).over(w).alias("_old"), F.lead("_n").over(w).alias("_next"))
     fresh = F.col("_was").isNull() | (F.col("_was") < F.col("_n") - 1)

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import overlay, references, search, symbols, tables
 from sparkloom.operators.store import Store
+from sparkloom.streaming import watch
 
 
 def rows(df, *names):
@@ -213,3 +216,22 @@ def test_contents_are_counted_and_ids_scrubbed(spark):
     assert overlay.reference_counts("h", tree, dirty).first()["n"] == 3 and overlay.reference_counts("x", tree, dirty).first()["n"] == 0
     blobs = spark.createDataFrame([("h", ["1", "2", "3"]), ("k", []), ("n", None)], "blob_hash string, chunk_ids array<string>")
     assert rows(overlay.scrub_ids(blobs, ["2", "9"]), "blob_hash", "chunk_ids") == [("h", ["1", "3"]), ("k", []), ("n", None)]
+
+
+def test_snapshot_changes_over_many_polls(spark):
+    rng = random.Random(3)
+    held, rows, want, before = {}, [], set(), None
+    for poll in sorted(rng.sample(range(10_000), 300)):
+        for path in "abcdefgh":
+            if rng.random() < 0.2:
+                held.pop(path, None)
+            elif rng.random() < 0.3:
+                held[path] = str(rng.randrange(3))
+        held["always"] = "1"
+        rows += [(p, poll, s) for p, s in held.items()]
+        if before is not None:
+            want |= {(p, poll, "modified" if p in before else "added") for p, s in held.items() if before.get(p) != s}
+            want |= {(p, poll, "deleted") for p in before if p not in held}
+        before = dict(held)
+    out = watch.snapshot_changes(spark.createDataFrame(rows, "path string, poll long, signature string"), "path", "poll", "signature").collect()
+    assert len(out) == len(want) and {tuple(r) for r in out} == want
