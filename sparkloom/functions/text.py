@@ -58,8 +58,8 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>", " ")
 
 
-def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
+def decode_entities(text: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
+    for name, char in entities:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
@@ -78,8 +78,13 @@ def html_to_text(html: Column) -> Column:
     return strip(x)
 
 
-def page_title(html: Column, fallback: Column) -> Column:
-    """The text of <title>, white space collapsed; the fallback if there is none."""
+def title(html: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
+    """The text of <title>, in which tags are no tags, white space collapsed; empty if there is none, null for null."""
     t = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    t = strip(F.regexp_replace(decode_entities(F.regexp_replace(t, r"<[^>]+>", " ")), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(decode_entities(t, entities), r"[ \t\n\f\r]+", " "), r"^ | \z", "")
+
+
+def page_title(html: Column, fallback: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
+    """The text of <title>; the fallback if there is none."""
+    t = title(html, entities)
     return F.when(t != "", t).otherwise(fallback)
