@@ -22,14 +22,16 @@ LEAST_POLL_MS, LEAST_DEBOUNCE_MS = 50, 25
 def snapshot_changes(snapshots: DataFrame, path: str, poll: str, signature: str) -> DataFrame:
     """(path, poll, kind) between successive full snapshots(path, poll, signature): added, modified or deleted.
 
-    The first poll only sets the scene. Polls are numbered once, so a path is compared with its own last sight alone.
+    The first poll only sets the scene. Polls are numbered once, so a path is compared with its own last sight alone. A null
+    poll is the last one, and what it lists isn't known.
     """
     # numbered within ranges of polls; only the ranges' sizes, a row each, are summed in one task
     ranges = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    polls = settle(snapshots.select(poll).distinct().repartitionByRange(ranges, poll).withColumn("_part", F.spark_partition_id()))
+    order = F.col(poll).asc_nulls_last()
+    polls = settle(snapshots.select(poll).distinct().repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id()))
     sizes = polls.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(poll))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     numbers = polls.withColumn("_within", within).join(F.broadcast(before), "_part").select(poll, (F.col("_within") + F.col("_before")).alias("_n"))
     w = Window.partitionBy(path).orderBy("_n")
     rows = snapshots.join(numbers, poll).select("*", F.lag("_n").over(w).alias("_was"), F.lag(signature).over(w).alias("_old"), F.lead("_n").over(w).alias("_next"))

@@ -28,3 +28,21 @@ def test_titles_are_those_of_the_sql(spark, tmp_path):
     check(spark, tmp_path, "page_title", pages=pages)
     check(spark, tmp_path, "doc_search", pages=pages)
     check(spark, tmp_path, "doc_search", pages=pages.where("page_id > 7").withColumn("url", F.concat("url", F.lit("/Then"))))
+
+
+def test_watched_events_without_time_type_or_id(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:10:00", 1, "a"), (2, "2024-01-01 00:20:00", 1, None), (3, None, 1, "b"), (4, "2024-01-01 01:00:00", 2, "a"), (None, "2024-01-01 02:00:00", 1, "c"), (9, "2024-01-01 02:00:00", 1, "d"), (5, "2024-01-01 02:30:00", 2, "a"), (6, "2024-01-01 03:59:59.999999", 2, None), (7, "2024-01-01 03:00:00", None, "a"), (8, "1969-12-31 22:30:00", 3, "a"), (10, "1969-12-31 23:30:00", 3, "b"), (11, "1969-12-31 22:59:59.9995", 4, "b"), (12, "2024-01-01 01:59:59.999499", 4, "b"), (13, "2024-01-01 01:59:59.9995", 5, "b")]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = check(spark, tmp_path, "watch_diff", events=events)
+    assert any(poll is None and kind == "deleted" for _, poll, kind in found)
+    check(spark, tmp_path, "watch_diff", events=events.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def test_watched_hours_are_those_of_utc(spark, tmp_path):
+    rows = [(n, f"2024-{m:02}-{day:02} {h:02}:15:00", n % 2, "ab"[n % 3 > 1]) for n, (m, day, h) in enumerate((m, day, h) for m in (3, 10) for day in (10, 27, 30, 31) for h in (0, 1, 2, 3))]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        check(spark, tmp_path, "watch_diff", events=events)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
