@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from .rounds import settle
 
 #: Weights of the fused score, and the penalties by language and length.
 VECTOR, SYMBOL, PATH, RECENCY = 0.75, 0.15, 0.10, 0.08
@@ -198,9 +199,10 @@ def semantic_search(chunks: DataFrame, query: str, query_vector: Sequence[float]
 def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 10, now_ms: int = 0) -> DataFrame:
     """The best ``limit`` chunks for each of queries(query_id, query, vector), with rank, over stored chunks(n, chunk_id, vector, ...).
 
-    ``n`` is a number in the order of chunk_id. Keys and vectors are scanned; the rest is joined to the nearest alone.
+    ``n`` is a number in the order of chunk_id. Keys and vectors are scanned; the rest is joined to the nearest alone. These
+    are written first, so that their size is known and, unless there are very many queries, the chunks aren't shuffled for them.
     """
-    near = knn_join(queries.select("query_id", "vector"), chunks.select("n", "vector"), max(100, 10 * limit), "n", "query_id")
+    near = settle(knn_join(queries.select("query_id", "vector"), chunks.select("n", "vector"), max(100, 10 * limit), "n", "query_id"))
     near = near.withColumn("score", score(F.col("distance"))).join(queries.select("query_id", "query"), "query_id").join(chunks.drop("vector"), "n")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "distance", "chunk_id"))
     return rescore(near, F.col("query"), now_ms).withColumn("rank", rank).where(F.col("rank") <= limit)

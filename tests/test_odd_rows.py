@@ -1,11 +1,12 @@
 """Queries over small tables of odd rows give what their SQL gives."""
 
+import random
 from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
 
-from sparkloom.plans import catalog
+from sparkloom.plans import catalog, q_search, q_text
 
 
 def check(spark, folder, name, **tables):
@@ -46,3 +47,29 @@ def test_watched_hours_are_those_of_utc(spark, tmp_path):
         check(spark, tmp_path, "watch_diff", events=events)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_searched_chunks_are_stored_without_their_texts(spark, tmp_path):
+    draw = random.Random(3)
+    texts = ["\n".join(" ".join(draw.choices(["cold", "widget", "red", *map(str, range(400))], k=draw.randint(1, 9))) for _ in range(40 * n)) for n in range(1, 8)]
+    docs = spark.createDataFrame([(n, x, "en" if n % 2 else "fr", "web") for n, x in enumerate(texts, 1)] + [(8, None, "en", "web"), (9, "", "en", "web")], "doc_id long, text string, lang string, source string")
+    events = spark.createDataFrame([(1, "2024-01-20 00:00:00.0005", 1), (2, "2024-01-30 00:00:00", 2), (3, None, 3), (4, "2024-01-10 00:00:00", None)], "event_id long, ts string, user_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    items = spark.createDataFrame([(1, "cold widget"), (2, "red word3 doc3"), (3, "7 8 9 10")], "item_id long, text string")
+    rows = check(spark, tmp_path, "semantic_search_all", documents=docs, events=events, benchmark=items)
+    assert len({q for q, *_ in rows}) == 3
+    stored = q_search._document_chunks(spark, str(tmp_path))
+    assert "chunk" not in stored.columns and stored.where("modified is not null").select("path").distinct().count() == 2
+
+
+def test_items_that_repeated_documents_cover(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red cold Widget"), (1, "cold red"), (2, None), (3, "fooBar baz"), (4, "bar"), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "bar bar foo"), (8, "cold cold red x"), (9, None), (10, "bar bar foo"), (11, "..")], "item_id long, text string")
+    check(spark, tmp_path, "token_coverage", documents=docs, benchmark=items)
+
+
+def test_pairs_of_documents_and_items_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_text, "_PAIRS", 3)
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("cold red").alias("text"))
+    items = spark.createDataFrame([(7, "cold"), (8, "red x")], "item_id long, text string")
+    check(spark, tmp_path, "token_coverage", documents=docs, benchmark=items)
+    assert catalog.QUERIES["token_coverage"](spark, str(tmp_path)).rdd.getNumPartitions() >= 20
