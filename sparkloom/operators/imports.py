@@ -6,6 +6,8 @@ import ast
 import os
 import re
 import sys
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,17 @@ def in_stdlib(module: str) -> Column:
     return F.expr(f"substring_index({module}, '.', 1) IN ({_STDLIB_SQL})")
 
 
+#: Rows that a scanner holds before it gives them out, however many a batch of files has.
+FRAME_ROWS = 2000
+
+
+def frames(rows: Iterable[tuple], columns: list[str], most: int = FRAME_ROWS) -> Iterator[pd.DataFrame]:
+    """Rows as frames of at most ``most`` of them; memory that is freed between frames serves the next one."""
+    rows = iter(rows)
+    while some := list(islice(rows, most)):
+        yield pd.DataFrame(some, columns=columns)
+
+
 # -- Python ---------------------------------------------------------------------------------------------------------------
 
 
@@ -76,13 +89,14 @@ def python_statements(content: str) -> list[tuple[str, int, list[str], bool, str
 def python_imports(files: DataFrame) -> DataFrame:
     """(worktree_id, source_file, module, level, names, conditional, edge_kind, mutates_path, hints) of Python files(path, content)."""
 
-    def run(batches):
+    def found(batches):
         for pdf in batches:
-            out = []
             for tree, path, content in zip(pdf[TREE], pdf["path"], pdf["content"]):
                 hints = _HINT.findall(content or "")
-                out += [(tree, path, m, lv, n, c, k, "sys.path" in content, hints) for m, lv, n, c, k in python_statements(content or "")]
-            yield pd.DataFrame(out, columns=[TREE, "source_file", "module", "level", "names", "conditional", "edge_kind", "mutates_path", "hints"])
+                yield from ((tree, path, m, lv, n, c, k, "sys.path" in content, hints) for m, lv, n, c, k in python_statements(content or ""))
+
+    def run(batches):
+        yield from frames(found(batches), [TREE, "source_file", "module", "level", "names", "conditional", "edge_kind", "mutates_path", "hints"])
 
     python = scoped(files).where(P.extension(F.col("path")).isin("py", "pyi")).select(TREE, "path", "content")
     return python.mapInPandas(run, f"{TREE} string, source_file string, module string, level int, names array<string>, conditional boolean, edge_kind string, mutates_path boolean, hints array<string>")
@@ -200,12 +214,13 @@ def ts_edges(files: DataFrame, projects: list[dict] | DataFrame | None = None, k
     """
     known = files if known is None else known
 
-    def run(batches):
+    def found(batches):
         for pdf in batches:
-            out = []
             for tree, path, content in zip(pdf[TREE], pdf["path"], pdf["content"]):
-                out += [(tree, path, n, spec, names, kind) for n, (spec, names, kind) in enumerate(ts_statements(content or ""))]
-            yield pd.DataFrame(out, columns=[TREE, "path", "n", "spec", "imported_names", "edge_kind"])
+                yield from ((tree, path, n, spec, names, kind) for n, (spec, names, kind) in enumerate(ts_statements(content or "")))
+
+    def run(batches):
+        yield from frames(found(batches), [TREE, "path", "n", "spec", "imported_names", "edge_kind"])
 
     some = scoped(files).where(P.extension(F.col("path")).isin(*TS_EXTENSIONS)).select(TREE, "path", "content")
     rows = settle(some.mapInPandas(run, f"{TREE} string, path string, n int, spec string, imported_names array<string>, edge_kind string"))

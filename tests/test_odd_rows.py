@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
+from sparkloom.operators import imports
 from sparkloom.plans import catalog, q_search, q_text
 
 
@@ -73,3 +74,10 @@ def test_pairs_of_documents_and_items_are_dealt_by_their_number(spark, tmp_path,
     items = spark.createDataFrame([(7, "cold"), (8, "red x")], "item_id long, text string")
     check(spark, tmp_path, "token_coverage", documents=docs, benchmark=items)
     assert catalog.QUERIES["token_coverage"](spark, str(tmp_path)).rdd.getNumPartitions() >= 20
+
+
+def test_statements_come_in_frames_of_bounded_size(spark):
+    sizes = [len(f) for f in imports.frames(((n, "x") for n in range(2 * imports.FRAME_ROWS + 5)), ["n", "x"])]
+    assert sizes == [imports.FRAME_ROWS, imports.FRAME_ROWS, 5] and not list(imports.frames(iter(()), ["n"]))
+    many = spark.createDataFrame([("a.py", "\n".join(f"import m{n}" for n in range(5000))), ("b.py", ""), ("c.py", "import z")], "path string, content string")
+    assert imports.python_imports(many).count() == 5001
