@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from operator import lt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ BESIDE = 4
 MIN_WORDS = 24
 #: Lines that a sample of one in SAMPLE rows shows more often than this are dealt with by a grouped minimum and a join.
 SAMPLE, HOT = 16, 64
-BATCH = 1 << 18  # bytes of short texts that are taken together
+BATCH = 1 << 17  # bytes of short texts that are taken together
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Asked runs are broadcast up to so many and joined by shuffle beyond.
 BROADCAST_RUNS = 1 << 20
@@ -59,7 +61,7 @@ def _wrapped(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[first], mix(np.add.reduceat(h * _POWERS[at], first)), sizes
 
 
-def lines_of_many(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lines_of_many(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the wrapped lines of all texts in order: the text's number, start byte, hash and words.
 
     Short texts are taken together up to BATCH bytes, longer ones whole.
@@ -76,7 +78,7 @@ def lines_of_many(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         batch, size = [], 0
 
     for i, t in enumerate(texts):
-        d = (t or "").encode("utf-8", "surrogatepass")
+        d = t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")
         if size + len(d) > BATCH:
             flush()
         batch.append((i, d))
@@ -92,19 +94,19 @@ def lines_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, byte
     return starts, hashes, words, (text or "").encode("utf-8", "surrogatepass")
 
 
-def starts_of(texts: list[str | None]) -> list[np.ndarray]:
+def starts_of(texts: list[str | bytes | None]) -> list[np.ndarray]:
     """The start bytes of each text's wrapped lines."""
     number, starts, _, _ = lines_of_many(texts)
     return np.split(starts, np.searchsorted(number, np.arange(1, len(texts))))
 
 
-def beside(text: str | None, line: int, after: bool, starts: np.ndarray | None = None) -> str:
+def beside(text: str | bytes | None, line: int, after: bool, starts: np.ndarray | None = None) -> str:
     """The words of the BESIDE wrapped lines before a wrapped line, or of those behind it, joined by single spaces."""
     starts = starts_of([text])[0] if starts is None else starts
-    data = (text or "").encode("utf-8", "surrogatepass")
-    edges = [*starts.tolist(), len(data)]
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
     low, high = (line + 1, min(line + 1 + BESIDE, len(starts))) if after else (max(line - BESIDE, 0), line)
-    return b" ".join(data[edges[low] : edges[high]].split()).decode("utf-8", "surrogatepass")
+    low, high = (int(starts[x]) if x < len(starts) else len(data) for x in (low, high))
+    return b" ".join(data[low:high].split()).decode("utf-8", "surrogatepass")
 
 
 def without(text: str | None, runs: list[tuple[int, int, str, str]], starts: np.ndarray | None = None) -> str:
@@ -145,6 +147,8 @@ def without(text: str | None, runs: list[tuple[int, int, str, str]], starts: np.
 
 def rising(values: list[int]) -> list[int]:
     """Places of a longest strictly rising subsequence, by patience sorting."""
+    if all(map(lt, values, values[1:])):
+        return list(range(len(values)))
     tops: list[int] = []
     piles: list[int] = []
     below = [0] * len(values)
@@ -163,14 +167,14 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, ...]]:
+def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np.ndarray, words: np.ndarray, min_words: int, live: np.ndarray | None = None) -> list[tuple[int, ...]]:
     """Runs of a document's lines to delete; the rows are its repeated lines in order of ``at``.
 
     A run is (from, up to, the earlier document and line of its first line, and those of its last line).
 
     at: the line's number; owner and place: the earlier document that has it first, and where; once: whether the line is
     unique in both. Lines between two aligned ones on one diagonal belong to the block if each repeats some earlier line.
-    A block that the document has more than once goes each time.
+    A block that the document has more than once goes each time. ``live``: the rows, by number, whose owner may have a block, all by default.
     """
     covered = dict(zip(at.tolist(), words.tolist()))
     doomed: dict[int, tuple[int, int]] = {}
@@ -181,7 +185,8 @@ def common_blocks(at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np
                 doomed.setdefault(x, (owner, here[low] + x - low))
 
     by_owner: dict[int, list[int]] = {}
-    for k, o in enumerate(owner.tolist()):
+    live = np.arange(len(at)) if live is None else live
+    for k, o in zip(live.tolist(), owner[live].tolist()):
         by_owner.setdefault(o, []).append(k)
     for o, rows in by_owner.items():
         here = {int(at[k]): int(place[k]) for k in rows}
@@ -233,27 +238,114 @@ def least_runs(hashes: np.ndarray, words: np.ndarray, opens: np.ndarray, min_wor
     start = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
     ends = start >= edges[part]
     low, high = np.concatenate((low[fits], start[ends])), np.concatenate((high[fits], stop[ends]))
-    low, high = np.divmod(np.unique(low * (n + 1) + high), n + 1)
+    both = np.sort(low * (n + 1) + high)
+    low, high = np.divmod(both[_changes(both)], n + 1)
     power, inverse = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:n], dtype=np.uint64)))
     return low, high, mix((total[high] - total[low]) * inverse[low]).view(np.int64)
 
 
-def asked_runs(at: np.ndarray, hashes: np.ndarray, words: np.ndarray, runs: list[tuple[int, ...]], min_words: int) -> list[tuple[int, int, int, list[int]]]:
-    """(from, up to, hash, words of each line) of the least runs of repeated lines that hold a line of a stretch of
-    ``min_words`` words or more, all repeated and none in ``runs``."""
-    gone = np.zeros(len(at), bool)
-    for a, b, *_ in runs:
-        gone |= (at >= a) & (at < b)
-    opens = np.diff(at, prepend=at[0] - 2) != 1
-    stretch = np.cumsum(opens | np.diff(gone, prepend=gone[0])) - 1
+def live_rows(doc: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Whether ``common_blocks`` may find a block with the row's owner; the rows are many documents' in order of doc and at.
+
+    A block begins and ends in lines of one owner on one diagonal, with repeated lines alone between them. Owners without two
+    such lines (or one) that far apart have none, so most rows need no alignment.
+    """
+    if not len(at):
+        return np.zeros(0, bool)
+    opens = _changes(doc, at)
+    line = np.cumsum(opens) - 1
+    sums = np.concatenate(([0], np.cumsum(words[opens])))
+    stretch = np.cumsum(_changes(doc[opens]) | (np.diff(at[opens], prepend=-2) != 1))[line]
+    pair = np.lexsort((owner, doc))
+    number = np.empty(len(at), np.int64)
+    number[pair] = np.cumsum(_changes(doc[pair], owner[pair])) - 1
+    rows = np.flatnonzero(np.bincount(stretch[opens], words[opens])[stretch] >= min_words)
+    if not len(rows):
+        return np.zeros(len(at), bool)
+    rows = rows[np.lexsort((rows, place[rows] - at[rows], stretch[rows], number[rows]))]
+    first = np.flatnonzero(_changes(number[rows], stretch[rows], place[rows] - at[rows]))
+    last = np.append(first[1:], len(rows)) - 1
+    long = sums[line[rows[last]] + 1] - sums[line[rows[first]]] >= min_words
+    some = np.zeros(number.max() + 1, bool)
+    some[number[rows[first[long]]]] = True
+    return some[number]
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def asked_runs(doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, words: np.ndarray, gone: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last row and hash of the least runs of repeated lines that hold a line of a stretch of ``min_words`` words or
+    more, all repeated and none gone. The rows are many documents' repeated lines, one for each, in order of doc and at."""
+    none = np.zeros(0, np.int64)
+    if not len(at):
+        return none, none, none
+    opens = _changes(doc) | (np.diff(at, prepend=-2) != 1)
+    stretch = np.cumsum(opens | _changes(gone)) - 1
     left = ~gone & (np.bincount(stretch, words)[stretch] >= min_words)
-    if not left.any():
-        return []
-    low, high, h = least_runs(hashes.astype(np.int64).view(np.uint64), words, np.flatnonzero(opens), min_words)
-    sums = np.concatenate(([0], np.cumsum(left)))
+    part = np.cumsum(opens) - 1
+    rows = np.flatnonzero(np.bincount(part, left)[part] > 0)  # no run leaves its part
+    if not len(rows):
+        return none, none, none
+    low, high, h = least_runs(hashes[rows].view(np.uint64), words[rows], np.flatnonzero(opens[rows]), min_words)
+    sums = np.concatenate(([0], np.cumsum(left[rows])))
     some = sums[high] > sums[low]
-    return [(int(at[a]), int(at[b - 1]) + 1, w, words[a:b].tolist()) for a, b, w in zip(low[some], high[some], h[some].tolist())]
+    return rows[low[some]], rows[high[some] - 1], h[some]
+
+
+def aligned_many(doc: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray, once: np.ndarray, words: np.ndarray, hashes: np.ndarray, n: int, min_words: int):
+    """Of n documents, whose rows are in order of doc and at: each one's runs, its number of asked runs, and of all asked runs the first and last row.
+
+    Last comes the hash of each asked run. The rows of a run that are the first of their line make up its lines.
+    """
+    cuts = np.searchsorted(doc, np.arange(n + 1))
+    live = live_rows(doc, at, owner, place, words, min_words)
+    runs: list[list[tuple[int, ...]]] = [[] for _ in range(n)]
+    own = np.flatnonzero(_changes(doc, at))  # a line has a row for each owner
+    lines, gone = at[own], np.zeros(len(own), bool)
+    own_cuts = np.searchsorted(own, cuts)
+    for k in np.unique(doc[live]).tolist():
+        rows = slice(cuts[k], cuts[k + 1])
+        runs[k] = common_blocks(at[rows], owner[rows], place[rows], once[rows], words[rows], min_words, np.flatnonzero(live[rows]))
+        for a, b, *_ in runs[k]:
+            low = own_cuts[k] + np.searchsorted(lines[own_cuts[k] : own_cuts[k + 1]], a)
+            gone[low : low + b - a] = True  # a block's lines are all repeated
+    low, high, h = asked_runs(doc[own], lines, hashes[own], words[own], gone, min_words)
+    return runs, np.bincount(doc[own][low], minlength=n), own, low, high, h
+
+
+def runs_in_many(hashes: np.ndarray, words: np.ndarray, sizes: np.ndarray, min_words: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many least runs each document (of so many lines) has, the first line of each within its document, and their hashes.
+
+    With ``known``, sorted hashes, only the runs in it.
+    """
+    starts = np.cumsum(sizes) - sizes
+    low, _, w = least_runs(hashes.view(np.uint64), words, starts, min_words)
+    if known is not None:
+        # most runs are in no bin of a known hash, and need no search
+        mask = (1 << max(10, len(known).bit_length() + 4)) - 1
+        bins = np.zeros(mask + 1, bool)
+        bins[known & mask] = True
+        maybe = np.flatnonzero(bins[w & mask])
+        hit = maybe[known[np.minimum(np.searchsorted(known, w[maybe]), len(known) - 1)] == w[maybe]]
+        low, w = low[hit], w[hit]
+    doc = np.searchsorted(starts, low, side="right") - 1
+    return np.bincount(doc, minlength=len(sizes)), low - starts[doc], w
+
+
+def _listed(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
 
 
 def joined_runs(runs: list[tuple[int, ...]], found: list[tuple], min_words: int) -> list[tuple[int, ...]]:
@@ -293,16 +385,17 @@ def _merged(doomed: dict[int, tuple[int, int]]) -> list[tuple[int, ...]]:
 def line_table(docs: DataFrame) -> DataFrame:
     """(key, ord, hashes, facts) of every row with words; facts are words * 2, and 1 more if the line is unique in its document."""
 
-    @F.pandas_udf("hashes array<long>, facts array<int>")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        number, _, h, w = lines_of_many(texts)
-        order = np.lexsort((h, number))
+    @F.arrow_udf("hashes array<long>, facts array<int>")
+    def found(texts: pa.Array) -> pa.Array:
+        number, _, h, w = lines_of_many(texts.cast(pa.binary()).to_pylist())
+        order = np.argsort(h, kind="stable")  # of equal lines, those of one text stay together
         same = (h[order][1:] == h[order][:-1]) & (number[order][1:] == number[order][:-1])
         once = np.ones(len(h), bool)
         once[order[1:]] &= ~same
         once[order[:-1]] &= ~same
-        cuts = np.searchsorted(number, np.arange(1, len(texts)))
-        return pd.DataFrame({"hashes": np.split(h.view(np.int64), cuts), "facts": np.split((w * 2 + once).astype(np.int32), cuts)})
+        sizes = np.bincount(number, minlength=len(texts))
+        lists = _listed(sizes, pa.array(h.view(np.int64))), _listed(sizes, pa.array((w * 2 + once).astype(np.int32)))
+        return pa.StructArray.from_arrays(lists, ["hashes", "facts"])
 
     rows = _keyed(docs).withColumn("l", found("text"))
     return rows.select("key", "ord", "l.hashes", "l.facts").where(F.size("hashes") > 0)
@@ -317,8 +410,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeats(lines: DataFrame) -> DataFrame:
     """(key, ord, at, owner, place, once, words, h) of every line that an earlier document has, with the first that has it and the one before."""
-    rows = lines.select("key", "ord", F.posexplode(F.arrays_zip("hashes", "facts")).alias("at", "l"))
-    rows = rows.select(F.col("l.hashes").alias("h"), "ord", "key", "at", F.col("l.facts").alias("f"))
+    rows = lines.select("key", "ord", "facts", F.posexplode("hashes").alias("at", "h"))
+    rows = rows.select("h", "ord", "key", "at", F.get("facts", "at").alias("f"))
     # Which lines are hot only decides the path: they are paired with their first holder alone.
     sample = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(SAMPLE)) == 0)
     hot = materialize(sample.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot-lines")
@@ -330,10 +423,13 @@ def repeats(lines: DataFrame) -> DataFrame:
         return df.select("key", "ord", "at", "late", F.col("o.key").alias("owner"), F.col("o.at").alias("place"), once.alias("once"), F.shiftright("f", 1).alias("words"), "h")
 
     def rest(df: DataFrame) -> DataFrame:
+        # column by column: a struct would be made below the shuffle and sorted with each line
         w = Window.partitionBy("h").orderBy("ord", "key", "at")
-        df = df.withColumn("o", F.first(first).over(w)).withColumn("p", F.lag(first).over(w))
-        both = F.when((F.col("p.key") != F.col("o.key")) & (F.col("p.key") != F.col("key")), F.array("o", "p")).otherwise(F.array("o"))
-        return told(df.where("o.key <> key").select("key", "ord", "at", "f", "h", F.posexplode(both).alias("late", "o")))
+        upto, names = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), ("ord", "key", "at", "f")
+        df = df.select("*", *[F.first(c).over(upto).alias(f"o_{c}") for c in names], *[F.lag(c).over(w).alias(f"p_{c}") for c in names])
+        o, p = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in names]) for x in "op")
+        both = F.when((F.col("p_key") != F.col("o_key")) & (F.col("p_key") != F.col("key")), F.array(o, p)).otherwise(F.array(o))
+        return told(df.where("o_key <> key").select("key", "ord", "at", "f", "h", F.posexplode(both).alias("late", "o")))
 
     if hot.isEmpty():
         return rest(rows)
@@ -345,23 +441,29 @@ def repeats(lines: DataFrame) -> DataFrame:
 def deletions(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, ord, runs) of every document that loses lines."""
 
-    @F.pandas_udf(f"runs {RUNS}, asks array<struct<a:int,b:int,w:long,words:array<int>>>")
-    def blocks(at: pd.Series, owner: pd.Series, place: pd.Series, once: pd.Series, words: pd.Series, h: pd.Series) -> pd.DataFrame:
-        runs = [common_blocks(*row, min_words) for row in zip(at, owner, place, once, words)]
-        asks = []
-        for a, x, w, r in zip(at, h, words, runs):
-            a, own = np.unique(a, return_index=True)  # a line has a row for each owner
-            asks.append(asked_runs(a, x[own], w[own], r, min_words))
-        return pd.DataFrame({"runs": runs, "asks": asks})
+    @F.arrow_udf(f"runs {RUNS}, asks array<struct<a:int,b:int,w:long,words:array<int>>>")
+    def blocks(at: pa.Array, owner: pa.Array, place: pa.Array, once: pa.Array, words: pa.Array, h: pa.Array) -> pa.Array:
+        n = len(at)
+        doc = np.repeat(np.arange(n), at.value_lengths().to_numpy())
+        at, owner, place, once, words, h = map(_flat, (at, owner, place, once, words, h))
+        runs, sizes, own, low, high, w = aligned_many(doc, at, owner, place, once, words, h, n, min_words)
+        flat = np.array([r for one in runs for r in one], np.int64).reshape(-1, 6)
+        lasts = pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()
+        runs = _listed(np.array([len(r) for r in runs], np.int64), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat.T, lasts)], RUN))
+        long = high - low + 1
+        inside = np.repeat(low - np.cumsum(long) + long, long) + np.arange(long.sum())
+        of_lines = _listed(long, pa.array(words[own[inside]], pa.int32()))
+        asks = [pa.array(at[own[low]], pa.int32()), pa.array(at[own[high]] + 1, pa.int32()), pa.array(w, pa.int64()), of_lines]
+        asks = _listed(sizes, pa.StructArray.from_arrays(asks, ["a", "b", "w", "words"]))
+        return pa.StructArray.from_arrays([runs, asks], ["runs", "asks"])
 
     @F.pandas_udf(RUNS)
     def joined(runs: pd.Series, found: pd.Series) -> pd.Series:
-        fields = ("a", "b", "first", "first_line", "last", "last_line")
         plain = lambda rows, names: [] if rows is None else [tuple(list(r[c]) if c == "words" else r[c] for c in names) for r in rows]
-        return pd.Series([joined_runs(plain(r, fields), plain(f, ("a", "b", "owner", "line", "words")), min_words) for r, f in zip(runs, found)])
+        return pd.Series([joined_runs(plain(r, RUN), plain(f, ("a", "b", "owner", "line", "words")), min_words) for r, f in zip(runs, found)])
 
     names = ["at", "owner", "place", "once", "words", "h"]
-    rows = repeats(lines).groupBy("key", "ord").agg(F.array_sort(F.collect_set(F.struct("at", "late", *names[1:]))).alias("r"), F.sum("words").alias("n"))
+    rows = repeats(lines).groupBy("key", "ord").agg(F.sort_array(F.collect_set(F.struct("at", "late", *names[1:]))).alias("r"), F.sum("words").alias("n"))
     rows = rows.where(F.col("n") >= min_words).select("key", "ord", blocks(*[F.col(f"r.{c}") for c in names]).alias("x"))
     rows = materialize(rows.select("key", "ord", "x.*").where("size(runs) > 0 or size(asks) > 0"), "aligned")
     asks = rows.select("key", "ord", F.explode("asks").alias("x")).select("key", "ord", "x.*")
@@ -386,16 +488,10 @@ def answered(asks: DataFrame, lines: DataFrame, min_words: int) -> DataFrame | N
     few = n <= BROADCAST_RUNS
     known = lines.sparkSession.sparkContext.broadcast(np.sort(np.array([r["w"] for r in wanted.collect()], np.int64)) if few else None)
 
-    @F.pandas_udf("array<struct<w:long,line:int>>")
-    def runs_of(hashes: pd.Series, facts: pd.Series) -> pd.Series:
-        out = []
-        for h, f in zip(hashes, facts):
-            low, _, w = least_runs(np.asarray(h, np.int64).view(np.uint64), np.asarray(f) >> 1, np.zeros(1, np.int64), min_words)
-            if known.value is not None:
-                hit = known.value[np.minimum(np.searchsorted(known.value, w), len(known.value) - 1)] == w
-                low, w = low[hit], w[hit]
-            out.append(list(zip(w.tolist(), low.tolist())))
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<w:long,line:int>>")
+    def runs_of(hashes: pa.Array, facts: pa.Array) -> pa.Array:
+        sizes, line, w = runs_in_many(_flat(hashes), _flat(facts) >> 1, hashes.value_lengths().to_numpy(), min_words, known.value)
+        return _listed(sizes, pa.StructArray.from_arrays([pa.array(w, pa.int64()), pa.array(line, pa.int32())], ["w", "line"]))
 
     have = lines.select("key", "ord", F.explode(runs_of("hashes", "facts")).alias("x")).select("ord", "key", F.col("x.line").alias("line"), F.col("x.w").alias("w"))
     if not few:
@@ -405,6 +501,7 @@ def answered(asks: DataFrame, lines: DataFrame, min_words: int) -> DataFrame | N
     return rows.select("key", "a", "b", F.col("o.key").alias("owner"), F.col("o.line").alias("line"), "words")
 
 
+RUN = ["a", "b", "first", "first_line", "last", "last_line"]
 RUNS = "array<struct<a:int,b:int,first:long,first_line:int,last:long,last_line:int>>"
 
 
@@ -420,7 +517,8 @@ def with_edges(gone: DataFrame, docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series, asks: pd.Series) -> pd.Series:
-        return pd.Series([[beside(t, x["line"], x["after"], s) for x in a] for t, a, s in zip(texts, asks, starts_of(texts.tolist()))])
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]  # once, however many places are asked for
+        return pd.Series([[beside(t, x["line"], x["after"], s) for x in a] for t, a, s in zip(data, asks, starts_of(data))])
 
     found = docs.select("key", "text").join(small(asks), docs["key"] == asks["owner"]).dropDuplicates(["owner"])
     found = found.select("owner", F.explode(F.arrays_zip("asks", words("text", "asks").alias("words"))).alias("x"))

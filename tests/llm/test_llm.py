@@ -291,6 +291,53 @@ def blocks_of_any_earlier(rows):
     return gone
 
 
+def test_documents_are_aligned_and_looked_up_in_batches(monkeypatch):
+    rng, least = random.Random(17), lines.MIN_WORDS
+    columns, docs = [], 200
+    for k in range(docs):
+        rows = []
+        for at in sorted(rng.sample(range(40), rng.randrange(1, 36))) if k % 3 else range(0, 40, 3):  # each third has lone lines only
+            for owner in rng.sample(range(3), rng.choice((1, 1, 2))):
+                rows.append((at, owner, at + rng.choice((0, 0, 0, 5)), rng.random() < 0.8))
+        words, hashes = rng.choices(range(3, 13), k=40), [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+        columns += [(k, *r, words[r[0]], hashes[r[0]]) for r in rows]
+    doc, at, owner, place, once, words, h = map(np.array, zip(*columns))
+    want_runs, want = [], []
+    for k in range(docs):  # document by document, with every owner
+        a, o, p, u, w, x = (c[doc == k] for c in (at, owner, place, once, words, h))
+        want_runs.append(lines.common_blocks(a, o, p, u, w, least))
+        line, own = np.unique(a, return_index=True)
+        gone = {i for f, t, *_ in want_runs[-1] for i in range(f, t)}
+        for part in np.split(np.arange(len(line)), np.flatnonzero(np.diff(line) != 1) + 1):
+            left, stretch = set(), []
+            for i in [*part.tolist(), None]:
+                if stretch and (i is None or (int(line[i]) in gone) != (int(line[stretch[0]]) in gone)):
+                    if int(line[stretch[0]]) not in gone and w[own[stretch]].sum() >= least:
+                        left |= set(stretch)
+                    stretch = []
+                stretch.append(i)
+            low, high, runs = lines.least_runs(x[own[part]].view(np.uint64), w[own[part]], np.zeros(1, np.int64), least)
+            want += [(k, int(line[part[f]]), int(line[part[t - 1]]), r) for f, t, r in zip(low, high, runs.tolist()) if left & set(part[f:t].tolist())]
+    calls = collections.Counter()
+    for name in ("common_blocks", "least_runs"):
+        monkeypatch.setattr(lines, name, lambda *a, n=name, f=getattr(lines, name): calls.update([n]) or f(*a))
+    runs, sizes, own, low, high, found = lines.aligned_many(doc, at, owner, place, once, words, h, docs, least)
+    assert runs == want_runs and any(runs) and want and sizes.tolist() == [sum(x[0] == k for x in want) for k in range(docs)]
+    assert [(int(doc[own[a]]), int(at[own[a]]), int(at[own[b]]), r) for a, b, r in zip(low, high, found.tolist())] == want
+    assert calls["least_runs"] == 1 and calls["common_blocks"] <= docs * 2 / 3  # those without a possible block aren't aligned
+
+    sizes = [rng.randrange(1, 30) for _ in range(50)]
+    h = np.array(rng.choices(range(1 << 40, (1 << 40) + 20), k=sum(sizes)))
+    words = h % 9 + 3
+    each = [lines.least_runs(x.view(np.uint64), w, np.zeros(1, np.int64), least) for x, w in zip(*(np.split(c, np.cumsum(sizes)[:-1]) for c in (h, words)))]
+    known = np.unique(np.concatenate([r for _, _, r in each]))[::2]
+    for some in (None, known):
+        calls.clear()
+        n, line, found = lines.runs_in_many(h, words, np.array(sizes), least, some)
+        want = [[(f, r) for f, r in zip(low.tolist(), runs.tolist()) if some is None or r in known] for low, _, runs in each]
+        assert n.tolist() == [len(x) for x in want] and list(zip(line.tolist(), found.tolist())) == [x for one in want for x in one] and calls["least_runs"] == 1
+
+
 @pytest.mark.parametrize("broadcast", [lines.BROADCAST_RUNS, 0])
 def test_blocks_go_whichever_earlier_document_has_them(spark, broadcast, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_RUNS", broadcast)
